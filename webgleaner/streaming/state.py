@@ -1,0 +1,34 @@
+"""State functions that run in Python workers, shipped by value."""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def failure_run_function(threshold: int):
+    """Function for applyInPandasWithState that reports runs reaching the threshold.
+
+    Batches come in chunks; the chunks of one call are ordered by time inside a chunk only, so all
+    rows of a call are put in order first (a call holds one service's rows of one micro-batch).
+    """
+
+    def run(key, chunks, state):
+        rows = pd.concat(list(chunks)).sort_values(["ts", "call_id"], kind="stable")
+        count, last = state.get if state.exists else (0, None)
+        ok = rows["ok"].to_numpy(dtype=bool)
+        out = []
+        for good, ts in zip(ok, rows["ts"]):
+            count = 0 if good else count + 1
+            if not good:
+                last = ts
+                if count == threshold:
+                    out.append((key[0], ts, count))
+        state.update((count, last))
+        yield pd.DataFrame(out, columns=["service", "tripped_at", "failures"])
+
+    return run
