@@ -78,21 +78,27 @@ def inflight_over_time(events: DataFrame, bucket: Column | None = None) -> DataF
     return totals.drop("_all")
 
 
-def failure_runs(calls: DataFrame, threshold: int = 5, bucket: Column | None = None) -> DataFrame:
-    """Runs of consecutive failures per service that reach ``threshold``.
+def count_runs(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Add the running number of successes and of failures (``nth``) per service in time order.
 
-    ``calls``: service, ts, call_id, ok. Runs are numbered by the successes before them. Running counts are
-    taken per hour and carried over, so a busy service is spread over many tasks. Result: service,
-    failures, started_at, tripped_at (the failure that reaches the threshold), ended_at.
+    The counts are taken per hour and carried over, so a busy service is spread over many tasks.
     """
-    counted = running_totals(
+    return running_totals(
         calls,
         ["service"],
         F.date_trunc("hour", "ts") if bucket is None else bucket,
         [F.col("ts"), F.col("call_id")],
         {"successes": F.when(F.col("ok"), 1).otherwise(0), "nth": F.when(F.col("ok"), 0).otherwise(1)},
     )
-    failed = counted.where(~F.col("ok"))
+
+
+def failure_runs(calls: DataFrame, threshold: int = 5, bucket: Column | None = None) -> DataFrame:
+    """Runs of consecutive failures per service that reach ``threshold``.
+
+    ``calls``: service, ts, call_id, ok. Runs are numbered by the successes before them. Result:
+    service, failures, started_at, tripped_at (the failure that reaches the threshold), ended_at.
+    """
+    failed = count_runs(calls, bucket).where(~F.col("ok"))
     runs = (
         failed.groupBy("service", "successes")
         .agg(
@@ -107,5 +113,3 @@ def failure_runs(calls: DataFrame, threshold: int = 5, bucket: Column | None = N
     return runs.join(trips, ["service", "nth"]).select(
         "service", "failures", "started_at", "tripped_at", "ended_at"
     )
-
-

@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.urls import normalize_url
 from ..operators.fetching import scrape
 from ..operators.history import history_rows
 from ..operators.links import with_links
-from ..operators.tasks import TASK_TTL_S
-from .state import failure_run_function
+from ..operators.tasks import TASK_TTL_S, count_runs
 
 
 def page_stream(pages: DataFrame) -> DataFrame:
@@ -72,19 +70,49 @@ def counter_windows(rows: DataFrame, labels: list[str], width: str = "1 hour", d
     return counted.select(F.col("window.start").alias("window_start"), *labels, "total", "duration_sum")
 
 
-def failure_alerts(calls: DataFrame, threshold: int = 5) -> DataFrame:
-    """One row each time a service reaches ``threshold`` failures in a row.
+def failure_alerts(
+    calls: DataFrame, path: str, checkpoint: str, threshold: int = 5, once: bool = True
+) -> StreamingQuery:
+    """Write one alert each time a service reaches ``threshold`` failures in a row.
 
-    The state per service is a counter and a time. Calls are taken in order of arrival between
-    batches and of time inside a batch.
+    ``calls``: service, ts, call_id, ok. Inside a micro-batch the runs are counted with running totals,
+    spread over time buckets; between batches a small table carries the open run per service. Alerts
+    and carried runs are written per batch number, so a repeated batch replaces its own output.
     """
-    return calls.select("service", "ts", "call_id", "ok").groupBy("service").applyInPandasWithState(
-        failure_run_function(threshold),
-        "service string, tripped_at timestamp, failures int",
-        "failures int, last_failure timestamp",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        carried = _carried_runs(batch, path, batch_id)
+        counted = count_runs(batch)
+        failed = counted.where(~F.col("ok"))
+        runs = failed.groupBy("service", "successes").agg(
+            F.count(F.lit(1)).alias("failures"), F.min("nth").alias("first_nth")
+        )
+        # The first run of the batch continues the carried one.
+        before = F.when(F.col("successes") == 0, F.coalesce("open_failures", F.lit(0))).otherwise(0)
+        runs = runs.join(carried, "service", "left").withColumn("before", before)
+        tripping = runs.where(
+            (F.col("before") < threshold) & (F.col("before") + F.col("failures") >= threshold)
+        ).select("service", (F.col("first_nth") + threshold - 1 - F.col("before")).alias("nth"))
+        alerts = failed.join(tripping, ["service", "nth"]).select(
+            "service", F.col("ts").alias("tripped_at"), F.lit(threshold).alias("failures")
+        )
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        ends = counted.groupBy("service").agg(F.max("successes").alias("successes"))
+        tails = ends.join(runs, ["service", "successes"], "left").select(
+            "service", (F.coalesce("before", F.lit(0)) + F.coalesce("failures", F.lit(0))).alias("open_failures")
+        )
+        quiet = carried.join(ends, "service", "left_anti")
+        tails.unionByName(quiet).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+
+    writer = calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _carried_runs(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    spark = batch.sparkSession
+    if batch_id == 0:
+        return spark.createDataFrame([], "service string, open_failures bigint")
+    return spark.read.schema("service string, open_failures bigint").parquet(f"{path}/open/batch_id={batch_id - 1}")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
