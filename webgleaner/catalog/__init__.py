@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("urls", "hosts")
+_MODULES = ("links","sites")
 
 
 def _merged(name: str) -> dict:

@@ -39,6 +39,10 @@ _DOT_SEGMENT = r"(?:\A|/)\.\.?(?:/|\z)"
 _PLAIN_PATH = r"\A(?:/(?!\.{1,2}(?:/|\z)|/)[^/?#;\s\x00-\x20]*+)++\z"
 
 
+def _one_of(scheme: Column, names: list[str]) -> Column:
+    return F.contains(F.lit("|" + "|".join(names) + "|"), F.concat(F.lit("|"), scheme, F.lit("|")))
+
+
 def _clean(url: Column) -> Column:
     return F.when(
         url.rlike(r"\A[\x00-\x20]|[\t\r\n]"), F.regexp_replace(url, r"\A[\x00-\x20]+|[\t\r\n]", "")
@@ -61,7 +65,7 @@ def split_url(url: Column) -> Column:
     def after_scheme(scheme: Column, rest: Column) -> Column:
         netloc = F.when(rest.startswith("//"), F.regexp_extract(rest, r"\A//([^/?#]*)", 1)).otherwise("")
         path = F.regexp_extract(rest, r"\A(?://[^/?#]*)?([^?#]*)", 1)
-        has_params = F.contains(rest, F.lit(";")) & scheme.isin(_WITH_PARAMS)
+        has_params = F.contains(rest, F.lit(";")) & _one_of(scheme, _WITH_PARAMS)
         has_query, has_fragment = F.contains(rest, F.lit("?")), F.contains(rest, F.lit("#"))
         made = F.struct(
             scheme.alias("scheme"),
@@ -116,7 +120,7 @@ def _join(scheme, netloc, path, params, query, fragment) -> Column:
             )
             .when(
                 p.startswith("//")
-                | ((scheme != "") & scheme.isin(_WITH_NETLOC) & ((p == "") | p.startswith("/"))),
+                | ((scheme != "") & _one_of(scheme, _WITH_NETLOC) & ((p == "") | p.startswith("/"))),
                 F.concat(F.lit("//"), p),
             )
             .otherwise(p)
@@ -185,56 +189,54 @@ def _without_dots(path: Column) -> Column:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen on the page ``base`` (RFC 3986 section 5)."""
-    general = let(
-        split_url(base), lambda b: let(split_url(href), lambda h: _resolve(b, h, href))
-    )
-    return F.when(base == "", href).when(href == "", base).otherwise(general)
 
+    def general(b: Column, h: Column) -> Column:
+        joined = let(
+            _resolve(b, h), lambda t: _join(*(t[n] for n in ("scheme", "netloc", "path", "params", "query", "fragment")))
+        )
+        return F.when(_is_relative(b, h), joined).otherwise(href)
 
-def _reference(b: Column, h: Column) -> Column:
-    """Path and parameters of a reference under the scheme of the page it stands on."""
-    takes_params = b["scheme"].isin(_WITH_PARAMS)
-    whole = F.concat(h["path"], F.when(h["params"] != "", F.concat(F.lit(";"), h["params"])).otherwise(""))
-    return F.struct(
-        F.when(takes_params, h["path"]).otherwise(whole).alias("path"),
-        F.when(takes_params, h["params"]).otherwise("").alias("params"),
-    )
+    resolved = let(split_url(base), lambda b: let(split_url(href), lambda h: general(b, h)))
+    return F.when(base == "", href).when(href == "", base).otherwise(resolved)
 
 
-def _resolve(b: Column, h: Column, href: Column) -> Column:
-    """Resolution over split URLs: ``b`` the page, ``h`` the reference."""
+def _is_relative(b: Column, h: Column) -> Column:
+    return ((h["scheme"] == "") | (h["scheme"] == b["scheme"])) & _one_of(b["scheme"], _RELATIVE)
+
+
+def _resolve(b: Column, h: Column) -> Column:
+    """Split form of the target of reference ``h`` on page ``b`` (both split, see ``_is_relative``)."""
     scheme = b["scheme"]
-    relative = ((h["scheme"] == "") | (h["scheme"] == scheme)) & scheme.isin(_RELATIVE)
-    has_netloc = scheme.isin(_WITH_NETLOC)
-    netloc = F.when(has_netloc, b["netloc"]).otherwise(h["netloc"])
-    folder = F.when(b["path"] == "", "/").otherwise(
-        F.regexp_replace(F.regexp_replace(b["path"], r"[^/]*\z", ""), r"/{2,}", "/")
-    )
+    takes_params, has_netloc = _one_of(scheme, _WITH_PARAMS), _one_of(scheme, _WITH_NETLOC)
+    # Without parameters under this scheme the split-off text belongs to the path.
+    whole = F.concat(h["path"], F.when(h["params"] != "", F.concat(F.lit(";"), h["params"])).otherwise(""))
+    path = F.when(takes_params, h["path"]).otherwise(whole)
+    params = F.when(takes_params, h["params"]).otherwise("")
 
     def resolved(r: Column) -> Column:
-        tail = F.regexp_replace(r["path"], r"/{2,}", "/")
-        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, tail))
-        path = let(let(merged, _without_dots), lambda p: F.when(p == "", "/").otherwise(p))
-        return (
-            F.when(
-                has_netloc & (h["netloc"] != ""),
-                _join(scheme, h["netloc"], r["path"], r["params"], h["query"], h["fragment"]),
-            )
-            .when(
-                (r["path"] == "") & (r["params"] == ""),
-                _join(
-                    scheme,
-                    netloc,
-                    b["path"],
-                    b["params"],
-                    F.when(h["query"] == "", b["query"]).otherwise(h["query"]),
-                    h["fragment"],
-                ),
-            )
-            .otherwise(_join(scheme, netloc, path, r["params"], h["query"], h["fragment"]))
+        folder = F.when(b["path"] == "", "/").otherwise(
+            F.regexp_replace(F.regexp_replace(b["path"], r"[^/]*\z", ""), r"/{2,}", "/")
+        )
+        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(
+            F.concat(folder, F.regexp_replace(r["path"], r"/{2,}", "/"))
+        )
+        clean = let(let(merged, _without_dots), lambda p: F.when(p == "", "/").otherwise(p))
+        return F.struct(
+            scheme.alias("scheme"),
+            F.when(r["elsewhere"] | ~has_netloc, h["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+            F.when(r["elsewhere"], r["path"]).when(r["same_page"], b["path"]).otherwise(clean).alias("path"),
+            F.when(~r["elsewhere"] & r["same_page"], b["params"]).otherwise(r["params"]).alias("params"),
+            F.when(~r["elsewhere"] & r["same_page"] & (h["query"] == ""), b["query"]).otherwise(h["query"]).alias("query"),
+            h["fragment"].alias("fragment"),
         )
 
-    return F.when(relative, let(_reference(b, h), resolved)).otherwise(href)
+    reference = F.struct(
+        path.alias("path"),
+        params.alias("params"),
+        (has_netloc & (h["netloc"] != "")).alias("elsewhere"),
+        ((h["path"] == "") & (h["params"] == "")).alias("same_page"),
+    )
+    return let(reference, resolved)
 
 
 def _same_site(t: Column, b: Column, include_subdomains: bool | Column) -> Column:
@@ -331,16 +333,16 @@ def link_target(
             (F.char_length(href) > 1) & href.endswith("/"), F.regexp_replace(href, r"/++\z", "")
         ).otherwise(href),
     )
-    general = let(
-        split_url(
-            let(split_url(href), lambda h: _resolve(base_parts, h, href))
-        ),
-        lambda t: F.when(
-            _same_site(t, base_parts, include_subdomains), _canonical(t, False)
-        ),
+    def general(h: Column) -> Column:
+        absolute = F.when(_is_relative(base_parts, h), _resolve(base_parts, h)).otherwise(h)
+        return let(
+            absolute,
+            lambda t: F.when(_same_site(t, base_parts, include_subdomains), _canonical(t, False)),
+        )
+
+    target = F.when(~href_followable(href), F.lit(None)).when(plain, quick).otherwise(
+        let(split_url(href), general)
     )
-    # Resolved references always carry a scheme here: they equal the page's own.
-    target = F.when(~href_followable(href), F.lit(None)).when(plain, quick).otherwise(general)
     if not include and not exclude:
         return target
     return let(target, lambda u: F.when(url_allowed(u, include, exclude), u))
