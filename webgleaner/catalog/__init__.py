@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("links","sites")
+_MODULES = ("answers","sites")
 
 
 def _merged(name: str) -> dict:

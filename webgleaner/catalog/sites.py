@@ -1,8 +1,10 @@
 """Sitemaps and site maps. Every page stands for a site whose sitemaps list the page's anchors."""
 
 import gzip
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..functions.content import anchor_hrefs
@@ -12,6 +14,9 @@ from .common import pages, table
 
 QUERIES, ORACLES = {}, {}
 
+# The stand-in functions below run in Python workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SITE = "concat('https://p', page_id, '.example.org')"
 
 # Site files by page_id % 5:

@@ -154,6 +154,10 @@ def matches_schema(value: Column, schema) -> Column:
     return F.coalesce(_matches(value, schema), F.lit(False))
 
 
+def _absent_or_matching(schema):
+    return lambda member: member.isNull() | F.coalesce(_matches(member, schema), F.lit(False))
+
+
 def _matches(value: Column, schema) -> Column:
     if isinstance(schema, bool):
         return F.lit(schema)
@@ -173,8 +177,7 @@ def _matches(value: Column, schema) -> Column:
     for name in schema.get("required", []):
         ok = ok & only_for(is_object, _member(value, name).isNotNull())
     for name, sub in schema.get("properties", {}).items():
-        rule = let(_member(value, name), lambda m, s=sub: m.isNull() | F.coalesce(_matches(m, s), F.lit(False)))
-        ok = ok & only_for(is_object, rule)
+        ok = ok & only_for(is_object, let(_member(value, name), _absent_or_matching(sub)))
     keys = F.json_object_keys(F.to_json(value))
     if "additionalProperties" in schema:
         extra = F.array_except(keys, F.array(*(F.lit(n) for n in schema.get("properties", {}))).cast("array<string>"))
