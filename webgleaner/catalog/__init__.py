@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("answers","sites")
+_MODULES = ("reports","jobs")
 
 
 def _merged(name: str) -> dict:
