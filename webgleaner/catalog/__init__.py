@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reports","jobs")
+_MODULES = ("urls", "hosts", "content", "links", "sites", "answers", "reports", "jobs", "streams")
 
 
 def _merged(name: str) -> dict:

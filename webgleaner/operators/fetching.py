@@ -12,6 +12,7 @@ from ..functions.content import (
     looks_like_pdf,
     with_markdown,
 )
+from ..session import materialize, work_folder
 from .links import MAX_BODY_BYTES
 from .scale import spread_join
 
@@ -147,10 +148,14 @@ def scrape(responses: DataFrame, force_js: Column | None = None, keep_html: bool
     )
 
 
-def scrape_urls(urls: DataFrame, responses: DataFrame, force_js: str | None = None) -> DataFrame:
+def scrape_urls(
+    urls: DataFrame, responses: DataFrame, force_js: str | None = None, folder: str | None = None
+) -> DataFrame:
     """One content row per requested URL, duplicates included; a URL without response has failed.
 
-    Pages are converted once per distinct URL and joined back; hot URLs are split over tasks.
+    Pages are converted once per distinct URL and written to the shared folder: conversion is the
+    costly step, and a later filter on the result must not be pushed into it and repeat it. The rows
+    are joined back; hot URLs are split over tasks.
     """
     keys = ["url"] if force_js is None else ["url", force_js]
     wanted = urls.select(*keys).distinct()
@@ -162,4 +167,5 @@ def scrape_urls(urls: DataFrame, responses: DataFrame, force_js: str | None = No
         F.col("content_length_out").alias("content_length"),
         "error",
     )
+    made = materialize(made, f"{folder or work_folder(urls.sparkSession, 'contents')}/pages")
     return spread_join(urls, made, keys, "left")
