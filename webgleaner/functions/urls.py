@@ -78,7 +78,8 @@ def split_url(url: Column) -> Column:
         odd = F.contains(netloc, F.lit("[")) != F.contains(netloc, F.lit("]"))
         return F.when(F.contains(rest, F.lit("[")) | F.contains(rest, F.lit("]")), F.when(~odd, made)).otherwise(made)
 
-    return let(_clean(url), parts)
+    # Bound first: the argument may itself be a long expression.
+    return let(url, lambda given: let(_clean(given), parts))
 
 
 def host_of(netloc: Column) -> Column:
@@ -92,8 +93,12 @@ def host_of(netloc: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Lower-case host of a URL, ``''`` when there is none."""
-    rest = F.regexp_replace(_clean(url), _SCHEME, "")
-    return host_of(F.regexp_extract(rest, r"\A//([^/?#]*)", 1))
+
+    def host(u: Column) -> Column:
+        rest = F.regexp_replace(_clean(u), _SCHEME, "")
+        return let(F.regexp_extract(rest, r"\A//([^/?#]*)", 1), host_of)
+
+    return let(url, host)
 
 
 def port_of(netloc: Column) -> Column:
@@ -135,7 +140,7 @@ def _join(scheme, netloc, path, params, query, fragment) -> Column:
     return let(full, text)
 
 
-def _canonical(p: Column, strip_query: bool | Column) -> Column:
+def canonical_text(p: Column, strip_query: bool | Column) -> Column:
     """Canonical text of a split URL."""
     path = (
         F.when(p["path"] == "", "/")
@@ -162,9 +167,11 @@ def normalize_url(url: Column, strip_query: bool | Column = False) -> Column:
 
     def canonical(text: Column) -> Column:
         scheme = F.when(F.contains(text, F.lit("://")), "").otherwise("https://")
-        return let(split_url(F.concat(scheme, text)), lambda p: _canonical(p, strip_query))
+        return let(split_url(F.concat(scheme, text)), lambda p: canonical_text(p, strip_query))
 
-    return F.when(is_blank(url), "").otherwise(let(strip(url), canonical))
+    return let(
+        strip(url), lambda text: F.when(text.isNull() | (text == ""), "").otherwise(canonical(text))
+    )
 
 
 def _without_dots(path: Column) -> Column:
@@ -190,14 +197,25 @@ def _without_dots(path: Column) -> Column:
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen on the page ``base`` (RFC 3986 section 5)."""
 
-    def general(b: Column, h: Column) -> Column:
+    def general(b: Column, h: Column, ref: Column) -> Column:
         joined = let(
             _resolve(b, h), lambda t: _join(*(t[n] for n in ("scheme", "netloc", "path", "params", "query", "fragment")))
         )
-        return F.when(_is_relative(b, h), joined).otherwise(href)
+        return F.when(_is_relative(b, h), joined).otherwise(ref)
+
+    def either(page: Column, ref: Column) -> Column:
+        resolved = let(split_url(page), lambda b: let(split_url(ref), lambda h: general(b, h, ref)))
+        return F.when(page == "", ref).when(ref == "", page).otherwise(resolved)
+
+    return let(base, lambda page: let(href, lambda ref: either(page, ref)))
 
-    resolved = let(split_url(base), lambda b: let(split_url(href), lambda h: general(b, h)))
-    return F.when(base == "", href).when(href == "", base).otherwise(resolved)
+
+def absolute_parts(base_parts: Column, href: Column) -> Column:
+    """Split form of the target of ``href`` on the page whose URL is split in ``base_parts``."""
+    return let(
+        split_url(href),
+        lambda h: F.when(_is_relative(base_parts, h), _resolve(base_parts, h)).otherwise(h),
+    )
 
 
 def _is_relative(b: Column, h: Column) -> Column:
@@ -239,7 +257,7 @@ def _resolve(b: Column, h: Column) -> Column:
     return let(reference, resolved)
 
 
-def _same_site(t: Column, b: Column, include_subdomains: bool | Column) -> Column:
+def same_site(t: Column, b: Column, include_subdomains: bool | Column) -> Column:
     """Same-site test over split URLs; ports do not count."""
     target, base = host_of(t["netloc"]), host_of(b["netloc"])
     wide = F.lit(include_subdomains) if isinstance(include_subdomains, bool) else include_subdomains
@@ -252,7 +270,7 @@ def is_internal(url: Column, base: Column, include_subdomains: bool | Column = F
     """True when ``url`` has the scheme and host of ``base`` (or a host below it)."""
     found = let(
         split_url(url),
-        lambda t: let(split_url(base), lambda b: _same_site(t, b, include_subdomains)),
+        lambda t: let(split_url(base), lambda b: same_site(t, b, include_subdomains)),
     )
     return F.coalesce(found, F.lit(False))
 
@@ -333,16 +351,11 @@ def link_target(
             (F.char_length(href) > 1) & href.endswith("/"), F.regexp_replace(href, r"/++\z", "")
         ).otherwise(href),
     )
-    def general(h: Column) -> Column:
-        absolute = F.when(_is_relative(base_parts, h), _resolve(base_parts, h)).otherwise(h)
-        return let(
-            absolute,
-            lambda t: F.when(_same_site(t, base_parts, include_subdomains), _canonical(t, False)),
-        )
-
-    target = F.when(~href_followable(href), F.lit(None)).when(plain, quick).otherwise(
-        let(split_url(href), general)
+    general = let(
+        absolute_parts(base_parts, href),
+        lambda t: F.when(same_site(t, base_parts, include_subdomains), canonical_text(t, False)),
     )
+    target = F.when(~href_followable(href), F.lit(None)).when(plain, quick).otherwise(general)
     if not include and not exclude:
         return target
     return let(target, lambda u: F.when(url_allowed(u, include, exclude), u))

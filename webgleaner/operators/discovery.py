@@ -50,6 +50,7 @@ def run_discovery(
         strip_query,
         f"{folder}/sitemaps",
     )
+    entries = materialize(entries, f"{folder}/entries")
     numbered = number_rows(
         entries,
         ["seed_id"],

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.content import decode_body
 from ..functions.hosts import is_private_host, is_safe_url
 from ..functions.python_workers import gunzip_series
-from ..functions.text import let, strip
+from ..functions.text import is_blank, let, strip
 from ..functions.urls import (
+    absolute_parts,
+    canonical_text,
     is_internal,
     normalize_url,
+    path_allowed,
     resolve_url,
+    same_site,
     split_url,
-    url_allowed,
     url_host,
 )
 from ..session import materialize, work_folder
@@ -123,24 +126,30 @@ def urlset_rows(
     resolved URL; the result shows its canonical form and the path as found.
     """
     keys = [c for c in documents.columns if c not in ("urls", "sitemaps", "root")]
-    entries = documents.select(*keys, F.posexplode("urls").alias("pos", "entry"))
-    resolved = entries.withColumn("_loc", strip(F.col("entry.loc"))).where(F.col("_loc") != "").withColumn(
-        "_full", resolve_url(F.col("base_url"), F.col("_loc"))
-    )
-    kept = resolved.where(
-        url_allowed(F.col("_full"), include, exclude)
-        & is_internal(F.col("_full"), F.col("base_url"), include_subdomains)
-    )
-    shown = let(split_url(F.col("_full"))["path"], lambda p: F.when(p == "", "/").otherwise(p))
-    return kept.select(
-        *keys,
-        "pos",
-        normalize_url(F.col("_full"), strip_query).alias("url"),
-        shown.alias("path"),
-        F.lit(0).alias("depth"),
-        F.lit("sitemap").alias("source"),
-        F.when(F.col("entry.lastmod") != "", strip(F.col("entry.lastmod"))).alias("last_modified"),
-    ).where(F.col("url") != "")
+
+    def row(entry: Column, target: Column, pos: Column) -> Column:
+        ok = path_allowed(target["path"], include, exclude) & same_site(
+            target, F.col("_base"), include_subdomains
+        )
+        made = F.struct(
+            pos.alias("pos"),
+            canonical_text(target, strip_query).alias("url"),
+            F.when(target["path"] == "", "/").otherwise(target["path"]).alias("path"),
+            F.lit(0).alias("depth"),
+            F.lit("sitemap").alias("source"),
+            F.when(entry["lastmod"] != "", strip(entry["lastmod"])).alias("last_modified"),
+        )
+        return F.when(ok, made)
+
+    def accepted(entry: Column, pos: Column) -> Column:
+        loc = strip(entry["loc"])
+        found = let(absolute_parts(F.col("_base"), loc), lambda target: row(entry, target, pos))
+        return F.when(~is_blank(entry["loc"]), found)
+
+    # Row-local: the base is split once per document, each entry once; rejected ones go before the explode.
+    split = documents.select(*keys, "urls", split_url(F.col("base_url")).alias("_base"))
+    rows = split.select(*keys, F.array_compact(F.transform("urls", accepted)).alias("_rows"))
+    return rows.select(*keys, F.explode("_rows").alias("_r")).select(*keys, "_r.*").where(F.col("url") != "")
 
 
 def read_sitemaps(
@@ -171,24 +180,24 @@ def read_sitemaps(
         normalize_url(F.col("sitemap_url")).alias("_key"),
         F.array().cast("array<int>").alias("trail"),
     )
-    seen, found = None, []
+    visits = []
     for level in range(MAX_INDEX_DEPTH):
         first = refs.groupBy("seed_id", "_key").agg(F.min(F.struct("trail", "_ref", "base_url")).alias("f"))
-        if seen is not None:
+        if visits:
+            seen = reduce(DataFrame.unionByName, [v.select("seed_id", "_key") for v in visits])
             first = first.join(seen, ["seed_id", "_key"], "left_anti")
         visit = materialize(first.select("seed_id", "_key", "f.*"), f"{folder}/visit-{level}")
-        if visit.isEmpty():
+        if level > 0 and visit.isEmpty():
             break
-        seen = visit.select("seed_id", "_key") if seen is None else seen.unionByName(visit.select("seed_id", "_key"))
-        docs = visit.join(parsed, F.col("_ref") == F.col("_doc"), "inner")
-        found.append(
-            urlset_rows(
-                docs.select("seed_id", "base_url", "trail", "urls"), include, exclude, include_subdomains, strip_query
-            )
+        visits.append(visit)
+        if level + 1 == MAX_INDEX_DEPTH:
+            break
+        indexes = parsed.where(F.col("sitemaps").isNotNull()).select("_doc", "sitemaps")
+        listed = visit.join(indexes, F.col("_ref") == F.col("_doc")).select(
+            "seed_id", "base_url", "trail", "_doc", F.posexplode("sitemaps").alias("i", "s")
         )
-        children = docs.select("seed_id", "base_url", "trail", "_doc", F.posexplode("sitemaps").alias("i", "s"))
         refs = (
-            children.where(F.col("s.loc") != "")
+            listed.where(F.col("s.loc") != "")
             .withColumn("_ref", resolve_url(F.col("_doc"), strip(F.col("s.loc"))))
             .select(
                 "seed_id",
@@ -198,10 +207,7 @@ def read_sitemaps(
                 F.array_append("trail", F.col("i")).alias("trail"),
             )
         )
-    if not found:
-        return urlset_rows(
-            parsed.limit(0).select(
-                F.lit("").alias("seed_id"), F.lit("").alias("base_url"), F.array().cast("array<int>").alias("trail"), "urls"
-            )
-        )
-    return reduce(DataFrame.unionByName, found)
+    visited = reduce(DataFrame.unionByName, visits)
+    lists = parsed.where(F.col("urls").isNotNull()).select("_doc", "urls")
+    documents = visited.join(lists, F.col("_ref") == F.col("_doc")).select("seed_id", "base_url", "trail", "urls")
+    return urlset_rows(documents, include, exclude, include_subdomains, strip_query)
