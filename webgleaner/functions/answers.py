@@ -144,8 +144,10 @@ def _text_of(value: Column) -> Column:
 
 
 def _member(value: Column, name: str) -> Column:
-    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(value, f"$['{escaped}']", "variant")
+    quote = '"' if "'" in name else "'"
+    if quote in name:
+        raise SchemaError(f"property name with both kinds of quotes: {name}")
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
 
 
 def matches_schema(value: Column, schema) -> Column:
