@@ -96,11 +96,11 @@ def test_failure_alerts_across_batches(spark):
 
 def test_task_states_over_batches(spark):
     source, out, state = (work_folder(spark, n) for n in ("events", "states", "state"))
-    for rows in ([("a", at(0), "processing", None, "q"), ("b", at(1), "processing", None, "q")], [("a", at(60), "done", "R", None)]):
+    for rows in ([("a", at(0), "processing", None, "q"), ("b", at(1), "processing", None, "q")], [("a", at(60), "done", "R", None), ("b", at(86400), "error", "E", None)]):
         events(spark, rows).coalesce(1).write.mode("append").parquet(source)
         J.upsert_stream(J.task_states(spark.readStream.schema(EVENTS).parquet(source)), out, state).awaitTermination()
-    last = J.latest_updates(spark.read.parquet(out), ["task_id"])
-    assert {r.task_id: (r.status, r.result) for r in last.collect()} == {"a": ("done", "R"), "b": ("processing", None)}
+    last = J.merge_task_states(spark.read.parquet(out))
+    assert {r.task_id: (r.status, r.result) for r in last.collect()} == {"a": ("done", "R"), "b": ("error", "E")}
 
 
 def test_histogram_and_logs(spark):

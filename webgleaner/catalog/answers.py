@@ -68,13 +68,14 @@ ORACLES["l2_summary_prompt"] = f"""WITH {_SUMMARY} SELECT request_id, CAST(n AS
 
 
 def a11_ordered_text(spark, sf):
-    """Turns of each conversation joined in order."""
-    df = table(spark, sf, "conversations")
-    joined = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return joined.select("conv_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
+    """The documents of each request joined in order (at most twenty)."""
+    docs = _research_documents(spark, sf)
+    joined = docs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("p"))
+    return joined.select("request_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
 
 
-ORACLES["a11_ordered_text"] = f"SELECT conv_id, md5(string_agg(text, {NL} || {NL} ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1"
+ORACLES["a11_ordered_text"] = f"""SELECT doc_id // 20 AS request_id, md5(string_agg(CASE WHEN doc_id % 10 = 3 THEN '' ELSE text END, {NL} || {NL} ORDER BY doc_id)) AS text_md5
+ FROM documents GROUP BY 1"""
 
 
 def w2_document_number(spark, sf):

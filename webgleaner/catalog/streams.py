@@ -58,7 +58,7 @@ ORACLES["t2_new_urls"] = f"SELECT DISTINCT {NORM} AS norm_url FROM pages"
 def t3_task_states(spark, sf):
     out, state = _paths(spark, "t3")
     _finish(J.upsert_stream(J.task_states(_stream(spark, sf, "events").selectExpr(*_TASK)), out, state))
-    last = J.latest_updates(spark.read.parquet(out), ["task_id"]).where("created_at IS NOT NULL")
+    last = J.merge_task_states(spark.read.parquet(out))
     return last.select("task_id", "status", F.coalesce("result", F.lit("~")).alias("result"), F.unix_micros("created_at").alias("created_us"))
 
 

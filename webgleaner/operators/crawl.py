@@ -35,7 +35,7 @@ def pages_of_seed_hosts(
         own = keyed.select(F.col("_host").alias("host"))
         hosts = hosts_under(own, hosts, domain="host")
     hosts = small_or_whole(hosts.withColumnRenamed("host", "_host"))
-    return keyed.join(hosts, "_host", "left_semi").drop("_host")
+    return spread_join(keyed, hosts, ["_host"], "left_semi").drop("_host")
 
 
 def child_table(links: DataFrame, strip_query: bool = False) -> DataFrame:

@@ -101,7 +101,7 @@ def safe_urls(urls: DataFrame, url: str = "url", dns: DataFrame | None = None) -
         .distinct()
     )
     keyed = kept.withColumn("_host", url_host(F.col(url)))
-    return keyed.join(small_or_whole(bad), "_host", "left_anti").select(*urls.columns)
+    return spread_join(keyed, small_or_whole(bad), ["_host"], "left_anti").select(*urls.columns)
 
 
 def request_gate(

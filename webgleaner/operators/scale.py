@@ -31,11 +31,14 @@ def spread_join(
     """Equi join whose hot left keys are split over several tasks.
 
     Keys with more than ``hot_rows`` left rows (there can be at most ``rows / hot_rows`` of them) get
-    a salt; the matching right rows are repeated once per salt. All rows are kept. ``left_rows``, when
-    known, saves the search: a table of at most ``hot_rows`` rows has no hot key.
+    a salt; the matching right rows are repeated once per salt. All rows are kept. A table of at most
+    ``hot_rows`` rows has no hot key; ``left_rows``, when known, saves the bounded count.
     """
     on = list(on)
-    if left_rows is not None and left_rows <= hot_rows:
+    if left_rows is None:
+        # A bounded count: it stops soon after the limit.
+        left_rows = left.select(*on).limit(hot_rows + 1).count()
+    if left_rows <= hot_rows:
         return left.join(right, on, how)
     hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
     hot = hot.select(*on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts"))

@@ -24,6 +24,7 @@ from ..functions.urls import (
     url_host,
 )
 from ..session import materialize, work_folder
+from .scale import spread_join
 
 # Largest sitemap read, in bytes; nesting levels read.
 MAX_SITEMAP_BYTES = 50 * 1024 * 1024
@@ -68,22 +69,25 @@ def locate_sitemaps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     names a private host counts as none.
     """
     parts = split_url(F.col("base_url"))
+    origin = F.concat("_p.scheme", F.lit("://"), "_p.netloc")
     asked = seeds.select("seed_id", "base_url", parts.alias("_p")).select(
-        "seed_id", "base_url", F.concat("_p.scheme", F.lit("://"), "_p.netloc").alias("_origin")
+        "seed_id",
+        "base_url",
+        F.concat(origin, F.lit("/sitemap.xml")).alias("_map_url"),
+        F.concat(origin, F.lit("/robots.txt")).alias("_robots_url"),
     )
     head = F.trim(F.col("text"), F.lit(" \t\r\n"))
     is_map = (F.col("status") == 200) & (
         F.contains(F.coalesce("content_type", F.lit("")), F.lit("xml")) | head.rlike(r"\A<(?:\?xml|urlset|sitemapindex)")
     )
     maps = responses.where(F.endswith("url", F.lit("/sitemap.xml")) & F.coalesce(is_map, F.lit(False))).select(
-        F.col("url").alias("_map_url")
+        F.col("url").alias("_map_url"), F.lit(True).alias("_has_map")
     )
     robots = responses.where(F.endswith("url", F.lit("/robots.txt")) & (F.col("status") == 200)).select(
         F.col("url").alias("_robots_url"), robots_sitemap(F.col("text")).alias("_directive")
     )
-    joined = asked.join(maps, F.concat("_origin", F.lit("/sitemap.xml")) == F.col("_map_url"), "left").join(
-        robots, F.concat("_origin", F.lit("/robots.txt")) == F.col("_robots_url"), "left"
-    )
+    # Many seeds may share a site, so both joins split hot sites.
+    joined = spread_join(spread_join(asked, maps, ["_map_url"], "left"), robots, ["_robots_url"], "left")
     usable = (
         (F.col("_directive") != "")
         & is_internal(F.col("_directive"), F.col("base_url"))
@@ -92,7 +96,7 @@ def locate_sitemaps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.select(
         "seed_id",
         "base_url",
-        F.coalesce("_map_url", F.when(usable, F.col("_directive"))).alias("sitemap_url"),
+        F.when(F.col("_has_map"), F.col("_map_url")).when(usable, F.col("_directive")).alias("sitemap_url"),
     )
 
 
@@ -193,8 +197,8 @@ def read_sitemaps(
         if level + 1 == MAX_INDEX_DEPTH:
             break
         indexes = parsed.where(F.col("sitemaps").isNotNull()).select("_doc", "sitemaps")
-        listed = visit.join(indexes, F.col("_ref") == F.col("_doc")).select(
-            "seed_id", "base_url", "trail", "_doc", F.posexplode("sitemaps").alias("i", "s")
+        listed = spread_join(visit, indexes.withColumnRenamed("_doc", "_ref"), ["_ref"]).select(
+            "seed_id", "base_url", "trail", F.col("_ref").alias("_doc"), F.posexplode("sitemaps").alias("i", "s")
         )
         refs = (
             listed.where(F.col("s.loc") != "")
@@ -209,5 +213,7 @@ def read_sitemaps(
         )
     visited = reduce(DataFrame.unionByName, visits)
     lists = parsed.where(F.col("urls").isNotNull()).select("_doc", "urls")
-    documents = visited.join(lists, F.col("_ref") == F.col("_doc")).select("seed_id", "base_url", "trail", "urls")
+    documents = spread_join(visited, lists.withColumnRenamed("_doc", "_ref"), ["_ref"]).select(
+        "seed_id", "base_url", "trail", "urls"
+    )
     return urlset_rows(documents, include, exclude, include_subdomains, strip_query)

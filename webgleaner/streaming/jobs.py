@@ -30,21 +30,31 @@ def new_urls(urls: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFram
 
 
 def task_states(events: DataFrame, delay: str = f"{TASK_TTL_S} seconds") -> DataFrame:
-    """Last state per task, by aggregates; tasks without a creation event have NULL created_at.
+    """Last state per task and day, by aggregates; ``merge_task_states`` joins the days.
 
-    Tasks are grouped by id and by creation window, so that expired ones leave the state.
+    Grouping by day as well lets the state of a task go once the watermark has passed its day.
     """
     return (
         events.withWatermark("ts", delay)
-        .groupBy("task_id")
+        .groupBy("task_id", F.window("ts", "1 day").alias("day"))
         .agg(
+            F.max("ts").alias("last_ts"),
             F.max_by(F.struct("status", "result"), F.col("ts")).alias("last"),
             F.min(F.when(F.col("status") == "processing", F.col("ts"))).alias("created_at"),
         )
-        .select("task_id", "last.status", "last.result", "created_at")
+        .select("task_id", F.col("day.start").alias("day"), "last_ts", "last.status", "last.result", "created_at")
     )
 
 
+def merge_task_states(updates: DataFrame) -> DataFrame:
+    """(task_id, status, result, created_at) from the updates of ``task_states``; never created tasks go."""
+    days = latest_updates(updates, ["task_id", "day"])
+    merged = days.groupBy("task_id").agg(
+        F.max_by(F.struct("status", "result"), F.col("last_ts")).alias("last"), F.min("created_at").alias("created_at")
+    )
+    return merged.where("created_at IS NOT NULL").select("task_id", "last.status", "last.result", "created_at")
+
+
 def rate_windows(requests: DataFrame, limit: int = 30, delay: str = "1 minute") -> DataFrame:
     """Requests per client and minute, and how many exceed the limit."""
     counted = (
