@@ -112,7 +112,7 @@ def _main_markup(live: Column) -> Column:
 
 def _markup_to_markdown(markup: Column) -> Column:
     """Markdown of a piece of markup without scripts, styles and comments."""
-    text = F.translate(markup, "\t\r\n\f", "    ")
+    text = F.regexp_replace(markup, r"[\t\r\n\f]+", " ")
     bold = (r"(?i)<(b|strong)\b[^>]*>([^<]*)</\1\s*>", "**$2**")
     inline_rules = (
         (r"(?i)<(i|em)\b[^>]*>([^<]*)</\1\s*>", "*$2*"),

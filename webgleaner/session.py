@@ -13,6 +13,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Page conversion is heavy per byte: smaller scan splits keep tasks short.
+    "spark.sql.files.maxPartitionBytes": "32m",
     # Model answers may repeat a JSON key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
