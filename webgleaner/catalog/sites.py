@@ -126,7 +126,6 @@ ORACLES["s6_sitemap_location"] = f"""SELECT page_id AS seed_id, CASE page_id % 5
  WHEN 2 THEN concat({_SITE}, '/maps/main.xml') ELSE '' END AS sitemap_url FROM pages"""
 
 
-@F.pandas_udf("binary")
 def _pack(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: gzip.compress(t.encode()))
 
@@ -134,7 +133,7 @@ def _pack(texts: pd.Series) -> pd.Series:
 def s7_decode_bodies(spark, sf):
     """Documents as bodies: plain, gzip, gzip without header, broken gzip."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    packed = docs.withColumn("zipped", _pack("text"))
+    packed = docs.withColumn("zipped", F.pandas_udf(_pack, "binary")("text"))
     bodies = packed.selectExpr(
         "doc_id",
         "CASE doc_id % 4 WHEN 0 THEN CAST(text AS BINARY) WHEN 1 THEN zipped WHEN 2 THEN zipped ELSE CAST('not gzip' AS BINARY) END AS body",
