@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bucket_digest, language_bloom, mixing, url_reputation
+from . import bucket_digest, language_bloom, mixing, simhash, url_reputation
 from .common import table
 
 # Rules of the URL contract: verdict, host, path.
@@ -40,11 +40,17 @@ def op6_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op4_source_mix": op4_source_mix,
     "op5_language_bloom": op5_language_bloom,
     "op6_bucket_digest": op6_bucket_digest,
+    "op8_simhash_trees": op8_simhash_trees,
 }
 
 ORACLES: dict[str, str] = {}
