@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, prepared
+from .common import by_value, id_ranges, prepared, range_of
 
 by_value(__name__)
 
@@ -180,11 +180,9 @@ def fingerprint(docs: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
         "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_order"),
     )
-    n_rows = rows.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // rows_per_bucket)
-    points = [k / ranges for k in range(1, ranges)] or [0.5]
-    splits = rows.agg(F.percentile_approx("_order", points, F.lit(max(10_000, 10 * ranges))).alias("s")).first()["s"] or []
-    rows = rows.withColumn("_bucket", _range_of(F.col("_order"), sorted(set(splits))))
+    splits = id_ranges(rows, "_order", rows_per_bucket)
+    ranges = len(splits) + 1
+    rows = rows.withColumn("_bucket", range_of(F.col("_order"), splits))
     # One row per range: their number is bounded by ``ranges``.
     firsts = sorted((r["_bucket"], r["_first"]) for r in rows.groupBy("_bucket").agg(F.min("_order").alias("_first")).collect())
     before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
@@ -201,17 +199,3 @@ def fingerprint(docs: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
         digest_rows(schema),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
-
-
-def _range_of(value, splits: list[int]):
-    """Number of split points at or below ``value``, by two short searches."""
-    if not splits:
-        return F.lit(0)
-    step = max(1, int(len(splits) ** 0.5))
-    groups = [splits[i : i + step] for i in range(0, len(splits), step)]
-    listed = [f"array({', '.join(f'{s}L' for s in g)})" for g in groups]
-    coarse = F.expr(f"array({', '.join(f'{s}L' for s in splits[::step])})")
-    fine = F.expr(f"array({', '.join(listed)})")
-    group = F.size(F.filter(coarse, lambda s: s <= value))
-    inside = F.size(F.filter(F.get(fine, group - 1), lambda s: s <= value))
-    return F.when(group == 0, 0).otherwise((group - 1) * step + inside).cast("int")

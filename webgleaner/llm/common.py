@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, work_folder(df.sparkSession, label))
 
 
+def restored(kind: type, state: dict):
+    """An object from its broadcast ``vars()``: classes of this package need not be importable on executors."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
+def lookup(staged: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A narrow staged table as the small side of a join: broadcast up to ``most_rows`` rows, else joined by a shuffle.
+
+    The count comes from the file footers.
+    """
+    return F.broadcast(staged) if staged.count() <= most_rows else staged
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; a null id counts as 0."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -77,3 +93,33 @@ def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def id_ranges(rows: DataFrame, order: str, rows_per_range: int) -> list[int]:
+    """Split points of the long column ``order`` into ranges of about ``rows_per_range`` rows, at least one per shuffle partition."""
+    n_rows = rows.count()
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // rows_per_range)
+    if ranges < 2 or not n_rows:
+        return []
+    points = [k / ranges for k in range(1, ranges)]
+    found = rows.agg(F.percentile_approx(order, points, F.lit(max(10_000, 10 * ranges))).alias("s")).first()["s"]
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, splits: list[int]) -> Column:
+    """Number of split points at or below ``value``, by two short searches."""
+    if not splits:
+        return F.lit(0)
+    step = max(1, int(len(splits) ** 0.5))
+    groups = [splits[i : i + step] for i in range(0, len(splits), step)]
+    listed = [f"array({', '.join(f'{s}L' for s in g)})" for g in groups]
+    coarse = F.expr(f"array({', '.join(f'{s}L' for s in splits[::step])})")
+    fine = F.expr(f"array({', '.join(listed)})")
+    group = F.size(F.filter(coarse, lambda s: s <= value))
+    inside = F.size(F.filter(F.get(fine, group - 1), lambda s: s <= value))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + inside).cast("int")
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker: functions shipped by value keep nothing between tasks."""
+    return sys.modules.setdefault("_training_text_store", types.ModuleType("_training_text_store")).__dict__

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, prepared, remainder, stage
+from .common import by_value, prepared, remainder, restored, stage
 
 by_value(__name__)
 
@@ -193,17 +193,18 @@ def label_batches(langs: list[str], model, usual: str | None, letters: np.ndarra
     """Partition function: adds the language and its score to ``doc_id, held_out, text``."""
 
     def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        sliced = restored(SlicedFilter, model.value)
         n_docs = len(texts)
-        hits, n, n_letters = np.zeros((n_docs, model.value.n_langs)), np.zeros(n_docs), np.zeros(n_docs)
+        hits, n, n_letters = np.zeros((n_docs, sliced.n_langs)), np.zeros(n_docs), np.zeros(n_docs)
         for numbers, parts in pieces(texts):
             keys, owner, part_letters = ngrams(parts, letters)
             numbers = np.array(numbers)
             np.add.at(n_letters, numbers, part_letters)
             if len(keys):
-                part_hits, part_n = model.value.corrected(keys, owner, len(parts))
+                part_hits, part_n = sliced.corrected(keys, owner, len(parts))
                 np.add.at(hits, numbers, part_hits)
                 np.add.at(n, numbers, part_n)
-        rate = model.value.false_rate
+        rate = sliced.false_rate
         real = np.maximum(0.0, (hits - n[:, None] * rate) / np.maximum(1e-9, 1 - rate))
         best, total = real.argmax(axis=1), real.sum(axis=1)
         out, scores = [], []
@@ -241,7 +242,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None, min_share: floa
     spark = prepared(docs.sparkSession)
     held_out = remainder("doc_id", 3) == 1
     langs, sliced, usual = learn(docs.where(~held_out) if training is None else training, min_share, min_ratio)
-    model = spark.sparkContext.broadcast(sliced)
+    model = spark.sparkContext.broadcast(vars(sliced))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bucket_digest, language_bloom, mixing, simhash, url_reputation
+from . import ans, bucket_digest, language_bloom, mixing, simhash, url_reputation
 from .common import table
 
 # Rules of the URL contract: verdict, host, path.
@@ -45,12 +45,20 @@ def op8_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_ans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as coded files and read back."""
+    import public_tokenizers
+
+    return ans.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op4_source_mix": op4_source_mix,
     "op5_language_bloom": op5_language_bloom,
     "op6_bucket_digest": op6_bucket_digest,
     "op8_simhash_trees": op8_simhash_trees,
+    "op10_ans_output": op10_ans_output,
 }
 
 ORACLES: dict[str, str] = {}
