@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, bucket_digest, language_bloom, mixing, simhash, url_reputation
+from . import ans, backoff_lm, bucket_digest, language_bloom, mixing, simhash, url_reputation
 from .common import table
 
 # Rules of the URL contract: verdict, host, path.
@@ -45,6 +45,11 @@ def op8_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return backoff_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_ans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as coded files and read back."""
     import public_tokenizers
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_language_bloom": op5_language_bloom,
     "op6_bucket_digest": op6_bucket_digest,
     "op8_simhash_trees": op8_simhash_trees,
+    "op9_backoff_lm": op9_backoff_lm,
     "op10_ans_output": op10_ans_output,
 }
 
