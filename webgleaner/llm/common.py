@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,3 +124,33 @@ def range_of(value: Column, splits: list[int]) -> Column:
 def worker_store() -> dict:
     """A dict that lives as long as the Python worker: functions shipped by value keep nothing between tasks."""
     return sys.modules.setdefault("_training_text_store", types.ModuleType("_training_text_store")).__dict__
+
+
+def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.Table]:
+    """Runs of at least ``least`` rows with equal keys, from rows sorted by them; holds one group and one batch."""
+    held: list[pa.Table] = []
+    held_key = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        columns = [rows[k].to_numpy() for k in keys]
+        change = np.zeros(len(rows), dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change).tolist()
+        bounds = [0, *starts, len(rows)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            inner = 0 < a and b < len(rows)
+            if inner:
+                if b - a >= least:
+                    yield rows.slice(a, b - a)
+                continue
+            key = tuple(c[a] for c in columns)
+            if held and key != held_key:
+                if sum(map(len, held)) >= least:
+                    yield pa.concat_tables(held)
+                held = []
+            held, held_key = [*held, rows.slice(a, b - a)], key
+    if held and sum(map(len, held)) >= least:
+        yield pa.concat_tables(held)

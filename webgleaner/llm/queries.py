@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, backoff_lm, bucket_digest, deobfuscate, language_bloom, mixing, simhash, url_reputation
+from . import ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, url_reputation
 from .common import table
 
 # Rules of the URL contract: verdict, host, path.
@@ -24,6 +24,11 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
 
 
+def op2_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of earlier ones."""
+    return factor_dedup.factor_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return deobfuscate.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,6 +69,7 @@ def op10_ans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_factor_dedup": op2_factor_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_source_mix": op4_source_mix,
     "op5_language_bloom": op5_language_bloom,
