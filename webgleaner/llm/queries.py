@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, url_reputation
+from . import ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, templates, url_reputation
 from .common import table
 
 # Rules of the URL contract: verdict, host, path.
@@ -50,6 +50,11 @@ def op6_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return templates.template_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_language_bloom": op5_language_bloom,
     "op6_bucket_digest": op6_bucket_digest,
+    "op7_benchmark_templates": op7_benchmark_templates,
     "op8_simhash_trees": op8_simhash_trees,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_ans_output": op10_ans_output,
