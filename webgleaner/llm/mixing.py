@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count
+from .common import lookup, stage, word_count
 
 # Documents per bucket of the key order, about; only one bucket per source is sorted.
 BUCKET_ROWS = 20_000
@@ -109,7 +109,8 @@ def mix(
         .groupBy("source")
         .agg(F.min(F.struct("_bucket", "_before")).alias("_edge"))
     )
-    plan = _same_source(targets, edges)
+    # One row per source, at most MAX_SOURCES: broadcast, so that a hot source's rows stay where they are.
+    plan = F.broadcast(stage(_same_source(targets, edges), "mix-plan"))
     facts = _same_source(rows, plan).withColumns({"_at": F.col("_edge._bucket"), "_start": F.col("_edge._before")})
     whole = facts.where("_at is null or _bucket != _at").withColumn(
         "_more", F.coalesce((F.col("_bucket") < F.col("_at")).cast("int"), F.lit(0))
@@ -140,9 +141,11 @@ def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
-    """The documents of the mix with their columns, each as often as it is taken (empty ones at most as often)."""
+    """The documents of the mix with their columns, a row for each time one is taken; rows with one id go together."""
     columns = docs.columns
-    taken = mix(docs, labels, **options).select(F.col("doc_id").alias("_id"), "copies").distinct()
-    joined = docs.join(taken.groupBy("_id").agg(F.max("copies").alias("copies")), docs["doc_id"].eqNullSafe(F.col("_id")))
-    repeated = joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = mix(docs, labels, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = lookup(stage(taken.where("_copies > 0"), "mix-taken"))
+    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    )
     return repeated.select(*(docs[c] for c in columns))

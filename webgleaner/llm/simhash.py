@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, groups_of, prepared, stage
+from .common import by_value, groups_of, lookup, prepared, stage
 from .components import components
 
 by_value(__name__)
@@ -340,6 +340,6 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     groups = near_copy_groups(docs, **options)
-    gone = groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stage(groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    kept = docs.join(lookup(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     return kept.select(*(kept[c] for c in columns))
