@@ -275,7 +275,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_labelled: int) -> Dat
     n = known.count()
     if n > most_labelled:
         known = stage(known.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < (most_labelled << 20) // n), "labelled")
-    return docs.join(lookup(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    return docs.select("doc_id", "text").join(lookup(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most_labelled: int = 50_000) -> tuple[np.ndarray, dict[str, float], float]:

@@ -142,10 +142,10 @@ def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """The documents of the mix with their columns, a row for each time one is taken; rows with one id go together."""
-    columns = docs.columns
     taken = mix(docs, labels, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     taken = lookup(stage(taken.where("_copies > 0"), "mix-taken"))
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    whole = docs.select(F.struct("*").alias("_row"))
+    repeated = whole.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("_id"))).select(
+        "_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))
     )
-    return repeated.select(*(docs[c] for c in columns))
+    return repeated.select("_row.*")

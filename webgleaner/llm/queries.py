@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, templates, url_reputation
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 # Rules of the URL contract: verdict, host, path.
 URL_RULES = (
@@ -84,5 +85,3 @@ QUERIES = {
     "op9_backoff_lm": op9_backoff_lm,
     "op10_ans_output": op10_ans_output,
 }
-
-ORACLES: dict[str, str] = {}

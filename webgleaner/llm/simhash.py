@@ -338,8 +338,7 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows with the same id are copies of each other only if their texts are; the first of equal rows stays.
     """
-    columns = docs.columns
     groups = near_copy_groups(docs, **options)
     gone = stage(groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    kept = docs.join(lookup(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.select(*(kept[c] for c in columns))
+    whole = docs.select(F.struct("*").alias("_row"))
+    return whole.join(lookup(gone), F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")

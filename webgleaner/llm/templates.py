@@ -138,7 +138,7 @@ def _consistent(checked: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows whose id has a match; all columns stay, and rows without id or text."""
-    columns = docs.columns
     gone = template_matches(docs, benchmark, window).select(F.col("doc_id").alias("_gone")).distinct()
     gone = lookup(stage(gone.where("_gone is not null"), "contaminated"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*(docs[c] for c in columns))
+    whole = docs.select(F.struct("*").alias("_row"))
+    return whole.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
