@@ -31,7 +31,7 @@ by_value(__name__)
 
 END = "\n"  # no word contains it
 DISCOUNT = 0.75
-HELD_COUNTS = 1_000_000
+HELD_COUNTS = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:

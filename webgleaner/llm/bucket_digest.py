@@ -126,7 +126,7 @@ def digest_rows(schema: pa.Schema):
             edited.append((text[: len(text) - half] + following[:half]).encode("utf-8", "surrogatepass"))
         head, codes = digests([*own, after])
         edit = digests(edited)
-        mine, following = (head[:-1], codes[:-1]), (head[1:], codes[1:])
+        mine, following = (head[:-1], codes[:-1]), (head[1:].copy(), codes[1:].copy())
         # Rows of one call follow each other except where a bucket ends: there the next text is not the next row's.
         for i in range(len(rows) - 1):
             if rows[i][2] is not rows[i + 1][1]:

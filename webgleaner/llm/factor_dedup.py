@@ -74,6 +74,11 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 # --- windows and anchors ----------------------------------------------------------------------------------------------
 
 
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
 def finished(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -143,7 +148,7 @@ def document_runs(texts: list[bytes], length: int, hasher: Hasher) -> Iterator[t
     def done() -> tuple[np.ndarray, ...]:
         part, first, last, anchor = window_runs(parts, length, hasher)
         doc = np.array(owner, dtype=np.int64)[part]
-        begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        begins = run_starts(doc)
         counts = np.diff(np.append(begins, len(doc)))
         number = np.arange(len(doc)) - np.repeat(begins, counts)
         if len(doc):
@@ -179,7 +184,7 @@ def anchor_rows(length: int, buckets: int, schema: pa.Schema):
         doc, number, anchor = (np.concatenate(c) for c in zip(*runs, strict=True))
         order = np.lexsort((number, doc, anchor))
         doc, number, anchor = doc[order], number[order], anchor[order]
-        begins = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        begins = run_starts(anchor)
         counts = np.diff(np.append(begins, len(anchor)))
         shared = doc[begins] != doc[begins + counts - 1]
         of_shared = np.repeat(shared, counts)
@@ -263,9 +268,9 @@ def hit_rows(least_hot: int, schema: pa.Schema):
             key, doc, number, shared = (np.concatenate(x) for x in (keys, docs, numbers, flags))
             order = np.lexsort((doc, key))
             key, doc, number, shared = key[order], doc[order], number[order], shared[order]
-            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            begins = run_starts(key)
             counts = np.diff(np.append(begins, len(key)))
-            recurs = doc[begins] != doc[begins + counts - 1] if len(key) else np.zeros(0, bool)
+            recurs = doc[begins] != doc[begins + counts - 1]
             if len(key):
                 recurs |= np.add.reduceat(shared.astype(np.int64), begins) > 0
             picked = np.repeat(recurs, counts) & ~shared
@@ -273,9 +278,9 @@ def hit_rows(least_hot: int, schema: pa.Schema):
             hit_doc, hit_number = (np.concatenate(x) for x in zip(*hits, strict=True))
             order = np.argsort(hit_doc, kind="stable")
             hit_doc, hit_number = hit_doc[order], hit_number[order].astype("<u4")
-            begins_doc = np.flatnonzero(np.append(True, hit_doc[1:] != hit_doc[:-1])) if len(hit_doc) else []
-            hot = key[begins[counts > least_hot]].astype(np.int64).tolist() if len(key) else []
-            spans = np.append(begins_doc, len(hit_doc)).astype(np.int64).tolist()
+            begins_doc = run_starts(hit_doc)
+            hot = key[begins[counts > least_hot]].astype(np.int64).tolist()
+            spans = np.append(begins_doc, len(hit_doc)).tolist()
             lists = [hit_number[a:b].tobytes() for a, b in zip(spans[:-1], spans[1:], strict=True)]
             n = len(lists)
             yield pa.RecordBatch.from_arrays(
@@ -483,7 +488,7 @@ def span_rows(length: int, schema: pa.Schema):
             by_doc = np.argsort(span_doc, kind="stable")
             span_doc = span_doc[by_doc]
             pairs = np.stack([span_start[by_doc], span_end[by_doc]], axis=1).astype("<u8")
-            begins = np.flatnonzero(np.append(True, span_doc[1:] != span_doc[:-1])).tolist()
+            begins = run_starts(span_doc).tolist()
             lists = [pairs[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(pairs)], strict=True)]
             owners = span_doc[begins]
             yield pa.RecordBatch.from_arrays(
