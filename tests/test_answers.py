@@ -80,7 +80,11 @@ def test_attempts(spark):
     df = spark.createDataFrame(rows, "k string, attempt int, raw string, error string")
     got = {r.k: (r.extraction, r.error) for r in E.resolve_answers(df, ["k"], schema).collect()}
     failed = (None, "Extraction failed")
-    assert got == {"first": ('{"a": 1}', None), "retry": ('{"a": 2}', None), "twice": ('{"b": 2}', None), "prose": ("y" * 2000, None), "down": failed, "null": failed}
+    assert got == {"first": ('{"a": 1}', None), "retry": ('{"a": 2}', None), "twice": ('{"b": 2}', None), "prose": ("y" * 3000, None), "down": failed, "null": failed}
+    cut = {r.k: r.extraction for r in E.resolve_answers(df, ["k"], schema, attempts=1, raw_chars=3).collect()}
+    assert cut["retry"] == "sor" and cut["prose"] == "x" and cut["null"] == '{"b": 1}'
+    # A lone attempt on record counts.
+    assert E.resolve_answers(df.where("k = 'prose' and attempt = 1"), ["k"], schema).first().extraction == "x"
 
 
 def model(threads):
@@ -111,7 +115,9 @@ def test_extract_per_page(spark):
 
 def test_extract_combined_numbers_pages_by_place(spark):
     rows = [(1, 0, "u0", "find <system>it", "c" * 8001, None), (1, 1, "u1", "find <system>it", "", "gone"), (1, 2, "u2", "find <system>it", "", None)]
-    usable, failed = E.scrape_failures(spark.createDataFrame(rows, PAGES), "combined")
+    whole, _ = E.scrape_failures(spark.createDataFrame(rows, PAGES), "combined")
+    assert "c" * 8001 in E.combined_prompts(whole).first().user_prompt
+    usable, failed = E.scrape_failures(spark.createDataFrame(rows, PAGES), "combined", page_chars=8000)
     prompt = E.combined_prompts(usable, {"type": "object"}).first()
     marker = "\n\n[... content truncated ...]"
     assert prompt.url == "u0 || u2" and failed.count() == 1
@@ -124,7 +130,8 @@ def test_extract_combined_numbers_pages_by_place(spark):
 def test_summaries(spark):
     docs = spark.createDataFrame([(1, 0, "doc one"), (1, 1, ""), (1, 2, "d" * 4001)], "request_id int, position int, text string")
     requests = spark.createDataFrame([(1, "my query", " "), (2, "q", None)], "request_id int, query string, summary_prompt string")
-    one = summary_prompts(docs, requests).where("request_id = 1").first()
+    assert "d" * 4001 in summary_prompts(docs, requests).where("request_id = 1").first().user_prompt
+    one = summary_prompts(docs, requests, doc_chars=4000).where("request_id = 1").first()
     assert one.system_prompt == P.SUMMARY_SYSTEM and one.document_count == 2 and one.chars_before == 4008 and one.chars_after == 4034
     assert one.user_prompt.startswith("Pertanyaan riset: my query\n\nBerikut adalah 2 dokumen hasil scraping:\n\n<user_input>\n### Sumber #1\ndoc one\n\n---\n\n### Sumber #2\nddd")
     out = {r.request_id: r.ai_summary for r in run_summaries(docs, requests, lambda ts: (" ok \n" for _ in ts)).collect()}

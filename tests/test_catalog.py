@@ -1,18 +1,16 @@
-"""The registered queries against their SQL counterparts on the smallest data set.
-
-Queries that run the same job as another one are left to ``check.py`` unless CATALOG=full.
-"""
-
-import os
+"""The registered queries against their SQL counterparts on the smallest data set."""
 
 import duckdb
 import pytest
 
 from check import TABLES, rows_of
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import EXTRA_QUERIES, entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
+# The training-text queries have tests of their own.
+OWN = sorted(set(queries()) - set(EXTRA_QUERIES))
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -22,13 +20,7 @@ def con():
     return con
 
 
-TWINS = set() if os.environ.get("CATALOG") == "full" else set(
-    "a8_map_summary g5_map_by_method j6_sitemap_exclusion u1_map_union k2_first_urls w1_bfs_position k3_page_cap u4_visited_urls a7_crawl_summary "
-    "r1_research_summary s12_research_envelope s10_history_list r5_history_query g2_crawl l9_extract_combined c3_force_render".split()
-)
-
-
-@pytest.mark.parametrize("name", sorted(set(queries()) - TWINS))
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_sql(spark, con, name):
     df = queries()[name](spark, SF)
     got = rows_of(df.columns, df.collect())

@@ -25,6 +25,10 @@ def entry(name, kind="crawl", seconds=0, **other):
     return (name, kind, base["query_or_url"], base["params"], base["status"], base["result"], base["result_size"], base["error"], at(seconds))
 
 
+def one_day(history):
+    return history.where("id = 'task-1'").first().dt
+
+
 def test_history(spark):
     path = work_folder(spark, "test-history")
     rows = [entry("task-1", "research"), entry("c1", seconds=1), entry("c2", seconds=2), entry("c3", seconds=2), entry("m1", "map", -40 * 86400), entry(None, "map", 5, params="{}", query_or_url="x" * 3000)]
@@ -37,7 +41,9 @@ def test_history(spark):
     assert [r.id for r in H.list_entries(history, "crawl", limit=1, offset=1).collect()] == ["c3"]
     assert H.list_entries(history, None, limit=0).count() == 1 and H.list_entries(history).count() == 6
     new = history.where("kind = 'map' AND id <> 'm1'").first()
-    assert len(new.id) == 36 and new.params is None and len(new.query_or_url) == 2048
+    assert len(new.id) == 36 and new.params is None and len(new.query_or_url) == 3000
+    assert H.history_rows(spark.createDataFrame(rows[-1:], ENTRY), max_query_chars=2048).first().query_or_url == "x" * 2048
+    assert H.get_entry(history, "task-1", "research", str(one_day(history))).count() == 1 and H.get_entry(history, "task-1", "map").count() == 0
     assert H.purge(history, 30, work_folder(spark, "kept"), F.lit(at(0))) == 1
     assert H.retained(history, 0).count() == 6
 

@@ -1,5 +1,6 @@
 """Domain rules, private addresses, request rows."""
 
+import ipaddress
 import json
 
 import pytest
@@ -13,16 +14,16 @@ from webgleaner.operators import validate as V
 @pytest.mark.parametrize(
     "url,allow,block,expected",
     [
-        ("https://evil.com/x", ["evil.com"], ["evil.com"], False),
-        ("https://blog.example.com", ["example.com"], [], True),
-        ("https://blog.example.com", [], ["example.com"], False),
-        ("https://anything.org", [], [], True),
-        ("https://other.com", ["example.com"], [], False),
-        ("https://notexample.com", ["example.com"], [], False),
-        ("https://a.b.c.example.com/page", [], ["example.com"], False),
-        ("https://WWW.Example.COM", [], [".example.com"], False),
-        ("not a url", [], [], False),
-        ("", [], [], False),
+        ("http://shop.lake.org/a?b", ["lake.org"], ["shop.lake.org"], False),
+        ("http://shop.lake.org/a?b", ["shop.lake.org"], ["boat.lake.org"], True),
+        ("http://lake.org", ["shop.lake.org"], [], False),
+        ("http://deep.er.shop.lake.org:81/", ["lake.org"], [], True),
+        ("http://snowlake.org", [], ["lake.org"], True),
+        ("http://snowlake.org", ["lake.org"], [], False),
+        ("http://Shop.LAKE.org", [], [".lake.org"], False),
+        ("http://hill.net", [], [], True),
+        ("lake.org", [], [], False),
+        ("", [], ["lake.org"], False),
     ],
 )
 def test_domain_rules_literal_and_joined(spark, url, allow, block, expected):
@@ -33,15 +34,23 @@ def test_domain_rules_literal_and_joined(spark, url, allow, block, expected):
 
 
 def test_merge_rules():
-    assert H.merge_rules({"a.com"}, ["B.com", " c.com ", "", "  "]) == ["a.com", "b.com", "c.com"]
-    assert H.merge_rules(["a.com"], []) == ["a.com"]
+    assert H.merge_rules({"lake.org"}, ["", "\tHill.net", " ", "SEA.io "]) == ["lake.org", "hill.net", "sea.io"]
+    assert H.merge_rules([], ["lake.org", "lake.org"]) == ["lake.org"]
 
 
-PRIVATE = (
-    "127.0.0.1 127.5.5.5 10.0.0.1 172.16.0.1 192.168.1.1 169.254.169.254 ::1 [::1] fc00::1 fe80::1 localhost "
-    "metadata.google.internal fdff:ffff::1 fe80::1%eth0 ff02::1 0:0:0:0:0:0:0:1 0.0.0.0 100.64.0.1 198.19.255.255 224.0.0.1"
-).split() + [""]
-PUBLIC = "8.8.8.8 1.1.1.1 172.32.0.1 100.128.0.1 2001:db8::1 example.com 10.0.0.256 010.0.0.1 fe00::1 1:2 ::ffff:10.0.0.1 10.0.0.1.example.com".split()
+# The ends of every blocked range, and what lies just outside of it.
+NETWORKS = [ipaddress.ip_network(n) for n in H.BLOCKED_NETWORKS]
+PRIVATE = [str(n[i]) for n in NETWORKS for i in (0, -1)] + list(H.BLOCKED_HOSTS) + ["", "fe9a::2%en0", "0:0:0:0:0:0:0:1"]
+
+
+def outside(network):
+    kind = ipaddress.IPv4Address if network.version == 4 else ipaddress.IPv6Address
+    around = [int(network[0]) - 1, int(network[-1]) + 1]
+    near = [kind(n) for n in around if 0 <= n < 1 << kind(0).max_prefixlen]
+    return [str(a) for a in near if not any(a in n for n in NETWORKS)]
+
+
+PUBLIC = [a for n in NETWORKS for a in outside(n)] + "lake.org 10.3.4.256 010.3.4.5 3:4 ::ffff:10.3.4.5 10.3.4.5.lake.org".split()
 
 
 def test_private_hosts(spark):

@@ -81,10 +81,17 @@ def test_hot_keys_keep_all_rows(spark):
     right = spark.range(2500).selectExpr("id AS k", "id * 2 AS v").unionByName(spark.createDataFrame([(0, -1)], "k bigint, v bigint"))
     for how in ("inner", "left"):
         plain = left.join(right, "k", how).select("id", "k", "v")
-        spread = scale.spread_join(left, right, ["k"], how, hot_rows=100).select("id", "k", "v")
+        spread = scale.spread_join(left, right, ["k"], how).select("id", "k", "v")
         assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, spread.collect()), key=repr)
 
 
+def test_small_side_is_broadcast_whatever_the_size_of_the_other(spark):
+    left = spark.range(3_000_000).selectExpr("id", "id % 3 AS k")
+    right = scale.small_or_whole(spark.range(2).selectExpr("id AS k", "id AS v"))
+    plan = scale.spread_join(left, right, ["k"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_running_totals_and_numbers_by_bucket(spark):
     df = spark.range(2000).selectExpr("id % 3 AS g", "id * 7919 % 2003 AS t", "id % 5 AS v")
     got = scale.running_totals(df, ["g"], F.floor(F.col("t") / 50), [F.col("t")], {"s": F.col("v")})

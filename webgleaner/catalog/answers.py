@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import prompts as P
 from ..operators import extraction as E
-from ..operators.summary import run_summaries, summary_prompts
+from ..operators.summary import numbered_documents, ordered_texts, run_summaries, summary_prompts
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -45,7 +45,7 @@ def _research_documents(spark, sf):
 
 _SUMMARY = f"""d AS (SELECT doc_id // 20 AS request_id, doc_id, text, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i
  FROM documents WHERE doc_id % 10 <> 3 AND text <> ''),
-t AS (SELECT *, CASE WHEN length(text) > 4000 THEN concat(substr(text, 1, 4000), {NL}, {NL}, '[... konten dipotong ...]') ELSE text END AS short FROM d),
+t AS (SELECT *, text AS short FROM d),
 g AS (SELECT request_id, count(*) AS n, sum(length(text)) AS before, sum(length(short)) AS after,
  string_agg(concat('### Sumber #', i, {NL}, short), concat({NL}, {NL}, '---', {NL}, {NL}) ORDER BY i) AS joined FROM t GROUP BY 1),
 prompt AS (SELECT request_id, n, before, after, concat('Pertanyaan riset: query ', request_id, {NL}, {NL}, 'Berikut adalah ', n, ' dokumen hasil scraping:',
@@ -68,10 +68,8 @@ ORACLES["l2_summary_prompt"] = f"""WITH {_SUMMARY} SELECT request_id, CAST(n AS
 
 
 def a11_ordered_text(spark, sf):
-    """The documents of each request joined in order (at most twenty)."""
-    docs = _research_documents(spark, sf)
-    joined = docs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("p"))
-    return joined.select("request_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).alias("text_md5"))
+    """The documents of each request joined in order."""
+    return ordered_texts(_research_documents(spark, sf)).select("request_id", F.md5("text").alias("text_md5"))
 
 
 ORACLES["a11_ordered_text"] = f"""SELECT doc_id // 20 AS request_id, md5(string_agg(CASE WHEN doc_id % 10 = 3 THEN '' ELSE text END, {NL} || {NL} ORDER BY doc_id)) AS text_md5
@@ -80,10 +78,8 @@ ORACLES["a11_ordered_text"] = f"""SELECT doc_id // 20 AS request_id, md5(string_
 
 def w2_document_number(spark, sf):
     """1-based place of the usable documents of each request; empty ones take no number."""
-    docs = _research_documents(spark, sf).where("text <> ''")
-    numbered = docs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", F.char_length("text").alias("chars")))).alias("d"))
-    rows = numbered.select("request_id", F.posexplode("d").alias("i", "d"))
-    return rows.select("request_id", (F.col("i") + 1).alias("number"), F.col("d.position").alias("position"), F.col("d.chars").alias("chars"))
+    numbered = numbered_documents(_research_documents(spark, sf))
+    return numbered.select("request_id", F.col("number").cast("int").alias("number"), "position", F.char_length("text").alias("chars"))
 
 
 ORACLES["w2_document_number"] = f"""WITH {_SUMMARY} SELECT request_id, CAST(i AS INTEGER) AS number, CAST(doc_id % 20 AS INTEGER) AS position,
@@ -115,7 +111,7 @@ def _extract_pages(spark, sf):
 
 _PAGES = f"""p AS (SELECT doc_id // 20 AS request_id, CAST(doc_id % 20 AS INTEGER) AS position, doc_id, concat('https://d', doc_id, '.example.com/') AS url,
  CASE doc_id % 11 WHEN 6 THEN '  ' ELSE text END AS body FROM documents WHERE doc_id % 11 <> 5),
-c AS (SELECT *, CASE WHEN length(body) > 8000 THEN concat(substr(body, 1, 8000), {NL}, {NL}, '[... content truncated ...]') ELSE body END AS content FROM p)"""
+c AS (SELECT *, body AS content FROM p)"""
 _TAIL = f"""{NL}, '---', {NL}, {NL}, 'Extraction request:', {NL}, '<user_input>find all', request_id, ' prices</user_input>'"""
 
 
@@ -170,9 +166,9 @@ def l6_answer_attempts(spark, sf):
 
 
 ORACLES["l6_answer_attempts"] = """WITH e AS (SELECT event_id // 2 AS item, event_id % 2 AS second, event_type, CASE event_type WHEN 'click' THEN props WHEN 'signup' THEN '{"j": 1}'
- WHEN 'view' THEN concat('sorry ', repeat('z', 1994)) WHEN 'purchase' THEN 'null' END AS v FROM events),
-p AS (SELECT item, max(CASE WHEN second = 0 AND event_type = 'click' THEN v END) AS good, max(CASE WHEN second = 1 THEN v END) AS final,
- max(CASE WHEN second = 1 THEN event_type END) AS kind, bool_or(second = 0 AND event_type = 'click') AS has_good FROM e GROUP BY 1),
+ WHEN 'view' THEN concat('sorry ', repeat('z', 3000)) WHEN 'purchase' THEN 'null' END AS v FROM events),
+p AS (SELECT item, max(CASE WHEN second = 0 AND event_type = 'click' THEN v END) AS good, arg_max({'v': v, 'kind': event_type}, second).v AS final,
+ arg_max(event_type, second) AS kind, bool_or(second = 0 AND event_type = 'click') AS has_good FROM e GROUP BY 1),
 r AS (SELECT item, CASE WHEN has_good THEN good WHEN final <> 'null' THEN final END AS v,
  has_good OR coalesce(kind IN ('click', 'signup', 'purchase'), false) AS is_json FROM p)
 SELECT item, coalesce(md5(v), '') AS extraction_md5, is_json, CASE WHEN v IS NULL THEN 'Extraction failed' ELSE '' END AS error FROM r"""
@@ -295,8 +291,10 @@ UNION ALL SELECT DISTINCT -1 - doc_id // 20, '{P.SUMMARY_EMPTY}' FROM documents"
 
 
 def l11_chat_threads(spark, sf):
-    """First and retry threads for every user turn of the conversations."""
-    df = table(spark, sf, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", "text", "CASE WHEN turn % 4 = 2 THEN 'bad answer' END AS previous")
+    """First threads of user turns, and retry threads of those that the assistant answered next."""
+    turns = table(spark, sf, "conversations")
+    answers = turns.where("role = 'assistant'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.min("text").alias("previous"))
+    df = turns.where("role = 'user'").select("conv_id", "turn", "text").join(answers, ["conv_id", "turn"], "left")
     thread = P.chat_thread(F.lit("sys"), F.col("text"), F.col("previous"))
     roles = F.from_json(thread, "array<struct<role string, content string>>")
     return df.select(
@@ -306,8 +304,10 @@ def l11_chat_threads(spark, sf):
 
 
 _RETRY = P.EXTRACT_RETRY.replace("'", "''")
-ORACLES["l11_chat_threads"] = f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'system,user,assistant,user' ELSE 'system,user' END AS roles,
- md5(CASE WHEN turn % 4 = 2 THEN concat('sys|', text, '|bad answer|', '{_RETRY}') ELSE concat('sys|', text) END) AS content_md5 FROM conversations WHERE role = 'user'"""
+ORACLES["l11_chat_threads"] = f"""WITH a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS previous FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN previous <> '' THEN 'system,user,assistant,user' ELSE 'system,user' END AS roles,
+ md5(CASE WHEN previous <> '' THEN concat('sys|', text, '|', previous, '|', '{_RETRY}') ELSE concat('sys|', text) END) AS content_md5
+ FROM conversations LEFT JOIN a USING (conv_id, turn) WHERE role = 'user'"""
 
 for _f in (
     l1_sanitize, l2_summary_prompt, a11_ordered_text, w2_document_number, l3_page_prompt, l4_combined_prompt, l5_recover_json, l6_answer_attempts,

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions.text import cap, is_blank, strip
+from ..functions.prompts import SUMMARY_DOC_CHARS
+from ..operators.links import MAX_BODY_BYTES
+from ..operators.summary import char_totals
 from ..operators import fetching as G
 from ..sources.readers import read_pages
 from .common import pages, table
@@ -144,26 +147,29 @@ UNION ALL SELECT page_id, 'playwright-failed', 1, 0, 'Playwright returned empty
 
 
 def c5_pdf_text(spark, sf):
-    """Conversation turns as PDF pages, ten numbers apart, so that the page cap cuts some."""
+    """Conversation turns as PDF pages, ten numbers apart, all of them read."""
     df = table(spark, sf, "conversations").selectExpr(
         "concat('conv-', conv_id) AS doc_url", "turn * 10 AS page_no", "CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE text END AS text"
     )
     out = G.assemble_pdf(df)
-    return out.select("doc_url", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("error", F.lit("")).alias("error"))
+    return out.select("doc_url", "truncated", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 ORACLES["c5_pdf_text"] = """WITH p AS (SELECT concat('conv-', conv_id) AS doc_url, turn, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE text END AS t
- FROM conversations WHERE turn * 10 < 50),
+ FROM conversations),
 j AS (SELECT doc_url, trim(string_agg(t, chr(10) || chr(10) ORDER BY turn), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM p GROUP BY 1)
-SELECT doc_url, md5(t) AS text_md5, CASE WHEN t = '' THEN 'PDF has no extractable text (likely scanned image)' ELSE '' END AS error FROM j"""
+SELECT doc_url, false AS truncated, md5(t) AS text_md5, CASE WHEN t = '' THEN 'PDF has no extractable text (likely scanned image)' ELSE '' END AS error FROM j"""
 
 
 def k4_pdf_page_cap(spark, sf):
-    df = table(spark, sf, "conversations").selectExpr("conv_id", "turn * 10 AS page_no")
-    return df.where(F.col("page_no") < C.PDF_MAX_PAGES).groupBy("conv_id").agg(F.count(F.lit(1)).alias("pages"))
+    """The usual page limit, and which documents it cuts."""
+    df = table(spark, sf, "conversations").selectExpr("conv_id AS doc_url", "turn * 10 AS page_no", "'p' AS text")
+    out = G.assemble_pdf(df, C.PDF_MAX_PAGES)
+    pages_read = F.coalesce(F.regexp_count("text", F.lit("p")), F.lit(0)).cast("bigint")
+    return out.select(F.col("doc_url").alias("conv_id"), pages_read.alias("pages"), "truncated")
 
 
-ORACLES["k4_pdf_page_cap"] = "SELECT conv_id, count(*) AS pages FROM conversations WHERE turn * 10 < 50 GROUP BY 1"
+ORACLES["k4_pdf_page_cap"] = "SELECT conv_id, count(*) FILTER (turn * 10 < 50) AS pages, bool_or(turn * 10 >= 50) AS truncated FROM conversations GROUP BY 1"
 
 
 def c6_content_length(spark, sf):
@@ -195,11 +201,7 @@ ORACLES["k5_text_caps"] = """SELECT doc_id,
 
 
 def a10_char_totals(spark, sf):
-    df = table(spark, sf, "documents")
-    short = cap(F.col("text"), 4000, "\n\n[... konten dipotong ...]")
-    return df.groupBy("source").agg(
-        F.sum(F.char_length("text")).alias("chars_before"), F.sum(F.char_length(short)).alias("chars_after")
-    )
+    return char_totals(table(spark, sf, "documents"), ["source"], SUMMARY_DOC_CHARS)
 
 
 ORACLES["a10_char_totals"] = """SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars_before,
@@ -208,7 +210,7 @@ ORACLES["a10_char_totals"] = """SELECT source, CAST(sum(length(text)) AS BIGINT)
 
 def s15_oversize(spark, sf):
     df = table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 2 = 0 THEN n_chars * 20000 END AS declared", "n_chars * 30000 AS size")
-    return df.select("doc_id", F.coalesce(G.size_error(F.col("declared"), F.col("size")), F.lit("")).alias("error"))
+    return df.select("doc_id", F.coalesce(G.size_error(F.col("declared"), F.col("size"), MAX_BODY_BYTES), F.lit("")).alias("error"))
 
 
 ORACLES["s15_oversize"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n_chars * 20000 > 52428800

@@ -53,7 +53,7 @@ def r1_research_summary(spark, sf):
 
 
 ORACLES["r1_research_summary"] = f"""WITH {_RESEARCH}, g AS (SELECT request_id, count(*) AS total_results, count(*) FILTER (ok) AS success_count,
- sum(CASE WHEN ok THEN CASE WHEN length(md) > 4000 THEN 4027 ELSE length(md) END END) AS chars, count(*) FILTER (ok AND md <> '') AS n FROM r GROUP BY 1)
+ sum(CASE WHEN ok THEN length(md) END) AS chars, count(*) FILTER (ok AND md <> '') AS n FROM r GROUP BY 1)
 SELECT request_id, total_results, success_count, CASE WHEN n = 0 THEN 'Tidak ada konten yang dapat diringkas (semua scraping gagal).' ELSE concat(
  CAST(length(concat('Pertanyaan riset: query ', request_id, 'xxBerikut adalah ', n, ' dokumen hasil scraping:xx<user_input>xx</user_input>xxBuatlah ringkasan sintesis berdasarkan dokumen-dokumen di atas.'))
  + chars + n * 13 + length(array_to_string(range(1, n + 1), '')) + (n - 1) * 7 AS BIGINT), ' chars') END AS ai_summary FROM g"""

@@ -136,12 +136,12 @@ SELECT seed_id, {_NODE.format('k')} AS url, depth, rank FROM v3"""
 
 def w1_bfs_position(spark, sf):
     """Place of every URL in the traversal of all sites together, without page limits that bite."""
-    seeds = _seeds(spark, sf, "max_urls").withColumn("max_urls", F.lit(5000)).withColumn("max_depth", F.lit(2))
+    seeds = _seeds(spark, sf, "max_urls").withColumn("max_urls", F.lit(2147483647)).withColumn("max_depth", F.lit(2))
     order = T.traverse(seeds, T.child_table(_graph(spark, sf)))
     return order.groupBy("url").agg(F.min("rank").alias("best_rank"), F.count(F.lit(1)).alias("sites"))
 
 
-ORACLES["w1_bfs_position"] = f"""WITH {_GRAPH}, {_levels(2).replace('s_suppkey % 4 AS max_depth', '2 AS max_depth').replace('s_suppkey % 17 + 1 AS cap', '5000 AS cap')}
+ORACLES["w1_bfs_position"] = f"""WITH {_GRAPH}, {_levels(2).replace('s_suppkey % 4 AS max_depth', '2 AS max_depth').replace('s_suppkey % 17 + 1 AS cap', '2147483647 AS cap')}
 SELECT {_NODE.format('k')} AS url, min(rank) AS best_rank, count(*) AS sites FROM v2 GROUP BY 1"""
 
 
@@ -216,7 +216,7 @@ def j5_frontier_lookup(spark, sf):
     frontier = table(spark, sf, "orders").selectExpr(
         "o_orderkey", f"CASE WHEN o_orderkey % 3 = 0 THEN {_NODE.format('7')} ELSE {_NODE.format('o_custkey')} END AS url"
     )
-    found = spread_join(frontier, T.child_table(_graph(spark, sf)), ["url"], "left", hot_rows=1000)
+    found = spread_join(frontier, T.child_table(_graph(spark, sf)), ["url"], "left")
     return found.select("o_orderkey", "url", F.coalesce(F.size("children"), F.lit(0)).alias("children"))
 
 

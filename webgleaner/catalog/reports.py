@@ -41,7 +41,7 @@ def _shown(df):
 
 
 _SHOWN_SQL = f"""SELECT concat('task-', event_id) AS id, {_KIND} AS kind,
- md5(CASE WHEN event_id % 50 = 0 THEN repeat('q', 2048) ELSE concat('query ', user_id) END) AS query_md5,
+ md5(CASE WHEN event_id % 50 = 0 THEN repeat('q', 3000) ELSE concat('query ', user_id) END) AS query_md5,
  CASE WHEN event_id % 3 = 1 THEN '{{"max_results":5}}' ELSE '' END AS params, CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END AS status,
  {_RESULT_SQL} AS result, CAST(event_id % 30 AS INTEGER) AS result_size, CASE WHEN event_type = 'error' THEN 'boom' ELSE '' END AS error,
  epoch_us(ts) AS created_us FROM events"""

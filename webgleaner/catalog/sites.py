@@ -242,23 +242,23 @@ ORACLES["g5_map_by_method"] = f"""WITH {_MAPPED} SELECT CASE page_id % 3 WHEN 0
 
 def j6_sitemap_exclusion(spark, sf):
     """Traversed URLs of the hybrid requests: none is in the sitemap, except the root."""
-    requests = _map_requests(spark, sf).withColumn("discovery_method", F.lit("hybrid")).withColumn("max_urls", F.lit(5000))
+    requests = _map_requests(spark, sf).withColumn("discovery_method", F.lit("hybrid")).withColumn("max_urls", F.lit(2147483647))
     urls, _ = run_discovery(requests, _fetched(spark, sf), site_files(spark, sf))
     return urls.where(F.col("source") == "crawl").select("seed_id", "url", "depth")
 
 
-ORACLES["j6_sitemap_exclusion"] = f"""WITH {_MAPPED.replace('page_id % 3 AS method', '2 AS method').replace('page_id % 8 + 1 AS cap', '5000 AS cap')}
+ORACLES["j6_sitemap_exclusion"] = f"""WITH {_MAPPED.replace('page_id % 3 AS method', '2 AS method').replace('page_id % 8 + 1 AS cap', '2147483647 AS cap')}
 SELECT page_id AS seed_id, url, depth FROM capped WHERE source = 'crawl'"""
 
 
 def u1_map_union(spark, sf):
     """Both sources in one table, duplicates kept."""
-    requests = _map_requests(spark, sf).withColumn("discovery_method", F.lit("hybrid")).withColumn("max_urls", F.lit(5000))
+    requests = _map_requests(spark, sf).withColumn("discovery_method", F.lit("hybrid")).withColumn("max_urls", F.lit(2147483647))
     urls, _ = run_discovery(requests, _fetched(spark, sf), site_files(spark, sf))
     return urls.groupBy("seed_id").agg(F.count(F.lit(1)).alias("urls"), F.max("rank").alias("last_rank"))
 
 
-ORACLES["u1_map_union"] = f"""WITH {_MAPPED.replace('page_id % 3 AS method', '2 AS method').replace('page_id % 8 + 1 AS cap', '5000 AS cap')}
+ORACLES["u1_map_union"] = f"""WITH {_MAPPED.replace('page_id % 3 AS method', '2 AS method').replace('page_id % 8 + 1 AS cap', '2147483647 AS cap')}
 SELECT page_id AS seed_id, count(*) AS urls, max(rank) AS last_rank FROM capped GROUP BY 1"""
 
 

@@ -61,14 +61,14 @@ def script_hits(text: Column) -> Column:
     return hits
 
 
-def is_script_noise(text: Column) -> Column:
-    """True when a text of 200 characters or more is mostly script code."""
+def is_script_noise(text: Column, min_chars: int = MIN_CONTENT_CHARS) -> Column:
+    """True when a text of ``min_chars`` characters or more is mostly script code."""
     size = F.char_length(text)
     dense = script_hits(text) / (size / F.lit(1000.0)) > SCRIPT_DENSITY
     lines = size - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     marks = size - F.char_length(F.replace(text, F.lit(";"), F.lit("")))
     packed = (lines < SCRIPT_MAX_LINES) & (marks > SCRIPT_MIN_SEMICOLONS)
-    return F.when(size < MIN_CONTENT_CHARS, False).otherwise(F.coalesce(dense | packed, F.lit(False)))
+    return F.when(size < min_chars, False).otherwise(F.coalesce(dense | packed, F.lit(False)))
 
 
 def looks_like_pdf(url: Column, content_type: Column, body: Column) -> Column:
@@ -103,11 +103,11 @@ def html_title(html: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _main_markup(live: Column) -> Column:
+def _main_markup(live: Column, min_chars: int) -> Column:
     """First article or main element when it holds enough text, else the whole body."""
     main = F.regexp_extract(live, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
     words = F.trim(F.regexp_replace(main, _TAG, ""), F.lit(" \t\r\n\f"))
-    return F.when(F.char_length(words) >= MIN_MAIN_CHARS, main).otherwise(live)
+    return F.when(F.char_length(words) >= min_chars, main).otherwise(live)
 
 
 def _markup_to_markdown(markup: Column) -> Column:
@@ -142,15 +142,17 @@ def _markup_to_markdown(markup: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
-def with_markdown(pages: DataFrame, html: str = "html", name: str = "markdown") -> DataFrame:
-    """Add the Markdown of the main content of ``html``.
+def with_markdown(
+    pages: DataFrame, html: str = "html", name: str = "markdown", min_main_chars: int = MIN_MAIN_CHARS
+) -> DataFrame:
+    """Add the Markdown of the main content of ``html``: the first article or main element with ``min_main_chars``, else the body.
 
     Comments, script, style, head, nav, footer and iframe go with their content. The steps are
     separate projections because a result is used more than once and must not be computed twice.
     """
     return (
         pages.withColumn("_live", F.regexp_replace(F.col(html), _DROPPED, ""))
-        .withColumn("_markup", _main_markup(F.col("_live")))
+        .withColumn("_markup", _main_markup(F.col("_live"), min_main_chars))
         .withColumn(name, F.coalesce(_markup_to_markdown(F.col("_markup")), F.lit("")))
         .drop("_live", "_markup")
     )

@@ -81,12 +81,14 @@ def sanitize(text: Column) -> Column:
     return F.regexp_replace(text, BOUNDARY_TAG, "")
 
 
-def summary_document(text: Column) -> Column:
-    return cap(text, SUMMARY_DOC_CHARS, SUMMARY_MARKER)
+def summary_document(text: Column, max_chars: int | None = None) -> Column:
+    """Text of a document in a summary prompt; with ``max_chars`` (usual: SUMMARY_DOC_CHARS) cut and marked."""
+    return text if max_chars is None else cap(text, max_chars, SUMMARY_MARKER)
 
 
-def extract_content(text: Column) -> Column:
-    return cap(text, EXTRACT_CHARS, EXTRACT_MARKER)
+def extract_content(text: Column, max_chars: int | None = None) -> Column:
+    """Text of a page in an extraction prompt; with ``max_chars`` (usual: EXTRACT_CHARS) cut and marked."""
+    return text if max_chars is None else cap(text, max_chars, EXTRACT_MARKER)
 
 
 def summary_prompt(documents: Column, query: Column) -> Column:

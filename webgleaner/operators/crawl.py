@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url, url_host, url_path
@@ -66,9 +66,7 @@ def traverse(
     URL hides links found on the same or a later page. One job per level; every level is written to
     the shared folder, so the plan stays short and lost executors cost one level at most.
     """
-    spark = seeds.sparkSession
-    folder = folder or work_folder(spark, "traverse")
-    children = materialize(children, f"{folder}/children")
+    folder = folder or work_folder(seeds.sparkSession, "traverse")
     start = (
         seeds.select(
             "seed_id",
@@ -82,15 +80,17 @@ def traverse(
         .where("url <> '' AND max_urls >= 1")
     )
     level = materialize(start, f"{folder}/level-0")
-    limits = level.agg(F.max("max_depth"), F.max("max_urls"), F.count(F.lit(1))).first()
-    deepest, most, rows = limits[0] or 0, limits[1] or 0, limits[2]
+    deepest = level.agg(F.max("max_depth")).first()[0] or 0
     levels, finals = [level], []
+    # Without an open seed no page is parsed for its links.
+    if deepest > 0:
+        children = materialize(children, f"{folder}/children")
     for depth in range(1, deepest + 1):
         open_rows = level.where((F.col("depth") < F.col("max_depth")) & (F.col("level_end") < F.col("max_urls")))
-        pages = spread_join(open_rows, children, ["url"], "inner", left_rows=rows)
+        pages = spread_join(open_rows, children, ["url"])
         if redirects:
-            reached = spread_join(level, children.select("url", "resolved_url"), ["url"], "inner", left_rows=rows)
-            finals.append(reached.select("seed_id", F.col("resolved_url").alias("url"), "rank"))
+            landed = spread_join(level, children.select("url", "resolved_url"), ["url"])
+            finals.append(landed.select("seed_id", F.col("resolved_url").alias("url"), "rank"))
         found = pages.select(
             "seed_id",
             F.col("rank").alias("parent_rank"),
@@ -119,24 +119,18 @@ def traverse(
             F.floor(F.col("parent_rank") / F.lit(_PARENTS_PER_BUCKET)),
             [F.col("parent_rank"), F.col("pos")],
             "n",
-            at_most=most,
         )
         ranked = numbered.withColumn("rank", F.col("level_end") + F.col("n")).where(
             F.col("rank") <= F.col("max_urls")
         )
-        following = ranked.select(
-            "seed_id",
-            "url",
-            F.lit(depth).alias("depth"),
-            "rank",
-            F.max("rank").over(Window.partitionBy("seed_id")).alias("level_end"),
-            "max_urls",
-            "max_depth",
+        reached = materialize(
+            ranked.select("seed_id", "url", F.lit(depth).alias("depth"), "rank", "max_urls", "max_depth"), f"{folder}/level-{depth}"
         )
-        level = materialize(following, f"{folder}/level-{depth}")
-        rows = level.count()
-        if rows == 0:
+        if reached.isEmpty():
             break
+        # One row per seed: a map-side maximum, joined back.
+        ends = reached.groupBy("seed_id").agg(F.max("rank").alias("level_end"))
+        level = materialize(reached.join(ends, "seed_id"), f"{folder}/open-{depth}")
         levels.append(level)
     return _union([t.select("seed_id", "url", "depth", "rank") for t in levels])
 

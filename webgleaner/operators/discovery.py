@@ -58,7 +58,9 @@ def run_discovery(
         [F.col("trail"), F.col("pos")],
         "rank",
     )
-    listed = materialize(numbered.select(*_COLUMNS, F.col("rank").cast("bigint").alias("rank")), f"{folder}/listed")
+    # What is over a request's limit is not kept: such a request is full, and is not traversed.
+    limited = numbered.join(seeds.select("seed_id", "max_urls"), "seed_id").where("rank <= max_urls")
+    listed = materialize(limited.select(*_COLUMNS, F.col("rank").cast("bigint").alias("rank")), f"{folder}/listed")
     counts = listed.groupBy("seed_id").agg(F.max("rank").alias("listed"))
     limits = seeds.join(counts, "seed_id", "left").select(
         "seed_id", "url", "discovery_method", "max_urls", "max_depth", F.coalesce("listed", F.lit(0)).alias("listed")
@@ -70,6 +72,9 @@ def run_discovery(
         "seed_id", "url", "max_depth", (F.col("max_urls") - F.col("listed")).alias("max_urls"), "listed"
     )
     open_seeds = materialize(open_seeds, f"{folder}/open")
+    if open_seeds.isEmpty():
+        # Every request is served by its sitemap: no page is parsed.
+        return listed, located
     walked = discover(
         open_seeds.drop("listed"), fetched, strip_query, child_ok, listed.select("seed_id", "url")
     )
@@ -77,9 +82,7 @@ def run_discovery(
     tail = walked.join(open_seeds.select("seed_id", "listed"), "seed_id").select(
         *_COLUMNS, (F.col("rank") + F.col("listed")).alias("rank")
     )
-    caps = limits.select("seed_id", "max_urls")
-    urls = listed.unionByName(tail).join(caps, "seed_id").where(F.col("rank") <= F.col("max_urls")).drop("max_urls")
-    return urls, located
+    return listed.unionByName(tail), located
 
 
 def map_summary(requests: DataFrame, urls: DataFrame, located: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import RAW_ANSWER_CHARS, matches_schema, recover_json
+from ..functions.answers import matches_schema, recover_json
 from ..functions.prompts import (
     EXTRACT_URL_SEPARATOR,
     chat_thread,
@@ -19,10 +19,6 @@ from ..functions.python_workers import call_model
 from ..functions.text import cap, is_blank
 from ..session import materialize, work_folder
 
-# Attempts per extraction (one retry).
-EXTRACT_ATTEMPTS = 2
-
-
 def with_model(prompts: DataFrame, fn: Callable[[list[str]], Iterable]) -> DataFrame:
     """Call a batch model function on ``messages`` (JSON text), partition by partition.
 
@@ -33,9 +29,12 @@ def with_model(prompts: DataFrame, fn: Callable[[list[str]], Iterable]) -> DataF
     return prompts.mapInPandas(call_model(fn), f"{types}, raw string, error string")
 
 
-def scrape_failures(pages: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
-    """Pages with usable content and failure rows (request_id, position, url, error)."""
-    content = pages.withColumn("content", extract_content(F.col("markdown_content")))
+def scrape_failures(pages: DataFrame, mode: str, page_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages with usable content and failure rows (request_id, position, url, error).
+
+    Pages are whole unless ``page_chars`` cuts them.
+    """
+    content = pages.withColumn("content", extract_content(F.col("markdown_content"), page_chars))
     reason = F.col("error")
     if mode == "per_page":
         reason = F.coalesce(reason, F.when(is_blank(F.col("content")), "Empty content"))
@@ -61,8 +60,8 @@ def page_prompts(pages: DataFrame, schema: dict | None = None) -> DataFrame:
 def combined_prompts(pages: DataFrame, schema: dict | None = None) -> DataFrame:
     """One prompt per request over its pages in order: (request_id, url, user_prompt).
 
-    The page number is the place in the request, failed pages included. A request holds at most 20
-    pages of at most 8000 characters, so the group is bounded.
+    The page number is the place in the request, failed pages included. A prompt is one value, so a request's pages
+    meet in one row by nature.
     """
     part = F.struct(
         "position",
@@ -98,22 +97,23 @@ def grade_answers(answers: DataFrame, schema: dict | None = None) -> DataFrame:
 
 
 def resolve_answers(
-    answers: DataFrame, keys: list[str], schema: dict | None = None, attempts: int = EXTRACT_ATTEMPTS
+    answers: DataFrame, keys: list[str], schema: dict | None = None, attempts: int | None = None, raw_chars: int | None = None
 ) -> DataFrame:
     """Final extraction per key from numbered attempts (raw, error).
 
-    The first accepted answer wins. Otherwise the last allowed attempt counts: JSON that fails the
-    schema is still returned, text without JSON is cut to 2000 characters, an error gives NULL. JSON
-    ``null`` counts as failed. Aggregates only.
+    The first accepted answer wins. Otherwise the last attempt on record counts: JSON that fails the
+    schema is still returned, text without JSON too, an error gives NULL. JSON ``null`` counts as failed. ``attempts``
+    leaves out later ones and ``raw_chars`` cuts text without JSON (usual: RAW_ANSWER_CHARS); by default all counts. Aggregates only.
     """
-    graded = grade_answers(answers.where(F.col("attempt") <= attempts), schema)
+    allowed = answers if attempts is None else answers.where(F.col("attempt") <= attempts)
+    graded = grade_answers(allowed, schema)
     value = F.when(F.col("error").isNotNull(), F.lit(None)).otherwise(
-        F.coalesce("json_text", cap(F.col("raw"), RAW_ANSWER_CHARS))
+        F.coalesce("json_text", F.col("raw") if raw_chars is None else cap(F.col("raw"), raw_chars))
     )
     row = F.struct("attempt", value.alias("value"), F.col("json_text").isNotNull().alias("is_json"))
     picked = graded.groupBy(*keys).agg(
         F.min(F.when(F.col("accepted"), row)).alias("good"),
-        F.max(F.when(F.col("attempt") == attempts, row)).alias("final"),
+        F.max(row).alias("final"),
     )
     chosen = F.coalesce("good", "final")
     null_json = chosen["is_json"] & (chosen["value"] == "null")
@@ -145,7 +145,8 @@ def ask(prompts: DataFrame, fn: Callable, keys: list[str], schema: dict | None =
     """
     folder = work_folder(prompts.sparkSession, "answers")
     system = F.lit(extract_system(bool(schema)))
-    first_in = prompts.select(*keys, "user_prompt", chat_thread(system, F.col("user_prompt")).alias("messages"))
+    prompts = materialize(prompts, f"{folder}/prompts")
+    first_in = prompts.select(*keys, chat_thread(system, F.col("user_prompt")).alias("messages"))
     first = materialize(with_model(first_in, fn).select(*keys, "raw", "error"), f"{folder}/first")
     retry = retry_prompts(prompts, first, keys, schema)
     second_in = retry.select(
@@ -170,21 +171,28 @@ def outcome(failed: Column, total: Column) -> Column:
 
 
 def run_extraction(
-    pages: DataFrame, mode: str, fn: Callable, schema: dict | None = None
+    pages: DataFrame,
+    mode: str,
+    fn: Callable,
+    schema: dict | None = None,
+    page_chars: int | None = None,
+    raw_chars: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Extraction rows and one outcome row per request.
 
+    ``page_chars`` cuts page texts and ``raw_chars`` answers without JSON; by default both are whole.
+
     ``pages`` has request_id, position, url, prompt, markdown_content, error. ``failed`` counts pages
     without content only; a failed model call does not change the outcome.
     """
-    usable, failures = scrape_failures(pages, mode)
+    usable, failures = scrape_failures(pages, mode, page_chars)
     if mode == "combined":
         prompts, keys = combined_prompts(usable, schema), ["request_id", "url"]
-        answers = resolve_answers(ask(prompts, fn, keys, schema), keys, schema)
+        answers = resolve_answers(ask(prompts, fn, keys, schema), keys, schema, raw_chars=raw_chars)
         rows = answers.withColumn("position", F.lit(2147483647))
     else:
         prompts, keys = page_prompts(usable, schema), ["request_id", "position", "url"]
-        rows = resolve_answers(ask(prompts, fn, keys, schema), keys, schema)
+        rows = resolve_answers(ask(prompts, fn, keys, schema), keys, schema, raw_chars=raw_chars)
     columns = ["request_id", "position", "url", "extraction", "error"]
     failed = failures.withColumn("extraction", F.lit(None).cast("string"))
     data = failed.select(*columns).unionByName(rows.select(*columns))

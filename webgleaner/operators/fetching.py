@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import (
     MIN_CONTENT_CHARS,
-    PDF_MAX_PAGES,
     is_script_noise,
     looks_like_pdf,
     with_markdown,
 )
 from ..session import materialize, work_folder
-from .links import MAX_BODY_BYTES
-from .scale import spread_join
+from .scale import small_or_whole, spread_join
 
 # First delay between two attempts in seconds.
 RETRY_BASE_DELAY = 1.0
@@ -47,25 +45,34 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def size_error(declared: Column, body_bytes: Column) -> Column:
-    """Error text for a body over the limit, declared or actual; NULL when it fits."""
-    limit = F.lit(MAX_BODY_BYTES)
+def size_error(declared: Column, body_bytes: Column, max_bytes: int | None = None) -> Column:
+    """Error text for a body over ``max_bytes``, declared or actual; NULL when it fits or without a limit."""
+    if max_bytes is None:
+        return F.lit(None).cast("string")
+    limit = F.lit(max_bytes)
     return F.when(
         declared > limit,
-        F.concat(F.lit("Response too large ("), declared.cast("string"), F.lit(f" bytes > {MAX_BODY_BYTES} max)")),
-    ).when(body_bytes > limit, f"Response too large (>{MAX_BODY_BYTES} bytes)")
+        F.concat(F.lit("Response too large ("), declared.cast("string"), F.lit(f" bytes > {max_bytes} max)")),
+    ).when(body_bytes > limit, f"Response too large (>{max_bytes} bytes)")
 
 
-def assemble_pdf(pdf_pages: DataFrame) -> DataFrame:
-    """Text per document: the first 50 pages in order; NULL text with an error when it is empty."""
-    kept = pdf_pages.where(F.col("page_no") < PDF_MAX_PAGES)
-    parts = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
-    joined = kept.groupBy("doc_url").agg(parts.alias("parts"))
+def assemble_pdf(pdf_pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Text per document in page order: (doc_url, text, error, truncated).
+
+    NULL text with an error when it is empty. With ``max_pages`` (usual: PDF_MAX_PAGES) only the first pages count and
+    ``truncated`` tells where some were left out; by default all pages count. A document is one value, so its pages meet in one row by nature.
+    """
+    inside = F.lit(True) if max_pages is None else F.col("page_no") < max_pages
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
+    joined = pdf_pages.groupBy("doc_url").agg(
+        F.array_sort(F.collect_list(F.when(inside, page))).alias("parts"), F.max(~inside).alias("truncated")
+    )
     text = F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"), F.lit(" \t\r\n\f"))
-    return joined.select("doc_url", text.alias("_text")).select(
+    return joined.select("doc_url", "truncated", text.alias("_text")).select(
         "doc_url",
         F.when(F.col("_text") != "", F.col("_text")).alias("text"),
         F.when(F.col("_text") == "", "PDF has no extractable text (likely scanned image)").alias("error"),
+        "truncated",
     )
 
 
@@ -89,17 +96,27 @@ def _with_columns(responses: DataFrame) -> DataFrame:
     )
 
 
-def scrape(responses: DataFrame, force_js: Column | None = None, keep_html: bool = False) -> DataFrame:
+def scrape(
+    responses: DataFrame,
+    force_js: Column | None = None,
+    keep_html: bool = False,
+    max_bytes: int | None = None,
+    min_content_chars: int = MIN_CONTENT_CHARS,
+) -> DataFrame:
     """Content per response row by the two-step rule.
 
     The static page is taken when its text is long enough and not script noise; a PDF is final; all
     else falls back to the rendered page, which is taken as it is. Adds fetch_method,
-    markdown_content, content_length, error, fell_back (and raw_html). The rendered page is converted
-    only where it is needed: its input is NULL elsewhere.
+    markdown_content, content_length, error, static_error, fell_back (and raw_html). ``static_error`` says why the static
+    fetch was not taken (its own error, HTTP status, size), also where the rendered page was. The rendered page is
+    converted only where it is needed: its input is NULL elsewhere. With ``max_bytes`` larger static bodies are not
+    taken; ``min_content_chars`` is the length from which a static text is taken.
     """
     force = F.lit(False) if force_js is None else F.coalesce(force_js, F.lit(False))
     r = _with_columns(responses)
-    too_large = size_error(F.col("content_length"), F.octet_length("html"))
+    too_large = size_error(F.col("content_length"), F.octet_length("html"), max_bytes)
+    http = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    r = r.withColumn("_static_error", F.coalesce("fetch_error", http, too_large))
     r = r.withColumn("_force", force).withColumn(
         "_static_ok",
         ~F.col("_force") & F.coalesce(F.col("status") < 400, F.lit(True)) & too_large.isNull(),
@@ -109,7 +126,7 @@ def scrape(responses: DataFrame, force_js: Column | None = None, keep_html: bool
     )
     r = r.withColumn("_static", F.when(F.col("_static_ok") & ~F.col("_pdf") & (F.col("html") != ""), F.col("html")))
     r = with_markdown(r, "_static", "_static_md")
-    good = (F.char_length("_static_md") >= MIN_CONTENT_CHARS) & ~is_script_noise(F.col("_static_md"))
+    good = (F.char_length("_static_md") >= min_content_chars) & ~is_script_noise(F.col("_static_md"), min_content_chars)
     r = r.withColumn("_static_good", F.col("_static").isNotNull() & good)
     r = r.withColumn(
         "_rendered",
@@ -143,13 +160,18 @@ def scrape(responses: DataFrame, force_js: Column | None = None, keep_html: bool
         "markdown_content",
         F.char_length("markdown_content").alias("content_length_out"),
         error.alias("error"),
+        F.when(~F.col("_force"), F.col("_static_error")).alias("static_error"),
         (~F.col("_force") & kind.startswith("playwright")).alias("fell_back"),
         *(extra if keep_html else []),
     )
 
 
 def scrape_urls(
-    urls: DataFrame, responses: DataFrame, force_js: str | None = None, folder: str | None = None
+    urls: DataFrame,
+    responses: DataFrame,
+    force_js: str | None = None,
+    folder: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One content row per requested URL, duplicates included; a URL without response has failed.
 
@@ -158,9 +180,14 @@ def scrape_urls(
     are joined back; hot URLs are split over tasks.
     """
     keys = ["url"] if force_js is None else ["url", force_js]
-    wanted = urls.select(*keys).distinct()
-    found = wanted.join(responses, "url", "left")
-    made = scrape(found, None if force_js is None else F.col(force_js)).select(
+    wanted = small_or_whole(urls.select(*keys).distinct())
+    # Only requested pages leave the scan; of several versions of one the best counts: fetched before failed, then by content.
+    version = Window.partitionBy(*keys).orderBy(
+        F.coalesce(F.col("status") >= 400, F.lit(False)), F.desc_nulls_last("status"), F.xxhash64("html", "rendered_html"), "html", "rendered_html"
+    )
+    found = _with_columns(responses).join(wanted, "url").withColumn("_version", F.row_number().over(version))
+    found = found.where("_version = 1").drop("_version")
+    made = scrape(found, None if force_js is None else F.col(force_js), max_bytes=max_bytes).select(
         *keys,
         "fetch_method",
         "markdown_content",
@@ -168,4 +195,11 @@ def scrape_urls(
         "error",
     )
     made = materialize(made, f"{folder or work_folder(urls.sparkSession, 'contents')}/pages")
-    return spread_join(urls, made, keys, "left")
+    missing = F.col("fetch_method").isNull()
+    return spread_join(urls, made, keys, "left").select(
+        *urls.columns,
+        F.coalesce("fetch_method", F.lit("playwright-failed")).alias("fetch_method"),
+        F.coalesce("markdown_content", F.lit("")).alias("markdown_content"),
+        F.coalesce("content_length", F.lit(0)).alias("content_length"),
+        F.when(missing, "Playwright returned empty HTML").otherwise(F.col("error")).alias("error"),
+    )

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import MAX_URL_CHARS
-
 # Result keys kept in compact mode, with their types.
 COMPACT_KEYS = (
     ("ai_summary", "string"),
@@ -35,13 +33,17 @@ def compact_result(result: Column) -> Column:
     return F.when(F.schema_of_variant(doc).startswith("OBJECT"), kept).otherwise(result)
 
 
-def history_rows(entries: DataFrame, full_content: bool = False) -> DataFrame:
-    """Rows as they are stored: id filled in, long queries cut, empty params NULL, result compacted."""
+def history_rows(entries: DataFrame, full_content: bool = False, max_query_chars: int | None = None) -> DataFrame:
+    """Rows as they are stored: id filled in, empty params NULL, result compacted.
+
+    ``max_query_chars`` cuts longer queries; by default they are stored whole.
+    """
+    query = F.col("query_or_url")
     result = F.col("result") if full_content else compact_result(F.col("result"))
     created = F.coalesce("created_at", F.current_timestamp())
     return entries.select(
         F.coalesce("id", F.uuid()).alias("id"),
-        F.substring("query_or_url", 1, MAX_URL_CHARS).alias("query_or_url"),
+        (query if max_query_chars is None else F.substring(query, 1, max_query_chars)).alias("query_or_url"),
         F.when(~F.trim("params").isin("", "{}", "null"), F.col("params")).alias("params"),
         "status",
         result.alias("result"),
@@ -53,21 +55,29 @@ def history_rows(entries: DataFrame, full_content: bool = False) -> DataFrame:
     )
 
 
-def append_history(entries: DataFrame, path: str, full_content: bool = False) -> None:
-    """Append rows; one file set per kind and day, hot days spread over several files."""
-    rows = history_rows(entries, full_content)
-    rows.repartition("kind", "dt", F.pmod(F.hash("id"), F.lit(16))).write.mode("append").partitionBy(
-        "kind", "dt"
-    ).parquet(path)
+def append_history(
+    entries: DataFrame, path: str, full_content: bool = False, max_query_chars: int | None = None
+) -> None:
+    """Append rows, partitioned by kind and day. Adaptive execution merges small partitions and splits those of hot days by size."""
+    rows = history_rows(entries, full_content, max_query_chars)
+    rows.hint("rebalance", "kind", "dt").write.mode("append").partitionBy("kind", "dt").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 
 
-def get_entry(history: DataFrame, entry_id: str) -> DataFrame:
-    """The entry with params and result as VARIANT beside the text; text that is not JSON stays text."""
-    return history.where(F.col("id") == entry_id).select(
+def get_entry(history: DataFrame, entry_id: str, kind: str | None = None, day: str | None = None) -> DataFrame:
+    """The entry with params and result as VARIANT beside the text; text that is not JSON stays text.
+
+    ``kind`` and ``day``, where known, prune the read to one partition.
+    """
+    found = history.where(F.col("id") == entry_id)
+    if kind is not None:
+        found = found.where(F.col("kind") == kind)
+    if day is not None:
+        found = found.where(F.col("dt") == F.to_date(F.lit(day)))
+    return found.select(
         "*",
         F.try_parse_json("params").alias("params_json"),
         F.try_parse_json("result").alias("result_json"),
@@ -75,11 +85,11 @@ def get_entry(history: DataFrame, entry_id: str) -> DataFrame:
 
 
 def list_entries(
-    history: DataFrame, kind: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0
+    history: DataFrame, kind: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0, max_limit: int = MAX_LIMIT
 ) -> DataFrame:
-    """Newest first, ties by id. The filter prunes partitions; the sort keeps limit + offset rows."""
+    """Newest first, ties by id. The filter prunes partitions; the sort keeps limit + offset rows, ``max_limit`` at most."""
     rows = history if not kind else history.where(F.col("kind") == kind)
-    size, start = max(1, min(limit, MAX_LIMIT)), max(0, offset)
+    size, start = max(1, min(limit, max_limit)), max(0, offset)
     return rows.orderBy(F.desc("created_at"), F.col("id")).offset(start).limit(size)
 
 
@@ -96,5 +106,6 @@ def purge(history: DataFrame, days: int, staged_path: str, now: Column | None =
     """Write the retained rows to ``staged_path`` (to be swapped in) and return the rows removed."""
     kept = retained(history, days, now)
     kept.write.mode("errorifexists").partitionBy("kind", "dt").parquet(staged_path)
+    # Both counts come from file footers.
     left = history.sparkSession.read.schema(HISTORY_SCHEMA).parquet(staged_path).count()
     return history.count() - left

@@ -11,7 +11,7 @@ from ..functions.content import anchor_hrefs
 from ..functions.hosts import is_safe_url
 from ..functions.urls import link_target, split_url
 
-# Largest accepted body in bytes.
+# The usual limit of an accepted body in bytes, for ``max_bytes``.
 MAX_BODY_BYTES = 50 * 1024 * 1024
 
 
@@ -55,9 +55,11 @@ def link_edges(pages: DataFrame, links: str = "links", base: str = "url") -> Dat
     return pages.select(F.col(base).alias("src_url"), F.posexplode(links).alias("pos", "dst_url"))
 
 
-def fetch_error(status: Column, final_url: Column, declared: Column, size: Column) -> Column:
-    """Why a fetched page yields no links: HTTP status, unsafe redirect, size, empty body."""
-    limit = F.lit(MAX_BODY_BYTES)
+def fetch_error(
+    status: Column, final_url: Column, declared: Column, size: Column, max_bytes: int | None = None
+) -> Column:
+    """Why a fetched page yields no links: HTTP status, unsafe redirect, size (with ``max_bytes``), empty body."""
+    limit = F.lit(max_bytes).cast("long")
     return (
         F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string")))
         .when(~is_safe_url(final_url), "Redirect to internal/blocked address")
@@ -75,15 +77,18 @@ def fetched_links(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     include_subdomains: bool = False,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Links per fetched page, resolved against the final URL: (url, resolved_url, links, error).
 
+    With ``max_bytes`` larger bodies are error rows without links; by default bodies of any size are read.
+
     ``responses`` has url, final_url, status, content_length, html. After an unsafe redirect or an
     HTTP error the requested URL stays the resolved one.
     """
     final = F.coalesce(F.col("final_url"), F.col("url"))
     error = fetch_error(
-        F.col("status"), final, F.col("content_length"), F.octet_length(F.col("html"))
+        F.col("status"), final, F.col("content_length"), F.octet_length(F.col("html")), max_bytes
     )
     checked = responses.select(
         "url",

@@ -7,52 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A lookup side with at most this many rows is broadcast.
-BROADCAST_ROWS = 100_000
+from ..session import materialize, work_folder
 
-# A key with more rows than this is split over several tasks in ``spread_join``.
-HOT_ROWS = 1_000_000
+def small_or_whole(df: DataFrame) -> DataFrame:
+    """``df`` written once: Spark then knows its size and broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold``.
 
-
-def small_or_whole(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` only when its counted size is within ``max_rows``."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    Beyond that the join is a shuffle join. Nothing is counted and nothing passes through one task.
+    """
+    return materialize(df, work_folder(df.sparkSession, "lookup"))
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    left_rows: int | None = None,
-) -> DataFrame:
-    """Equi join whose hot left keys are split over several tasks.
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join whose hot left keys may be split over several tasks.
 
-    Keys with more than ``hot_rows`` left rows (there can be at most ``rows / hot_rows`` of them) get
-    a salt; the matching right rows are repeated once per salt. All rows are kept. A table of at most
-    ``hot_rows`` rows has no hot key; ``left_rows``, when known, saves the bounded count.
+    A small side of known size (see ``small_or_whole``) is broadcast: the other rows stay where they are. Otherwise both sides are shuffled
+    on the key alone and nothing is put on top of the join, so that adaptive execution splits partitions in which a hot key
+    lies (``configure`` switches that on). All rows are kept.
     """
-    on = list(on)
-    if left_rows is None:
-        # A bounded count: it stops soon after the limit.
-        left_rows = left.select(*on).limit(hot_rows + 1).count()
-    if left_rows <= hot_rows:
-        return left.join(right, on, how)
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    hot = hot.select(*on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    hot = small_or_whole(hot)
-    others = [c for c in left.columns if c not in on]
-    spread = F.xxhash64(*(F.col(c) for c in others)) if others else F.lit(0).cast("bigint")
-    salted = left.join(hot, on, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))
-    )
-    repeated = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    joined = salted.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how)
-    return joined.drop("_salt")
+    return left.join(right, list(on), how)
 
 
 def running_totals(
@@ -69,7 +41,8 @@ def running_totals(
     than one bucket of a key, or more than the bucket totals of a key.
     """
     keys = list(keys)
-    parts = df.withColumn("_bucket", bucket)
+    # Needed twice, for the rows and for the bucket totals: written once.
+    parts = materialize(df.withColumn("_bucket", bucket), work_folder(df.sparkSession, "buckets"))
     inner = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(*order)
@@ -111,13 +84,6 @@ def number_rows(
     name: str,
     at_most: int | None = None,
 ) -> DataFrame:
-    """1-based row number per key in the given order; with ``at_most`` only the first rows stay.
-
-    Small bounds use a rank filter, which Spark applies before the shuffle as well, so a task gets at
-    most ``at_most`` rows of a key from each input task. Otherwise rows are numbered by bucket.
-    """
-    if at_most is not None and at_most <= 1000:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= at_most)
+    """1-based row number per key in the given order, by bucket; with ``at_most`` only the first rows stay."""
     numbered = running_totals(df, keys, bucket, order, {name: F.lit(1)})
     return numbered if at_most is None else numbered.where(F.col(name) <= at_most)

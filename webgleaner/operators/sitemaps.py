@@ -26,7 +26,7 @@ from ..functions.urls import (
 from ..session import materialize, work_folder
 from .scale import spread_join
 
-# Largest sitemap read, in bytes; nesting levels read.
+# The usual limits, for ``max_bytes`` and ``max_levels``.
 MAX_SITEMAP_BYTES = 50 * 1024 * 1024
 MAX_INDEX_DEPTH = 3
 
@@ -100,20 +100,25 @@ def locate_sitemaps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def parse_documents(bodies: DataFrame) -> DataFrame:
-    """(url, root, urls, sitemaps) of each sitemap body; both arrays are empty for broken XML.
+def parse_documents(bodies: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(url, root, urls, sitemaps, error) of each sitemap body; both arrays are empty for broken XML.
 
     Name-space prefixes are removed first; ``urls`` counts under ``urlset`` only and ``sitemaps``
-    under ``sitemapindex`` only.
+    under ``sitemapindex`` only. With ``max_bytes`` a larger body is not parsed and ``error`` says so; by default bodies of any
+    size are.
     """
-    fits = F.octet_length("text") <= MAX_SITEMAP_BYTES
+    fits = F.lit(True) if max_bytes is None else F.octet_length("text") <= max_bytes
     text = F.regexp_replace(F.when(fits, F.col("text")), r"(</?)[\w.\-]+:", "$1")
-    parsed = bodies.select("url", root_tag(F.col("text")).alias("root"), F.from_xml(text, F.lit(_XML)).alias("_x"))
+    too_large = F.concat(F.lit("Sitemap too large ("), F.octet_length("text").cast("string"), F.lit(" bytes)"))
+    parsed = bodies.select(
+        "url", root_tag(F.col("text")).alias("root"), F.from_xml(text, F.lit(_XML)).alias("_x"), F.when(~fits, too_large).alias("error")
+    )
     return parsed.select(
         "url",
         "root",
         F.when(F.col("root") == "urlset", F.col("_x.url")).alias("urls"),
         F.when(F.col("root") == "sitemapindex", F.col("_x.sitemap")).alias("sitemaps"),
+        "error",
     )
 
 
@@ -129,7 +134,7 @@ def urlset_rows(
     ``documents`` has base_url and urls beside any key columns. Path filter and site test look at the
     resolved URL; the result shows its canonical form and the path as found.
     """
-    keys = [c for c in documents.columns if c not in ("urls", "sitemaps", "root")]
+    keys = [c for c in documents.columns if c not in ("urls", "sitemaps", "root", "error")]
 
     def row(entry: Column, target: Column, pos: Column) -> Column:
         ok = path_allowed(target["path"], include, exclude) & same_site(
@@ -164,19 +169,18 @@ def read_sitemaps(
     include_subdomains: bool = False,
     strip_query: bool = False,
     folder: str | None = None,
+    max_bytes: int | None = None,
+    max_levels: int | None = None,
 ) -> DataFrame:
-    """Entries of each seed's sitemap, nested indexes followed over three levels.
+    """Entries of each seed's sitemap, nested indexes followed to the end (a document already read is not read again).
 
     ``located`` has seed_id, base_url, sitemap_url; ``bodies`` has url, text. Result: seed_id, base_url,
     trail (place of the document in the nesting), pos, url, path, depth, source, last_modified; the
-    document order is (trail, pos). A document listed twice is read once, at its first place.
+    document order is (trail, pos). A document listed twice is read once, at its first place. Each level parses only the
+    bodies it lists. ``max_levels`` stops the nesting and ``max_bytes`` leaves larger bodies unparsed.
     """
-    spark = located.sparkSession
-    folder = folder or work_folder(spark, "sitemaps")
-    parsed = materialize(
-        parse_documents(bodies.where(is_safe_url(F.col("url")))).withColumnRenamed("url", "_doc"),
-        f"{folder}/documents",
-    )
+    folder = folder or work_folder(located.sparkSession, "sitemaps")
+    bodies = bodies.where(is_safe_url(F.col("url"))).select(F.col("url").alias("_doc"), "text")
     refs = located.where(F.col("sitemap_url").isNotNull()).select(
         "seed_id",
         "base_url",
@@ -184,8 +188,9 @@ def read_sitemaps(
         normalize_url(F.col("sitemap_url")).alias("_key"),
         F.array().cast("array<int>").alias("trail"),
     )
-    visits = []
-    for level in range(MAX_INDEX_DEPTH):
+    visits, documents = [], []
+    while max_levels is None or len(visits) < max_levels:
+        level = len(visits)
         first = refs.groupBy("seed_id", "_key").agg(F.min(F.struct("trail", "_ref", "base_url")).alias("f"))
         if visits:
             seen = reduce(DataFrame.unionByName, [v.select("seed_id", "_key") for v in visits])
@@ -194,10 +199,12 @@ def read_sitemaps(
         if level > 0 and visit.isEmpty():
             break
         visits.append(visit)
-        if level + 1 == MAX_INDEX_DEPTH:
-            break
-        indexes = parsed.where(F.col("sitemaps").isNotNull()).select("_doc", "sitemaps")
-        listed = spread_join(visit, indexes.withColumnRenamed("_doc", "_ref"), ["_ref"]).select(
+        listed_docs = visit.select(F.col("_ref").alias("_doc")).distinct()
+        found = bodies.join(listed_docs, "_doc", "left_semi").withColumnRenamed("_doc", "url")
+        parsed = materialize(parse_documents(found, max_bytes), f"{folder}/documents-{level}")
+        documents.append(parsed.where(F.col("urls").isNotNull()).select(F.col("url").alias("_ref"), "urls"))
+        indexes = parsed.where(F.col("sitemaps").isNotNull()).select(F.col("url").alias("_ref"), "sitemaps")
+        listed = spread_join(visit, indexes, ["_ref"]).select(
             "seed_id", "base_url", "trail", F.col("_ref").alias("_doc"), F.posexplode("sitemaps").alias("i", "s")
         )
         refs = (
@@ -211,9 +218,9 @@ def read_sitemaps(
                 F.array_append("trail", F.col("i")).alias("trail"),
             )
         )
-    visited = reduce(DataFrame.unionByName, visits)
-    lists = parsed.where(F.col("urls").isNotNull()).select("_doc", "urls")
-    documents = spread_join(visited, lists.withColumnRenamed("_doc", "_ref"), ["_ref"]).select(
-        "seed_id", "base_url", "trail", "urls"
-    )
-    return urlset_rows(documents, include, exclude, include_subdomains, strip_query)
+    # A level's documents meet that level's visits.
+    entries = [
+        spread_join(visit, lists, ["_ref"]).select("seed_id", "base_url", "trail", "urls")
+        for visit, lists in zip(visits, documents, strict=True)
+    ]
+    return urlset_rows(reduce(DataFrame.unionByName, entries), include, exclude, include_subdomains, strip_query)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.content import decode_body
-from ..operators.links import MAX_BODY_BYTES
 
 SEARCH_SCHEMA = "query string, results array<struct<url string, title string, content string>>"
 
@@ -22,10 +21,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw page files as (path, html); the size limit is pushed down, larger files are not opened."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BODY_BYTES)
-    return files.select("path", decode_body(F.col("content")).alias("html"))
+def read_raw_pages(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Raw page files as (path, html, error).
+
+    With ``max_bytes`` larger files are not opened (the limit is pushed down) and come as error rows from the file listing.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    none = F.lit(None).cast("string")
+    if max_bytes is None:
+        return files.select("path", decode_body(F.col("content")).alias("html"), none.alias("error"))
+    read = files.where(F.col("length") <= max_bytes).select("path", decode_body(F.col("content")).alias("html"), none.alias("error"))
+    error = F.concat(F.lit("File too large ("), F.col("length").cast("string"), F.lit(" bytes)"))
+    return read.unionByName(files.where(F.col("length") > max_bytes).select("path", none.alias("html"), error.alias("error")))
 
 
 def read_search_results(spark: SparkSession, path: str) -> DataFrame:
