@@ -60,10 +60,21 @@ def inflight(events: DataFrame) -> DataFrame:
     return latest_status(events).agg(F.count_if(F.col("status") == "processing").alias("inflight"))
 
 
+def time_bucket(rows: DataFrame, keys: list[str], most_rows: int = 500_000) -> Column:
+    """Bucket number of ``ts``, as narrow as it takes for a bucket of one key to hold about ``most_rows`` rows: an hour at most.
+
+    The width comes from the fullest hour, found by counts. It decides on the partitions only, not on the result.
+    """
+    hours = rows.groupBy(*keys, F.date_trunc("hour", "ts").alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    fullest = hours.agg(F.max("_n")).first()[0] or 1
+    micros = max(1, min(3_600_000_000, 3_600_000_000 * most_rows // fullest))
+    return F.floor(F.unix_micros("ts") / F.lit(micros))
+
+
 def inflight_over_time(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Running number of open tasks after each start (+1) or end (-1), in time order.
 
-    The running sum is taken per hour and carried over by hour totals, so no task sorts everything.
+    The running sum is taken per time bucket and carried over by bucket totals, so no task sorts everything.
     """
     steps = events.select(
         "task_id", "ts", F.when(F.col("status") == "processing", 1).otherwise(-1).alias("step")
@@ -71,7 +82,7 @@ def inflight_over_time(events: DataFrame, bucket: Column | None = None) -> DataF
     totals = running_totals(
         steps,
         ["_all"],
-        F.date_trunc("hour", "ts") if bucket is None else bucket,
+        time_bucket(steps, []) if bucket is None else bucket,
         [F.col("ts"), F.desc("step"), F.col("task_id")],
         {"open_tasks": F.col("step")},
     )
@@ -81,12 +92,12 @@ def inflight_over_time(events: DataFrame, bucket: Column | None = None) -> DataF
 def count_runs(calls: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Add the running number of successes and of failures (``nth``) per service in time order.
 
-    The counts are taken per hour and carried over, so a busy service is spread over many tasks.
+    The counts are taken per time bucket and carried over, so a busy service is spread over many tasks.
     """
     return running_totals(
         calls,
         ["service"],
-        F.date_trunc("hour", "ts") if bucket is None else bucket,
+        time_bucket(calls, ["service"]) if bucket is None else bucket,
         [F.col("ts"), F.col("call_id")],
         {"successes": F.when(F.col("ok"), 1).otherwise(0), "nth": F.when(F.col("ok"), 0).otherwise(1)},
     )
