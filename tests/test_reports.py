@@ -98,6 +98,11 @@ def test_failure_alerts_across_batches(spark):
     whole = K.failure_runs(spark.read.schema(CALLS).parquet(source), 3)
     assert got == sorted((r.service, r.tripped_at) for r in whole.collect())
     assert len(got) == 4
+    # A row older than what was counted changes nothing and is kept apart.
+    spark.createDataFrame(calls("-", "s", 1), CALLS).coalesce(1).write.mode("append").parquet(source)
+    J.failure_alerts(spark.readStream.schema(CALLS).parquet(source), out, state, threshold=3).awaitTermination()
+    assert sorted((r.service, r.tripped_at) for r in spark.read.parquet(f"{out}/alerts").collect()) == got
+    assert spark.read.parquet(f"{out}/late").count() == 1
 
 
 def test_task_states_over_batches(spark):
@@ -107,6 +112,8 @@ def test_task_states_over_batches(spark):
         J.upsert_stream(J.task_states(spark.readStream.schema(EVENTS).parquet(source)), out, state).awaitTermination()
     last = J.merge_task_states(spark.read.parquet(out))
     assert {r.task_id: (r.status, r.result) for r in last.collect()} == {"a": ("done", "R"), "b": ("error", "E")}
+    assert J.merge_task_states(spark.read.parquet(out), F.lit(at(600))).count() == 2
+    assert [r.task_id for r in J.merge_task_states(spark.read.parquet(out), F.lit(at(601))).collect()] == ["b"]
 
 
 def test_histogram_and_logs(spark):

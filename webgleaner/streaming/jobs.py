@@ -1,12 +1,12 @@
 """Page arrival, seen URLs, task state, rate windows, counters, failure runs, history.
 
-Rows that arrive behind a job's watermark are dropped.
+Aggregates leave out rows behind their watermark; failure alerts write late rows to a table of their own.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +15,7 @@ from ..operators.fetching import scrape
 from ..operators.history import history_rows
 from ..operators.links import with_links
 from ..operators.tasks import TASK_TTL_S, count_runs
+from ..session import materialize, work_folder
 
 
 def page_stream(pages: DataFrame) -> DataFrame:
@@ -46,12 +47,17 @@ def task_states(events: DataFrame, delay: str = f"{TASK_TTL_S} seconds") -> Data
     )
 
 
-def merge_task_states(updates: DataFrame) -> DataFrame:
-    """(task_id, status, result, created_at) from the updates of ``task_states``; never created tasks go."""
+def merge_task_states(updates: DataFrame, now: Column | None = None, ttl_s: int = TASK_TTL_S) -> DataFrame:
+    """(task_id, status, result, created_at) from the updates of ``task_states``; never created tasks go.
+
+    With ``now`` tasks created more than ``ttl_s`` seconds before it are expired and go too.
+    """
     days = latest_updates(updates, ["task_id", "day"])
     merged = days.groupBy("task_id").agg(
         F.max_by(F.struct("status", "result"), F.col("last_ts")).alias("last"), F.min("created_at").alias("created_at")
     )
+    if now is not None:
+        merged = merged.where(F.col("created_at") >= now - F.make_dt_interval(secs=F.lit(ttl_s)))
     return merged.where("created_at IS NOT NULL").select("task_id", "last.status", "last.result", "created_at")
 
 
@@ -86,20 +92,28 @@ def failure_alerts(
     """Write one alert each time a service reaches ``threshold`` failures in a row.
 
     ``calls``: service, ts, call_id, ok. Inside a micro-batch the runs are counted with running totals,
-    spread over time buckets; between batches a small table carries the open run per service. Alerts
-    and carried runs are written per batch number, so a repeated batch replaces its own output.
+    spread over time buckets; between batches a small table carries the open run and the last time per service. A row
+    that is older than its service's last time comes too late to change a reported run: it is written under ``late``
+    and not counted. All outputs are written per batch number, so a repeated batch replaces its own output.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         carried = _carried_runs(batch, path, batch_id)
-        counted = count_runs(batch)
+        # Written once: several outputs are made from it.
+        rows = materialize(batch, work_folder(spark, "calls"))
+        timed = rows.join(carried.select("service", "last_ts"), "service", "left").withColumn(
+            "_late", F.coalesce(F.col("ts") < F.col("last_ts"), F.lit(False))
+        )
+        timed.where("_late").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        counted = materialize(count_runs(timed.where("not _late").select(*batch.columns)), work_folder(spark, "runs"))
         failed = counted.where(~F.col("ok"))
         runs = failed.groupBy("service", "successes").agg(
             F.count(F.lit(1)).alias("failures"), F.min("nth").alias("first_nth")
         )
         # The first run of the batch continues the carried one.
         before = F.when(F.col("successes") == 0, F.coalesce("open_failures", F.lit(0))).otherwise(0)
-        runs = runs.join(carried, "service", "left").withColumn("before", before)
+        runs = runs.join(carried.select("service", "open_failures"), "service", "left").withColumn("before", before)
         tripping = runs.where(
             (F.col("before") < threshold) & (F.col("before") + F.col("failures") >= threshold)
         ).select("service", (F.col("first_nth") + threshold - 1 - F.col("before")).alias("nth"))
@@ -107,9 +121,9 @@ def failure_alerts(
             "service", F.col("ts").alias("tripped_at"), F.lit(threshold).alias("failures")
         )
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        ends = counted.groupBy("service").agg(F.max("successes").alias("successes"))
+        ends = counted.groupBy("service").agg(F.max("successes").alias("successes"), F.max("ts").alias("last_ts"))
         tails = ends.join(runs, ["service", "successes"], "left").select(
-            "service", (F.coalesce("before", F.lit(0)) + F.coalesce("failures", F.lit(0))).alias("open_failures")
+            "service", (F.coalesce("before", F.lit(0)) + F.coalesce("failures", F.lit(0))).alias("open_failures"), "last_ts"
         )
         quiet = carried.join(ends, "service", "left_anti")
         tails.unionByName(quiet).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
@@ -120,9 +134,10 @@ def failure_alerts(
 
 def _carried_runs(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
     spark = batch.sparkSession
+    schema = "service string, open_failures bigint, last_ts timestamp"
     if batch_id == 0:
-        return spark.createDataFrame([], "service string, open_failures bigint")
-    return spark.read.schema("service string, open_failures bigint").parquet(f"{path}/open/batch_id={batch_id - 1}")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/open/batch_id={batch_id - 1}")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
