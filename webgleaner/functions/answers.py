@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .text import let, strip
 
 _MARK = "\u2063end-of-answer\u2063"
-_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+# What stands between two fences; white space around it is stripped afterwards.
+_FENCE = r"(?s)`{3}(?:json)?(.*?)`{3}"
 
 # Characters of a raw answer kept as a last resort.
 RAW_ANSWER_CHARS = 2000

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import uses_netloc, uses_params, uses_relative
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,16 +22,8 @@ SKIPPED_SCHEMES = ("mailto", "tel", "javascript", "data", "ftp", "file")
 # Longest accepted URL.
 MAX_URL_CHARS = 2048
 
-# Scheme lists of the Python standard library (urllib.parse).
-_WITH_PARAMS = "|ftp|hdl|prospero|http|imap|https|shttp|rtsp|rtsps|rtspu|sip|sips|mms|sftp|tel".split("|")
-_WITH_NETLOC = (
-    "|ftp|http|gopher|nntp|telnet|imap|wais|file|mms|https|shttp|snews|prospero|rtsp|rtsps|rtspu|"
-    "rsync|svn|svn+ssh|sftp|nfs|git|git+ssh|ws|wss|itms-services"
-).split("|")
-_RELATIVE = (
-    "|ftp|http|gopher|nntp|imap|wais|file|https|shttp|mms|prospero|rtsp|rtsps|rtspu|sftp|svn|"
-    "svn+ssh|ws|wss"
-).split("|")
+# Scheme lists of the standard library; the empty scheme is in each.
+_WITH_PARAMS, _WITH_NETLOC, _RELATIVE = uses_params, uses_netloc, uses_relative
 
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 _PARAMS = r";([^/]*)\z"

@@ -36,7 +36,7 @@ _XML = "url ARRAY<STRUCT<loc STRING, lastmod STRING>>, sitemap ARRAY<STRUCT<loc
 
 def robots_sitemap(body: Column) -> Column:
     """First ``Sitemap:`` directive of a robots.txt body, ``''`` when there is none."""
-    return F.regexp_extract(body, r"(?im)^\s*Sitemap:\s*(\S+)", 1)
+    return F.regexp_extract(body, r"(?i)(?<![^\r\n])\s*sitemap:\s*(\S+)", 1)
 
 
 def root_tag(xml: Column) -> Column:
