@@ -19,18 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import running_totals
-from .common import by_value, id_ranges, lookup, prepared, range_of, restored, stage, worker_store
+from .common import by_value, give_back, id_ranges, lookup, prepared, range_of, restored, stage, worker_store
 
 by_value(__name__)
 
 MAGIC = b"rANS1\0\0\0"
 LANES = 1024
 BLOCK_TOKENS = 1 << 18
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 20
 LOW = 1 << 31  # states stay in [LOW, LOW << 32)
 HEADER = "<8sIIQQI"  # magic, scale bits, blocks, documents, tokens, checksum of the frequency table
 CHECKPOINT = "<QQIIII"  # first token, byte offset, tokens, bytes, checksum of the bytes, checksum of the ids
-KEEP_PIECES = 1_000_000
+KEEP_PIECES = 150_000
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -249,6 +249,9 @@ def write_rows(table, kind: str, schema: pa.Schema):
     """Partition function: files from rows ``_range, doc_id, ids`` in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The tokenizer and its pieces are not needed any more.
+        worker_store().clear()
+        give_back()
         freqs = restored(Frequencies, table.value)
         now, part, size, doc_ids, parts = None, 0, 0, [], []
 

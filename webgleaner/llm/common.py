@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -121,9 +123,20 @@ def range_of(value: Column, splits: list[int]) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + inside).cast("int")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages, and what they keep counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def worker_store() -> dict:
     """A dict that lives as long as the Python worker: functions shipped by value keep nothing between tasks."""
-    return sys.modules.setdefault("_training_text_store", types.ModuleType("_training_text_store")).__dict__
+    module = sys.modules.setdefault("_training_text_store", types.ModuleType("_training_text_store"))
+    return vars(module).setdefault("held", {})
 
 
 def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.Table]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, lookup, prepared, remainder, stage
+from .common import by_value, give_back, lookup, prepared, remainder, stage
 
 by_value(__name__)
 
@@ -33,7 +33,7 @@ SIZE = 64
 # Log probabilities of the channel.
 AS_IS, LOOKALIKE, REPEATED, DROPPED, BROKEN, LOST = -0.05, -1.2, -1.2, -1.0, -2.5, -9.0
 BEAM = 48
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 250_000
 
 MARK = re.compile(r"[^\W_]")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -328,5 +328,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
         for batch in batches:
             keep = [text_score(t, scores, base) < threshold for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del scores
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

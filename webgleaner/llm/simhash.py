@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, groups_of, lookup, prepared, stage
+from .common import by_value, give_back, groups_of, lookup, prepared, stage
 from .components import components
 
 by_value(__name__)
@@ -238,6 +238,7 @@ def wide_rows(width: int, schema: pa.Schema):
                 wide.append(b"".join(majority(lane(hashes, i)).to_bytes(8, "little") for i in range(LANES)))
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(wide, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
+        give_back()
 
     return run
 
