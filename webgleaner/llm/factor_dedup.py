@@ -35,10 +35,13 @@ by_value(__name__)
 
 LENGTH = 50
 ANCHOR = 16
-PART = 1 << 22  # bytes hashed at a time
-CHUNK = 1 << 25  # bytes of text whose anchors meet before they are exchanged
+PART = 1 << 19  # bytes hashed at a time
+CHUNK = 1 << 24  # bytes of text whose anchors meet before they are exchanged
 CONTEXTS = 1 << 23  # bytes of contexts that meet before they are exchanged
 MOST_HOT = 1_000_000
+# Bits of an anchor's hash that travel beside its bucket: with half a million anchors a bucket, one in 10,000 seems to recur by chance
+# alone and is exchanged for nothing.
+KEY_MASK = 0xFFFFFFFF
 HOT = 20_000
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -94,7 +97,7 @@ class Hasher:
 
     def sums(self, raw: np.ndarray) -> np.ndarray:
         if len(self.power) < len(raw) + 1:
-            size = 2 * len(raw) + 2
+            size = max(PART + 4096, len(raw) + 1)
             self.power, self.inverse = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             self.power[0] = self.inverse[0] = 1
             self.power, self.inverse = np.cumprod(self.power), np.cumprod(self.inverse)
@@ -207,7 +210,7 @@ def anchor_rows(length: int, buckets: int, schema: pa.Schema):
             if not len(pick) and not len(hit):
                 continue
             used = np.unique(np.concatenate([a_doc[pick], doc[hit]]))
-            key = np.ascontiguousarray(a_anchor[pick]).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+            key = (a_anchor[pick] & np.uint64(KEY_MASK)).astype("<u4")
             out[0].append(bucket)
             out[1].append(
                 packed(
@@ -245,7 +248,7 @@ def _steps(values: np.ndarray) -> np.ndarray:
 def hit_rows(least_hot: int, schema: pa.Schema):
     """Partition function: ``_order, anchors`` (numbers of a document's runs that recur) from anchors by bucket.
 
-    Anchors with more than ``least_hot`` occurrences are given too, as rows with ``hot``, the 40 bits of the hash and the bucket.
+    Anchors with more than ``least_hot`` occurrences are given too, as rows with ``hot``, the low bits of the hash, and the bucket.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +258,7 @@ def hit_rows(least_hot: int, schema: pa.Schema):
             hits: list[tuple[np.ndarray, np.ndarray]] = []
             for data in group["data"].to_pylist():
                 steps, key, doc, number, shared, hit_doc, hit_number = unpacked(data)
-                wide = np.zeros((len(key) // 5, 8), dtype=np.uint8)
-                wide[:, :5] = key.reshape(-1, 5)
-                keys.append(wide.reshape(-1).view(np.uint64))
+                keys.append(key)
                 docs.append(np.cumsum(doc, dtype=np.int64) + base)
                 numbers.append(np.cumsum(number, dtype=np.int64))
                 flags.append(shared)
@@ -357,7 +358,7 @@ def context_rows(length: int, buckets: int, hot: frozenset, schema: pa.Schema):
                 for k in np.flatnonzero(wanted[at] == key).tolist():
                     a, b, d, route = int(start[k]), int(last[k]), int(doc[k]), int(anchor[k])
                     text = texts[d]
-                    if hot and ((route >> 40) % buckets, route & 0xFFFFFFFFFF) in hot:
+                    if hot and ((route >> 40) % buckets, route & KEY_MASK) in hot:
                         for s in range(a, b + 1):
                             window = text[s : s + length]
                             found.append((xxhash.xxh64_intdigest(window), base + d, s, window, 1))
@@ -440,8 +441,23 @@ def previous_factors(strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def context_hashes(text: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> np.ndarray:
+    """Hashes of all windows of contexts that stand one after another, some of the contexts at a time."""
+    ends = np.cumsum(sizes)
+    out, first = [], 0
+    while first < len(sizes):
+        begin = int(ends[first] - sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + PART)))
+        windows = sizes[first:last] - length + 1
+        starts = ends[first:last] - sizes[first:last] - begin
+        at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        out.append(hasher.windows(hasher.sums(text[begin : int(ends[last - 1])]), length)[at])
+        first = last
+    return np.concatenate(out)
+
+
 def span_rows(length: int, schema: pa.Schema):
-    """Partition function: ``_order, _key, spans`` (start and end pairs) from contexts by bucket."""
+    """Partition function: covered spans ``_order, _key, start, size`` from contexts by bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -462,22 +478,24 @@ def span_rows(length: int, schema: pa.Schema):
             if len(size):
                 ends = np.cumsum(size)
                 windows = size - length + 1
-                context = np.repeat(np.arange(len(size)), windows)
-                inside = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = (ends - size)[context] + inside
+                context = np.repeat(np.arange(len(size), dtype=np.int32), windows)
                 # Only windows whose hash recurs can have a previous factor of full length.
-                hashes = hasher.windows(hasher.sums(text), length)[at]
+                hashes = context_hashes(text, size, length, hasher)
                 by_hash = np.argsort(hashes)
                 same = hashes[by_hash][1:] == hashes[by_hash][:-1]
                 again = np.zeros(len(hashes), dtype=bool)
                 again[by_hash[1:][same]] = True
                 again[by_hash[:-1][same]] = True
                 pick = np.flatnonzero(again)
+                del hashes, by_hash, same, again
                 owner = doc[context[pick]]
-                strings = np.lib.stride_tricks.sliding_window_view(text, length)[at[pick]] if len(pick) else np.zeros((0, length), np.uint8)
-                covered = pick[previous_factors(strings, order[owner]) >= length]
+                inside = pick - (np.cumsum(windows) - windows)[context[pick]]
+                at = (ends - size)[context[pick]] + inside
+                strings = np.lib.stride_tricks.sliding_window_view(text, length)[at] if len(pick) else np.zeros((0, length), np.uint8)
+                full = previous_factors(strings, order[owner]) >= length
+                covered, inside = pick[full], inside[full]
                 if len(covered):
-                    begin = start[context[covered]] + inside[covered]
+                    begin = start[context[covered]] + inside
                     new = np.append(True, (context[covered][1:] != context[covered][:-1]) | (begin[1:] != begin[:-1] + 1))
                     first = np.flatnonzero(new)
                     final = np.append(first[1:], len(begin)) - 1
@@ -485,23 +503,21 @@ def span_rows(length: int, schema: pa.Schema):
             span_doc, span_start, span_end = (np.concatenate(x) for x in zip(*spans, strict=True))
             if not len(span_doc):
                 continue
-            by_doc = np.argsort(span_doc, kind="stable")
-            span_doc = span_doc[by_doc]
-            pairs = np.stack([span_start[by_doc], span_end[by_doc]], axis=1).astype("<u8")
-            begins = run_starts(span_doc).tolist()
-            lists = [pairs[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(pairs)], strict=True)]
-            owners = span_doc[begins]
+            # Sorted, so that ids and starts compress well.
+            by_doc = np.lexsort((span_start, span_doc))
+            span_doc, span_start, span_end = span_doc[by_doc], span_start[by_doc], span_end[by_doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order[owners]), pa.array(key[owners]), pa.array(lists, pa.binary())], schema=schema
+                [pa.array(order[span_doc]), pa.array(key[span_doc]), pa.array(span_start), pa.array((span_end - span_start).astype(np.int32))],
+                schema=schema,
             )
 
     return run
 
 
-def merged_spans(pairs: list[bytes]) -> list[tuple[int, int]]:
+def merged_spans(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal covered runs."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(map(tuple, np.frombuffer(b"".join(pairs), dtype="<u8").reshape(-1, 2).astype(np.int64).tolist())):
+    for a, b in sorted(pairs):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -516,13 +532,13 @@ def with_spans(make: Callable, schema: pa.Schema):
         known, pairs = None, []
         for batch in batches:
             out: list[tuple] = []
-            for order, key, doc_id, text, spans, is_text in zip(
-                *(batch[c].to_pylist() for c in ("_order", "_key", "doc_id", "text", "spans", "_is_text")), strict=True
+            for order, key, doc_id, text, start, size in zip(
+                *(batch[c].to_pylist() for c in ("_order", "_key", "doc_id", "text", "start", "size")), strict=True
             ):
                 if (order, key) != known:
                     known, pairs = (order, key), []
-                if not is_text:
-                    pairs.append(spans)
+                if size is not None:
+                    pairs.append((start, start + size))
                 else:
                     out.append((doc_id, *make(_bytes(text), merged_spans(pairs))))
             if out:
@@ -559,8 +575,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def factor_spans(docs: DataFrame, length: int = LENGTH, bytes_per_bucket: int = 1 << 24, hot: int = HOT) -> DataFrame:
-    """Covered spans per document, not merged: ``_order, _key, spans`` (see ``_keyed``; pairs of start and end as 64-bit numbers).
+def factor_spans(docs: DataFrame, length: int = LENGTH, bytes_per_bucket: int = 1 << 23, hot: int = HOT) -> DataFrame:
+    """Covered spans, not merged: ``_order, _key, start, size`` in bytes, a row each (see ``_keyed``).
 
     A window of ``length`` bytes is covered if it also starts in a row with a smaller id, wherever it stands there. Windows are compared
     byte by byte; hashes only bring candidates together.
@@ -585,17 +601,15 @@ def factor_spans(docs: DataFrame, length: int = LENGTH, bytes_per_bucket: int =
     both = both.repartition(buckets, "_order").sortWithinPartitions("_order", F.col("anchors").isNull())
     contexts = both.mapInArrow(context_rows(length, buckets, listed, blob), "bucket int, data binary")
     contexts = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    span_schema = pa.schema([("_order", pa.int64()), ("_key", pa.int64()), ("spans", pa.binary())])
-    return stage(contexts.mapInArrow(span_rows(length, span_schema), "_order long, _key long, spans binary"), "factor-spans")
+    span_schema = pa.schema([("_order", pa.int64()), ("_key", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
+    return stage(contexts.mapInArrow(span_rows(length, span_schema), "_order long, _key long, start long, size int"), "factor-spans")
 
 
 def _with_documents(docs: DataFrame, spans: DataFrame, make: Callable, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    rows = _keyed(docs).select("*", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("_is_text"))
-    marks = spans.select(
-        "_order", "_key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "spans", F.lit(False).alias("_is_text")
-    )
+    rows = _keyed(docs).select("*", F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("size"))
+    marks = spans.select("_order", "_key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "start", "size")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.unionByName(marks).repartition(parts, "_order").sortWithinPartitions("_order", "_key", "_is_text")
+    placed = rows.unionByName(marks).repartition(parts, "_order").sortWithinPartitions("_order", "_key", F.col("size").isNull())
     schema = pa.schema([("doc_id", pa.int64()), *((n, t) for n, t, _ in fields)])
     return placed.mapInArrow(with_spans(make, schema), "doc_id long, " + ", ".join(f"{n} {t}" for n, _, t in fields))
 
