@@ -30,7 +30,7 @@ FILE_TOKENS = 1 << 20
 LOW = 1 << 31  # states stay in [LOW, LOW << 32)
 HEADER = "<8sIIQQI"  # magic, scale bits, blocks, documents, tokens, checksum of the frequency table
 CHECKPOINT = "<QQIIII"  # first token, byte offset, tokens, bytes, checksum of the bytes, checksum of the ids
-KEEP_PIECES = 150_000
+KEEP_PIECES = 600_000
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
