@@ -275,6 +275,51 @@ def test_model_beats_the_base_on_repeated_text(spark):
     assert all(r["score"] > r["base_score"] for r in got if r["held_out"])
 
 
+def scores_by_hand(rows, least=2):
+    """Interpolated absolute discounting over all n-grams seen at least ``least`` times."""
+    tokens = [(d, ["\n", *(t or "").lower().split(), "\n"]) for d, t in rows]
+    n = Counter()
+    for d, w in tokens:
+        if remainder(d, 5) != 1:
+            n.update((x,) for x in w[1:])
+            n.update(zip(w, w[1:]))
+            n.update(zip(w, w[1:], w[2:]))
+    total, kinds = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+    taken = Counter()
+    for g, c in n.items():
+        if len(g) > 1 and c >= least:
+            taken[g[:-1]] += c - backoff_lm.DISCOUNT
+
+    def p(gram):
+        if len(gram) == 1:
+            return (n[gram] + 0.5) / (total + 0.5 * (kinds + 1))
+        history = gram[:-1]
+        if n[history] < least:
+            return p(gram[1:])
+        own = (n[gram] - backoff_lm.DISCOUNT) / n[history] if n[gram] >= least else 0.0
+        return own + (1 - taken[history] / n[history]) * p(gram[1:])
+
+    return [(d, sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w)))) for d, w in tokens]
+
+
+@pytest.mark.parametrize("chunk_tokens", [1, 90, 1 << 19])
+def test_scores_against_brute_force(spark, monkeypatch, chunk_tokens):
+    """However the texts are cut into chunks."""
+    monkeypatch.setattr(backoff_lm, "CHUNK_TOKENS", chunk_tokens)
+    rows = [(i, prose(i % 11, 30) + " " + prose(100 + i, 20)) for i in range(40)] + [(None, None), (7, ""), (8, "once only")]
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = sorted((repr(d), round(s, 6)) for d, s in scores_by_hand(rows))
+    assert sorted((repr(r["doc_id"]), round(r["score"], 6)) for r in got) == expected
+
+
+def test_rare_n_grams_stay_in_a_large_corpus(spark):
+    """A text seen three times is known by its n-grams, also beside millions of other words."""
+    rows = [(i, "the of and to " * 25_000) for i in range(60)] + [(100 + i, prose(1, 60)) for i in range(4)]
+    assert sum(len(t.split()) for d, t in rows if remainder(d, 5) != 1) > 4_000_000
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert all(r["score"] > r["base_score"] + 60 for r in got if r["doc_id"] >= 100)
+
+
 # --- op10 ---
 
 

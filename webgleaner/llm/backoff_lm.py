@@ -9,29 +9,41 @@ positions take each failure step at once.
 Probabilities (interpolated absolute discounting, order 3) add up to 1 over the known words and one unknown:
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)); P(w | h) = (c(h, w) - d) / c(h) + b(h) P(w | h'), where b(h) is what the kept n-grams leave.
 
-All counts cover all training rows. Words and n-grams are kept in the automaton by their share of the corpus, so it has
-at most ``1 / share`` words and as many n-grams of each order however large the corpus is. Words below the share still count exactly:
-they have no arcs, so their part of the score is a sum of backoff weights, and the rest, log P(w), comes from a join.
+All counts cover all training rows, and every n-gram seen at least ``LEAST`` times is kept, whatever the size of the corpus: what is
+gathered grows with it, and nothing of it is broadcast. The texts are cut into chunks. Each chunk asks for the counts of the words,
+pairs and triples it holds, and then for what the kept n-grams take from their histories: keys are 64-bit hashes, a bucket of keys
+goes to one task, which adds up what all chunks say of a key and answers each of them. A key has one entry per chunk at most, so
+frequent n-grams do not gather in a task. A chunk is then scored by the automaton of its own n-grams, with the weights of the whole corpus.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, prepared, remainder, restored, stage, worker_store
+from .common import by_value, give_back, groups_of, prepared, remainder, stage
 
 by_value(__name__)
 
-END = "\n"  # no word contains it
+END = b"\n"  # no word contains it
 DISCOUNT = 0.75
-HELD_COUNTS = 500_000
+LEAST = 2  # occurrences from which an n-gram is kept
+SEED = 42
+CHUNK_TOKENS = 1 << 19
+BUCKET_KEYS = 1 << 22  # keys of one bucket, about
+
+CHUNK = "chunk long, bucket long, n_train long, kinds long, doc_ids array<long>, held array<boolean>, sizes array<long>, ids binary, keys binary, n binary"
+CHUNK_SCHEMA = pa.schema(
+    [("chunk", pa.int64()), ("bucket", pa.int64()), ("n_train", pa.int64()), ("kinds", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+     ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())]
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,61 +51,83 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(schema: pa.Schema):
-    """Partition function: ``word, n`` over ``text``, an end per text."""
+class Numbers(dict):
+    """Numbers from 1 in the order words come."""
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode("utf-8") for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema
-        )
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self) + 1
+        return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                counts.update(words_of(text))
-            counts[END.encode()] += len(batch)
-            if len(counts) > HELD_COUNTS:
-                yield rows(counts)
-                counts = Counter()
-        if counts:
-            yield rows(counts)
 
-    return run
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values as compressed planes of bytes: the upper ones are mostly zeros."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.ascontiguousarray(planes).data, 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their distances, whose upper bytes are zeros; these are left out, and the number of bytes is put first."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=9).reshape(width, -1)
+    steps = np.zeros((planes.shape[1] + 1, 8), dtype=np.uint8)
+    steps[0] = np.frombuffer(raw, dtype=np.uint8, count=8, offset=1)
+    steps[1:, :width] = planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def number_rows_of(vocabulary, name: str, schema: pa.Schema):
-    """Partition function: ``row, doc_id, held_out, ids, rare`` with word numbers (0: not kept) and the words not kept."""
+def row(**values) -> pa.RecordBatch:
+    """One row of a chunk: its texts in bucket -2, the counts of its n-grams in -1, what it asks or is answered in the others."""
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in CHUNK_SCHEMA], schema=CHUNK_SCHEMA)
+
+
+def chunk_rows(most_tokens: int):
+    """Partition function: a row per chunk from ``doc_id, held_out, text``.
+
+    Words have numbers of the chunk in ``ids``, 1 is the end; ``keys`` are the hashes of the words in the order of their numbers.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
-        if name not in store:
-            store[name] = {w.encode(): i for i, w in enumerate(vocabulary.value, start=1)}
-        numbers = store[name]
-        end = numbers.get(END.encode(), 0)
+        made, kept = 0, 0
+        numbers, parts, doc_ids, held = Numbers({END: 1}), [], [], []
+
+        def chunk() -> pa.RecordBatch:
+            keys = np.array([xxhash.xxh64_intdigest(w, SEED) for w in numbers], dtype="<u8")
+            sizes = [len(p) for p in parts]
+            n_train = sum(n for n, h in zip(sizes, held, strict=True) if not h)
+            number = (TaskContext.get().partitionId() << 32) + made
+            return row(
+                chunk=number, bucket=-2, n_train=n_train, doc_ids=doc_ids, held=held, sizes=sizes,
+                ids=packed(np.concatenate(parts)), keys=keys.tobytes(),
+            )
+
         for batch in batches:
-            all_ids, all_rare = [], []
-            for text in batch["text"].to_pylist():
-                words = words_of(text)
-                ids = [numbers.get(w, 0) for w in words]
-                all_rare.append(b" ".join([w for w, i in zip(words, ids, strict=True) if not i]).decode("utf-8"))
-                ids.append(end)
-                all_ids.append(np.array(ids, dtype="<i4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], batch["held_out"], pa.array(all_ids, pa.binary()), pa.array(all_rare, pa.string())],
-                schema=schema,
-            )
+            for doc_id, out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                parts.append(np.array([*map(numbers.__getitem__, words_of(text)), 1], dtype="<i8"))
+                doc_ids.append(doc_id)
+                held.append(out)
+                kept += len(parts[-1])
+                if kept >= most_tokens:
+                    yield chunk()
+                    made, kept = made + 1, 0
+                    numbers, parts, doc_ids, held = Numbers({END: 1}), [], [], []
+        if parts:
+            yield chunk()
+        give_back()
 
     return run
 
 
-def joined_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a batch's texts one after another, and their sizes."""
-    parts = batch["ids"].to_pylist()
-    sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-    return np.frombuffer(b"".join(parts), dtype="<i4").astype(np.int64), sizes
-
-
 def before(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The previous word of each position (the end at a text's start), the one before that (0 if none), and the starts."""
     start = np.cumsum(sizes) - sizes
@@ -114,45 +148,129 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def count_grams(end: int, pairs, schema: pa.Schema):
-    """Partition function: ``gram, n``. Pairs of kept words; with ``pairs`` (sorted), triples of which both pairs are kept.
+def mixed(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of hashes in turn, other ones for each order."""
+    h = (a + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+class Grams:
+    """The distinct words, pairs and triples of a chunk.
 
-    A pair is coded as first * 2^32 + second, a triple as (position of its first pair) * 2^32 + third.
+    A pair is coded as first * 2^32 + second, a triple as (place of its first pair) * 2^32 + third; both are sorted. ``keys`` are the
+    hashes of words, pairs and triples one after another, ``n`` (if asked for) their counts in the chunk's training texts.
     """
 
-    def rows(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        grams, where = np.unique(np.concatenate(held), return_inverse=True)
-        return grams, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    def __init__(self, chunk: dict, counted: bool = False):
+        self.ids = unpacked(chunk["ids"])
+        self.sizes = np.array(chunk["sizes"], dtype=np.int64)
+        words = np.frombuffer(chunk["keys"], dtype="<u8")
+        one, two, _ = before(self.ids, self.sizes, 1)
+        self.pairs, pair_at = np.unique((one << 32) | self.ids, return_inverse=True)
+        third = np.flatnonzero(two)
+        self.triples, triple_at = np.unique((pair_at[third - 1] << 32) | self.ids[third], return_inverse=True)
+        self.first, self.state = self.pairs >> 32, self.triples >> 32
+        pair_keys = mixed(words[self.first - 1], words[(self.pairs & 0xFFFFFFFF) - 1], 2)
+        triple_keys = mixed(pair_keys[self.state], words[(self.triples & 0xFFFFFFFF) - 1], 3)
+        self.keys = np.concatenate([words, pair_keys, triple_keys])
+        self.n_words = len(words)
+        self.ends = [len(words), len(words) + len(self.pairs)]
+        if counted:
+            train = np.repeat(~np.array(chunk["held"], dtype=bool), self.sizes)
+            self.n = np.concatenate([
+                np.bincount(self.ids[train] - 1, minlength=len(words)),
+                np.bincount(pair_at[train], minlength=len(self.pairs)),
+                np.bincount(triple_at[train[third]], minlength=len(self.triples)),
+            ])
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values of words, pairs and triples apart."""
+        return np.split(values, self.ends)
+
+
+def asked(chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per bucket of keys: slices of the keys and their values in the order of the keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order].astype(np.int64)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+    spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+    found = {
+        "chunk": [chunk] * len(spans), "bucket": [int(bucket[a]) for a, _ in spans],
+        "keys": [packed_keys(keys[a:b]) for a, b in spans], "n": [packed(n[a:b]) for a, b in spans],
+    }
+    columns = [pa.array(found.get(f.name, [None] * len(spans)), f.type) for f in CHUNK_SCHEMA]
+    yield pa.RecordBatch.from_arrays(columns, schema=CHUNK_SCHEMA)
+
+
+def answered(keys: np.ndarray, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the keys, and whether this chunk is the one that stands for the key, from the answers in the order of the buckets."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    if answers:
+        out[np.argsort(keys, kind="stable")] = np.concatenate([unpacked(a) for a in answers])
+    return out >> 1, (out & 1) > 0
+
+
+def count_requests(buckets: int):
+    """Partition function: what each chunk asks and counts of its n-grams."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = [], []
         for batch in batches:
-            ids, sizes = joined_ids(batch)
-            if not len(ids):
-                continue
-            one, two, _ = before(ids, sizes, end)
-            if pairs is None:
-                good = (one > 0) & (ids > 0)
-                grams = (one[good] << 32) | ids[good]
-            else:
-                good = (one > 0) & (ids > 0) & (two > 0)
-                first, second = (two[good] << 32) | one[good], (one[good] << 32) | ids[good]
-                kept = pairs.value
-                state = find(kept, first)
-                both = (state >= 0) & (find(kept, second) >= 0)
-                grams = (state[both] << 32) | ids[good][both]
-            found, n = np.unique(grams, return_counts=True)
-            held.append(found)
-            counts.append(n)
-            if sum(map(len, held)) > 2 * HELD_COUNTS:
-                grams, n = rows(held, counts)
-                held, counts = [grams], [n]
-                if len(grams) > HELD_COUNTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=schema)
-                    held, counts = [], []
-        if held:
-            grams, n = rows(held, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=schema)
+            for chunk in batch.to_pylist():
+                grams = Grams(chunk, counted=True)
+                yield from asked(chunk["chunk"], grams.keys, grams.n, buckets)
+        give_back()
+
+    return run
+
+
+def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partition function: sums of the values of each key, twice, and 1 more for the first chunk that asks; rows sorted by bucket and chunk."""
+    for group in groups_of(batches, ["bucket"], least=1):
+        slices = [unpacked_keys(raw) for raw in group["keys"].to_pylist()]
+        keys = np.concatenate(slices)
+        n = np.concatenate([unpacked(raw) for raw in group["n"].to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        new = np.append(True, np.diff(keys[order]) > 0)
+        sums = np.add.reduceat(n[order], np.flatnonzero(new))
+        out = np.empty(len(keys), dtype=np.int64)
+        out[order] = 2 * sums[np.cumsum(new) - 1] + new
+        edges = np.cumsum([0, *map(len, slices)]).tolist()
+        pieces = [packed(out[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found = {"chunk": group["chunk"].combine_chunks(), "bucket": group["bucket"].combine_chunks(), "n": pa.array(pieces, pa.binary())}
+        columns = [found.get(f.name, pa.nulls(len(pieces), f.type)) for f in CHUNK_SCHEMA]
+        yield pa.RecordBatch.from_arrays(columns, schema=CHUNK_SCHEMA)
+    give_back()
+
+
+def chunks_with_answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+    """Each chunk and its answers, from rows sorted by chunk and bucket."""
+    for group in groups_of(batches, ["chunk"], least=1):
+        yield group.slice(0, 1).to_pylist()[0], group["n"].slice(1).to_pylist()
+
+
+def rest_requests(buckets: int):
+    """Partition function: the counts of each chunk's n-grams, the number of words it stands for, and what it asks of histories.
+
+    The values of a history are four times what the kept n-grams after it take (count less discount), from the chunk that stands for each.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, answers in chunks_with_answers(batches):
+            grams = Grams(chunk)
+            n, stands = answered(grams.keys, answers)
+            taken = np.where(stands & (n >= LEAST), 4 * n - round(4 * DISCOUNT), 0)
+            _, pair_taken, triple_taken = grams.split(taken)
+            of_words = np.bincount(grams.first - 1, weights=pair_taken, minlength=grams.n_words)
+            of_pairs = np.bincount(grams.state, weights=triple_taken, minlength=len(grams.pairs))
+            n_pairs = grams.ends[1]
+            kept = np.flatnonzero(n[:n_pairs] >= LEAST)
+            word_n, *_ = grams.split(np.where(stands, n, 0))
+            yield row(chunk=chunk["chunk"], bucket=-1, kinds=int((word_n > 0).sum()), n=packed(n))
+            yield from asked(chunk["chunk"], grams.keys[kept], np.concatenate([of_words, of_pairs])[kept], buckets)
+        give_back()
 
     return run
 
@@ -161,10 +279,11 @@ class Automaton:
     """States: 0 the root, a word's number, then the kept pairs.
 
     Arcs of the root are ``root_log`` by word; those of other states are sorted keys (state * 2^32 + word) with log10
-    probabilities and targets. ``weight`` is the log10 weight of a state's failure arc, ``fail`` its target.
+    probabilities and targets. ``weight`` is the log10 weight of a state's failure arc, ``fail`` its target. ``taken``: what the kept
+    n-grams of the corpus take from each word and each pair, if other than those given.
     """
 
-    def __init__(self, words: np.ndarray, total: int, kinds: int, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, end: int):
+    def __init__(self, words: np.ndarray, total: int, kinds: int, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, end: int, taken: tuple[np.ndarray, np.ndarray] | None = None):
         n_words = len(words)
         self.end, self.n_words = end, n_words
         p_word = np.concatenate([[1.0], (words + 0.5) / (total + 0.5 * (kinds + 1))])
@@ -172,10 +291,12 @@ class Automaton:
         first, second = pairs >> 32, pairs & 0xFFFFFFFF
         seen = (pair_n - DISCOUNT) / count[first]
         left = 1.0 - np.bincount(first, weights=seen, minlength=n_words + 1)
+        if taken is not None:
+            left = 1.0 - np.concatenate([[0.0], taken[0]]) / np.maximum(count, 1.0)
         p_pair = seen + left[first] * p_word[second]
         state, third = triples >> 32, triples & 0xFFFFFFFF
         seen = (triple_n - DISCOUNT) / pair_n[state] if len(triples) else np.zeros(0)
-        pair_left = 1.0 - np.bincount(state, weights=seen, minlength=len(pairs))
+        pair_left = 1.0 - np.bincount(state, weights=seen, minlength=len(pairs)) if taken is None else 1.0 - taken[1] / pair_n
         below = find(pairs, (second[state] << 32) | third) if len(triples) else np.zeros(0, np.int64)
         p_triple = seen + pair_left[state] * p_pair[below] if len(triples) else np.zeros(0)
         self.root_log = np.log10(p_word)
@@ -203,7 +324,7 @@ class Automaton:
         return state
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability per text; a word that is not kept (0) adds the failure weights only."""
+        """log10 probability per text; an unknown word (0) adds the failure weights only."""
         one, _, start = before(ids, sizes, self.end)
         state = self.states(ids, one, start)
         out = np.zeros(len(ids))
@@ -224,95 +345,64 @@ class Automaton:
         return np.add.reduceat(out, start) if len(ids) else np.zeros(len(sizes))
 
 
-def score_rows(model, schema: pa.Schema):
-    """Partition function: per text what its kept words give: tokens, known ones, base and model score."""
+def score_rows(total: int, kinds: int, schema: pa.Schema):
+    """Partition function: the scores of the texts of each chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = restored(Automaton, model.value)
-        for batch in batches:
-            ids, sizes = joined_ids(batch)
-            start = np.cumsum(sizes) - sizes
-            empty = not len(ids)
-            base = np.zeros(0) if empty else np.add.reduceat(automaton.root_log[ids], start)
-            known = np.zeros(0, np.int64) if empty else np.add.reduceat((ids > 0).astype(np.int64), start)
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], batch["held_out"], pa.array(sizes), pa.array(known), pa.array(base), pa.array(automaton.score(ids, sizes))],
-                schema=schema,
-            )
+        for chunk, (counts, *answers) in chunks_with_answers(batches):
+            grams = Grams(chunk)
+            n = unpacked(counts)
+            word_n, pair_n, triple_n = grams.split(n)
+            kept = np.flatnonzero(n[: grams.ends[1]] >= LEAST)
+            taken = np.zeros(grams.ends[1])
+            taken[kept] = answered(grams.keys[kept], answers)[0] / 4
+            pairs, triples = np.flatnonzero(pair_n >= LEAST), np.flatnonzero(triple_n >= LEAST)
+            place = np.full(len(pair_n), -1, dtype=np.int64)
+            place[pairs] = np.arange(len(pairs))
+            codes = (place[grams.state[triples]] << 32) | (grams.triples[triples] & 0xFFFFFFFF)
+            automaton = Automaton(
+                word_n, total, kinds, grams.pairs[pairs], pair_n[pairs], codes, triple_n[triples], 1,
+                (taken[: grams.n_words], taken[grams.n_words :][pairs]),
+            )
+            start = np.cumsum(grams.sizes) - grams.sizes
+            base = np.add.reduceat(automaton.root_log[grams.ids], start)
+            known = np.add.reduceat((word_n[grams.ids - 1] > 0).astype(np.int64), start)
+            columns = [chunk["doc_ids"], chunk["held"], grams.sizes, known, [total] * len(start), base, automaton.score(grams.ids, grams.sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        give_back()
 
     return run
 
 
-def lm_scores(docs: DataFrame, word_share: float = 1e-6, gram_share: float = 1e-6) -> DataFrame:
+def lm_scores(docs: DataFrame) -> DataFrame:
     """Score of every row of ``docs`` (``doc_id, text``) under a model of those whose crc32 of the id modulo 5 is not 1.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Words are runs of anything but ASCII white
-    space, A-Z lower-cased; each text has one end, counted as a token (null texts have just that). Words and n-grams seen once are
+    space, A-Z lower-cased; each text has one end, counted as a token (null texts have just that). N-grams seen once are
     not kept in the automaton. Without training rows nothing is known and both scores are those of unknown words. Other columns are ignored.
     """
     spark = prepared(docs.sparkSession)
-    held_out = remainder("doc_id", 5) == 1
-    word_schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    training = docs.where(~held_out).select("text")
-    counts = training.mapInArrow(count_words(word_schema), "word string, n long")
-    counts = stage(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
-    total, kinds = facts["total"], facts["kinds"]
-    # At most 1 / word_share words.
-    kept = counts.where(F.col("n") >= max(2.0, total * word_share)).orderBy(F.desc("n"), "word").toArrow()
-    words, word_n = kept["word"].to_pylist(), kept["n"].to_numpy()
-    if END not in words:
-        words, word_n = [*words, END], np.append(word_n, [r["n"] for r in counts.where(F.col("word") == END).collect()] or [0])
-    end = words.index(END) + 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 1).alias("held_out"), "text")
+    chunks = stage(rows.mapInArrow(chunk_rows(CHUNK_TOKENS), CHUNK), "lm-chunks")
+    facts = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()
+    total, tokens = facts
+    buckets = max(4 * parts, 3 * tokens // BUCKET_KEYS)
+
+    def with_answers(texts: DataFrame, requests: DataFrame) -> DataFrame:
+        placed = requests.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+        together = texts.union(placed.mapInArrow(add_up, CHUNK))
+        return together.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+
+    counted = with_answers(chunks, chunks.mapInArrow(count_requests(buckets), CHUNK))
+    counted = stage(counted.mapInArrow(rest_requests(buckets), CHUNK), "lm-counts")
+    kinds = counted.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.string())]
-    )
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        held_out.alias("held_out"),
-        "text",
-    )
-    numbered = rows.mapInArrow(
-        number_rows_of(spark.sparkContext.broadcast(words), f"words-{uuid.uuid4().hex}", schema),
-        "row long, doc_id long, held_out boolean, ids binary, rare string",
-    )
-    numbered = stage(numbered, "word-numbers")
-    gram_schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-    least = max(2.0, total * gram_share)
-
-    def grams(pairs) -> tuple[np.ndarray, np.ndarray]:
-        """Kept n-grams, at most 1 / gram_share, sorted."""
-        found = numbered.where(~F.col("held_out")).select("ids").mapInArrow(count_grams(end, pairs, gram_schema), "gram long, n long")
-        found = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        order = np.argsort(found["gram"].to_numpy())
-        return found["gram"].to_numpy()[order], found["n"].to_numpy()[order]
-
-    pairs, pair_n = grams(None)
-    triples, triple_n = grams(spark.sparkContext.broadcast(pairs))
-    automaton = Automaton(word_n, total, kinds, pairs, pair_n, triples, triple_n, end)
-    score_schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-         ("base", pa.float64()), ("model", pa.float64())]
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
+         ("base_score", pa.float64()), ("score", pa.float64())]
     )
-    scored = numbered.select("row", "doc_id", "held_out", "ids").mapInArrow(
-        score_rows(spark.sparkContext.broadcast(vars(automaton)), score_schema),
-        "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double",
-    )
-    rare = numbered.select("row", F.explode(F.split("rare", " ")).alias("word")).where("word != ''")
-    rare = rare.join(counts, "word", "left").select("row", F.coalesce("n", F.lit(0)).alias("c"))
-    whole = total + 0.5 * (kinds + 1)
-    rare = rare.groupBy("row").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("rare_known"),
-        F.sum(F.log10((F.col("c") + 0.5) / whole)).alias("rare_log"),
-    )
-    none = F.lit(0.0)
-    return scored.join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_log", none)).alias("base_score"),
-        (F.col("model") + F.coalesce("rare_log", none)).alias("score"),
+    resolved = with_answers(chunks.union(counted.where("bucket < 0")), counted.where("bucket >= 0"))
+    return resolved.mapInArrow(
+        score_rows(total, kinds, schema),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
