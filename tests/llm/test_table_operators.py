@@ -134,6 +134,17 @@ def test_disguised_words(decoder, written, meant):
     assert meant in decoder.decode(written)
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("a stuupid man", "stupid"), ("an idiiot", "idiot"), ("mooron", "moron"), ("i  d \t i\n o  t", "idiot"), ("so i. d. i. o. t. it is", "idiot"), ("* i d i o t *", "idiot"), ("yellow", "yellow")],
+)
+def test_doubled_and_spaced_letters_are_decoded(decoder, written, meant):
+    restorer = deobfuscate.Restorer(decoder)
+    assert meant in deobfuscate.restored_words(written, restorer)
+    scores = deobfuscate.WordScores(restorer, {meant + " ": 0.9})
+    assert deobfuscate.text_score(written, scores, 0.0) > 0.8
+
+
 def test_viterbi_finds_the_best_reading(decoder, monkeypatch):
     """Against all readings of a short lattice."""
     from itertools import product

@@ -37,11 +37,12 @@ KEEP_WORDS = 250_000
 
 MARK = re.compile(r"[^\W_]")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-# Within a token: a run of three equal letters, or something else than letters between them.
-RUN = re.compile(r"([^\W\d_])\1\1")
+# Within a token: a doubled letter, or something else than letters between them.
+RUN = re.compile(r"([^\W\d_])\1")
 LETTERS = re.compile(r"^[^\W\d_]+$")
-# Three or more single characters with white space between them.
-SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+# Three or more single characters, marks attached or not, with white space between them.
+SINGLE = r"(?=\S)[^\w\s]*+\w?+[^\w\s]*+(?!\S)"
+SPACED = re.compile(rf"(?<!\S){SINGLE}(?:\s++{SINGLE}){{2,}}+")
 LONGEST = 64  # characters decoded at once; longer tokens are decoded in overlapping parts
 
 
@@ -172,6 +173,13 @@ class Restorer(dict):
         return out
 
 
+def spaced_words(stretch: str, decoder: Decoder) -> list[str]:
+    """Words of single characters with white space between them, read with the marks attached to them and without."""
+    parts = stretch.split()
+    readings = dict.fromkeys((" ".join(parts), " ".join(EDGES.sub("", p) or p for p in parts)))
+    return [w for reading in readings for w in decoder.decode(reading)]
+
+
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     """Words of a text, disguised ones restored."""
     lowered = (text or "").lower()
@@ -179,7 +187,7 @@ def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     for token in set(lowered.split()):
         words.update(restorer[token])
     for spaced in SPACED.finditer(lowered):
-        words.update(restorer.decoder.decode(spaced.group()))
+        words.update(spaced_words(spaced.group(), restorer.decoder))
     return words
 
 
@@ -237,9 +245,9 @@ def text_score(text: str | None, scores: WordScores, base: float) -> float:
     lowered = (text or "").lower()
     tokens = lowered.split()
     found = {t: s for t, s in zip(tokens, map(scores.__getitem__, tokens), strict=True) if s > 0.0}
-    if " " in lowered or "\n" in lowered:
+    if len(tokens) > 2:
         for spaced in SPACED.finditer(lowered):
-            s = scores.of_words(scores.restorer.decoder.decode(spaced.group()))
+            s = scores.of_words(spaced_words(spaced.group(), scores.restorer.decoder))
             if s > 0.0:
                 found[spaced.group()] = s
     clean = 1.0 - base
