@@ -325,6 +325,24 @@ def test_templates_of_tricky_and_empty_tables(tricky, empty, benchmark):
     assert templates.without_benchmark(tricky, benchmark.limit(0)).count() == tricky.count()
 
 
+def test_short_and_slot_dense_items(spark):
+    """Few plain words: equal values match, others do not; number words of any form are placeholders."""
+    items = [(1, "Convert 5 km to miles"), (2, "What is 12"), (3, "He paid 3 4 5 6 7 8 dollars"), (4, "Maria has fifteen apples and gives twenty five away today"), (5, " .")]
+    docs = [
+        (1, "stone. Convert 5 km to miles now"),
+        (2, "stone. Convert 6 km to miles now"),
+        (3, "river. What is 12 then"),
+        (4, "river. What is 13 then"),
+        (5, "garden. He paid 3 4 5 6 7 8 dollars for it"),
+        (6, "Maria has Sixty apples and gives ninety one away today"),
+        (7, " ."),
+        (8, ""),
+    ]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 4)}
+    assert got[6, 4]["n_changed"] == 3 and got[1, 1]["n_changed"] == 0
+
+
 # --- pipeline ---
 
 

@@ -16,7 +16,10 @@ WINDOW = 8
 LEAST_WORDS = 4
 
 # Number words and units that are placeholders.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
+).split()
 UNITS = (
     "percent dollars dollar euros euro cents pounds kg g mg lb km m cm mm mile miles inch inches feet foot hour hours minute minutes "
     "second seconds day days week weeks month months year years liter liters litre litres ml degrees"
@@ -26,11 +29,11 @@ UNITS = (
 STEPS = (
     (r"([0-9])[.,:/]([0-9])", r"$1$2"),
     (r"([0-9])[.,:/]([0-9])", r"$1$2"),
+    (rf"(?<![\p{{L}}#@~])((?i:{'|'.join(NUMBER_WORDS)}))(?!\p{{L}})", r"#$1"),
     (r"([^.!?:;\s][\"')\]]*\s+)(\p{Lu}\p{Ll}+)", r"$1@$2"),
     (r"([^.!?:;\s][\"')\]]*\s+)(\p{Lu}\p{Ll}+)", r"$1@$2"),
     (r"([0-9]+)", r" #$1 "),
-    (rf"(^|[^\p{{L}}#@~])({'|'.join(NUMBER_WORDS)})([^\p{{L}}]|$)", r"$1#$2$3"),
-    (rf"(#[0-9a-z]+\s+)({'|'.join(UNITS)})([^\p{{L}}]|$)", r"$1~$2$3"),
+    (rf"(#[0-9A-Za-z]+\s+)({'|'.join(UNITS)})([^\p{{L}}]|$)", r"$1~$2$3"),
 )
 PUNCTUATION = r"[^\p{L}\p{N}#@~]+"
 
@@ -48,17 +51,31 @@ def template_words(valued: Column) -> Column:
     return F.split(F.regexp_replace(valued, r"([#@~])[^ ]*", "$1"), " ")
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """``at, window`` (1-based place and hash) of the windows of ``size`` words; none for shorter texts."""
+def window_hashes(words: Column, values: Column, size: int) -> Column:
+    """``at, window`` (1-based place and hash) of the windows of ``size`` words; none for shorter texts.
+
+    Windows with at least 4 plain words are hashed as templates, the others with the values behind their placeholders.
+    """
+
+    def hashed(i: Column) -> Column:
+        exact = F.xxhash64(F.slice(values, i, size))
+        if size < LEAST_WORDS:
+            return exact
+        window = F.slice(words, i, size)
+        plain = window
+        for mark in "#@~":
+            plain = F.array_remove(plain, mark)
+        return F.when(F.size(plain) >= LEAST_WORDS, F.xxhash64(window)).otherwise(exact)
+
     places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i, size)).alias("window")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), hashed(i).alias("window")))
 
 
 def _windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     """``keys, size, at, window`` of every window of the given sizes."""
-    words = rows.select(*keys, template_words(F.col("_valued")).alias("_words"))
+    words = rows.select(*keys, template_words(F.col("_valued")).alias("_words"), F.split("_valued", " ").alias("_values"))
     parts = [
-        words.select(*keys, F.lit(size).alias("size"), F.inline(window_hashes(F.col("_words"), size))) for size in sizes
+        words.select(*keys, F.lit(size).alias("size"), F.inline(window_hashes(F.col("_words"), F.col("_values"), size))) for size in sizes
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -69,8 +86,8 @@ def _windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
 def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Matches of documents (``doc_id, text``) and items (``item_id, text``): ``doc_id, item_id, n_windows, n_slots, n_changed``.
 
-    A row per document row and item that share at least one window of ``window`` template words (the whole item, if shorter; items of
-    fewer than 4 words are left out) with at least 4 plain words and consistent slots, in one alignment: the one with the most windows. ``n_slots`` is
+    A row per document row and item that share at least one window of ``window`` template words (the whole item, if shorter) and
+    consistent slots, in one alignment: the one with the most windows. Windows with fewer than 4 plain words must have equal values too. ``n_slots`` is
     the number of distinct benchmark values behind placeholders in it, ``n_changed`` how many stand for another value in the document. Null texts match
     nothing; rows with one id and one text count once; ids may be null; other columns are ignored.
 
@@ -81,7 +98,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
         F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), valued_text(F.col("text")).alias("_valued")
     )
     items = benchmark.where("text is not null").select(F.col("item_id").alias("_item"), valued_text(F.col("text")).alias("_valued"))
-    items = stage(items.dropDuplicates().withColumn("_n", F.size(F.split("_valued", " "))).where(F.col("_n") >= LEAST_WORDS), "templates")
+    items = stage(items.dropDuplicates().withColumn("_n", F.size(F.split("_valued", " "))).where("_valued != ''"), "templates")
     sizes = sorted({min(window, r["_n"]) for r in items.groupBy(F.least("_n", F.lit(window)).alias("_n")).count().collect()}) or [window]
     # An item has windows of its own size only.
     sized = [_windows(items.where(F.least("_n", F.lit(window)) == s), ["_item", "_valued"], [s]) for s in sizes]
@@ -111,14 +128,10 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 
 def _consistent(checked: DataFrame) -> DataFrame:
-    """Keep alignments whose windows have enough plain words and whose slots are consistent; the best one per document and item."""
+    """Keep alignments whose slots are consistent; the best one per document and item."""
     marks = "'^[#@~]'"
-    plain = F.expr(
-        f"filter(_places, p -> size(filter(slice(_theirs, p, size), w -> not w rlike {marks})) >= least({LEAST_WORDS}, size))"
-    )
-    kept = checked.withColumn("_places", plain).where(F.size("_places") > 0)
     covered = F.expr("array_distinct(flatten(transform(_places, p -> sequence(p, p + size - 1))))")
-    kept = kept.withColumn("_covered", covered)
+    kept = checked.withColumn("_covered", covered)
     pairs = F.expr(
         f"array_distinct(transform(filter(_covered, p -> get(_theirs, p - 1) rlike {marks}), "
         "p -> struct(get(_theirs, p - 1) as a, get(_mine, p + _shift - 1) as b)))"
