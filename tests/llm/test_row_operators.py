@@ -217,6 +217,23 @@ def test_near_copies(spark, monkeypatch):
     assert sorted_rows(simhash.without_near_copies(df).select("doc_id")) == kept
 
 
+def test_split_shards_lose_no_links(spark, monkeypatch):
+    """Chains of texts, of which only neighbours are near: each shard whole or split, the groups are the same."""
+    rows = []
+    for chain in range(3):
+        words = prose(500 + chain, 160).split()
+        for step in range(12):
+            rows.append((len(rows), " ".join(words)))
+            words = words[12:] + prose(900 + 20 * chain + step, 12).split()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "TABLES", 1)
+    monkeypatch.setattr(simhash, "KEY_BITS", 0)
+    whole = sorted_rows(simhash.near_copy_groups(df))
+    assert len({g for _, g in whole}) < len(rows) // 2
+    monkeypatch.setattr(simhash, "TREE_NODES", 20)
+    assert sorted_rows(simhash.near_copy_groups(df)) == whole
+
+
 # --- op9 ---
 
 

@@ -125,16 +125,22 @@ def spanning_links(values: list[int], radius: int, fits=None) -> list[tuple[int,
     return links
 
 
-def leader_links(values: list[int], radius: int, fits) -> list[tuple[int, int]]:
-    """Links of each value to the earlier leaders it is close to; without any it becomes a leader, linked to itself."""
-    tree, number, links = BKTree(radius), [], []
-    for i, value in enumerate(values):
-        close = [number[j] for j in tree.near(value) if fits(i, number[j])]
-        links.extend((i, j) for j in close)
-        if not close:
-            tree.insert(value)
-            number.append(i)
-            links.append((i, i))
+def block_links(lanes: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, first: int) -> list[tuple[int, int]]:
+    """Links that join all fitting values within the radius of each other (rows of 64-bit words), directly or by steps.
+
+    All pairs of one value among the first and one among the others are compared; with 0 first all pairs.
+    """
+    label, links = np.arange(len(lanes)), []
+    for i in range(max(1, first), len(lanes)):
+        upto = first or i
+        close = np.bitwise_count(lanes[:upto] ^ lanes[i]).sum(axis=1, dtype=np.int64) <= radius
+        close &= np.minimum(sizes[:upto], sizes[i]) >= similarity * np.maximum(sizes[:upto], sizes[i])
+        near = np.flatnonzero(close)
+        roots, where = np.unique(label[near], return_index=True)
+        for root, j in zip(roots.tolist(), near[where].tolist(), strict=True):
+            if root != label[i]:
+                links.append((i, j))
+                label[label == root] = label[i]
     return links
 
 
@@ -268,25 +274,29 @@ def table_rows(picked: list[list[int]], schema: pa.Schema):
 def wide_links(radius: int, similarity: float, schema: pa.Schema):
     """Partition function: links ``shard, a, b`` between ids with close wide fingerprints and fitting sizes.
 
-    A whole shard gives a spanning set of links. A part of a split shard keeps only leaders in its tree, values that no
-    earlier leader is close to; the others are linked to all close leaders, and leaders are passed on as links to themselves.
+    A whole shard gives a spanning set of links. Of a split shard each block of values meets itself and, in a group of its own, every other
+    block, so that all pairs of the shard are compared, by any number of tasks.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        for group in groups_of(batches, ["shard", "split"], least=1):
-            splits = group["splits"][0].as_py()
-            if splits == 1 and len(group) == 1:
-                continue
+        out: list[tuple[int, int]] = []
+        for group in groups_of(batches, ["shard", "low", "high"]):
             values = [int.from_bytes(w, "little") for w in group["wide"].to_pylist()]
             ids, sizes = group["id"].to_pylist(), group["n"].to_pylist()
 
             def fits(i: int, j: int, sizes: list[int] = sizes) -> bool:
                 return min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j])
 
-            found = spanning_links(values, radius, fits) if splits == 1 else leader_links(values, radius, fits)
-            shard = group["shard"][0].as_py()
-            out.extend((shard, ids[a], ids[b]) for a, b in found)
+            if group["splits"][0].as_py() == 1:
+                found = spanning_links(values, radius, fits)
+            else:
+                lanes = np.frombuffer(b"".join(group["wide"].to_pylist()), dtype="<u8").reshape(len(group), -1)
+                block = group["block"].to_numpy()
+                first = 0 if block[0] == block[-1] else int((block == block[0]).sum())
+                # A group of two blocks that has rows of one only has nothing to compare.
+                one_sided = not first and group["low"][0].as_py() != group["high"][0].as_py()
+                found = [] if one_sided else block_links(lanes, group["n"].to_numpy(), radius, similarity, first)
+            out.extend((ids[a], ids[b]) for a, b in found)
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []
@@ -301,8 +311,8 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, r
 
     Copies are estimated from wide SimHashes of ``width``-word shingles: unrelated texts differ in about half of the 256 bits, texts
     of Jaccard similarity 0.8 in about 39, and a pair is taken up to ``radius``. A pair is met if its fingerprints agree in one of 24 keys
-    of 20 bits. Rows without id are left out, and so stay; wordless texts are one group. Shards of over 4096 values are split; there
-    near copies meet through common leaders.
+    of 20 bits. Rows without id are left out, and so stay; wordless texts are one group. Shards of over 4096 values are split into
+    blocks, and every block meets every other.
     """
     spark = prepared(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -316,18 +326,13 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, r
     )
     hot = sharded.groupBy("shard").agg(F.count("*").alias("_rows")).where(F.col("_rows") > TREE_NODES)
     hot = stage(hot.select("shard", F.ceil(F.col("_rows") / TREE_NODES).cast("long").alias("splits")), "hot-shards")
-    split = sharded.join(hot, "shard", "left").fillna({"splits": 1}).withColumn("split", F.pmod(F.xxhash64("id"), "splits"))
-    link_schema = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def linked(shards: DataFrame) -> DataFrame:
-        placed = shards.repartition(parts, "shard", "split").sortWithinPartitions("shard", "split", "id")
-        placed = placed.select("shard", "split", "splits", "id", "wide", "n")
-        return stage(placed.mapInArrow(wide_links(radius, similarity, link_schema), "shard long, a long, b long"), "wide-links")
-
-    links = linked(split)
-    leaders = links.where("a = b").select("shard", F.col("a").alias("id"))
-    again = leaders.join(values.select("id", "wide", "n"), "id").withColumns({"split": F.lit(0).cast("long"), "splits": F.lit(1).cast("long")})
-    links = links.select("a", "b").union(linked(again).select("a", "b"))
+    split = sharded.join(hot, "shard", "left").fillna({"splits": 1}).withColumn("block", F.pmod(F.xxhash64("id"), "splits"))
+    paired = split.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+    paired = paired.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    placed = paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "block", "id")
+    placed = placed.select("shard", "low", "high", "block", "splits", "id", "wide", "n")
+    links = placed.mapInArrow(wide_links(radius, similarity, link_schema), "a long, b long")
     roots = components(links)
     named = values.join(roots, "id", "left").select("wide", "n", F.coalesce("root", "id").alias("group_id"))
     grouped = marked.join(named, ["wide", "n"]).select("doc_id", "group_id")
