@@ -68,7 +68,7 @@ def g7_fetched_links(spark, sf):
         spark, sf, "page_id", "url", f"{_FINAL} AS final_url", f"{_STATUS} AS status",
         "CASE WHEN page_id % 11 = 0 THEN 99999999 END AS content_length", "CASE WHEN page_id % 13 = 0 THEN '' ELSE html END AS html",
     )
-    out = L.fetched_links(df)
+    out = L.fetched_links(df, max_bytes=L.MAX_BODY_BYTES)
     return out.select("url", "resolved_url", F.size("links").alias("links_found"), F.coalesce("error", F.lit("")).alias("error"),
                       F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"))
 

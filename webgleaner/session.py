@@ -20,6 +20,9 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session."""
@@ -36,9 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     # local-cluster has executors of its own: it needs a shared folder like any cluster.
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="webgleaner-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="webgleaner-")
+    return _LOCAL_FOLDERS[application]
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
