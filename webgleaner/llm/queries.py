@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, spelling, templates, url_reputation
+from . import alignment, ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, spelling, templates, url_reputation
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -73,6 +73,14 @@ def op10_ans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document."""
+    import public_tokenizers
+
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path
+    return alignment.token_links(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the frequent words they are variants of."""
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
@@ -89,5 +97,6 @@ QUERIES = {
     "op8_simhash_trees": op8_simhash_trees,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_ans_output": op10_ans_output,
+    "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
 }
