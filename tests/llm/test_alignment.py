@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -72,13 +73,25 @@ def found(df):
 @pytest.mark.parametrize("seed", range(20))
 def test_common_ends(seed):
     rng = random.Random(seed)
-    a, b = (sorted(rng.sample(range(400), rng.choice([0, 1, 5, 60, 300]))) for _ in range(2))
-    assert [a[i] for i, _ in alignment.common_ends(a, b)] == sorted(set(a) & set(b))
-    assert all(a[i] == b[j] for i, j in alignment.common_ends(a, b))
+    lists = [[sorted(rng.sample(range(400), rng.choice([0, 1, 5, 60, 300]))) for _ in range(2)] for _ in range(7)]
+    sizes = [np.array([len(pair[k]) for pair in lists]) for k in range(2)]
+    a, b = (np.array([x for pair in lists for x in pair[k]], dtype=np.int64) for k in range(2))
+    places = alignment.common_ends(a, sizes[0], b, sizes[1])
+    assert (a[places[0]] == b[places[1]]).all()
+    assert a[places[0]].tolist() == [x for one, other in lists for x in sorted(set(one) & set(other))]
+
+
+def test_large_groups_by_distinct_ids(spark, monkeypatch):
+    rows = [(i, "".join(random.Random(i).choice("ab東é.'1") for _ in range(60))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 1)
+    assert found(alignment.token_links(df, A, B)) == want
 
 
 @pytest.mark.parametrize("most_parts", [1 << 21, 40])
-def test_odd_texts_match_brute_force(spark, most_parts):
+def test_odd_texts_match_brute_force(spark, monkeypatch, most_parts):
+    monkeypatch.setattr(alignment, "KEEP_PARTS", most_parts)
     rng = random.Random(1)
     rows = [(i, t) for i, t in enumerate(ODD)]
     rows += [(100 + i, rng.choice(["", " ", "\n"]).join(rng.choice(ODD) for _ in range(4))) for i in range(60)]

@@ -15,10 +15,8 @@ import hashlib
 import os
 import re
 import zlib
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,8 @@ from .common import by_value, give_back, groups_of, prepared, stage, worker_stor
 by_value(__name__)
 
 CHUNK_PARTS = 1 << 21  # parts of a chunk, about
-KEEP_PARTS = 300_000  # aligned parts kept in a worker
+KEEP_PARTS = 600_000  # aligned parts kept in a worker
+LARGE_GROUP = 10_000  # links of a group from which its pairs are made of distinct ids
 BUCKET_PAIRS = 500_000  # id pairs of a bucket, about
 SPREAD = 1_000_003  # a prime: pairs are dealt to buckets by the remainder
 
@@ -53,20 +52,59 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places (in ``a``, in ``b``) of the numbers that stand in both sorted lists."""
-    if len(a) > len(b):
-        return [(i, j) for j, i in common_ends(b, a)]
-    out, low, size = [], 0, len(b)
-    for i, x in enumerate(a):
-        high, step = low, 1
-        while high < size and b[high] < x:
-            low, high, step = high + 1, high + step, 2 * step
-        low = bisect_left(b, x, low, min(high, size))
-        if low < size and b[low] == x:
-            out.append((i, low))
-            low += 1
-    return out
+def gallop(values: np.ndarray, wanted: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Place of the first of ``values[low:end]`` (sorted) that is not below ``wanted``, for many searches at once: steps double, then halve."""
+    low, high, step = low.copy(), low.copy(), 1
+    todo = np.flatnonzero(high < end)
+    todo = todo[values[high[todo]] < wanted[todo]]
+    while len(todo):
+        low[todo] = high[todo] + 1
+        high[todo] = np.minimum(high[todo] + step, end[todo])
+        step *= 2
+        todo = todo[high[todo] < end[todo]]
+        todo = todo[values[high[todo]] < wanted[todo]]
+    todo = np.flatnonzero(low < high)
+    while len(todo):
+        middle = (low[todo] + high[todo]) >> 1
+        below = values[middle] < wanted[todo]
+        low[todo] = np.where(below, middle + 1, low[todo])
+        high[todo] = np.where(below, high[todo], middle)
+        todo = todo[low[todo] < high[todo]]
+    return low
+
+
+def common_ends(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``a``, in ``b``) of the numbers that stand in both lists of a pair of sorted lists.
+
+    ``a`` and ``b`` hold many lists one after another, with as many numbers as the sizes say. The shorter list of each pair drives the search.
+    """
+    lists = np.arange(len(size_a))
+    start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    shorter = size_a <= size_b
+    found_a, found_b = [], []
+    for driven, x, n_x, start_x, y, n_y, start_y, out_x, out_y in (
+        (lists[shorter], a, size_a, start_a, b, size_b, start_b, found_a, found_b),
+        (lists[~shorter], b, size_b, start_b, a, size_a, start_a, found_b, found_a),
+    ):
+        of = np.repeat(driven, n_x[driven])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n_x[driven]) - n_x[driven], n_x[driven]) + start_x[of]
+        end = start_y[of] + n_y[of]
+        place = gallop(y, x[at], start_y[of], end)
+        hit = np.flatnonzero(place < end)
+        hit = hit[y[place[hit]] == x[at[hit]]]
+        out_x.append(at[hit])
+        out_y.append(place[hit])
+    places_a, places_b = np.concatenate(found_a), np.concatenate(found_b)
+    order = np.argsort(places_a, kind="stable")
+    return places_a[order], places_b[order]
+
+
+def products(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups one after another: places of the first and of the second in every pair of a group."""
+    n = size_a * size_b
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(size_b, n)
+    return np.repeat(np.cumsum(size_a) - size_a, n) + inner // wide, np.repeat(np.cumsum(size_b) - size_b, n) + inner % wide
 
 
 class Aligner:
@@ -92,36 +130,71 @@ class Aligner:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        self.size_a, self.size_b = (np.array([*map(len, t)], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         self.radix = len(self.bytes_b)
+        # Ids as text with what follows them: another id, the other side, another group.
+        ids = [*map(str, range(max(len(self.bytes_a), len(self.bytes_b))))]
+        self.texts = [np.array([i + mark for i in ids], dtype=object) for mark in ",|;"]
         self.parts: dict = {}
 
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """Numbers of tokens, groups and links, the groups as text, and the linked pairs with how often; None if the bytes differ."""
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None
-        ends_a, ends_b = [*accumulate(map(self.size_a.__getitem__, a))], [*accumulate(map(self.size_b.__getitem__, b))]
-        text, pairs, links, from_a, from_b = [], Counter(), 0, 0, 0
-        common = common_ends(ends_a, ends_b)
-        for i, j in common:
-            of_a, of_b = a[from_a : i + 1], b[from_b : j + 1]
-            from_a, from_b = i + 1, j + 1
-            text.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-            links += len(of_a) * len(of_b)
-            count_b = Counter(of_b)
-            for x, n in Counter(of_a).items():
-                for y, m in count_b.items():
-                    pairs[x * self.radix + y] += n * m
-        keys, times = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        return len(a), len(b), len(common), links, ";".join(text), keys.tobytes(), times.tobytes()
-
     def learn(self, parts: list[str]) -> None:
-        """Align text parts (each stands after a space)."""
+        """Align text parts (each stands after a space): their numbers of tokens, groups and links, the groups as text, and the linked pairs with
+        how often; None where the bytes of the tokens are not those of the part."""
         for first in range(0, len(parts), 20_000):
             some = parts[first : first + 20_000]
             spaced = [" " + p for p in some]
-            for part, raw, a, b in zip(some, spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
-                self.parts[part] = self.align(raw.encode(), a.ids, b)
+            of_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+            good = []
+            for part, raw, a, b in zip(some, spaced, of_a, self.b.encode(some, num_threads=1), strict=True):
+                raw = raw.encode()
+                if b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
+                    good.append((part, a, b))
+                else:
+                    self.parts[part] = None
+            if good:
+                self._align(*zip(*good, strict=True))
+
+    def _align(self, parts: tuple[str], of_a: tuple[list[int]], of_b: tuple[list[int]]) -> None:
+        n_a, n_b = (np.fromiter(map(len, lists), np.int64, len(parts)) for lists in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())) for lists, n in ((of_a, n_a), (of_b, n_b)))
+        # Byte ends over all parts: those of one part lie behind those of the part before.
+        end_a, end_b = common_ends(np.cumsum(self.size_a[a]), n_a, np.cumsum(self.size_b[b]), n_b)
+        in_a, in_b = np.diff(end_a, prepend=-1), np.diff(end_b, prepend=-1)
+        part_of = np.repeat(np.arange(len(parts)), n_a)[end_a]
+        groups = np.bincount(part_of, minlength=len(parts))
+        links = np.bincount(part_of, weights=in_a * in_b, minlength=len(parts)).astype(np.int64)
+        # Tokens of A, then those of B, group by group.
+        group_a, group_b = np.repeat(np.arange(len(in_a)), in_a), np.repeat(np.arange(len(in_b)), in_b)
+        comma, bar, mark = self.texts
+        words = np.concatenate([comma[a], comma[b]])
+        words[end_a], words[len(a) + end_b] = bar[a[end_a]], mark[b[end_b]]
+        words = words[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        facts = np.stack([n_a, n_b, groups, links], axis=1)
+        edges, first = np.cumsum(n_a + n_b).tolist(), 0
+        texts = []
+        for last in edges:
+            texts.append("".join(words[first:last]))
+            first = last
+        # Large groups by distinct ids: all their pairs would be too many.
+        large = np.flatnonzero(in_a * in_b > LARGE_GROUP)
+        small_a, small_b = np.where(in_a * in_b > LARGE_GROUP, 0, in_a), np.where(in_a * in_b > LARGE_GROUP, 0, in_b)
+        keep_a, keep_b = small_a[group_a] > 0, small_b[group_b] > 0
+        at_a, at_b = products(small_a, small_b)
+        keys, of_key = a[keep_a][at_a] * self.radix + b[keep_b][at_b], np.repeat(part_of, small_a * small_b)
+        times = np.ones(len(keys), dtype=np.int64)
+        for g in large.tolist():
+            x, n = np.unique(a[end_a[g] + 1 - in_a[g] : end_a[g] + 1], return_counts=True)
+            y, m = np.unique(b[end_b[g] + 1 - in_b[g] : end_b[g] + 1], return_counts=True)
+            keys = np.concatenate([keys, (x[:, None] * self.radix + y).ravel()])
+            times = np.concatenate([times, (n[:, None] * m).ravel()])
+            of_key = np.concatenate([of_key, np.full(len(x) * len(y), part_of[g])])
+        order = np.argsort(of_key, kind="stable") if len(large) else slice(None)
+        keys, times, held = keys[order], times[order], np.bincount(of_key, minlength=len(parts))
+        raw_keys, raw_times, edges = keys.tobytes(), times.astype(np.int32).tobytes(), np.cumsum(held).tolist()
+        first = 0
+        for part, fact, text, last in zip(parts, facts, texts, edges, strict=True):
+            self.parts[part] = (fact.tobytes(), text, raw_keys[8 * first : 8 * last], raw_times[4 * first : 4 * last])
+            first = last
 
 
 def aligner(byte_level: str, pieces: bytes) -> Aligner:
@@ -169,36 +242,45 @@ def records(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
 
+class Numbers(dict):
+    """Numbers of the chunk's parts in the order they come, -1 for those that cannot be aligned."""
+
+    def __init__(self, known: dict):
+        super().__init__()
+        self.known, self.found = known, []
+
+    def __missing__(self, part: str) -> int:
+        one = self.known[part]
+        if one is not None:
+            self.found.append(one)
+        out = self[part] = -1 if one is None else len(self.found) - 1
+        return out
+
+
 class Chunk:
     """Documents as numbers of their parts, and the aligned parts."""
 
     def __init__(self, align: Aligner):
-        self.align, self.numbers, self.found = align, {}, []
+        self.align, self.numbers = align, Numbers(align.parts)
         self.doc_ids, self.parts, self.sizes, self.sha = [], [], [], []
         self.n_parts = 0
 
     def add(self, rows: list[tuple[int | None, str | None]]) -> None:
         """Documents with null, empty or unequal texts have no parts."""
-        known, numbers = self.align.parts, self.numbers
+        known, numbers, found = self.align.parts, self.numbers, self.numbers.found
         if len(known) > KEEP_PARTS:
             known.clear()
         split = [PART.split(text) if text else [] for _, text in rows]
-        self.align.learn([*{p for parts in split for p in parts if p not in known}])
+        self.align.learn([p for p in set().union(*split) if p not in known and p not in numbers])
         for (doc_id, text), parts in zip(rows, split, strict=True):
-            if any(known[p] is None for p in parts):
+            own = [*map(numbers.__getitem__, parts)]
+            if own and min(own) < 0:
                 # What differs in a part could only be made good elsewhere in the text.
                 if text not in known:
                     self.align.learn([text])
-                parts = [text] if known[text] else []
-            own = []
-            for p in parts:
-                number = numbers.get(p)
-                if number is None:
-                    number = numbers[p] = len(self.found)
-                    self.found.append(known[p])
-                own.append(number)
-            groups = ";".join([self.found[i][4] for i in own])
-            self.sha.append(hashlib.sha256(groups.encode()).hexdigest() if own else "")
+                own = [n for n in [numbers[text]] if n >= 0]
+            groups = "".join([found[i][1] for i in own])
+            self.sha.append(hashlib.sha256(groups[:-1].encode()).hexdigest() if own else "")
             self.doc_ids.append(doc_id)
             self.sizes.append(len(own))
             self.parts.append(np.array(own, dtype=np.int32))
@@ -207,10 +289,11 @@ class Chunk:
     def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
         """The chunk's row: with ``keys``, the id pairs it holds, in order, and ``n``, how many of its documents hold each."""
         parts, sizes = np.concatenate(self.parts), np.array(self.sizes, dtype=np.int64)
-        facts = np.array([f[:4] for f in self.found], dtype=np.int64).reshape(-1, 4)
-        held = np.frombuffer(b"".join(f[5] for f in self.found), dtype=np.int64)
-        times = np.frombuffer(b"".join(f[6] for f in self.found), dtype=np.int64)
-        ends = np.array([len(f[5]) // 8 for f in self.found], dtype=np.int64)
+        found = self.numbers.found
+        facts = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int64).reshape(-1, 4)
+        held = np.frombuffer(b"".join([f[2] for f in found]), dtype=np.int64)
+        times = np.frombuffer(b"".join([f[3] for f in found]), dtype=np.int32)
+        ends = np.array([len(f[3]) // 4 for f in found], dtype=np.int64)
         keys, pairs = np.unique(held, return_inverse=True)
         start, counted = np.cumsum(ends) - ends, np.zeros(len(keys), dtype=np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
