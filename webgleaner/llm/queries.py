@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, spelling, templates, url_reputation
+from . import alignment, ans, backoff_lm, bucket_digest, deobfuscate, factor_dedup, language_bloom, mixing, simhash, spelling, templates, tree_bpe, url_reputation
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -86,6 +86,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by tree concatenation, and the decoded texts."""
+    import public_tokenizers
+
+    return tree_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_factor_dedup": op2_factor_dedup,
@@ -99,4 +106,5 @@ QUERIES = {
     "op10_ans_output": op10_ans_output,
     "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_tree_bpe": op13_tree_bpe,
 }
