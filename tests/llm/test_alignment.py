@@ -81,6 +81,16 @@ def test_common_ends(seed):
     assert a[places[0]].tolist() == [x for one, other in lists for x in sorted(set(one) & set(other))]
 
 
+def test_encoder_by_ranks_gives_the_same_ids():
+    with open(A, encoding="utf-8") as file, open(B, "rb") as model:
+        align = alignment.Aligner(file.read(), model.read())
+    rng = random.Random(4)
+    for _ in range(20_000):
+        letters = rng.choice([[chr(i) for i in range(256)], "abcdefghijklmnopqrstuvwxyzé ,.'\n\xa0\x85", " \n\t'sStTlLrRmMdD1\xa0²"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))
+        assert align.quick.encode_ordinary(text) == align.a.encode(text, add_special_tokens=False).ids
+
+
 def test_large_groups_by_distinct_ids(spark, monkeypatch):
     rows = [(i, "".join(random.Random(i).choice("ab東é.'1") for _ in range(60))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
