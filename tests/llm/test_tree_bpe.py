@@ -60,6 +60,12 @@ def test_long_texts_without_white_space(coder, letters):
         assert tree_bpe.encode_long(coder, text, 100, 4) == coder.encode(text)
 
 
+def test_words_apart_give_the_same_digests(coder):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice([*PARTS, *(chr(rng.randrange(32, 0x3000)) for _ in range(9))]) for _ in range(rng.choice([0, 3, 40]))) for _ in range(4000)]
+    assert coder.words.digests([None, *texts]) == [digest(coder.tokenizer, None, t)[1:] for t in ["", *texts]]
+
+
 def test_cuts():
     text = "x" * 1000
     edges = [0, *tree_bpe.cuts(text, 100), 1000]

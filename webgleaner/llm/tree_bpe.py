@@ -10,6 +10,7 @@ exception: where one may lie over a join the window is at least as long as they
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, give_back, groups_of, prepared, stage, worker_store
+from .common import by_value, give_back, groups_of, packed, prepared, stage, unpacked, worker_store
 
 by_value(__name__)
 
-LEAF = 16_384  # characters of a part that is not cut further
+LEAF = 32_768  # characters of a part that is not cut further
+KEEP_WORDS = 300_000  # encoded words met lately that a worker keeps, and as many met before
 WINDOW = 64  # characters on each side of a join at first
 
 
@@ -42,13 +44,17 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        file = json.loads(tokenizer_json)
         # Without a decoder the library puts a space between the tokens.
-        self.plain = json.loads(tokenizer_json)["decoder"] is None
+        self.plain = file["decoder"] is None
+        # A vocabulary with word ends has no token over white space; added tokens may have, if they say so.
+        loose = [t for t in file["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1]
+        self.words = Words(self) if self.plain and file["model"].get("end_of_word_suffix") and not loose else None
         self.tokens = [""] * (max(vocabulary.values(), default=0) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = token
 
-        self.added = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
+        self.added = [t["content"] for t in file["added_tokens"]]
 
     def reach(self, text: str, cut: int) -> int:
         """Characters on each side of ``cut`` that tell whether an added token lies over it."""
@@ -71,6 +77,35 @@ class Codec:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+class Words:
+    """Encoded words of a tokenizer that drops white space and has no token over it: ids as bytes, and decoded texts."""
+
+    def __init__(self, coder: Codec):
+        self.coder, self.known, self.older = coder, {}, {}
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Number of ids, hash of the ids and hash of the decoded text of each text."""
+        if len(self.known) > KEEP_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        # ASCII white space: whatever else is white space stays inside a word.
+        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        for word in set().union(*split).difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        for word, made in zip(new, self.coder.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False), strict=True):
+            known[word] = (np.array(made.ids, dtype="<u4").tobytes(), self.coder.decode(made.ids).encode("utf-8", "surrogatepass"))
+        out = []
+        for words in split:
+            found = [*map(known.__getitem__, words)]
+            ids = b"".join([f[0] for f in found])
+            decoded = b" ".join([f[1] for f in found if f[0]])
+            out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        return out
+
+
 def codec(tokenizer_json: str) -> Codec:
     """The worker's codec."""
     store, key = worker_store(), ("codec", zlib.crc32(tokenizer_json.encode()))
@@ -185,24 +220,34 @@ LEAVES = "row long, doc_id long, start long, text string, ids binary, places bin
 LEAVES_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("places", pa.binary())])
 
 
-def digest_rows(coder: Codec, doc_ids: list, ids: list[list[int]]) -> pa.RecordBatch:
+def digest_rows(doc_ids: list, digests: list[tuple[int, str, str]]) -> pa.RecordBatch:
     """What a query tells of token ids: their number, their hash and the hash of the decoded text."""
-    decoded = [coder.decode(i).encode("utf-8", "surrogatepass") for i in ids]
-    columns = [
-        doc_ids, [len(i) for i in ids], [hashlib.sha256(np.array(i, dtype="<u4").tobytes()).hexdigest() for i in ids],
-        [hashlib.sha256(d).hexdigest() for d in decoded],
-    ]
+    columns = [doc_ids, *(list(c) for c in zip(*digests, strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, DIGEST_SCHEMA, strict=True)], schema=DIGEST_SCHEMA)
 
 
+def digest(coder: Codec, ids: list[int]) -> tuple[int, str, str]:
+    decoded = coder.decode(ids).encode("utf-8", "surrogatepass")
+    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
 def short_rows(shipped):
     """Partition function: digests of texts that fit a leaf."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The words are many and hold no cycles.
+        gc.disable()
         for batch in batches:
             coder = codec(shipped.value)
-            made = coder.tokenizer.encode_batch([t or "" for t in batch["text"].to_pylist()], add_special_tokens=False)
-            yield digest_rows(coder, batch["doc_id"].to_pylist(), [e.ids for e in made])
+            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            for first in range(0, len(texts), 500):
+                some = texts[first : first + 500]
+                if coder.words:
+                    made = coder.words.digests(some)
+                else:
+                    made = [digest(coder, e.ids) for e in coder.tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)]
+                yield digest_rows(doc_ids[first : first + 500], made)
+        gc.enable()
         give_back()
 
     return run
@@ -230,8 +275,9 @@ def leaf_rows(shipped):
         for batch in batches:
             coder = codec(shipped.value)
             made = [coder.placed(text, 0) for text in batch["text"].to_pylist()]
-            ids = [t.ids.astype("<u4").tobytes() for t in made]
-            places = [np.stack([t.start, t.end]).astype("<u4").tobytes() for t in made]
+            ids = [packed(t.ids) for t in made]
+            # Starts never decrease; the characters of a token are few.
+            places = [packed(np.concatenate([np.diff(t.start, prepend=0), t.end - t.start])) for t in made]
             columns = [batch["row"], batch["doc_id"], batch["start"], batch["text"], pa.array(ids, pa.binary()), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=LEAVES_SCHEMA)
         give_back()
@@ -247,9 +293,10 @@ def joined_rows(shipped, window: int):
             coder = codec(shipped.value)
             parts = []
             for start, text, ids, places in zip(*(group[c].to_pylist() for c in ("start", "text", "ids", "places")), strict=True):
-                at = np.frombuffer(places, dtype="<u4").reshape(2, -1).astype(np.int64) + start
-                parts.append((start, text, Tokens(np.frombuffer(ids, dtype="<u4").astype(np.int64), at[0], at[1])))
-            yield digest_rows(coder, group["doc_id"].slice(0, 1).to_pylist(), [folded(coder, parts, window).ids.tolist()])
+                step, size = unpacked(places).reshape(2, -1)
+                at = np.cumsum(step) + start
+                parts.append((start, text, Tokens(unpacked(ids), at, at + size)))
+            yield digest_rows(group["doc_id"].slice(0, 1).to_pylist(), [digest(coder, folded(coder, parts, window).ids.tolist())])
         give_back()
 
     return run
