@@ -33,9 +33,12 @@ def test_domain_rules_literal_and_joined(spark, url, allow, block, expected):
     assert (R.filter_by_rules(df, **tables).count() == 1) is expected
 
 
-def test_merge_rules():
-    assert H.merge_rules({"lake.org"}, ["", "\tHill.net", " ", "SEA.io "]) == ["lake.org", "hill.net", "sea.io"]
-    assert H.merge_rules([], ["lake.org", "lake.org"]) == ["lake.org"]
+def test_merged_rules_are_the_distinct_clean_entries():
+    """Any split of the entries over two lists gives them once each, in order, however they are written."""
+    names = [f"n{i}.test" for i in range(6)]
+    written = [f"{' ' * (i % 3)}{n.upper() if i % 2 else n}\t" for i, n in enumerate(names)]
+    for cut in range(len(names) + 1):
+        assert H.merge_rules(written[:cut], [*written[cut:], "", " \n", names[0], written[-1]]) == names
 
 
 # The ends of every blocked range, and what lies just outside of it.

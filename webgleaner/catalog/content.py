@@ -19,11 +19,17 @@ def _drop(sql: str, tag: str) -> str:
     return f"regexp_replace({sql}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
 
 
-def markdown_sql(source: str, html: str = "html") -> str:
-    """CTEs that add ``md`` to the rows of ``source``."""
+def live_sql(html: str) -> str:
+    """Markup without the parts that are never content."""
     live = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("head", "script", "style", "nav", "footer", "iframe"):
         live = _drop(live, tag)
+    return live
+
+
+def markdown_sql(source: str, html: str = "html") -> str:
+    """CTEs that add ``md`` to the rows of ``source``."""
+    live = live_sql(html)
     blocks = (
         "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|header|main|ol|p|"
         "pre|section|table|tbody|thead|tr|ul"
@@ -61,6 +67,73 @@ def c1_markdown(spark, sf):
 ORACLES["c1_markdown"] = f"""WITH {markdown_sql('pages')} SELECT page_id, md AS markdown FROM md"""
 
 
+# Pages without article elements: the densest blocks have to be found.
+_PLAIN = {"spark": r"regexp_replace(html, '(</?)article', '$1div')", "sql": r"regexp_replace(html, '(</?)article', '\1div', 'g')"}
+_STARTS = (
+    "address|article|aside|blockquote|body|caption|dd|div|dl|dt|fieldset|figcaption|figure|form|header|html|main|p|section|tbody|tfoot|thead|"
+    "h[1-6]|li|ol|pre|table|tr|ul"
+)
+
+
+def c1_main_content(spark, sf):
+    """Where the main content of each page lies among its blocks."""
+    made = C.with_main_content(pages(spark, sf, "page_id", f"{_PLAIN['spark']} AS html"))
+    run = [F.coalesce(F.col(f"run.{c}"), F.lit(-1)).alias(f"{c}_block") for c in ("first", "last")]
+    return made.select(
+        "page_id", *run, F.coalesce("run.chars", F.lit(0)).alias("chars"), F.md5(F.coalesce("run.markup", F.lit(""))).alias("markup_md5")
+    )
+
+
+def _chars_sql(markup: str) -> str:
+    return f"length(regexp_replace({markup}, '<[a-zA-Z/!?][^>]*>|[ \\t\\r\\n\\f]+', '', 'g'))"
+
+
+# Largest sum of a run of blocks by prefix sums: the least sum before each block, the last such place among equals.
+ORACLES["c1_main_content"] = f"""WITH l AS (SELECT page_id, string_split(regexp_replace({live_sql(_PLAIN['sql'])}, '(?i)(<(?:{_STARTS})\\b)', chr(1) || '\\1', 'g'), chr(1)) AS b FROM pages),
+u AS (SELECT page_id, unnest(b) AS b, generate_subscripts(b, 1) - 1 AS i FROM l),
+n AS (SELECT page_id, i, b, {_chars_sql('b')} AS n, {_chars_sql("regexp_replace(b, '(?is)<a[^a-z][^>]*>.*?</a *>', '', 'g')")} AS outside FROM u),
+o AS (SELECT *, 2 * outside - n AS own FROM n),
+s AS (SELECT *, 4 * own + greatest(-100, least(100, coalesce(lag(own) OVER w, 0))) + greatest(-100, least(100, coalesce(lead(own) OVER w, 0))) - CASE WHEN regexp_matches(b, '^<[hH][1-6]') THEN 50 ELSE 200 END AS score
+ FROM o WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+p AS (SELECT *, sum(score) OVER (PARTITION BY page_id ORDER BY i) AS upto, sum(score) OVER (PARTITION BY page_id ORDER BY i) - score AS before FROM s),
+m AS (SELECT *, min(before) OVER (PARTITION BY page_id ORDER BY i) AS least FROM p),
+e AS (SELECT page_id, max(upto - least) AS best FROM m GROUP BY 1),
+z AS (SELECT m.page_id, min(m.i) AS last FROM m JOIN e ON e.page_id = m.page_id AND m.upto - m.least = e.best WHERE best > 0 GROUP BY 1),
+a AS (SELECT z.page_id, last, max(p.i) AS first FROM z JOIN m ON m.page_id = z.page_id AND m.i = z.last JOIN p ON p.page_id = z.page_id AND p.i <= z.last AND p.before = m.least GROUP BY 1, 2),
+r AS (SELECT a.page_id, first, last, sum(n) AS chars, md5(string_agg(b, '' ORDER BY i)) AS markup_md5 FROM a JOIN n ON n.page_id = a.page_id AND n.i BETWEEN first AND last GROUP BY 1, 2, 3)
+SELECT page_id, CAST(CASE WHEN chars >= 50 THEN first ELSE -1 END AS INTEGER) AS first_block, CAST(CASE WHEN chars >= 50 THEN last ELSE -1 END AS INTEGER) AS last_block,
+ CAST(CASE WHEN chars >= 50 THEN chars ELSE 0 END AS INTEGER) AS chars, CASE WHEN chars >= 50 THEN markup_md5 ELSE md5('') END AS markup_md5
+FROM pages LEFT JOIN r USING (page_id)"""
+
+
+def c1_nested_markdown(spark, sf):
+    """Orders as pages: lines listed by flag in nested lists, as a table and as code."""
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_returnflag AS flag", "l_linenumber AS line", "l_partkey AS part", "CAST(l_quantity AS INT) AS quantity"
+    )
+    flags = lines.groupBy("l_orderkey", "flag").agg(F.sort_array(F.collect_list(F.struct("line", "part", "quantity"))).alias("lines"))
+    orders = flags.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("flag", "lines"))).alias("flags"))
+    made = orders.selectExpr(
+        "l_orderkey",
+        """concat('<body><main><h1>Order <em>', l_orderkey, '</em></h1><p>All lines of the order, listed by return flag &amp; in a table.</p>\n<ul>',
+ array_join(transform(flags, f -> concat('<li>Flag <b>', f.flag, '</b>\n <ol>', array_join(transform(f.lines, x -> concat('<li>part ', x.part, '</li>')), '\n'),
+ '</ol> </li>')), ''), '</ul><table><thead><tr><th>Line</th><th>Part|Quantity</th></tr></thead><tbody>',
+ array_join(transform(array_sort(flatten(transform(flags, f -> f.lines))), x -> concat('<tr>\n<td>', x.line, '</td>\n<td>', x.part, '|<code>', x.quantity, '</code></td></tr>')), '\n'),
+ '</tbody></table><pre><code>order  ', l_orderkey, '\n  ', size(flags), ' flags</code></pre><p>End of <a href="/orders">the order</a></main></body>') AS html""",
+    )
+    return C.with_markdown(made).select("l_orderkey", "markdown")
+
+
+ORACLES["c1_nested_markdown"] = """WITH x AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber AS line, l_partkey AS part, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, flag ORDER BY line, part, quantity) AS number FROM x),
+f AS (SELECT l_orderkey, flag, concat('- Flag **', flag, '**', string_agg(concat(chr(10), '  ', number, '. part ', part), '' ORDER BY number)) AS item FROM k GROUP BY 1, 2),
+l AS (SELECT l_orderkey, count(*) AS n, string_agg(item, chr(10) ORDER BY flag) AS items FROM f GROUP BY 1),
+t AS (SELECT l_orderkey, string_agg(concat('| ', line, ' | ', part, '\|`', quantity, '` |'), chr(10) ORDER BY line, part, quantity) AS rows FROM x GROUP BY 1)
+SELECT l_orderkey, concat('# Order *', l_orderkey, '*', chr(10), chr(10), 'All lines of the order, listed by return flag & in a table.', chr(10), chr(10), items, chr(10), chr(10),
+ '| Line | Part\|Quantity |', chr(10), '| --- | --- |', chr(10), rows, chr(10), chr(10), '```', chr(10), 'order  ', l_orderkey, chr(10), '  ', n, ' flags', chr(10), '```', chr(10), chr(10),
+ 'End of [the order](/orders)') AS markdown FROM l JOIN t USING (l_orderkey)"""
+
+
 def c3_page_title(spark, sf):
     return pages(spark, sf, "page_id", "html").select("page_id", C.html_title(F.col("html")).alias("html_title"))
 
@@ -259,7 +332,7 @@ ORACLES["w5_attempt_order"] = f"""WITH a AS ({_attempts_sql()})
 SELECT url, CAST(max(attempt) AS INTEGER) AS attempts, coalesce(arg_max(error, CASE WHEN error IS NOT NULL THEN attempt END), '') AS last_error FROM a GROUP BY 1"""
 
 for _f in (
-    s1_page_source, c1_markdown, c3_page_title, c2_script_noise, c3_tier_route, c3_force_render, c4_scrape_urls, c5_pdf_text, k4_pdf_page_cap,
+    s1_page_source, c1_markdown, c1_main_content, c1_nested_markdown, c3_page_title, c2_script_noise, c3_tier_route, c3_force_render, c4_scrape_urls, c5_pdf_text, k4_pdf_page_cap,
     c6_content_length, k5_text_caps, a10_char_totals, s15_oversize, s14_fetch_outcome, w5_attempt_order,
 ):
     QUERIES[_f.__name__] = _f

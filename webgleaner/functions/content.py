@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, decode_entities, strip
+from .markup import CONTROLS, TAG, dense_run, markdown_of, tag_kinds, tag_tokens
+from .text import SPACE, decode_entities, let, strip
 
 # Shortest page text accepted from the static fetch; shortest main content.
 MIN_CONTENT_CHARS = 200
@@ -37,12 +38,7 @@ SCRIPT_MAX_LINES = 5
 SCRIPT_MIN_SEMICOLONS = 50
 
 _COMMENT_OR_CODE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
-_DROPPED = _COMMENT_OR_CODE + r"|<(nav|footer|iframe|head)\b[^>]*>.*?</\2\s*>"
-_TAG = r"<[a-zA-Z/!?][^>]*>"
-_BLOCKS = (
-    "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|header|"
-    "main|ol|p|pre|section|table|tbody|thead|tr|ul"
-)
+_DROPPED = _COMMENT_OR_CODE + rf"|<(nav|footer|iframe|head)\b[^>]*>.*?</\2\s*>|{CONTROLS}"
 _ATTRIBUTE = r"""[\s/]+(?!href[\s=/>])[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?+"""
 _ANCHOR = rf"""(?i)<a(?:{_ATTRIBUTE})*+[\s/]+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
 
@@ -104,48 +100,32 @@ def html_title(html: Column) -> Column:
 
 
 def _main_markup(live: Column, min_chars: int) -> Column:
-    """First article or main element when it holds enough text, else the whole body."""
+    """First article or main element when it holds enough text, else the densest run of blocks with as much, else the whole body."""
     main = F.regexp_extract(live, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
-    words = F.trim(F.regexp_replace(main, _TAG, ""), F.lit(" \t\r\n\f"))
-    return F.when(F.char_length(words) >= min_chars, main).otherwise(live)
-
-
-def _markup_to_markdown(markup: Column) -> Column:
-    """Markdown of a piece of markup without scripts, styles and comments."""
-    text = F.regexp_replace(markup, r"[\t\r\n\f]+", " ")
-    bold = (r"(?i)<(b|strong)\b[^>]*>([^<]*)</\1\s*>", "**$2**")
-    inline_rules = (
-        (r"(?i)<(i|em)\b[^>]*>([^<]*)</\1\s*>", "*$2*"),
-        bold,
-        (r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"'>]*)["'][^>]*>([^<]*)</a\s*>""", "[$2]($1)"),
-        bold,
-        (r"(?i)<code\b[^>]*>([^<]*)</code\s*>", "`$1`"),
-    )
-    for pattern, replacement in inline_rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = F.regexp_replace(text, r"(?i)<h([1-6])\b[^>]*> ?", "\n\n\x01$1")
-    for level in range(1, 7):
-        text = F.replace(text, F.lit(f"\x01{level}"), F.lit("#" * level + " "))
-    block_rules = (
-        (r"(?i)<li\b[^>]*> ?", "\n- "),
-        (r"(?i)<br\b[^>]*>", "\n"),
-        (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-        (r"(?i)</?t[dh]\b[^>]*>", " "),
-        (rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n\n"),
-        (_TAG, ""),
-    )
-    for pattern, replacement in block_rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = decode_entities(text)
-    text = F.regexp_replace(text, r"[ \xa0]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    dense = let(dense_run(live), lambda run: F.when(run["chars"] >= min_chars, run["markup"]).otherwise(live))
+
+    def chosen(m: Column) -> Column:
+        words = F.trim(F.regexp_replace(m, TAG, ""), F.lit(" \t\r\n\f"))
+        return F.when(F.char_length(words) >= min_chars, m).otherwise(dense)
+
+    return let(main, chosen)
+
+
+def with_main_content(pages: DataFrame, html: str = "html", min_main_chars: int = MIN_MAIN_CHARS) -> DataFrame:
+    """Add ``live`` (``html`` without comments, script, style, head, nav, footer and iframe) and ``run``, its densest blocks.
+
+    ``run`` is a struct of ``first, last, chars, blocks, markup`` (see ``dense_run``), NULL where they hold less than ``min_main_chars``.
+    """
+    live = pages.withColumn("live", F.regexp_replace(F.col(html), _DROPPED, ""))
+    run = live.withColumn("run", dense_run(F.col("live")))
+    return run.withColumn("run", F.when(F.col("run.chars") >= min_main_chars, F.col("run")))
 
 
 def with_markdown(
     pages: DataFrame, html: str = "html", name: str = "markdown", min_main_chars: int = MIN_MAIN_CHARS
 ) -> DataFrame:
-    """Add the Markdown of the main content of ``html``: the first article or main element with ``min_main_chars``, else the body.
+    """Add the Markdown of the main content of ``html``: the first article or main element with ``min_main_chars``, else the run of blocks
+    with the densest text, else the body.
 
     Comments, script, style, head, nav, footer and iframe go with their content. The steps are
     separate projections because a result is used more than once and must not be computed twice.
@@ -153,6 +133,8 @@ def with_markdown(
     return (
         pages.withColumn("_live", F.regexp_replace(F.col(html), _DROPPED, ""))
         .withColumn("_markup", _main_markup(F.col("_live"), min_main_chars))
-        .withColumn(name, F.coalesce(_markup_to_markdown(F.col("_markup")), F.lit("")))
-        .drop("_live", "_markup")
+        .withColumn("_tokens", tag_tokens(F.col("_markup")))
+        .withColumn("_kinds", tag_kinds(F.col("_markup")))
+        .withColumn(name, F.coalesce(markdown_of(F.arrays_zip("_tokens", "_kinds")), F.lit("")))
+        .drop("_live", "_markup", "_tokens", "_kinds")
     )

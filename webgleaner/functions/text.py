@@ -69,16 +69,20 @@ def decode_entities(text: Column) -> Column:
 
     Forms of the ampersand itself come last and in one pass, so nothing is decoded twice.
     """
-    common = text
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")):
-        common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
-    found = F.filter(
-        F.array_distinct(F.regexp_extract_all(common, F.lit(_ENTITY), F.lit(0))),
-        lambda e: ~e.rlike(_AMPERSAND),
-    )
-    decoded = F.aggregate(
-        found, common, lambda acc, e: F.replace(acc, e, F.coalesce(_entity_value(e), e))
-    )
-    return F.when(
-        F.contains(text, F.lit("&")), F.regexp_replace(decoded, _AMPERSAND, "&")
-    ).otherwise(text)
+    def decoded(text: Column) -> Column:
+        common = text
+        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")):
+            common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+        return let(common, others)
+
+    def others(common: Column) -> Column:
+        found = F.filter(
+            F.array_distinct(F.regexp_extract_all(common, F.lit(_ENTITY), F.lit(0))),
+            lambda e: ~e.rlike(_AMPERSAND),
+        )
+        made = F.aggregate(
+            found, common, lambda acc, e: F.replace(acc, e, F.coalesce(_entity_value(e), e))
+        )
+        return F.regexp_replace(made, _AMPERSAND, "&")
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
