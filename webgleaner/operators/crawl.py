@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url, url_host, url_path
-from ..session import materialize, work_folder
+from ..session import bucketed, materialize, work_folder
 from .rules import hosts_under
 from .scale import number_rows, small_or_whole, spread_join
 
@@ -58,13 +58,18 @@ def traverse(
     skip: DataFrame | None = None,
     redirects: bool = False,
     folder: str | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """First ``max_urls`` URLs per seed in breadth-first order: (seed_id, url, depth, rank).
 
     ``seeds`` has seed_id, url, max_depth, max_urls; ``children`` has url, resolved_url, children.
     ``skip`` (seed_id, url) is never entered, except for the seed itself. With ``redirects`` a final
-    URL hides links found on the same or a later page. One job per level; every level is written to
-    the shared folder, so the plan stays short and lost executors cost one level at most.
+    URL hides links found on the same or a later page. ``child_ok`` tests a child's URL, ``keep`` filters the new children
+    of a level as a table (seed_id, url and more), for rules that differ by seed.
+
+    A few jobs per level; every level is written to the shared folder, so the plan stays short and lost executors cost one level at most.
+    The links lie in buckets by URL, what was visited by seed and URL: a level shuffles its frontier and its children, never the link
+    table or an earlier level.
     """
     folder = folder or work_folder(seeds.sparkSession, "traverse")
     start = (
@@ -79,18 +84,21 @@ def traverse(
         )
         .where("url <> '' AND max_urls >= 1")
     )
-    level = materialize(start, f"{folder}/level-0")
+    level = bucketed(start, f"{folder}/level-0", ["seed_id", "url"])
     deepest = level.agg(F.max("max_depth")).first()[0] or 0
-    levels, finals = [level], []
+    levels, finals, seen = [level], [], [level]
     # Without an open seed no page is parsed for its links.
     if deepest > 0:
-        children = materialize(children, f"{folder}/children")
+        children = bucketed(children, f"{folder}/children", ["url"])
+        if skip is not None:
+            seen.append(bucketed(skip.select("seed_id", "url"), f"{folder}/skip", ["seed_id", "url"]))
     for depth in range(1, deepest + 1):
         open_rows = level.where((F.col("depth") < F.col("max_depth")) & (F.col("level_end") < F.col("max_urls")))
         pages = spread_join(open_rows, children, ["url"])
         if redirects:
             landed = spread_join(level, children.select("url", "resolved_url"), ["url"])
-            finals.append(landed.select("seed_id", F.col("resolved_url").alias("url"), "rank"))
+            landed = landed.groupBy("seed_id", F.col("resolved_url").alias("url")).agg(F.min("rank").alias("final_rank"))
+            finals.append(bucketed(landed, f"{folder}/final-{depth}", ["seed_id", "url"]))
         found = pages.select(
             "seed_id",
             F.col("rank").alias("parent_rank"),
@@ -104,15 +112,15 @@ def traverse(
         first = found.groupBy("seed_id", "url").agg(
             F.min(F.struct("parent_rank", "pos", "level_end", "max_urls", "max_depth")).alias("at")
         )
-        seen = _union([t.select("seed_id", "url") for t in levels])
-        if skip is not None:
-            seen = seen.unionByName(skip.select("seed_id", "url"))
-        fresh = first.join(seen, ["seed_id", "url"], "left_anti")
-        if redirects:
-            hidden = _union(finals).groupBy("seed_id", "url").agg(F.min("rank").alias("final_rank"))
+        fresh = first
+        for table in seen:
+            fresh = fresh.join(table.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
+        for hidden in finals:
             fresh = fresh.join(hidden, ["seed_id", "url"], "left").where(
                 F.col("final_rank").isNull() | (F.col("at.parent_rank") < F.col("final_rank"))
-            )
+            ).drop("final_rank")
+        if keep is not None:
+            fresh = keep(fresh)
         numbered = number_rows(
             fresh.select("seed_id", "url", "at.*"),
             ["seed_id"],
@@ -123,15 +131,16 @@ def traverse(
         ranked = numbered.withColumn("rank", F.col("level_end") + F.col("n")).where(
             F.col("rank") <= F.col("max_urls")
         )
-        reached = materialize(
-            ranked.select("seed_id", "url", F.lit(depth).alias("depth"), "rank", "max_urls", "max_depth"), f"{folder}/level-{depth}"
+        reached = bucketed(
+            ranked.select("seed_id", "url", F.lit(depth).alias("depth"), "rank", "max_urls", "max_depth"), f"{folder}/level-{depth}", ["seed_id", "url"]
         )
+        seen.append(reached)
         if reached.isEmpty():
             break
         # One row per seed: a map-side maximum, joined back.
         ends = reached.groupBy("seed_id").agg(F.max("rank").alias("level_end"))
         level = materialize(reached.join(ends, "seed_id"), f"{folder}/open-{depth}")
-        levels.append(level)
+        levels.append(reached)
     return _union([t.select("seed_id", "url", "depth", "rank") for t in levels])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,17 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives executor loss, gives real sizes."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Write ``df`` once, dealt by ``keys`` into as many buckets as there are shuffle partitions.
+
+    Joins and aggregates on all of ``keys`` then read it as it lies: only the other side is shuffled, however often it is joined.
+    The files are in the shared folder; the table's name lasts as long as the session.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"webgleaner_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    placed.option("path", path).saveAsTable(name)
+    return spark.table(name)
