@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.links import link_edges, with_links
 from ..operators.metrics import research_summary
+from ..operators.request_rules import filter_by_request_rules
 from ..operators.summary import run_summaries
 from ..plans import crawl_job, extract_job, map_job, research_job
 from ..sources import crawl_envelopes, extract_envelopes, map_envelopes, research_envelopes
@@ -10,7 +12,7 @@ from . import sites
 from .answers import _echo_model, _summary_model
 from .common import HOST, pages
 from .content import markdown_sql
-from .links import _PAGE_CRAWL, _page_seeds
+from .links import _LINKS, _PAGE_CRAWL, _page_seeds
 
 QUERIES, ORACLES = {}, {}
 
@@ -132,5 +134,94 @@ ORACLES["r4_extract_answers"] = f"""WITH {markdown_sql('pages')}, b AS (SELECT p
 SELECT request_id, CAST(count(*) AS INTEGER) AS total_urls, CAST(count(*) FILTER (failed) AS INTEGER) AS failed_urls, count(*) FILTER (failed) = 0 AS success,
  arg_min(url, page_id) AS first_url FROM b GROUP BY 1 HAVING NOT bool_or(bad)"""
 
+# Rules by request: those of number 0 modulo 3 have none, those of 1 exclude and block, those of 2 include and allow; one pattern is not usable.
+_RULE_ROWS = (
+    (1, "exclude", "^/[a-mA-M]"), (1, "exclude", "(("), (1, "block", ".Example.NET "), (1, "block", "  "), (2, "include", "e$"), (2, "include", "^/[t-z]"),
+    (2, "include", "*"), (2, "allow", "example.com"), (2, "allow", "Example.org"),
+)
+
+
+def _rules_by_request(spark, requests):
+    rows = spark.createDataFrame(_RULE_ROWS, "number int, kind string, value string")
+    return requests.join(F.broadcast(rows), F.col("request_id") % 3 == F.col("number")).select("request_id", "kind", "value")
+
+
+def _domain_ok(request: str, host: str) -> str:
+    under = lambda d: f"({host} = '{d}' OR ends_with({host}, '.{d}'))"
+    return f"({request} % 3 = 0 OR ({request} % 3 = 1 AND NOT {under('example.net')}) OR ({request} % 3 = 2 AND ({under('example.com')} OR {under('example.org')})))"
+
+
+def _path_ok(request: str, path: str) -> str:
+    return f"({request} % 3 = 0 OR ({request} % 3 = 1 AND NOT regexp_matches({path}, '^/[a-mA-M]')) OR ({request} % 3 = 2 AND regexp_matches({path}, 'e$|^/[t-z]')))"
+
+
+def p8_request_domains(spark, sf):
+    """Every page asked for by three requests with unlike domain rules."""
+    asked = pages(spark, sf, "page_id", "url", "explode(array(3, 4, 5)) AS request_id")
+    rules = _rules_by_request(spark, spark.range(3, 6).select(F.col("id").cast("int").alias("request_id")))
+    return filter_by_request_rules(asked, rules, paths=False).select("request_id", "page_id")
+
+
+ORACLES["p8_request_domains"] = f"SELECT r AS request_id, page_id FROM pages, (SELECT unnest([3, 4, 5]) AS r) WHERE {_domain_ok('r', HOST)}"
+
+_LINK_PATH = "regexp_replace(dst_url, '^[^:]+://[^/?#]*', '')"
+
+
+def p7_request_paths(spark, sf):
+    """Links of all pages under the path rules of three requests."""
+    edges = link_edges(with_links(pages(spark, sf, "url", "html")))
+    asked = edges.select("src_url", "dst_url", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("request_id"))
+    rules = _rules_by_request(spark, asked.select("request_id").distinct())
+    kept = filter_by_request_rules(asked, rules, url="dst_url", domains=False)
+    return kept.groupBy("request_id", "src_url").agg(F.count(F.lit(1)).alias("links"))
+
+
+ORACLES["p7_request_paths"] = f"""WITH {_LINKS} SELECT r AS request_id, src_url, count(*) AS links FROM links, (SELECT unnest([3, 4, 5]) AS r)
+ WHERE {_path_ok('r', _LINK_PATH)} GROUP BY 1, 2"""
+
+
+def r1_request_rules(spark, sf):
+    """Searches with unlike domain rules in one job."""
+    searches = _searches(spark, sf)
+    made = research_job(searches, pages(spark, sf, "url", "html"), block=_BLOCK, rules=_rules_by_request(spark, searches.select("request_id")))
+    return made.select("request_id", "rank", "url", "title", "fetch_method")
+
+
+ORACLES["r1_request_rules"] = f"""WITH {_RESEARCH} SELECT request_id, rank, url, concat('Title ', page_id) AS title,
+ CASE WHEN ok THEN 'httpx' ELSE 'playwright-failed' END AS fetch_method FROM r WHERE {_domain_ok('request_id', HOST)}"""
+
+
+def r2_request_rules(spark, sf):
+    """Crawls with unlike domain and path rules in one job."""
+    seeds, responses = _page_seeds(spark, sf)
+    rules = _rules_by_request(spark, seeds.select(F.col("seed_id").alias("request_id")))
+    made, _ = crawl_job(seeds, responses, rules=rules)
+    return made.select("seed_id", "rank", "url", "depth", "fetch_method", "links_found")
+
+
+ORACLES["r2_request_rules"] = f"""WITH {_PAGE_CRAWL}, good AS (SELECT page_id FROM pages WHERE {_domain_ok('page_id', HOST)}),
+kl AS (SELECT s.page_id AS seed_id, l.dst_url, 1 + row_number() OVER (PARTITION BY s.page_id ORDER BY l.pos) AS rank, s.cap
+ FROM s JOIN good USING (page_id) JOIN owner USING (url) JOIN ok USING (owner) JOIN links l ON l.page_id = owner.owner WHERE {_path_ok('s.page_id', 'l.' + _LINK_PATH).replace('l.regexp_replace(dst_url', 'regexp_replace(l.dst_url')}),
+kn AS (SELECT seed_id, count(*) AS n FROM kl GROUP BY 1)
+SELECT s.page_id AS seed_id, 1 AS rank, s.url, 0 AS depth, CASE WHEN ok.owner IS NULL THEN 'playwright-failed' ELSE 'httpx' END AS fetch_method,
+ CAST(coalesce(kn.n, 0) AS INTEGER) AS links_found FROM s JOIN good USING (page_id) JOIN owner USING (url) LEFT JOIN ok USING (owner) LEFT JOIN kn ON kn.seed_id = s.page_id
+UNION ALL SELECT seed_id, rank, dst_url, 1, 'playwright-failed', 0 FROM kl WHERE rank <= cap"""
+
+
+def r4_request_rules(spark, sf):
+    """Extract requests under their own domain rules: one rejected URL rejects the request."""
+    specs = pages(
+        spark, sf, "page_id div 2 AS request_id", "CAST(page_id % 2 AS INT) AS position", "url", "'list all the prices' AS prompt", "false AS force_js_render"
+    )
+    rules = _rules_by_request(spark, specs.select("request_id").distinct())
+    data, _ = extract_job(specs, pages(spark, sf, "url", "html"), "per_page", _echo_model, rules=rules)
+    return data.groupBy("request_id").agg(F.count(F.lit(1)).alias("urls"))
+
+
+ORACLES["r4_request_rules"] = f"""SELECT page_id // 2 AS request_id, count(*) AS urls FROM pages GROUP BY 1 HAVING bool_and({_domain_ok('(page_id // 2)', HOST)})"""
+
+for _f in (p8_request_domains, p7_request_paths, r1_request_rules, r2_request_rules, r4_request_rules):
+    QUERIES[_f.__name__] = _f
+
 for _f in (r1_research, r1_research_summary, s12_research_envelope, r2_crawl_answers, r3_map_answers, r4_extract_answers):
     QUERIES[_f.__name__] = _f

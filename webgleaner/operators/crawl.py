@@ -148,13 +148,14 @@ def crawl(
     seeds: DataFrame,
     scraped: DataFrame,
     child_ok: Callable[[Column], Column] | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Content crawl: the traversal joined to the page contents, one row per visited URL.
 
     ``scraped`` has url, fetch_method, markdown_content, content_length, error, links (distinct links
     resolved against the requested URL). A URL without a page is a failed fetch and counts.
     """
-    order = traverse(seeds.withColumnRenamed("max_pages", "max_urls"), child_table(scraped), child_ok)
+    order = traverse(seeds.withColumnRenamed("max_pages", "max_urls"), child_table(scraped), child_ok, keep=keep)
     pages = scraped.select(
         "url",
         "fetch_method",
