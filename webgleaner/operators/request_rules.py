@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hosts import clean_domain, host_suffixes
@@ -23,15 +23,12 @@ RULE_FIELDS = {"allow_domains": "allow", "block_domains": "block", "include_path
 
 def request_rules(checked: DataFrame, request: str = "request_id", doc: str = "doc") -> DataFrame:
     """Rule rows of requests given as VARIANT documents (see ``check_requests``); blank entries are no rules."""
-    lists = F.array(
-        *(
-            F.transform(
-                F.coalesce(F.try_variant_get(F.col(doc), f"$.{field}", "array<string>"), F.array().cast("array<string>")),
-                lambda value, kind=F.lit(kind): F.struct(kind.alias("kind"), value.alias("value")),
-            )
-            for field, kind in RULE_FIELDS.items()
-        )
-    )
+
+    def listed(field: str, kind: str) -> Column:
+        values = F.try_variant_get(F.col(doc), f"$.{field}", "array<string>")
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    lists = F.array(*(listed(field, kind) for field, kind in RULE_FIELDS.items()))
     rows = checked.select(F.col(request).alias("request_id"), F.explode(F.flatten(lists)).alias("rule"))
     return rows.select("request_id", "rule.kind", "rule.value").where(~is_blank(F.col("value"))).distinct()
 
