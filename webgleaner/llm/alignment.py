@@ -30,8 +30,8 @@ from .common import by_value, give_back, groups_of, packed, prepared, stage, unp
 
 by_value(__name__)
 
-CHUNK_PARTS = 1 << 21  # parts of a chunk, about
-KEEP_PARTS = 300_000  # aligned parts met lately that a worker keeps, and as many met before
+CHUNK_PARTS = 1 << 20  # parts of a chunk, about
+KEEP_PARTS = 200_000  # aligned parts met lately that a worker keeps, and as many met before
 LARGE_GROUP = 10_000  # links of a group from which its pairs are made of distinct ids
 BUCKET_PAIRS = 500_000  # id pairs of a bucket, about
 SPREAD = 1_000_003  # a prime: pairs are dealt to buckets by the remainder
