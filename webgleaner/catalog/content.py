@@ -124,7 +124,7 @@ def c1_nested_markdown(spark, sf):
     return C.with_markdown(made).select("l_orderkey", "markdown")
 
 
-ORACLES["c1_nested_markdown"] = """WITH x AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber AS line, l_partkey AS part, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem),
+ORACLES["c1_nested_markdown"] = r"""WITH x AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber AS line, l_partkey AS part, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, flag ORDER BY line, part, quantity) AS number FROM x),
 f AS (SELECT l_orderkey, flag, concat('- Flag **', flag, '**', string_agg(concat(chr(10), '  ', number, '. part ', part), '' ORDER BY number)) AS item FROM k GROUP BY 1, 2),
 l AS (SELECT l_orderkey, count(*) AS n, string_agg(item, chr(10) ORDER BY flag) AS items FROM f GROUP BY 1),
