@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.hosts import is_safe_url
 from ..functions.urls import normalize_url
 from ..operators import crawl as T
 from ..operators import links as L
+from ..operators.rules import safe_urls
 from ..operators.scale import spread_join
 from ..plans.jobs import crawl_job
 from .common import SITE, pages, table
@@ -203,8 +203,7 @@ SELECT page_id AS seed_id, 1 + coalesce(n, 0) AS total_pages, CASE WHEN n > 0 TH
 def j2_unvisited_links(spark, sf):
     """Links that lead to no stored page."""
     edges = L.link_edges(L.with_links(pages(spark, sf, "url", "html")))
-    visited = pages(spark, sf, "url").select(normalize_url(F.col("url")).alias("dst_url"))
-    return edges.join(visited, "dst_url", "left_anti").groupBy("src_url").agg(F.count(F.lit(1)).alias("open_links"))
+    return L.unvisited_edges(edges, pages(spark, sf, "url")).groupBy("src_url").agg(F.count(F.lit(1)).alias("open_links"))
 
 
 ORACLES["j2_unvisited_links"] = f"""WITH {_LINKS}, v AS (SELECT {NORM} AS u FROM pages)
@@ -228,8 +227,8 @@ SELECT o_orderkey, {_NODE.format('k')} AS url, CAST(coalesce(c, 0) AS INTEGER) A
 
 def g2_safe_children(spark, sf):
     """Links of all pages that pass the safety test before they are entered."""
-    linked = L.with_links(pages(spark, sf, "url", "html"))
-    return linked.select("url", F.explode("links").alias("child")).where(is_safe_url(F.col("child"))).groupBy("url").agg(F.count(F.lit(1)).alias("children"))
+    edges = L.link_edges(L.with_links(pages(spark, sf, "url", "html")))
+    return safe_urls(edges, "dst_url").groupBy(F.col("src_url").alias("url")).agg(F.count(F.lit(1)).alias("children"))
 
 
 ORACLES["g2_safe_children"] = f"WITH {_LINKS} SELECT src_url AS url, count(*) AS children FROM links GROUP BY 1"

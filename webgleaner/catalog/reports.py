@@ -6,7 +6,7 @@ from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import tasks as K
 from ..session import work_folder
-from ..sources.readers import parse_log_lines, search_hits
+from ..sources.readers import hit_titles, parse_log_lines, search_hits
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -185,7 +185,7 @@ def j1_hit_titles(spark, sf):
     """Title per request and URL; of a URL listed twice the later title counts."""
     df = table(spark, sf, "orders").selectExpr(*_SEARCH)
     hits = search_hits(df, 20).withColumn("url", F.concat(F.lit("https://r"), (F.col("rank") % 3).cast("string"), F.lit(".example.com/")))
-    return hits.groupBy("request_id", "url").agg(F.max_by("title", "rank").alias("title"))
+    return hit_titles(hits)
 
 
 ORACLES["j1_hit_titles"] = """WITH h AS (SELECT o_orderkey AS request_id, i, concat('https://r', i % 3, '.example.com/') AS url, CASE WHEN i % 2 = 0 THEN concat('T', i) ELSE '' END AS title

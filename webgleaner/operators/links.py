@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import anchor_hrefs
 from ..functions.hosts import is_safe_url
-from ..functions.urls import link_target, split_url
+from ..functions.urls import link_target, normalize_url, split_url
 
 # The usual limit of an accepted body in bytes, for ``max_bytes``.
 MAX_BODY_BYTES = 50 * 1024 * 1024
@@ -55,6 +55,12 @@ def link_edges(pages: DataFrame, links: str = "links", base: str = "url") -> Dat
     return pages.select(F.col(base).alias("src_url"), F.posexplode(links).alias("pos", "dst_url"))
 
 
+def unvisited_edges(edges: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
+    """Edges that lead to none of the ``visited`` URLs, whose canonical form counts. A side of known small size is broadcast."""
+    known = visited.select(normalize_url(F.col(url)).alias("dst_url")).distinct()
+    return edges.join(known, "dst_url", "left_anti").select(*edges.columns)
+
+
 def fetch_error(
     status: Column, final_url: Column, declared: Column, size: Column, max_bytes: int | None = None
 ) -> Column:

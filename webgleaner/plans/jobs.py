@@ -16,7 +16,7 @@ from ..operators.links import fetched_links, with_links
 from ..operators.request_rules import filter_by_request_rules
 from ..operators.rules import accepted_requests
 from ..session import materialize, work_folder
-from ..sources.readers import search_hits
+from ..sources.readers import hit_titles, search_hits
 
 
 def seed_gate(
@@ -59,9 +59,8 @@ def research_job(
     kept = hits.where(is_safe_url(F.col("url")) & domain_allowed(F.col("url"), allow, block))
     if rules is not None:
         kept = filter_by_request_rules(kept, rules, paths=False)
-    titles = kept.groupBy("request_id", "url").agg(F.max_by("title", "rank").alias("title"))
     pages = scrape_urls(kept.select("request_id", "rank", "url"), responses)
-    return pages.join(titles, ["request_id", "url"], "left").select(
+    return pages.join(hit_titles(kept), ["request_id", "url"], "left").select(
         "request_id", "rank", "url", "title", "fetch_method", "markdown_content", "content_length", "error"
     )
 

@@ -55,6 +55,11 @@ def search_hits(searches: DataFrame, max_results: Column | int = 5) -> DataFrame
     )
 
 
+def hit_titles(hits: DataFrame) -> DataFrame:
+    """(request_id, url, title): of a URL listed twice in a search the later title counts."""
+    return hits.groupBy("request_id", "url").agg(F.max_by("title", "rank").alias("title"))
+
+
 def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON log lines as columns; a line that is not JSON is kept in ``_corrupt_record``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
