@@ -1,6 +1,6 @@
 """Nested JSON answers, one per request.
 
-Groups are bounded by the request limits: 20 results, 100 pages, 5000 URLs, 20 extractions.
+An answer is one value, so all rows of a request meet in one: bound them by the limits of the requests (``validate``) or by the job's arguments.
 """
 
 from __future__ import annotations
