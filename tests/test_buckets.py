@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from webgleaner.operators import crawl as T
+from webgleaner.operators import scale
+from webgleaner.operators.discovery import run_discovery
 from webgleaner.session import bucketed, work_folder
 
 
@@ -68,3 +70,64 @@ def test_rules_by_seed_filter_children(spark):
     order = T.traverse(seeds, T.child_table(pages), keep=lambda found: found.where("seed_id = 1 OR NOT url LIKE '%/2'"))
     got = {s: {r.url.rsplit("/", 1)[1] for r in order.where(f"seed_id = {s}").collect()} for s in (1, 2)}
     assert got == {1: set("0123456"), 2: set("0134")}
+
+
+def test_buckets_up_to_the_limit(spark):
+    rows = spark.range(5000).selectExpr("id % 4 AS k", "id div 4 AS place", "CAST(id % 4 * 400 AS INT) AS most").where("k < 3 OR place < 30")
+    cut = scale.first_buckets(rows, ["k"], F.floor(F.col("place") / 64), F.col("most"), work_folder(spark, "test"))
+    got = {(r.k, r.bucket): (r.before, r.total) for r in cut.collect()}
+    # Nothing of a key whose limit is 0; the last bucket of a key starts below its limit; a key with few rows has all its buckets.
+    want = {(1, b): (64 * b, 1250) for b in range(7)} | {(2, b): (64 * b, 1250) for b in range(13)} | {(3, 0): (0, 30)}
+    assert got == want
+    empty = scale.first_buckets(rows.where("k > 9"), ["k"], F.col("place"), F.col("most"), work_folder(spark, "test"))
+    assert empty.count() == 0 and empty.columns == ["k", "bucket", "before", "total"]
+
+
+def test_only_rows_up_to_the_limit_are_numbered(spark, monkeypatch):
+    """Each level numbers at most the limit and one bucket of parents per seed; results are those of the whole level."""
+    numbered = {}
+
+    def noted(df, path, keys):
+        name = path.rsplit("/", 1)[-1]
+        out = bucketed(df, path, keys)
+        if name.startswith("level-") and name != "level-0":
+            windows = []
+
+            def walk(node):
+                if node.nodeName() == "Window":
+                    windows.append(node)
+                for i in range(node.children().size()):
+                    walk(node.children().apply(i))
+
+            walk(df._jdf.queryExecution().optimizedPlan())
+            below = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(df._jdf.sparkSession(), windows[0].child())
+            numbered[name] = below.count()
+        return out
+
+    monkeypatch.setattr(T, "bucketed", noted)
+    monkeypatch.setattr(T, "_PARENTS_PER_BUCKET", 2)
+    # Ten links a page: the third level has 1,000 pages.
+    links = [(f"http://a.test/{i}", [f"http://a.test/{10 * i + k}" for k in range(1, 11)]) for i in range(1200)]
+    pages = spark.createDataFrame(links, "url string, links array<string>")
+    seeds = [(1, "http://a.test/0", 3, 130), (2, "http://a.test/0", 3, 5), (3, "http://a.test/0", 1, 4000)]
+    order = T.traverse(spark.createDataFrame(seeds, "seed_id int, url string, max_depth int, max_urls int"), T.child_table(pages))
+    got = {s: [int(r.url.rsplit("/", 1)[1]) for r in order.where(f"seed_id = {s}").orderBy("rank").collect()] for s in (1, 2, 3)}
+    assert got == {1: list(range(130)), 2: list(range(5)), 3: list(range(11))}
+    # Level 3: one bucket of two parents has 20 URLs, more than seed 1 lacks; without the cut-off it would be 1,000.
+    assert numbered == {"level-1": 30, "level-2": 100, "level-3": 20}
+
+
+def test_sitemap_documents_beyond_the_limit_are_left(spark):
+    site = "https://lake.org"
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{site}/m{i}.xml</loc></sitemap>" for i in range(4)) + "</sitemapindex>"
+    lists = [
+        (f"{site}/m{i}.xml", 200, "text/xml", "<urlset>" + "".join(f"<url><loc>{site}/{i}/{j}</loc></url>" for j in range(6)) + "</urlset>") for i in range(4)
+    ]
+    files = spark.createDataFrame([(f"{site}/sitemap.xml", 200, "text/xml", index), *lists], "url string, status int, content_type string, text string")
+    fetched = spark.createDataFrame([(f"{site}/", f"{site}/", [f"{site}/0/0", f"{site}/new"])], "url string, resolved_url string, links array<string>")
+    requests = [(n, site, "hybrid", n, 1) for n in (1, 6, 8, 24, 25, 99)]
+    asked = spark.createDataFrame(requests, "seed_id int, url string, discovery_method string, max_urls int, max_depth int")
+    urls, _ = run_discovery(asked, fetched, files)
+    got = {n: [r.path for r in urls.where(f"seed_id = {n}").orderBy("rank").collect()] for n, *_ in requests}
+    listed = [f"/{i}/{j}" for i in range(4) for j in range(6)]
+    assert got == {1: listed[:1], 6: listed[:6], 8: listed[:8], 24: listed, 25: [*listed, "/"], 99: [*listed, "/", "/new"]}

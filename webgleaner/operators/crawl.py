@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url, url_host, url_path
-from ..session import bucketed, materialize, work_folder
+from ..session import bucketed, work_folder
 from .rules import hosts_under
-from .scale import number_rows, small_or_whole, spread_join
+from .scale import first_buckets, small_or_whole, spread_join
 
 # Parents per numbering bucket.
 _PARENTS_PER_BUCKET = 64
@@ -67,7 +67,9 @@ def traverse(
     URL hides links found on the same or a later page. ``child_ok`` tests a child's URL, ``keep`` filters the new children
     of a level as a table (seed_id, url and more), for rules that differ by seed.
 
-    A few jobs per level; every level is written to the shared folder, so the plan stays short and lost executors cost one level at most.
+    Two jobs per level: a histogram of the new children over their parents' ranks finds where the limit of each seed falls, then only the parents
+    up to there are opened, and the limit's rows and those of one bucket of parents at most are sorted and numbered. Every level is written to
+    the shared folder, so the plan stays short and lost executors cost one level at most.
     The links lie in buckets by URL, what was visited by seed and URL: a level shuffles its frontier and its children, never the link
     table or an earlier level.
     """
@@ -92,55 +94,59 @@ def traverse(
         children = bucketed(children, f"{folder}/children", ["url"])
         if skip is not None:
             seen.append(bucketed(skip.select("seed_id", "url"), f"{folder}/skip", ["seed_id", "url"]))
-    for depth in range(1, deepest + 1):
-        open_rows = level.where((F.col("depth") < F.col("max_depth")) & (F.col("level_end") < F.col("max_urls")))
-        pages = spread_join(open_rows, children, ["url"])
-        if redirects:
-            landed = spread_join(level, children.select("url", "resolved_url"), ["url"])
-            landed = landed.groupBy("seed_id", F.col("resolved_url").alias("url")).agg(F.min("rank").alias("final_rank"))
-            finals.append(bucketed(landed, f"{folder}/final-{depth}", ["seed_id", "url"]))
-        found = pages.select(
-            "seed_id",
-            F.col("rank").alias("parent_rank"),
-            "level_end",
-            "max_urls",
-            "max_depth",
-            F.posexplode("children").alias("pos", "url"),
+    bucket = F.floor(F.col("parent_rank") / F.lit(_PARENTS_PER_BUCKET))
+
+    def fresh_children(parents: DataFrame) -> DataFrame:
+        """Children not visited yet, each at its first place: seed_id, url, parent_rank, pos and what the parents carry."""
+        carried = [c for c in parents.columns if c not in ("seed_id", "url", "parent_rank")]
+        found = spread_join(parents, children, ["url"]).select(
+            "seed_id", "parent_rank", *carried, F.posexplode("children").alias("pos", "url")
         ).where(F.col("url") != "")
         if child_ok is not None:
             found = found.where(child_ok(F.col("url")))
-        first = found.groupBy("seed_id", "url").agg(
-            F.min(F.struct("parent_rank", "pos", "level_end", "max_urls", "max_depth")).alias("at")
-        )
-        fresh = first
+        fresh = found.groupBy("seed_id", "url").agg(F.min(F.struct("parent_rank", "pos", *carried)).alias("at"))
         for table in seen:
             fresh = fresh.join(table.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
         for hidden in finals:
             fresh = fresh.join(hidden, ["seed_id", "url"], "left").where(
                 F.col("final_rank").isNull() | (F.col("at.parent_rank") < F.col("final_rank"))
             ).drop("final_rank")
-        if keep is not None:
-            fresh = keep(fresh)
-        numbered = number_rows(
-            fresh.select("seed_id", "url", "at.*"),
-            ["seed_id"],
-            F.floor(F.col("parent_rank") / F.lit(_PARENTS_PER_BUCKET)),
-            [F.col("parent_rank"), F.col("pos")],
-            "n",
+        return (fresh if keep is None else keep(fresh)).select("seed_id", "url", "at.*")
+
+    for depth in range(1, deepest + 1):
+        open_rows = level.where((F.col("depth") < F.col("max_depth")) & (F.col("level_end") < F.col("max_urls")))
+        parents = open_rows.select("seed_id", "url", F.col("rank").alias("parent_rank"), "level_end", "max_urls", "max_depth")
+        if redirects:
+            landed = spread_join(level, children.select("url", "resolved_url"), ["url"])
+            landed = landed.groupBy("seed_id", F.col("resolved_url").alias("url")).agg(F.min("rank").alias("final_rank"))
+            finals.append(bucketed(landed, f"{folder}/final-{depth}", ["seed_id", "url"]))
+        room = F.col("max_urls") - F.col("level_end")
+        cut = first_buckets(
+            fresh_children(parents.select("seed_id", "url", "parent_rank", "level_end", "max_urls")), ["seed_id"], bucket, room, f"{folder}/cut-{depth}"
         )
-        ranked = numbered.withColumn("rank", F.col("level_end") + F.col("n")).where(
-            F.col("rank") <= F.col("max_urls")
+        if cut.isEmpty():
+            break
+        # A child counts where its first parent stands: parents beyond the cut-off add no row within the limit and are not opened again.
+        chosen = parents.withColumn("bucket", bucket).join(cut, ["seed_id", "bucket"])
+        in_bucket = Window.partitionBy("seed_id", "bucket").orderBy("parent_rank", "pos")
+        numbered = fresh_children(chosen).withColumn(
+            "rank", F.col("level_end") + F.col("before") + F.row_number().over(in_bucket)
         )
-        reached = bucketed(
-            ranked.select("seed_id", "url", F.lit(depth).alias("depth"), "rank", "max_urls", "max_depth"), f"{folder}/level-{depth}", ["seed_id", "url"]
+        level = bucketed(
+            numbered.where(F.col("rank") <= F.col("max_urls")).select(
+                "seed_id",
+                "url",
+                F.lit(depth).alias("depth"),
+                "rank",
+                F.least(F.col("max_urls"), F.col("level_end") + F.col("total")).alias("level_end"),
+                "max_urls",
+                "max_depth",
+            ),
+            f"{folder}/level-{depth}",
+            ["seed_id", "url"],
         )
-        seen.append(reached)
-        if reached.isEmpty():
-            break
-        # One row per seed: a map-side maximum, joined back.
-        ends = reached.groupBy("seed_id").agg(F.max("rank").alias("level_end"))
-        level = materialize(reached.join(ends, "seed_id"), f"{folder}/open-{depth}")
-        levels.append(reached)
+        seen.append(level)
+        levels.append(level)
     return _union([t.select("seed_id", "url", "depth", "rank") for t in levels])
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
 from ..session import materialize, work_folder
 from .crawl import discover
-from .scale import number_rows
-from .sitemaps import locate_sitemaps, read_sitemaps
+from .scale import first_buckets
+from .sitemaps import locate_sitemaps, sitemap_documents, urlset_rows
 
 # Entries per numbering bucket inside one sitemap document.
 _ENTRIES_PER_BUCKET = 10_000
@@ -41,26 +41,25 @@ def run_discovery(
     seeds = materialize(seeds, f"{folder}/seeds")
     by_map = seeds.where(F.col("discovery_method") != "crawl")
     located = materialize(locate_sitemaps(by_map.select("seed_id", "base_url"), site_files), f"{folder}/located")
-    entries = read_sitemaps(
-        located,
-        site_files.where(F.col("status") == 200).select("url", "text"),
-        include,
-        exclude,
-        include_subdomains,
-        strip_query,
-        f"{folder}/sitemaps",
+    documents = sitemap_documents(
+        located, site_files.where(F.col("status") == 200).select("url", "text"), f"{folder}/sitemaps"
     )
-    entries = materialize(entries, f"{folder}/entries")
-    numbered = number_rows(
-        entries,
-        ["seed_id"],
-        F.struct("trail", F.floor(F.col("pos") / F.lit(_ENTRIES_PER_BUCKET)).alias("part")),
-        [F.col("trail"), F.col("pos")],
-        "rank",
+    limited = documents.join(seeds.select("seed_id", "max_urls"), "seed_id")
+    part = F.struct("trail", F.floor(F.col("pos") / F.lit(_ENTRIES_PER_BUCKET)).alias("part"))
+
+    def entries_of(chosen: DataFrame) -> DataFrame:
+        return urlset_rows(chosen, include, exclude, include_subdomains, strip_query).withColumn("bucket", part)
+
+    # What is over a request's limit is not kept: such a request is full, and is not traversed. Documents that start beyond
+    # the limit are counted, but their entries are neither written nor sorted.
+    cut = first_buckets(entries_of(limited), ["seed_id"], F.col("bucket"), F.col("max_urls"), f"{folder}/cut")
+    first = limited.join(cut.select("seed_id", F.col("bucket.trail").alias("trail")).distinct(), ["seed_id", "trail"], "left_semi")
+    in_bucket = Window.partitionBy("seed_id", "bucket").orderBy("pos")
+    numbered = entries_of(first).join(cut.drop("total"), ["seed_id", "bucket"]).withColumn(
+        "rank", F.col("before") + F.row_number().over(in_bucket)
     )
-    # What is over a request's limit is not kept: such a request is full, and is not traversed.
-    limited = numbered.join(seeds.select("seed_id", "max_urls"), "seed_id").where("rank <= max_urls")
-    listed = materialize(limited.select(*_COLUMNS, F.col("rank").cast("bigint").alias("rank")), f"{folder}/listed")
+    listed = numbered.where("rank <= max_urls").select(*_COLUMNS, F.col("rank").cast("bigint").alias("rank"))
+    listed = materialize(listed, f"{folder}/listed")
     counts = listed.groupBy("seed_id").agg(F.max("rank").alias("listed"))
     limits = seeds.join(counts, "seed_id", "left").select(
         "seed_id", "url", "discovery_method", "max_urls", "max_depth", F.coalesce("listed", F.lit(0)).alias("listed")

@@ -87,3 +87,24 @@ def number_rows(
     """1-based row number per key in the given order, by bucket; with ``at_most`` only the first rows stay."""
     numbered = running_totals(df, keys, bucket, order, {name: F.lit(1)})
     return numbered if at_most is None else numbered.where(F.col(name) <= at_most)
+
+
+def first_buckets(rows: DataFrame, keys: Sequence[str], bucket: Column, limit: Column, path: str) -> DataFrame:
+    """Where the first ``limit`` rows per key lie: (keys, bucket, before, total), one row per bucket, written to ``path``.
+
+    A histogram of the order: ``bucket`` must not decrease along it. ``before`` is the number of rows in earlier buckets, ``total`` that of
+    the key. Buckets that start at or beyond the limit are left out, so whoever reads only the buckets listed reads the limit and one
+    bucket at most. ``limit`` is the same for all rows of a key. Only counts are shuffled and written.
+    """
+    placed = rows.select(*keys, bucket.alias("bucket"), limit.alias("_limit"))
+    counts = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("_rows"), F.max("_limit").alias("_limit"))
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    found = counts.select(
+        *keys,
+        "bucket",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("before"),
+        F.sum("_rows").over(of_key).alias("total"),
+        "_limit",
+    )
+    return materialize(found.where(F.col("before") < F.col("_limit")).drop("_limit"), path)

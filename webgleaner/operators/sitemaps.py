@@ -86,7 +86,7 @@ def locate_sitemaps(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     robots = responses.where(F.endswith("url", F.lit("/robots.txt")) & (F.col("status") == 200)).select(
         F.col("url").alias("_robots_url"), robots_sitemap(F.col("text")).alias("_directive")
     )
-    # Many seeds may share a site, so both joins split hot sites.
+    # Many seeds may share a site: nothing stands on top of the joins, so that adaptive execution may split hot sites.
     joined = spread_join(spread_join(asked, maps, ["_map_url"], "left"), robots, ["_robots_url"], "left")
     usable = (
         (F.col("_directive") != "")
@@ -172,11 +172,21 @@ def read_sitemaps(
     max_bytes: int | None = None,
     max_levels: int | None = None,
 ) -> DataFrame:
-    """Entries of each seed's sitemap, nested indexes followed to the end (a document already read is not read again).
+    """Entries of each seed's sitemap: the documents of ``sitemap_documents`` through ``urlset_rows``.
+
+    Result: seed_id, base_url, trail, pos, url, path, depth, source, last_modified; the document order is (trail, pos).
+    """
+    documents = sitemap_documents(located, bodies, folder, max_bytes, max_levels)
+    return urlset_rows(documents, include, exclude, include_subdomains, strip_query)
+
+
+def sitemap_documents(
+    located: DataFrame, bodies: DataFrame, folder: str | None = None, max_bytes: int | None = None, max_levels: int | None = None
+) -> DataFrame:
+    """Documents of each seed's sitemap, nested indexes followed to the end (a document already read is not read again).
 
     ``located`` has seed_id, base_url, sitemap_url; ``bodies`` has url, text. Result: seed_id, base_url,
-    trail (place of the document in the nesting), pos, url, path, depth, source, last_modified; the
-    document order is (trail, pos). A document listed twice is read once, at its first place. Each level parses only the
+    trail (place of the document in the nesting), urls. A document listed twice is read once, at its first place. Each level parses only the
     bodies it lists. ``max_levels`` stops the nesting and ``max_bytes`` leaves larger bodies unparsed.
     """
     folder = folder or work_folder(located.sparkSession, "sitemaps")
@@ -223,4 +233,4 @@ def read_sitemaps(
         spread_join(visit, lists, ["_ref"]).select("seed_id", "base_url", "trail", "urls")
         for visit, lists in zip(visits, documents, strict=True)
     ]
-    return urlset_rows(reduce(DataFrame.unionByName, entries), include, exclude, include_subdomains, strip_query)
+    return reduce(DataFrame.unionByName, entries)
