@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,16 +202,17 @@ def sitemap_documents(
         level = len(visits)
         first = refs.groupBy("seed_id", "_key").agg(F.min(F.struct("trail", "_ref", "base_url")).alias("f"))
         if visits:
-            seen = reduce(DataFrame.unionByName, [v.select("seed_id", "_key") for v in visits])
+            seen = located.sparkSession.read.schema(visit.schema).parquet(*visits).select("seed_id", "_key")
             first = first.join(seen, ["seed_id", "_key"], "left_anti")
-        visit = materialize(first.select("seed_id", "_key", "f.*"), f"{folder}/visit-{level}")
+        at_level = F.lit(level).alias("level")
+        visit = materialize(first.select(at_level, "seed_id", "_key", "f.*"), f"{folder}/visit-{level}")
         if level > 0 and visit.isEmpty():
             break
-        visits.append(visit)
+        visits.append(f"{folder}/visit-{level}")
         listed_docs = visit.select(F.col("_ref").alias("_doc")).distinct()
         found = bodies.join(listed_docs, "_doc", "left_semi").withColumnRenamed("_doc", "url")
-        parsed = materialize(parse_documents(found, max_bytes), f"{folder}/documents-{level}")
-        documents.append(parsed.where(F.col("urls").isNotNull()).select(F.col("url").alias("_ref"), "urls"))
+        parsed = materialize(parse_documents(found, max_bytes).select(at_level, "*"), f"{folder}/documents-{level}")
+        documents.append(f"{folder}/documents-{level}")
         indexes = parsed.where(F.col("sitemaps").isNotNull()).select(F.col("url").alias("_ref"), "sitemaps")
         listed = spread_join(visit, indexes, ["_ref"]).select(
             "seed_id", "base_url", "trail", F.col("_ref").alias("_doc"), F.posexplode("sitemaps").alias("i", "s")
@@ -228,9 +228,8 @@ def sitemap_documents(
                 F.array_append("trail", F.col("i")).alias("trail"),
             )
         )
-    # A level's documents meet that level's visits.
-    entries = [
-        spread_join(visit, lists, ["_ref"]).select("seed_id", "base_url", "trail", "urls")
-        for visit, lists in zip(visits, documents, strict=True)
-    ]
-    return reduce(DataFrame.unionByName, entries)
+    # A level's documents meet that level's visits. All levels are read as one table: what follows is planned once, not per level.
+    spark = located.sparkSession
+    lists = spark.read.schema(parsed.schema).parquet(*documents).where(F.col("urls").isNotNull()).select("level", F.col("url").alias("_ref"), "urls")
+    all_visits = spark.read.schema(visit.schema).parquet(*visits)
+    return spread_join(all_visits, lists, ["_ref", "level"]).select("seed_id", "base_url", "trail", "urls")
