@@ -65,7 +65,50 @@ def test_schema(spark, doc, valid):
     assert df.select(A.matches_schema(F.parse_json("d"), SCHEMA)).first()[0] is valid
 
 
+KEYWORDS = {
+    "type": "object",
+    "$defs": {"price": {"type": "number", "minimum": 0}, "a/b": {"type": "array", "items": {"$ref": "#/$defs/price"}}},
+    "properties": {
+        "p": {"$ref": "#/$defs/price", "maximum": 9}, "list": {"$ref": "#/$defs/a~1b"}, "kind": {"enum": ["x", "y"]},
+        "c": {"contains": {"type": "string"}, "maxContains": 2}, "t": {"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": False}, "s": True,
+    },
+    "patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": {"type": "boolean"}, "propertyNames": {"maxLength": 5},
+    "if": {"properties": {"kind": {"const": "x"}}, "required": ["kind"]}, "then": {"required": ["p"]}, "else": {"not": {"required": ["list"]}},
+    "dependentRequired": {"c": ["kind"]}, "dependentSchemas": {"t": {"minProperties": 2}},
+}
+
+
+def test_schema_keywords(spark):
+    cases = [
+        ({}, True), ({"p": 1}, True), ({"p": -1}, False), ({"p": 10}, False), ({"p": "1"}, False), ({"kind": "x"}, False), ({"kind": "x", "p": 1}, True), ({"kind": "z"}, False),
+        ({"kind": "x", "p": 1, "list": [1, 2.5]}, True), ({"kind": "x", "p": 1, "list": [1, -1]}, False), ({"list": [1]}, False), ({"n_1": 3}, True), ({"n_1": "3"}, False),
+        ({"other": True}, True), ({"other": 1}, False), ({"toolong": True}, False), ({"c": ["a"]}, False), ({"c": ["a"], "kind": "y"}, True), ({"c": [1], "kind": "y"}, False),
+        ({"c": ["a", 1, "b"], "kind": "y"}, True), ({"c": ["a", "b", "c"], "kind": "y"}, False), ({"t": ["a", 1]}, False), ({"t": ["a", 1], "kind": "y"}, True),
+        ({"t": ["a"], "kind": "y"}, True), ({"t": [], "kind": "y"}, True), ({"t": ["a", 1, 2], "kind": "y"}, False), ({"t": [1], "kind": "y"}, False), ([], False), ({"s": None}, True),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(doc)) for i, (doc, _) in enumerate(cases)], "i int, d string")
+    got = [r[0] for r in df.orderBy("i").select(A.matches_schema(F.parse_json("d"), KEYWORDS)).collect()]
+    assert [(doc, ok) for (doc, _), ok in zip(cases, got, strict=True)] == cases
+
+
+def test_schema_drafts(spark):
+    """Up to draft 7 a reference stands alone and ``dependencies`` counts; later it joins its neighbours and ``dependencies`` does not."""
+    schema = {"definitions": {"n": {"type": "integer"}}, "properties": {"v": {"$ref": "#/definitions/n", "minimum": 5}}, "dependencies": {"v": ["w"], "w": {"required": ["z"]}}}
+    docs = [{"v": 1, "w": 1, "z": 1}, {"v": 7}, {"v": 7, "w": 1}, {"v": "x", "w": 1, "z": 1}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, d string")
+    for extra, want in (({}, [False, True, True, False]), ({"$schema": "http://json-schema.org/draft-07/schema#"}, [True, False, False, False])):
+        assert [r[0] for r in df.orderBy("i").select(A.matches_schema(F.parse_json("d"), {**extra, **schema})).collect()] == want
+
+
 def test_schema_precheck():
+    for good in ({"properties": {"$ref": {"type": "string"}}}, {"const": {"$ref": "#/nowhere"}}, {"minLength": 2.0}, True):
+        A.check_schema(good)
+    for bad in (
+        {"minimum": "3"}, {"maxItems": -1}, {"minLength": 1.5}, {"multipleOf": 0}, {"pattern": "("}, {"patternProperties": {"[": {}}}, {"uniqueItems": 1}, {"anyOf": {}},
+        {"$ref": "#/$defs/a", "$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}}, {"$ref": "#/none"}, {"$ref": "other.json"}, {"properties": {"a": {"if": {"type": "thing"}}}},
+    ):
+        with pytest.raises(A.SchemaError):
+            A.check_schema(bad)
     for bad in ({"type": "thing"}, {"$ref": "#"}, {"required": "k"}, {"items": [1]}, 5):
         with pytest.raises(A.SchemaError):
             A.check_schema(bad)

@@ -191,6 +191,29 @@ def l7_schema_check(spark, sf):
 ORACLES["l7_schema_check"] = """SELECT event_id, event_id % 80 BETWEEN 10 AND 60 AND event_type IN ('click', 'view') AND event_id % 5 IN (0, 1) AS valid FROM events"""
 
 
+_REFERRING = {
+    "type": "object",
+    "$defs": {"count": {"type": "integer", "minimum": 10}},
+    "properties": {"k": {"$ref": "#/$defs/count"}, "t": {"type": "string"}, "tags": {"contains": {"$ref": "#/$defs/count", "maximum": 20}}},
+    "patternProperties": {"^x_": {"type": "integer"}},
+    "additionalProperties": {"type": "boolean"},
+    "if": {"properties": {"t": {"const": "error"}}},
+    "then": {"required": ["why"]},
+}
+_MEMBERS = """concat('{"k": ', event_id % 80, ', "t": "', event_type, '", "tags": [', user_id % 40, ', "a"]',
+ CASE event_id % 4 WHEN 0 THEN ', "x_1": 5' WHEN 1 THEN ', "x_1": "5"' WHEN 2 THEN ', "why": true' ELSE ', "why": 1' END, '}')"""
+
+
+def l7_schema_refs(spark, sf):
+    """References, members by pattern, all other members, an element that must be there, a condition."""
+    df = table(spark, sf, "events").selectExpr("event_id", f"{_MEMBERS} AS doc")
+    return df.select("event_id", A.matches_schema(F.parse_json("doc"), _REFERRING).alias("valid"))
+
+
+ORACLES["l7_schema_refs"] = """SELECT event_id, event_id % 80 >= 10 AND user_id % 40 BETWEEN 10 AND 20 AND event_id % 4 IN (0, 2)
+ AND (event_type <> 'error' OR event_id % 4 = 2) AS valid FROM events"""
+
+
 def l8_schema_precheck(spark, sf):
     """Usable and unusable schemas counted over the event types that stand for them."""
     schemas = {"click": {"type": "object"}, "view": {"type": "thing"}, "error": {"$ref": "#"}, "signup": _STRICT, "purchase": {"required": "k"}}
@@ -311,6 +334,6 @@ SELECT conv_id, turn, CASE WHEN previous <> '' THEN 'system,user,assistant,user'
 
 for _f in (
     l1_sanitize, l2_summary_prompt, a11_ordered_text, w2_document_number, l3_page_prompt, l4_combined_prompt, l5_recover_json, l6_answer_attempts,
-    l7_schema_check, l8_schema_precheck, l9_extract_pages, a6_extract_outcome, l9_extract_combined, j8_missing_results, l10_summaries, l11_chat_threads,
+    l7_schema_check, l7_schema_refs, l8_schema_precheck, l9_extract_pages, a6_extract_outcome, l9_extract_combined, j8_missing_results, l10_summaries, l11_chat_threads,
 ):
     QUERIES[_f.__name__] = _f

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,12 +83,14 @@ def recover_json(raw: Column) -> Column:
 
 
 _NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
-_KEYWORDS = {
-    "type", "properties", "required", "items", "enum", "const", "minimum", "maximum", "exclusiveMinimum",
-    "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems", "maxItems", "additionalProperties",
-    "minProperties", "maxProperties", "multipleOf", "uniqueItems", "anyOf", "allOf", "oneOf", "not",
-}
-_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "$comment", "format", "definitions"}
+_BOUNDS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
+_SIZES = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "minContains", "maxContains")
+# Where schemas stand in a schema: alone, in a list, by name.
+_ONE = ("items", "not", "additionalProperties", "propertyNames", "contains", "if", "then", "else")
+_LISTED = ("anyOf", "allOf", "oneOf", "prefixItems")
+_NAMED = ("properties", "patternProperties", "dependentSchemas")
+_KEYWORDS = {"type", "required", "enum", "const", "pattern", "multipleOf", "uniqueItems", "dependentRequired", *_BOUNDS, *_SIZES, *_ONE, *_LISTED, *_NAMED}
+_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "$comment", "format", "definitions", "$defs"}
 _TYPES = {"object", "array", "string", "number", "integer", "boolean", "null"}
 
 
@@ -94,12 +98,96 @@ class SchemaError(ValueError):
     """The JSON Schema itself is wrong or uses a keyword that is not supported."""
 
 
+def _target(root, ref):
+    """What a reference inside the schema points to."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        raise SchemaError(f"reference outside the schema: {ref}")
+    at = root
+    for step in unquote(ref).split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        if isinstance(at, dict) and step in at:
+            at = at[step]
+        elif isinstance(at, list) and step.isdigit() and int(step) < len(at):
+            at = at[int(step)]
+        else:
+            raise SchemaError(f"reference to nothing: {ref}")
+    return at
+
+
+def _parts(schema, make):
+    """The schema with ``make`` applied to each schema directly inside it."""
+    out = dict(schema)
+    for name in _ONE:
+        if name in out:
+            out[name] = make(out[name])
+    for name in _LISTED:
+        if isinstance(out.get(name), list):
+            out[name] = [make(sub) for sub in out[name]]
+        elif name in out:
+            raise SchemaError(f"{name} must be a list")
+    for name in _NAMED:
+        if isinstance(out.get(name), dict):
+            out[name] = {key: make(sub) for key, sub in out[name].items()}
+        elif name in out:
+            raise SchemaError(f"{name} must be an object")
+    return out
+
+
+def resolve_schema(schema):
+    """The schema with its references (``#`` and ``#/...``) replaced by what they point to.
+
+    A reference joins the keywords beside it (drafts up to 7: it stands alone). ``dependencies`` counts in those drafts only, where ``$schema``
+    names one. A schema that contains itself raises ``SchemaError``: an expression cannot be endless.
+    """
+    old = isinstance(schema, dict) and "draft-0" in str(schema.get("$schema", ""))
+
+    def walk(node, inside):
+        if isinstance(node, bool):
+            return node
+        if not isinstance(node, dict):
+            raise SchemaError("a schema must be an object")
+        out = dict(node)
+        needed = out.pop("dependencies", {})
+        if old and needed:
+            if not isinstance(needed, dict):
+                raise SchemaError("dependencies must be an object")
+            lists = {k: v for k, v in needed.items() if isinstance(v, list)}
+            out["dependentRequired"] = {**lists, **out.get("dependentRequired", {})}
+            out["dependentSchemas"] = {**{k: v for k, v in needed.items() if k not in lists}, **out.get("dependentSchemas", {})}
+        if "$ref" not in out:
+            return _parts(out, lambda sub: walk(sub, inside))
+        ref = out.pop("$ref")
+        if ref in inside:
+            raise SchemaError(f"a schema that contains itself: {ref}")
+        target = walk(_target(schema, ref), (*inside, ref))
+        if old:
+            return target
+        out = _parts(out, lambda sub: walk(sub, inside))
+        return {**out, "allOf": [target, *out.get("allOf", [])]}
+
+    # The whole schema is "#": a reference back to it from inside never ends.
+    return walk(schema, ("#",))
+
+
+def _is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _check_pattern(pattern) -> None:
+    try:
+        re.compile(pattern)
+    except (re.error, TypeError, OverflowError) as error:
+        raise SchemaError(f"not a pattern: {pattern}") from error
+
+
 def check_schema(schema) -> None:
-    """Raise ``SchemaError`` unless the schema can be turned into a column."""
+    """Raise ``SchemaError`` unless the schema can be turned into a column. Patterns must be valid in both Python and Java."""
+    _check(resolve_schema(schema))
+
+
+def _check(schema):
     if isinstance(schema, bool):
-        return
-    if not isinstance(schema, dict):
-        raise SchemaError("a schema must be an object")
+        return schema
     unknown = set(schema) - _KEYWORDS - _NOTES
     if unknown:
         raise SchemaError(f"unsupported keyword: {', '.join(sorted(unknown))}")
@@ -107,20 +195,28 @@ def check_schema(schema) -> None:
     for name in [types] if isinstance(types, str) else types:
         if name not in _TYPES:
             raise SchemaError(f"unknown type: {name}")
-    if not isinstance(schema.get("required", []), list):
-        raise SchemaError("required must be a list")
-    if not isinstance(schema.get("enum", []), list):
-        raise SchemaError("enum must be a list")
-    for sub in schema.get("properties", {}).values():
-        check_schema(sub)
-    if not isinstance(schema.get("additionalProperties", True), bool):
-        raise SchemaError("additionalProperties must be true or false")
-    for name in ("items", "not"):
-        if name in schema:
-            check_schema(schema[name])
-    for name in ("anyOf", "allOf", "oneOf"):
-        for sub in schema.get(name, []):
-            check_schema(sub)
+    for name in ("required", "enum"):
+        if not isinstance(schema.get(name, []), list):
+            raise SchemaError(f"{name} must be a list")
+    if not all(isinstance(key, str) for key in schema.get("required", [])):
+        raise SchemaError("required must list names")
+    for name in _BOUNDS:
+        if name in schema and not _is_number(schema[name]):
+            raise SchemaError(f"{name} must be a number")
+    for name in _SIZES:
+        size = schema.get(name, 0)
+        if not _is_number(size) or size < 0 or size != int(size):
+            raise SchemaError(f"{name} must be a whole number from 0")
+    if "multipleOf" in schema and not (_is_number(schema["multipleOf"]) and schema["multipleOf"] > 0):
+        raise SchemaError("multipleOf must be a number above 0")
+    if not isinstance(schema.get("uniqueItems", False), bool):
+        raise SchemaError("uniqueItems must be true or false")
+    needed = schema.get("dependentRequired", {})
+    if not isinstance(needed, dict) or not all(isinstance(names, list) for names in needed.values()):
+        raise SchemaError("dependentRequired must hold lists by name")
+    for pattern in [*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})]:
+        _check_pattern(pattern)
+    return _parts(schema, _check)
 
 
 def _is_type(value: Column, name: str) -> Column:
@@ -153,12 +249,17 @@ def _member(value: Column, name: str) -> Column:
 
 def matches_schema(value: Column, schema) -> Column:
     """True when the VARIANT value satisfies the schema; the schema becomes one expression."""
-    check_schema(schema)
+    whole = resolve_schema(schema)
+    _check(whole)
+    return F.coalesce(_matches(value, whole), F.lit(False))
+
+
+def _fits(value: Column, schema) -> Column:
     return F.coalesce(_matches(value, schema), F.lit(False))
 
 
 def _absent_or_matching(schema):
-    return lambda member: member.isNull() | F.coalesce(_matches(member, schema), F.lit(False))
+    return lambda member: member.isNull() | _fits(member, schema)
 
 
 def _matches(value: Column, schema) -> Column:
@@ -182,20 +283,47 @@ def _matches(value: Column, schema) -> Column:
     for name, sub in schema.get("properties", {}).items():
         ok = ok & only_for(is_object, let(_member(value, name), _absent_or_matching(sub)))
     keys = F.json_object_keys(F.to_json(value))
+    members = F.map_entries(value.try_cast("map<string,variant>"))
+
+    def all_match(entries: Column, sub) -> Column:
+        return F.forall(entries, lambda e: _fits(e["value"], sub))
+
+    for pattern, sub in schema.get("patternProperties", {}).items():
+        ok = ok & only_for(is_object, all_match(F.filter(members, lambda e: e["key"].rlike(pattern)), sub))
     if "additionalProperties" in schema:
-        extra = F.array_except(keys, F.array(*(F.lit(n) for n in schema.get("properties", {}))).cast("array<string>"))
-        rest = schema["additionalProperties"]
-        if rest is False:
-            ok = ok & only_for(is_object, F.size(extra) == 0)
+        named, patterns = list(schema.get("properties", {})), list(schema.get("patternProperties", {}))
+
+        def is_extra(entry: Column) -> Column:
+            known = entry["key"].isin(named) if named else F.lit(False)
+            for pattern in patterns:
+                known = known | entry["key"].rlike(pattern)
+            return ~known
+
+        ok = ok & only_for(is_object, all_match(F.filter(members, is_extra), schema["additionalProperties"]))
+    if "propertyNames" in schema:
+        as_value = lambda k: F.parse_json(F.to_json(F.array(k)))
+        named_ok = F.forall(keys, lambda k: _fits(F.variant_get(as_value(k), "$[0]", "variant"), schema["propertyNames"]))
+        ok = ok & only_for(is_object, named_ok)
+    for name, others in schema.get("dependentRequired", {}).items():
+        for other in others:
+            ok = ok & only_for(is_object, _member(value, name).isNull() | _member(value, other).isNotNull())
+    for name, sub in schema.get("dependentSchemas", {}).items():
+        ok = ok & only_for(is_object, _member(value, name).isNull() | _fits(value, sub))
     if "minProperties" in schema:
         ok = ok & only_for(is_object, F.size(keys) >= schema["minProperties"])
     if "maxProperties" in schema:
         ok = ok & only_for(is_object, F.size(keys) <= schema["maxProperties"])
     items = value.try_cast("array<variant>")
+    first = schema.get("prefixItems", [])
+    for place, sub in enumerate(first):
+        ok = ok & only_for(is_array, (F.size(items) <= place) | _fits(F.get(items, F.lit(place)), sub))
     if "items" in schema:
-        ok = ok & only_for(
-            is_array, F.forall(items, lambda v: F.coalesce(_matches(v, schema["items"]), F.lit(False)))
-        )
+        rest = F.slice(items, len(first) + 1, F.greatest(F.size(items), F.lit(1))) if first else items
+        ok = ok & only_for(is_array, F.forall(rest, lambda v: _fits(v, schema["items"])))
+    if "contains" in schema:
+        hits = F.size(F.filter(items, lambda v: _fits(v, schema["contains"])))
+        enough = hits >= schema.get("minContains", 1)
+        ok = ok & only_for(is_array, enough & (hits <= schema["maxContains"]) if "maxContains" in schema else enough)
     if "minItems" in schema:
         ok = ok & only_for(is_array, F.size(items) >= schema["minItems"])
     if "maxItems" in schema:
@@ -238,5 +366,7 @@ def _matches(value: Column, schema) -> Column:
             hits = hits + F.coalesce(_matches(value, sub), F.lit(False)).cast("int")
         ok = ok & (hits == 1)
     if "not" in schema:
-        ok = ok & ~F.coalesce(_matches(value, schema["not"]), F.lit(False))
+        ok = ok & ~_fits(value, schema["not"])
+    if "if" in schema:
+        ok = ok & F.when(_fits(value, schema["if"]), _fits(value, schema.get("then", True))).otherwise(_fits(value, schema.get("else", True)))
     return ok
