@@ -48,6 +48,30 @@ def test_history(spark):
     assert H.retained(history, 0).count() == 6
 
 
+def rows_scanned(df):
+    """Rows that leave the scan of files."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_point_reads_skip_row_groups(spark):
+    path = work_folder(spark, "test-history")
+    # Even numbers only: odd ones lie between them, so only the Bloom filter tells that they are not there.
+    rows = spark.range(0, 4000, 2).selectExpr(
+        "concat('t', 10000 + id) AS id", "'crawl' AS kind", "'q' AS query_or_url", "'{}' AS params", "'done' AS status", "'{}' AS result", "1 AS result_size",
+        "CAST(NULL AS STRING) AS error", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 4 AS INT)) AS created_at",
+    )
+    H.append_history(rows, path)
+    history = H.read_history(spark, path)
+    assert rows_scanned(history) == 2000
+    assert rows_scanned(H.get_entry(history, "t10001")) == 0
+    found = H.get_entry(history, "t12222")
+    # Two days hold the rows; the files of one are skipped.
+    assert [r.id for r in found.collect()] == ["t12222"] and 0 < rows_scanned(found) <= 1000
+
+
 EVENTS = "task_id string, ts timestamp, status string, result string, query string"
 
 

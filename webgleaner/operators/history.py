@@ -58,9 +58,13 @@ def history_rows(entries: DataFrame, full_content: bool = False, max_query_chars
 def append_history(
     entries: DataFrame, path: str, full_content: bool = False, max_query_chars: int | None = None
 ) -> None:
-    """Append rows, partitioned by kind and day. Adaptive execution merges small partitions and splits those of hot days by size."""
-    rows = history_rows(entries, full_content, max_query_chars)
-    rows.hint("rebalance", "kind", "dt").write.mode("append").partitionBy("kind", "dt").parquet(path)
+    """Append rows, partitioned by kind and day. Adaptive execution merges small partitions and splits those of hot days by size.
+
+    Files are sorted by id and carry a Bloom filter on it, so that a read of one entry skips the row groups without it.
+    """
+    rows = history_rows(entries, full_content, max_query_chars).hint("rebalance", "kind", "dt")
+    writer = rows.sortWithinPartitions("kind", "dt", "id").write.mode("append").partitionBy("kind", "dt")
+    writer.options(**{"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
