@@ -13,8 +13,9 @@ QUERIES, ORACLES = {}, {}
 
 
 def _stream(spark, sf, name):
+    """The table as a stream. It may be one file or a folder of them: a stream takes a single file by a pattern only."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.[p]arquet")
 
 
 def _finish(query):
