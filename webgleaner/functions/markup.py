@@ -25,8 +25,8 @@ _BITS = {kind: 1 << n for n, kind in enumerate(_MARKS)}
 _STATE = (
     "struct<lists:array<int>, pre:int, href:string, inline:int, tables:int, row:boolean, cell:boolean, rows:int, cells:int>"
 )
-# Tokens of one inner pass: the texts it gathers are copied at each step, so that passes must be short.
-_PASS = 256
+# Tokens of one inner pass: the text it gathers is copied at each step, so that passes must be short.
+_PASS = 64
 
 
 def tag_tokens(markup: Column) -> Column:
@@ -44,7 +44,8 @@ for _kind in _NAMES.values():
 def tag_kinds(markup: Column) -> Column:
     """For each of ``tag_tokens`` the number of its tag: 0 for tags that do not count, -1 for texts and declarations."""
     names = F.regexp_extract_all(markup, F.lit(TOKEN), F.lit(1))
-    return F.transform(names, lambda n: F.when(n == "", -1).otherwise(F.find_in_set(F.lower(n), F.lit(",".join(_TAGS)))))
+    small = lambda n: F.when(n.rlike("[A-Z]"), F.lower(n)).otherwise(n)
+    return F.transform(names, lambda n: F.when(n == "", -1).otherwise(F.find_in_set(small(n), F.lit(",".join(_TAGS)))))
 
 
 def _is(kind: Column, *names: str) -> Column:
@@ -58,6 +59,12 @@ def _is(kind: Column, *names: str) -> Column:
     return found
 
 
+def _by_place(kind: Column, blocks: Column, parts: Column, rest: Column, marks: Column) -> Column:
+    """One of four values by the place of a tag among ``_TAGS``: up to ``/h6``, up to ``hr``, up to ``br``, behind."""
+    upto = {name: _TAGS.index(name) + 1 for name in ("/h6", "hr", "br")}
+    return F.when(kind <= upto["/h6"], blocks).when(kind <= upto["hr"], parts).when(kind <= upto["br"], rest).otherwise(marks)
+
+
 def _ends(names: list[str]) -> list[str]:
     return [f"/{n}" for n in names]
 
@@ -72,36 +79,47 @@ def _last(lists: Column) -> Column:
 
 
 def _next(s: Column, token: Column, kind: Column) -> Column:
-    """State after a tag."""
+    """State after a tag. Each sort of tag has its own branch, so that a step looks at few conditions."""
+    names = ("lists", "pre", "href", "inline", "tables", "row", "cell", "rows", "cells")
     lists, depth = s["lists"], F.size(s["lists"])
     top = F.slice(lists, 1, F.greatest(depth - 1, F.lit(0)))
-    block = _is(kind, *_ANY_BLOCK)
+    grid = s["tables"] == 1
+    ended = grid & s["row"]
+    none = F.lit(None).cast("string")
+
+    def but(**changes: Column) -> Column:
+        return F.struct(*(changes.get(n, s[n]).alias(n) for n in names))
+
+    def block(**changes: Column) -> Column:
+        return but(href=none, inline=F.lit(0), **changes)
+
     inline = s["inline"]
-    for mark, names in _NAMES.items():
+    for mark, tags in _NAMES.items():
         bit = F.lit(_BITS[mark])
-        inline = F.when(_is(kind, *names), inline.bitwiseOR(bit)).when(_is(kind, *_ends(names)), inline.bitwiseAND(F.bitwise_not(bit))).otherwise(inline)
-    grid = s["tables"] == 1
-    opened = _is(kind, "td", "th") & grid
-    row_start = _is(kind, "tr") & grid
-    row_end = (_is(kind, "tr", "/tr", "/table")) & grid & s["row"]
+        inline = F.when(_is(kind, *tags), s["inline"].bitwiseOR(bit)).when(_is(kind, *_ends(tags)), s["inline"].bitwiseAND(F.bitwise_not(bit))).otherwise(inline)
+    left = {"rows": F.when(ended, s["rows"] + 1).otherwise(s["rows"]), "cell": s["cell"] & ~ended, "row": s["row"] & ~ended}
     # Most tags only end open marks.
-    plain = (kind <= _TAGS.index("li")) & (s["inline"] == 0) & s["href"].isNull() | _is(kind, "br")
-    changed = F.struct(
-        F.when(_is(kind, "ul", "ol"), F.concat(lists, F.array(F.when(_is(kind, "ol"), 1).otherwise(0))))
-        .when(_is(kind, "/ul", "/ol"), top)
-        .when(_is(kind, "li") & (_last(lists) > 0), F.concat(top, F.array(_last(lists) + 1)))
-        .otherwise(lists)
-        .alias("lists"),
-        F.when(_is(kind, "pre"), s["pre"] + 1).when(_is(kind, "/pre"), F.greatest(s["pre"] - 1, F.lit(0))).otherwise(s["pre"]).alias("pre"),
-        F.when(_is(kind, "a"), F.nullif(_href(token), F.lit(""))).when(block | _is(kind, "/a"), F.lit(None)).otherwise(s["href"]).alias("href"),
-        F.when(block, 0).otherwise(inline).alias("inline"),
-        F.when(_is(kind, "table"), s["tables"] + 1).when(_is(kind, "/table"), F.greatest(s["tables"] - 1, F.lit(0))).otherwise(s["tables"]).alias("tables"),
-        F.when(row_start, True).when(row_end, False).otherwise(s["row"]).alias("row"),
-        F.when(opened & s["row"], True).when(row_start | row_end | (_is(kind, "/td", "/th") & grid), False).otherwise(s["cell"]).alias("cell"),
-        F.when(_is(kind, "table") & (s["tables"] == 0), 0).when(row_end, s["rows"] + 1).otherwise(s["rows"]).alias("rows"),
-        F.when(row_start, 0).when(opened & s["row"], s["cells"] + 1).otherwise(s["cells"]).alias("cells"),
-    ).cast(_STATE)
-    return F.when(plain, s).otherwise(changed)
+    blocks = F.when((s["inline"] == 0) & s["href"].isNull(), s).otherwise(block())
+    parts = (
+        F.when(_is(kind, "li"), block(lists=F.when(_last(lists) > 0, F.concat(top, F.array(_last(lists) + 1))).otherwise(lists)))
+        .when(_is(kind, "td", "th"), block(cells=F.when(ended, s["cells"] + 1).otherwise(s["cells"]), cell=ended | s["cell"]))
+        .when(_is(kind, "tr"), block(rows=left["rows"], row=grid | s["row"], cell=s["cell"] & ~grid, cells=F.when(grid, 0).otherwise(s["cells"])))
+        .when(_is(kind, "table"), block(tables=s["tables"] + 1, rows=F.when(s["tables"] == 0, 0).otherwise(s["rows"])))
+        .when(_is(kind, "/table"), block(tables=F.greatest(s["tables"] - 1, F.lit(0)), **left))
+        .when(_is(kind, "pre"), block(pre=s["pre"] + 1))
+        .when(_is(kind, "/pre"), block(pre=F.greatest(s["pre"] - 1, F.lit(0))))
+        .otherwise(block())
+    )
+    rest = (
+        F.when(_is(kind, "/td", "/th"), but(cell=s["cell"] & ~grid))
+        .when(_is(kind, "/tr"), but(**left))
+        .when(_is(kind, "ul", "ol"), but(lists=F.concat(lists, F.array(F.when(_is(kind, "ol"), 1).otherwise(0)))))
+        .when(_is(kind, "/ul", "/ol"), but(lists=top))
+        .when(_is(kind, "a"), but(href=F.nullif(_href(token), F.lit(""))))
+        .when(_is(kind, "/a"), but(href=none))
+        .otherwise(s)
+    )
+    return _by_place(kind, blocks, parts, rest, but(inline=inline))
 
 
 def _emit(s: Column, token: Column, kind: Column) -> Column:
@@ -114,30 +132,34 @@ def _emit(s: Column, token: Column, kind: Column) -> Column:
     rule = F.when(s["rows"] == 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(s["cells"], F.lit(1))))).otherwise("")
     row_end = F.when(s["row"], F.concat(cell_end, rule)).otherwise("")
     number = F.when(_last(lists) > 0, F.concat(_last(lists).cast("string"), F.lit(". "))).otherwise("- ")
-    out = F.when(_is(kind, *BLOCK_TAGS, *_ends(BLOCK_TAGS)), F.when(s["tables"] > 0, " ").otherwise(gap))
-    out = out.when(_is(kind, "li"), F.concat(F.lit("\n"), F.repeat(F.lit(_INDENT), F.greatest(depth - 1, F.lit(0))), number))
-    out = out.when(_is(kind, "ul", "ol"), F.when(s["cell"], " ").when(depth == 0, "\n\n").otherwise(""))
-    out = out.when(_is(kind, "/ul", "/ol"), F.when(s["cell"], " ").when(depth > 1, _SOFT).otherwise("\n\n"))
-    out = out.when(_is(kind, "a"), F.when(_href(token) != "", _LINK).otherwise(""))
-    out = out.when(_is(kind, "/a"), F.when(s["href"].isNotNull(), F.concat(F.lit(_LINK_END + "("), s["href"], F.lit(")"))).otherwise(""))
-    out = out.when(_is(kind, *HEADINGS), F.when(inside, " ").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), kind - (_TAGS.index("h1"))), F.lit(" "))))
-    out = out.when(_is(kind, *_ends(HEADINGS)), gap)
-    out = out.when(_is(kind, "br"), F.when(s["pre"] > 0, _LINE).when(s["cell"], " ").otherwise("\n"))
-    out = out.when(_is(kind, "hr"), F.when(inside, " ").otherwise("\n\n---\n\n"))
+    blocks = F.when(_is(kind, *BLOCK_TAGS, *_ends(BLOCK_TAGS)), F.when(s["tables"] > 0, " ").otherwise(gap))
+    blocks = blocks.when(_is(kind, *HEADINGS), F.when(inside, " ").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), kind - (_TAGS.index("h1"))), F.lit(" "))))
+    blocks = blocks.otherwise(gap)
+    parts = F.when(_is(kind, "li"), F.concat(F.lit("\n"), F.repeat(F.lit(_INDENT), F.greatest(depth - 1, F.lit(0))), number))
+    parts = parts.when(_is(kind, "td", "th"), F.when(grid & s["row"], F.concat(cell_end, F.lit(" "))).otherwise(" "))
+    parts = parts.when(_is(kind, "tr"), F.when(grid, F.concat(row_end, F.lit("\n|"))).otherwise(gap))
+    parts = parts.when(_is(kind, "table"), F.when(s["tables"] == 0, gap).otherwise(" "))
+    parts = parts.when(_is(kind, "/table"), F.when(grid, F.concat(row_end, F.lit("\n\n"))).otherwise(" "))
+    parts = parts.when(_is(kind, "pre"), F.when(s["pre"] > 0, "").otherwise(f"\n\n```{_LINE}"))
+    parts = parts.when(_is(kind, "/pre"), F.when(s["pre"] == 1, f"{_LINE}```\n\n").otherwise(""))
+    parts = parts.otherwise(F.when(inside, " ").otherwise("\n\n---\n\n"))
+    rest = F.when(_is(kind, "/td", "/th"), F.when(grid, cell_end).otherwise(" "))
+    rest = rest.when(_is(kind, "/tr"), F.when(grid, row_end).otherwise(" "))
+    rest = rest.when(_is(kind, "ul", "ol"), F.when(s["cell"], " ").when(depth == 0, "\n\n").otherwise(""))
+    rest = rest.when(_is(kind, "/ul", "/ol"), F.when(s["cell"], " ").when(depth > 1, _SOFT).otherwise("\n\n"))
+    rest = rest.when(_is(kind, "a"), F.when(_href(token) != "", _LINK).otherwise(""))
+    rest = rest.when(_is(kind, "/a"), F.when(s["href"].isNotNull(), F.concat(F.lit(_LINK_END + "("), s["href"], F.lit(")"))).otherwise(""))
+    rest = rest.otherwise(F.when(s["pre"] > 0, _LINE).when(s["cell"], " ").otherwise("\n"))
+    marks = F.lit("")
     for mark, (start, end, _) in _MARKS.items():
         fits = (s["pre"] == 0) if mark == "code" else F.lit(True)
-        out = out.when(_is(kind, *_NAMES[mark]), F.when(fits, start).otherwise(""))
         is_open = s["inline"].bitwiseAND(F.lit(_BITS[mark])) > 0
-        out = out.when(_is(kind, *_ends(list(_NAMES[mark]))), F.when(fits & is_open, end).otherwise(""))
-    out = out.when(_is(kind, "pre"), F.when(s["pre"] > 0, "").otherwise(f"\n\n```{_LINE}"))
-    out = out.when(_is(kind, "/pre"), F.when(s["pre"] == 1, f"{_LINE}```\n\n").otherwise(""))
-    out = out.when(_is(kind, "tr"), F.when(grid, F.concat(row_end, F.lit("\n|"))).otherwise(gap))
-    out = out.when(_is(kind, "/tr"), F.when(grid, row_end).otherwise(" "))
-    out = out.when(_is(kind, "td", "th"), F.when(grid & s["row"], F.concat(cell_end, F.lit(" "))).otherwise(" "))
-    out = out.when(_is(kind, "/td", "/th"), F.when(grid, cell_end).otherwise(" "))
-    out = out.when(_is(kind, "table"), F.when(s["tables"] == 0, gap).otherwise(" "))
-    out = out.when(_is(kind, "/table"), F.when(grid, F.concat(row_end, F.lit("\n\n"))).otherwise(" "))
-    return out.otherwise("")
+        marks = (
+            F.when(_is(kind, *_NAMES[mark]), F.when(fits, start).otherwise(""))
+            .when(_is(kind, *_ends(list(_NAMES[mark]))), F.when(fits & is_open, end).otherwise(""))
+            .otherwise(marks)
+        )
+    return _by_place(kind, blocks, parts, rest, marks)
 
 
 def _text(s: Column, token: Column) -> Column:
@@ -158,23 +180,26 @@ def _walked(tokens: Column) -> Column:
         F.array().cast("array<int>").alias("lists"), F.lit(0).alias("pre"), F.lit(None).cast("string").alias("href"), F.lit(0).alias("inline"),
         F.lit(0).alias("tables"), F.lit(False).alias("row"), F.lit(False).alias("cell"), F.lit(0).alias("rows"), F.lit(0).alias("cells"),
     ).cast(_STATE)
-    none = F.array().cast("array<string>")
-
     def step(acc: Column, token: Column) -> Column:
         s, text, kind = acc["s"], token["_tokens"], token["_kinds"]
-        return F.when(kind < 0, F.struct(s.alias("s"), F.array_append(acc["out"], _text(s, text)).alias("out"))).otherwise(
-            F.struct(_next(s, text, kind).alias("s"), F.array_append(acc["out"], _emit(s, text, kind)).alias("out"))
+        return F.when(kind < 0, F.struct(s.alias("s"), F.concat(acc["out"], _text(s, text)).alias("out"))).otherwise(
+            F.struct(_next(s, text, kind).alias("s"), F.concat(acc["out"], _emit(s, text, kind)).alias("out"))
         )
 
     def inner(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), step)
-        return let(done, lambda d: F.struct(d["s"].alias("s"), F.array_append(acc["out"], F.array_join(d["out"], "")).alias("out")))
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), F.lit("").alias("out")), step)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.array_append(acc["out"], d["out"]).alias("out")))
 
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / _PASS).cast("int")), lambda i: F.slice(tokens, i * _PASS + 1, _PASS)
-    )
-    walked = F.aggregate(parts, F.struct(start.alias("s"), none.alias("out")), inner, lambda acc: F.array_join(acc["out"], ""))
-    return F.when(F.size(tokens) > 0, walked).otherwise("")
+    def walk(counting: Column) -> Column:
+        parts = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(counting) - 1) / _PASS).cast("int")), lambda i: F.slice(counting, i * _PASS + 1, _PASS)
+        )
+        none = F.array().cast("array<string>")
+        walked = F.aggregate(parts, F.struct(start.alias("s"), none.alias("out")), inner, lambda acc: F.array_join(acc["out"], ""))
+        return F.when(F.size(counting) > 0, walked).otherwise("")
+
+    # Tags that do not count leave no text and change nothing.
+    return let(F.filter(tokens, lambda t: t["_kinds"] != 0), walk)
 
 
 def _closed(text: Column, start: str, end: str, opening: str, closing: str) -> Column:
