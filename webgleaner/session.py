@@ -17,6 +17,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Page conversion is heavy per byte: smaller scan splits keep tasks short.
     "spark.sql.files.maxPartitionBytes": "32m",
+    # Python workers hold a batch of rows several times over: prompts are long, so that a batch is bounded by bytes, not by 10,000 rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Model answers may repeat a JSON key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
