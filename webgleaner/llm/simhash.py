@@ -125,17 +125,39 @@ def spanning_links(values: list[int], radius: int, fits=None) -> list[tuple[int,
     return links
 
 
+def tree_pairs(lanes: np.ndarray, radius: int, first: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A node and the values within the radius of it, for each node of a BK-tree over rows of 64-bit words that has any.
+
+    The tree holds the first values and is searched for all others; with 0 first it holds all, and each pair comes once. The tree is
+    built and searched in one go: the values below a node are dealt to its children by distance, and so are the values searched for, as many as may have a match there.
+    """
+    todo = [(np.arange(first or len(lanes)), np.arange(first, len(lanes)))]
+    while todo:
+        below, asked = todo.pop()
+        node, below = below[0], below[1:]
+        if not first:
+            asked = asked[asked > node]
+        far = np.bitwise_count(lanes[asked] ^ lanes[node]).sum(axis=1, dtype=np.int64)
+        near = asked[far <= radius]
+        if len(near):
+            yield int(node), near
+        if not len(below) or not len(asked):
+            continue
+        edges = np.bitwise_count(lanes[below] ^ lanes[node]).sum(axis=1, dtype=np.int64)
+        for at in np.unique(edges).tolist():
+            following = asked[np.abs(far - at) <= radius]
+            if len(following):
+                todo.append((below[edges == at], following))
+
+
 def block_links(lanes: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, first: int) -> list[tuple[int, int]]:
     """Links that join all fitting values within the radius of each other (rows of 64-bit words), directly or by steps.
 
-    All pairs of one value among the first and one among the others are compared; with 0 first all pairs.
+    Pairs are of one value among the first and one among the others, found in a BK-tree of the first; with 0 first all pairs count.
     """
     label, links = np.arange(len(lanes)), []
-    for i in range(max(1, first), len(lanes)):
-        upto = first or i
-        close = np.bitwise_count(lanes[:upto] ^ lanes[i]).sum(axis=1, dtype=np.int64) <= radius
-        close &= np.minimum(sizes[:upto], sizes[i]) >= similarity * np.maximum(sizes[:upto], sizes[i])
-        near = np.flatnonzero(close)
+    for i, near in tree_pairs(lanes, radius, first):
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i])]
         roots, where = np.unique(label[near], return_index=True)
         for root, j in zip(roots.tolist(), near[where].tolist(), strict=True):
             if root != label[i]:
@@ -151,6 +173,7 @@ def fingerprint_rows(width: int, schema: pa.Schema):
         for batch in batches:
             bits = np.array([majority(shingle_hashes(t, width)) for t in batch["text"].to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bits.view(np.int64))], schema=schema)
+        give_back()
 
     return run
 
@@ -171,6 +194,7 @@ def tree_links(radius: int, schema: pa.Schema):
                 left, right = [], []
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+        give_back()
 
     return run
 
@@ -274,8 +298,8 @@ def table_rows(picked: list[list[int]], schema: pa.Schema):
 def wide_links(radius: int, similarity: float, schema: pa.Schema):
     """Partition function: links ``shard, a, b`` between ids with close wide fingerprints and fitting sizes.
 
-    A whole shard gives a spanning set of links. Of a split shard each block of values meets itself and, in a group of its own, every other
-    block, so that all pairs of the shard are compared, by any number of tasks.
+    A whole shard gives a spanning set of links. Of a split shard each block of values is a BK-tree that is searched for its own values and, in a
+    group of its own, for those of every other block, so that no pair of the shard is missed, by any number of tasks.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
