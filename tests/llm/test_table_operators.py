@@ -289,6 +289,17 @@ def found(docs, benchmark, **options):
     return {(r["doc_id"], r["item_id"]): r for r in templates.template_matches(docs, benchmark, **options).collect()}
 
 
+def test_windows_of_documents_are_not_searched_for_placeholders(spark, monkeypatch):
+    asked, remove = [], templates.F.array_remove
+    monkeypatch.setattr(templates.F, "array_remove", lambda column, mark: [asked.append(mark), remove(column, mark)][1])
+    items = spark.createDataFrame([(1, "12 34 56 78 90 11 22 33 44"), (2, "at twelve kg of 7 days each the nine men went")], "item_id long, text string")
+    docs = [(1, "so 12 34 56 78 90 11 22 33 44 it"), (2, "99 34 56 78 90 11 22 33 44"), (3, "7 34 56 78 90 11 22 33 45"), (4, "at 3 kg of 5 days each the nine men went")]
+    rows = templates.template_matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 2, 9, 0), (2, 1, 1, 8, 0), (4, 2, 3, 5, 2)]
+    # Only for the windows of the items, of one size here.
+    assert asked == ["#", "@", "~"]
+
+
 def test_templates(spark, benchmark):
     changed = QUESTION.replace("Maria", "Peter").replace("12", "45").replace("30 dollars", "7 euros")
     inconsistent = "A farmer near Anna owns 12 sheep and sells them for 30 dollars each, so how much does Peter earn from 99 sheep"

@@ -7,6 +7,8 @@ placeholders must be consistent: one benchmark value stands for one value in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
 ).split()
+FIRST_LETTERS = "".join(sorted({c for word in NUMBER_WORDS for c in (word[0], word[0].upper())}))
 UNITS = (
     "percent dollars dollar euros euro cents pounds kg g mg lb km m cm mm mile miles inch inches feet foot hour hours minute minutes "
     "second seconds day days week weeks month months year years liter liters litre litres ml degrees"
@@ -29,7 +32,8 @@ UNITS = (
 STEPS = (
     (r"([0-9])[.,:/]([0-9])", r"$1$2"),
     (r"([0-9])[.,:/]([0-9])", r"$1$2"),
-    (rf"(?<![\p{{L}}#@~])((?i:{'|'.join(NUMBER_WORDS)}))(?!\p{{L}})", r"#$1"),
+    # Only a letter that a number word begins with is worth trying them all.
+    (rf"(?<![\p{{L}}#@~])(?=[{FIRST_LETTERS}])((?i:{'|'.join(NUMBER_WORDS)}))(?!\p{{L}})", r"#$1"),
     (r"([^.!?:;\s][\"')\]]*\s+)(\p{Lu}\p{Ll}+)", r"$1@$2"),
     (r"([^.!?:;\s][\"')\]]*\s+)(\p{Lu}\p{Ll}+)", r"$1@$2"),
     (r"([0-9]+)", r" #$1 "),
@@ -51,31 +55,39 @@ def template_words(valued: Column) -> Column:
     return F.split(F.regexp_replace(valued, r"([#@~])[^ ]*", "$1"), " ")
 
 
-def window_hashes(words: Column, values: Column, size: int) -> Column:
-    """``at, window`` (1-based place and hash) of the windows of ``size`` words; none for shorter texts.
+def window_hashes(words: Column, values: Column, size: int, exact: Callable[[Column], Column] | None) -> Column:
+    """``at, window, exact`` (1-based place and hashes) of the windows of ``size`` words; none for shorter texts.
 
-    Windows with at least 4 plain words are hashed as templates, the others with the values behind their placeholders.
+    ``window`` is the hash of the template, in windows of fewer than 4 words that of the values behind its placeholders. ``exact`` is the hash
+    with the values at places for which the condition ``exact`` holds, else null.
     """
 
     def hashed(i: Column) -> Column:
-        exact = F.xxhash64(F.slice(values, i, size))
-        if size < LEAST_WORDS:
-            return exact
-        window = F.slice(words, i, size)
-        plain = window
+        window = F.xxhash64(F.slice(values if size < LEAST_WORDS else words, i, size))
+        with_values = F.lit(None).cast("long") if exact is None else F.when(exact(i), F.xxhash64(F.slice(values, i, size)))
+        return F.struct(i.alias("at"), window.alias("window"), with_values.alias("exact"))
+
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, hashed)
+
+
+def few_plain(words: Column, size: int) -> Callable[[Column], Column]:
+    """Condition on a place: the window there has fewer than 4 plain words, so that its values must be equal too."""
+
+    def found(i: Column) -> Column:
+        plain = F.slice(words, i, size)
         for mark in "#@~":
             plain = F.array_remove(plain, mark)
-        return F.when(F.size(plain) >= LEAST_WORDS, F.xxhash64(window)).otherwise(exact)
+        return F.size(plain) < LEAST_WORDS
 
-    places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), hashed(i).alias("window")))
+    return found
 
 
-def _windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """``keys, size, at, window`` of every window of the given sizes."""
+def _windows(rows: DataFrame, keys: list[str], sizes: list[int], exact: Callable[[int], Callable[[Column], Column] | None]) -> DataFrame:
+    """``keys, size, at, window, exact`` of every window of the given sizes; ``exact`` gives the condition for a size."""
     words = rows.select(*keys, template_words(F.col("_valued")).alias("_words"), F.split("_valued", " ").alias("_values"))
     parts = [
-        words.select(*keys, F.lit(size).alias("size"), F.inline(window_hashes(F.col("_words"), F.col("_values"), size))) for size in sizes
+        words.select(*keys, F.lit(size).alias("size"), F.inline(window_hashes(F.col("_words"), F.col("_values"), size, exact(size)))) for size in sizes
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -101,12 +113,17 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     items = stage(items.dropDuplicates().withColumn("_n", F.size(F.split("_valued", " "))).where("_valued != ''"), "templates")
     sizes = sorted({min(window, r["_n"]) for r in items.groupBy(F.least("_n", F.lit(window)).alias("_n")).count().collect()}) or [window]
     # An item has windows of its own size only.
-    sized = [_windows(items.where(F.least("_n", F.lit(window)) == s), ["_item", "_valued"], [s]) for s in sizes]
+    few = lambda s: few_plain(F.col("_words"), s) if s >= LEAST_WORDS else None
+    sized = [_windows(items.where(F.least("_n", F.lit(window)) == s), ["_item", "_valued"], [s], few) for s in sizes]
     targets = sized[0]
     for part in sized[1:]:
         targets = targets.unionByName(part)
-    targets = stage(targets.select("_item", "size", F.col("at").alias("_place"), "window").dropDuplicates(), "template-windows")
-    hits = _windows(rows, ["_doc", "_key"], sizes).join(lookup(targets, 500_000), ["size", "window"])
+    targets = targets.select("_item", "size", F.col("at").alias("_place"), "window", F.col("exact").alias("_exact")).dropDuplicates()
+    targets = stage(targets, "template-windows")
+    # The values of the documents' windows are hashed only for sizes at which an item needs them.
+    needed = {r["size"] for r in targets.where("_exact is not null").select("size").distinct().collect()}
+    every = lambda s: (lambda _: F.lit(True)) if s in needed else None
+    hits = _windows(rows, ["_doc", "_key"], sizes, every).join(lookup(targets, 500_000), ["size", "window"]).where("_exact is null or _exact = exact")
     hits = hits.groupBy("_doc", "_key", "_item", "size", (F.col("at") - F.col("_place")).alias("_shift")).agg(
         F.collect_set("_place").alias("_places")
     )
