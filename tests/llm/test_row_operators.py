@@ -370,6 +370,18 @@ def test_pieces_are_the_tokenizers_own(text):
     assert np.frombuffer(encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_unknown_latin_pieces_skip_the_tokenizers_own_steps():
+    from tokenizers import Tokenizer
+
+    class ModelOnly:
+        model = Tokenizer.from_file(tokenizer_path()).model
+
+    text = "Qwzrtô don't 1½ naïve-ly \x00\x1c\x7f µ"
+    pieces = ans.ModelPieces(ModelOnly, "<u2")
+    got = b"".join(map(pieces.__getitem__, ans.PIECE.findall(text.lower())))
+    assert np.frombuffer(got, "<u2").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
 def test_blocks_round_trip_and_damage_is_seen():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, 300_000), 5000)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import running_totals
+from .alignment import byte_letters
 from .common import by_value, give_back, id_ranges, lookup, prepared, range_of, restored, stage, worker_store
 
 by_value(__name__)
@@ -52,6 +54,20 @@ class Pieces(dict):
         return out
 
 
+class ModelPieces(Pieces):
+    """The same for pieces as the tokenizer's own steps before its model make them: only the model is asked."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__(tokenizer, kind)
+        self.model, self.letters = tokenizer.model, {b: letter for letter, b in byte_letters().items()}
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        out = self[piece] = array(self.code, [t.id for t in made]).tobytes()
+        return out
+
+
 def encoder(tokenizer_json: str, kind: str):
     """Text to id bytes, with a store of known pieces that outlives the task.
 
@@ -64,7 +80,7 @@ def encoder(tokenizer_json: str, kind: str):
     key = ("tokenizer", zlib.crc32(tokenizer_json.encode()))
     if key not in store:
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        store[key] = (tokenizer, Pieces(tokenizer, kind), Pieces(tokenizer, kind))
+        store[key] = (tokenizer, ModelPieces(tokenizer, kind), Pieces(tokenizer, kind))
     tokenizer, pieces, words = store[key]
 
     def encode(text: str) -> bytes:
