@@ -134,6 +134,14 @@ def test_disguised_words(decoder, written, meant):
     assert meant in decoder.decode(written)
 
 
+def test_a_token_without_edges_is_decoded_once(decoder, monkeypatch):
+    seen, decode = [], deobfuscate.Decoder.decode
+    monkeypatch.setattr(deobfuscate.Decoder, "decode", lambda self, text: [seen.append(text), decode(self, text)][1])
+    restorer = deobfuscate.Restorer(decoder)
+    assert "stupid" in restorer["stup1d"] and "stupid" in restorer["(stup1d)"] and restorer["stone"] == ("stone",)
+    assert seen == ["stup1d", "stup1d", "(stup1d)"]
+
+
 @pytest.mark.parametrize(
     ("written", "meant"),
     [("a stuupid man", "stupid"), ("an idiiot", "idiot"), ("mooron", "moron"), ("i  d \t i\n o  t", "idiot"), ("so i. d. i. o. t. it is", "idiot"), ("* i d i o t *", "idiot"), ("yellow", "yellow")],

@@ -34,6 +34,7 @@ SIZE = 64
 AS_IS, LOOKALIKE, REPEATED, DROPPED, BROKEN, LOST = -0.05, -1.2, -1.2, -1.0, -2.5, -9.0
 BEAM = 48
 KEEP_WORDS = 250_000
+KEEP_SCORES = 400_000
 
 MARK = re.compile(r"[^\W_]")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -98,11 +99,15 @@ class Decoder:
         self.model = model.tolist()
         self.number = {letter: i for i, letter in enumerate(ALPHABET)}
         self.number["\0"] = 0
+        self.readings: dict[tuple[str, bool], list[tuple[int, float]]] = {}
 
     def arcs(self, text: str, at: int) -> list[tuple[int, float]]:
         """Readings of a character: symbol (-1 for nothing) and log probability."""
         c = text[at]
-        out = []
+        key = (c, at > 0 and c == text[at - 1])
+        if key in self.readings:
+            return self.readings[key]
+        out = self.readings[key] = []
         if c in self.number and c != "\0":
             out.append((self.number[c], AS_IS))
         for letter in LOOKALIKES.get(c, ""):
@@ -121,17 +126,26 @@ class Decoder:
             half = LONGEST // 2
             parts = [text[i : i + LONGEST] for i in range(0, len(text) - half, half)]
             return [w for p in parts for w in self.decode(p)]
+        # Up to the first character with more than one reading there is one path.
+        a = b = at = 0
+        p, history = 0.0, ()
+        while at < len(text) and len(arcs := self.arcs(text, at)) == 1:
+            ((symbol, cost),) = arcs
+            p += cost
+            p += self.model[a][b][symbol]
+            a, b, history, at = b, symbol, (history, symbol), at + 1
         # (last but one, last) symbol -> (log probability, history)
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for at in range(len(text)):
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(a, b): (p, history)}
+        for at in range(at, len(text)):
             following: dict[tuple[int, int], tuple[float, tuple]] = {}
             arcs = self.arcs(text, at)
             for (a, b), (p, history) in best.items():
+                row = self.model[a][b]
                 for symbol, cost in arcs:
                     if symbol < 0 or (symbol == 0 and b == 0):
                         key, q, path = (a, b), p + cost, history
                     else:
-                        key, q, path = (b, symbol), p + cost + self.model[a][b][symbol], (history, symbol)
+                        key, q, path = (b, symbol), p + cost + row[symbol], (history, symbol)
                     known = following.get(key)
                     if known is None or q > known[0]:
                         following[key] = (q, path)
@@ -158,19 +172,24 @@ class Restorer(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > KEEP_WORDS:
             self.clear()
+        out = self[token] = self.read(token)
+        return out
+
+    def read(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not RUN.search(token):
+            return (token,)
         core = EDGES.sub("", token)
         if LETTERS.match(core) and not RUN.search(core):
-            out = (core,)
             # Signs at the edges may be disguised letters too ($tupid): then both readings count.
             if core != token and any(c in LOOKALIKES for c in token) and len(token) - len(core) < 3:
-                out = tuple(dict.fromkeys((core, *self.decoder.decode(token))))
-        elif MARK.search(token):
-            plain = re.findall(r"[^\W\d_]+", core)
-            out = tuple(dict.fromkeys((*plain, *self.decoder.decode(core), *self.decoder.decode(token))))
-        else:
-            out = ()
-        self[token] = out
-        return out
+                return tuple(dict.fromkeys((core, *self.decoder.decode(token))))
+            return (core,)
+        if not MARK.search(token):
+            return ()
+        words = [*re.findall(r"[^\W\d_]+", core), *self.decoder.decode(core)]
+        if core != token:
+            words += self.decoder.decode(token)
+        return tuple(dict.fromkeys(words))
 
 
 def spaced_words(stretch: str, decoder: Decoder) -> list[str]:
@@ -230,13 +249,16 @@ class WordScores(dict):
         self.restorer, self.weights = restorer, weights
 
     def of_words(self, words: Iterable[str]) -> float:
-        return max((self.weights.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
+        best, weight = 0.0, self.weights.get
+        for word in words:
+            for feature in features_of(word):
+                best = max(best, weight(feature, 0.0))
+        return best
 
     def __missing__(self, token: str) -> float:
-        if len(self) > KEEP_WORDS:
+        if len(self) > KEEP_SCORES:
             self.clear()
-            self.restorer.clear()
-        out = self[token] = self.of_words(self.restorer[token])
+        out = self[token] = self.of_words(self.restorer.read(token))
         return out
 
 
@@ -244,7 +266,8 @@ def text_score(text: str | None, scores: WordScores, base: float) -> float:
     """Probability that at least one sign of toxicity is right; ``base`` without any sign."""
     lowered = (text or "").lower()
     tokens = lowered.split()
-    found = {t: s for t, s in zip(tokens, map(scores.__getitem__, tokens), strict=True) if s > 0.0}
+    each = [*map(scores.__getitem__, tokens)]
+    found = {t: s for t, s in zip(tokens, each, strict=True) if s > 0.0} if any(each) else {}
     if len(tokens) > 2:
         for spaced in SPACED.finditer(lowered):
             s = scores.of_words(spaced_words(spaced.group(), scores.restorer.decoder))
