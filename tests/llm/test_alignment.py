@@ -127,3 +127,10 @@ def test_query(spark):
     assert Counter(r["doc_id"] for r in df.collect()) == counts
     small = [r for r in rows if r[1] and len(r[1]) < 3000][:60]
     assert found(alignment.token_links(spark.createDataFrame(small, "doc_id long, text string"), A, B)) == brute(small)
+
+
+def test_plain_texts_are_split_without_the_pattern(monkeypatch):
+    want = {t: alignment.PART.split(t) for t in [*ODD, "a b", "a  b", " a b", "a b ", "a\n b", "a \u2003b", "a\nb c", "\n", " "] if t}
+    assert {t: alignment.parts_of(t) for t in want} == want
+    monkeypatch.setattr(alignment, "PART", None)
+    assert alignment.parts_of("It's one\ntext, of parts") == ["It's", "one\ntext,", "of", "parts"]

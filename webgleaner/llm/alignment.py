@@ -17,8 +17,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,14 @@ CHUNK = (
     "ends binary, pairs binary, times binary, keys binary, n binary"
 )
 
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts of a text. Splitting at every space does, unless a piece then begins or ends with white space or is empty."""
+    pieces = text.split(" ")
+    return pieces if all(pieces) and [*map(str.strip, pieces)] == pieces else PART.split(text)
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
@@ -184,17 +193,31 @@ class Aligner:
             rest = [i for i, ids in enumerate(of_a) if ids is None]
             for i, made in zip(rest, self.a.encode_batch([spaced[i] for i in rest], add_special_tokens=False), strict=True):
                 of_a[i] = made.ids
-            good = []
-            for part, raw, a, b in zip(some, spaced, of_a, self.b.encode(some, num_threads=1), strict=True):
-                raw = raw.encode()
-                if b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
-                    good.append((part, a, b))
-                else:
-                    self.parts[part] = None
-            if good:
-                self._align(*zip(*good, strict=True))
-
-    def _align(self, parts: tuple[str], of_a: tuple[list[int]], of_b: tuple[list[int]]) -> None:
+            raw = [t.encode() for t in spaced]
+            of_b = self.b.encode(some, num_threads=1)
+            whole = self._whole(raw, of_b, self.bytes_b, self.size_b)
+            # The faster encoder leaves no byte out.
+            for i in rest:
+                whole[i] &= b"".join(map(self.bytes_a.__getitem__, of_a[i])) == raw[i]
+            if not whole.all():
+                self.parts.update((some[i], None) for i in np.flatnonzero(~whole).tolist())
+                some, of_a, of_b = ([*compress(x, whole.tolist())] for x in (some, of_a, of_b))
+            if some:
+                self._align(some, of_a, of_b)
+
+    @staticmethod
+    def _whole(raw: list[bytes], lists: list[list[int]], bytes_of: list[bytes], size_of: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each list of ids are the bytes in its place of ``raw``."""
+        n, size = np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
+        out = sums(size_of[ids], n) == size
+        same = out.tolist()
+        made = np.frombuffer(b"".join(map(bytes_of.__getitem__, ids[np.repeat(out, n)].tolist())), dtype=np.uint8)
+        wanted = np.frombuffer(b"".join(compress(raw, same)), dtype=np.uint8)
+        out[out] = sums(made != wanted, size[out]) == 0
+        return out
+
+    def _align(self, parts: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> None:
         n_a, n_b = (np.fromiter(map(len, lists), np.int64, len(parts)) for lists in (of_a, of_b))
         a, b = (np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())) for lists, n in ((of_a, n_a), (of_b, n_b)))
         # Byte ends over all parts: those of one part lie behind those of the part before.
@@ -230,10 +253,10 @@ class Aligner:
             of_key = np.concatenate([of_key, np.full(len(x) * len(y), part_of[g])])
         order = np.argsort(of_key, kind="stable") if len(large) else slice(None)
         keys, times, held = keys[order], times[order], np.bincount(of_key, minlength=len(parts))
-        raw_keys, raw_times, edges = keys.tobytes(), times.astype(np.int32).tobytes(), np.cumsum(held).tolist()
+        raw_facts, raw_keys, raw_times, edges = facts.tobytes(), keys.tobytes(), times.astype(np.int32).tobytes(), np.cumsum(held).tolist()
         first = 0
-        for part, fact, text, last in zip(parts, facts, texts, edges, strict=True):
-            self.parts[part] = (fact.tobytes(), text, raw_keys[8 * first : 8 * last], raw_times[4 * first : 4 * last])
+        for i, (part, text, last) in enumerate(zip(parts, texts, edges, strict=True)):
+            self.parts[part] = (raw_facts[32 * i : 32 * i + 32], text, raw_keys[8 * first : 8 * last], raw_times[4 * first : 4 * last])
             first = last
 
 
@@ -294,7 +317,7 @@ class Chunk:
     def add(self, rows: list[tuple[int | None, str | None]]) -> None:
         """Documents with null, empty or unequal texts have no parts."""
         numbers, found = self.numbers, self.numbers.found
-        split = [PART.split(text) if text else [] for _, text in rows]
+        split = [parts_of(text) if text else [] for _, text in rows]
         self.align.meet(set().union(*split), numbers)
         for (doc_id, text), parts in zip(rows, split, strict=True):
             own = [*map(numbers.__getitem__, parts)]
@@ -307,7 +330,7 @@ class Chunk:
             self.sha.append(hashlib.sha256(groups[:-1].encode()).hexdigest() if own else "")
             self.doc_ids.append(doc_id)
             self.sizes.append(len(own))
-            self.parts.append(np.array(own, dtype=np.int32))
+            self.parts.append(np.frombuffer(array("i", own), dtype=np.int32))
             self.n_parts += len(own)
 
     def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
