@@ -79,6 +79,39 @@ def test_cut_texts(spark):
     assert got == {1: "one " + shared, 2: "two end"}
 
 
+def test_hits_come_by_place_not_by_document(spark, monkeypatch):
+    counts = {}
+
+    def counted(df, label, stage=factor_dedup.stage):
+        out = stage(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(factor_dedup, "stage", counted)
+    rows = [(i, prose(i, 20) + prose(1000, 60) + prose(1000 + i % 9, 40), None) for i in range(400)]
+    got = sorted_rows(factor_dedup.factor_digest(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)))
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got == covered_by_earlier(rows)
+    assert 0 < counts["anchor-hits"] <= places * places
+
+
+def test_suffixes_sorted_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(factor_dedup, "SUFFIXES", 10)
+    rows = [(i, prose(i % 4, 30) + "aa" * 60 + prose(i % 3, 30), None) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    assert sorted_rows(factor_dedup.factor_digest(df)) == covered_by_earlier(rows)
+
+
+def test_previous_factors_with_hashes():
+    rng = np.random.default_rng(4)
+    strings = rng.integers(97, 99, (3000, 10)).astype(np.uint8)
+    docs = rng.integers(0, 40, 3000)
+    true = strings.astype(np.uint64) @ (np.uint64(1) << np.arange(10, dtype=np.uint64))
+    wanted = factor_dedup.previous_factors(strings, docs)
+    for hashes in (true, true % np.uint64(7)):  # the second: unlike rows with one hash
+        assert (factor_dedup.previous_factors(strings, docs, hashes) == wanted).all()
+
+
 def test_previous_factors_against_all_pairs():
     rng = np.random.default_rng(3)
     strings = rng.integers(97, 99, (300, 12)).astype(np.uint8)

@@ -7,7 +7,8 @@ values) that belong to an earlier document. Bytes covered by previous factors of
 One suffix array over a corpus does not fit a cluster's tasks, so it is built in parts, each over the strings that can match:
 
 1. Every window of ``length`` bytes has an anchor, the 16 bytes in it with the smallest hash; neighbouring windows mostly share it,
-   equal windows always do. Anchors are exchanged as hashes, counted per task first. One seen in a single document is dropped.
+   equal windows always do. Anchors are exchanged as hashes, counted per task first. One seen in a single document is dropped. The
+   others go back to the texts, which are dealt out to places by their ids: one row for each bucket of anchors and place.
 2. For the others the text around them is exchanged: all windows of an anchor as one context. Equal contexts meet in the task already.
    A task gets all contexts of its anchors, sorts their window starts into a suffix array and computes the factors.
 3. The covered spans go back to their documents.
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, groups_of, prepared, stage
+from .common import by_value, give_back, groups_of, prepared, stage
 
 by_value(__name__)
 
@@ -38,6 +39,7 @@ ANCHOR = 16
 PART = 1 << 19  # bytes hashed at a time
 CHUNK = 1 << 24  # bytes of text whose anchors meet before they are exchanged
 CONTEXTS = 1 << 23  # bytes of contexts that meet before they are exchanged
+SUFFIXES = 1 << 18  # suffixes sorted at a time, about: runs with the same first bytes stay together
 MOST_HOT = 1_000_000
 # Bits of an anchor's hash that travel beside its bucket: with half a million anchors a bucket, one in 10,000 seems to recur by chance
 # alone and is exchanged for nothing.
@@ -183,7 +185,7 @@ def anchor_rows(length: int, buckets: int, schema: pa.Schema):
     all buckets.
     """
 
-    def flush(ids: list[int], runs: list[tuple]) -> pa.RecordBatch:
+    def flush(ids: list[int], places: list[int], runs: list[tuple]) -> pa.RecordBatch:
         doc, number, anchor = (np.concatenate(c) for c in zip(*runs, strict=True))
         order = np.lexsort((number, doc, anchor))
         doc, number, anchor = doc[order], number[order], anchor[order]
@@ -203,7 +205,7 @@ def anchor_rows(length: int, buckets: int, schema: pa.Schema):
         known_place = doc[known] % buckets
         edges = np.searchsorted(place[order], np.arange(buckets + 1))
         known_edges = np.searchsorted(known_place, np.arange(buckets + 1))
-        all_ids = np.array(ids, dtype=np.int64)
+        all_ids, all_places = np.array(ids, dtype=np.int64), np.array(places, dtype=np.int32)
         out: tuple[list, list] = ([], [])
         for bucket in range(buckets):
             pick, hit = order[edges[bucket] : edges[bucket + 1]], known[known_edges[bucket] : known_edges[bucket + 1]]
@@ -214,25 +216,27 @@ def anchor_rows(length: int, buckets: int, schema: pa.Schema):
             out[0].append(bucket)
             out[1].append(
                 packed(
-                    np.diff(all_ids[used], prepend=0), key, _steps(np.searchsorted(used, a_doc[pick])), _steps(a_number[pick]),
+                    np.diff(all_ids[used], prepend=0), all_places[used], key, _steps(np.searchsorted(used, a_doc[pick])), _steps(a_number[pick]),
                     a_shared[pick], _steps(np.searchsorted(used, doc[hit])), _steps(number[hit]),
                 )
             )
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ids, runs, size = Hasher(), [], [], 0
+        hasher, ids, places, runs, size = Hasher(), [], [], [], 0
         for batch in batches:
             texts = [_bytes(t) for t in batch["text"].to_pylist()]
             for doc, number, _, _, anchor in document_runs(texts, length, hasher):
                 runs.append((doc + len(ids), number, anchor))
             ids.extend(batch["_order"].to_pylist())
+            places.extend(batch["_place"].to_pylist())
             size += sum(map(len, texts))
             if size >= CHUNK:
-                yield flush(ids, runs)
-                ids, runs, size = [], [], 0
+                yield flush(ids, places, runs)
+                ids, places, runs, size = [], [], [], 0
         if runs:
-            yield flush(ids, runs)
+            yield flush(ids, places, runs)
+        give_back()
 
     return run
 
@@ -246,26 +250,27 @@ def _steps(values: np.ndarray) -> np.ndarray:
 
 
 def hit_rows(least_hot: int, schema: pa.Schema):
-    """Partition function: ``_order, anchors`` (numbers of a document's runs that recur) from anchors by bucket.
+    """Partition function: ``_place, anchors`` (ids of the place's documents and the numbers of their runs that recur) from anchors by bucket.
 
-    Anchors with more than ``least_hot`` occurrences are given too, as rows with ``hot``, the low bits of the hash, and the bucket.
+    A bucket gives one row to each place of texts, however many documents lie there. Anchors with more than ``least_hot`` occurrences are given too, as rows with ``hot``, the low bits of the hash, and the bucket.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["bucket"], least=1):
             bucket = group["bucket"][0].as_py()
-            pieces, keys, docs, numbers, flags, base = [], [], [], [], [], 0
+            pieces, places, keys, docs, numbers, flags, base = [], [], [], [], [], [], 0
             hits: list[tuple[np.ndarray, np.ndarray]] = []
             for data in group["data"].to_pylist():
-                steps, key, doc, number, shared, hit_doc, hit_number = unpacked(data)
+                steps, place, key, doc, number, shared, hit_doc, hit_number = unpacked(data)
                 keys.append(key)
                 docs.append(np.cumsum(doc, dtype=np.int64) + base)
                 numbers.append(np.cumsum(number, dtype=np.int64))
                 flags.append(shared)
                 hits.append((np.cumsum(hit_doc, dtype=np.int64) + base, np.cumsum(hit_number, dtype=np.int64)))
                 pieces.append(np.cumsum(steps))
+                places.append(place)
                 base += len(steps)
-            ids = np.concatenate(pieces)
+            ids, place = np.concatenate(pieces), np.concatenate(places)
             key, doc, number, shared = (np.concatenate(x) for x in (keys, docs, numbers, flags))
             order = np.lexsort((doc, key))
             key, doc, number, shared = key[order], doc[order], number[order], shared[order]
@@ -277,31 +282,53 @@ def hit_rows(least_hot: int, schema: pa.Schema):
             picked = np.repeat(recurs, counts) & ~shared
             hits.append((doc[picked], number[picked]))
             hit_doc, hit_number = (np.concatenate(x) for x in zip(*hits, strict=True))
-            order = np.argsort(hit_doc, kind="stable")
+            order = np.lexsort((hit_number, hit_doc, place[hit_doc]))
             hit_doc, hit_number = hit_doc[order], hit_number[order].astype("<u4")
-            begins_doc = run_starts(hit_doc)
             hot = key[begins[counts > least_hot]].astype(np.int64).tolist()
-            spans = np.append(begins_doc, len(hit_doc)).tolist()
-            lists = [hit_number[a:b].tobytes() for a, b in zip(spans[:-1], spans[1:], strict=True)]
-            n = len(lists)
+            edges = [*run_starts(place[hit_doc]).tolist(), len(hit_doc)] if len(hit_doc) else [0]
+            found = [(int(place[hit_doc[a]]), packed_hits(ids, hit_doc[a:b], hit_number[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[hit_doc[spans[:-1]]].tolist() + [None] * len(hot) if n else [None] * len(hot), pa.int64()),
-                    pa.array(lists + [None] * len(hot), pa.binary()),
-                    pa.array([None] * n + hot, pa.int64()),
-                    pa.array([bucket] * (n + len(hot)), pa.int32()),
+                    pa.array([p for p, _ in found] + [None] * len(hot), pa.int32()),
+                    pa.array([data for _, data in found] + [None] * len(hot), pa.binary()),
+                    pa.array([None] * len(found) + hot, pa.int64()),
+                    pa.array([bucket] * (len(found) + len(hot)), pa.int32()),
                 ],
                 schema=schema,
             )
+        give_back()
 
     return run
 
 
+def packed_hits(ids: np.ndarray, doc: np.ndarray, number: np.ndarray) -> bytes:
+    """Ids of documents, and the numbers of runs of each."""
+    begins = run_starts(doc)
+    return packed(np.diff(ids[doc[begins]], prepend=0), np.diff(np.append(begins, len(doc))).astype(np.int32), _steps(number))
+
+
+class Hits:
+    """The numbers of recurring runs by document, of one place."""
+
+    def __init__(self, rows: list[bytes]):
+        ids, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data in rows:
+            steps, counts, number = unpacked(data)
+            ids.append(np.repeat(np.cumsum(steps), counts))
+            numbers.append(np.cumsum(number, dtype=np.int64))
+        self.ids, self.numbers = np.concatenate(ids), np.concatenate(numbers)
+        order = np.argsort(self.ids, kind="stable")
+        self.ids, self.numbers = self.ids[order], self.numbers[order]
+
+    def of(self, order: int) -> np.ndarray:
+        return self.numbers[np.searchsorted(self.ids, order) : np.searchsorted(self.ids, order, side="right")]
+
+
 # --- second exchange: contexts ----------------------------------------------------------------------------------------
 
 
 def context_rows(length: int, buckets: int, hot: frozenset, schema: pa.Schema):
-    """Partition function: contexts of recurring anchors by bucket, from hits and texts sorted by document.
+    """Partition function: contexts of recurring anchors by bucket, from hits and texts sorted by place, hits first.
 
     Of equal contexts in a task only those of the smallest id travel; the others are covered and travel as known spans.
     """
@@ -367,18 +394,21 @@ def context_rows(length: int, buckets: int, hot: frozenset, schema: pa.Schema):
                     held += b - a + length
             waiting.clear()
 
-        hits: list[np.ndarray] = []
-        hits_of = None
+        rows: list[bytes] = []
+        hits = hits_of = None
         for batch in batches:
-            for order, key, text, anchors in zip(*(batch[c].to_pylist() for c in ("_order", "_key", "text", "anchors")), strict=True):
-                if order != hits_of:
-                    hits, hits_of = [], order
+            for place, order, key, text, anchors in zip(*(batch[c].to_pylist() for c in ("_place", "_order", "_key", "text", "anchors")), strict=True):
+                if place != hits_of:
+                    rows, hits, hits_of = [], None, place
                 if anchors is not None:
-                    hits.append(np.frombuffer(anchors, dtype="<u4").astype(np.int64))
+                    rows.append(anchors)
                     continue
-                if not hits:
+                if hits is None:
+                    rows, hits = [], Hits(rows)
+                numbers = hits.of(order)
+                if not len(numbers):
                     continue
-                waiting.append((order, key, _bytes(text), np.concatenate(hits)))
+                waiting.append((order, key, _bytes(text), numbers))
                 waiting_size += len(waiting[-1][2])
                 if waiting_size >= PART:
                     work()
@@ -390,6 +420,8 @@ def context_rows(length: int, buckets: int, hot: frozenset, schema: pa.Schema):
             work()
         if found:
             yield flush(docs, found)
+        del docs, found, hits
+        give_back()
 
     return run
 
@@ -417,23 +449,40 @@ def common_prefix(strings: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
     return np.where(same.all(axis=1), strings.shape[1], same.argmin(axis=1))
 
 
-def previous_factors(strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def suffix_order(strings: np.ndarray, hashes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows, and the number of each row's value; only one row of each hash is compared, if its rows are all equal."""
+    n, width = strings.shape
+    if hashes is None:
+        return np.argsort(np.ascontiguousarray(strings).view(f"S{width}").reshape(-1), kind="stable"), np.arange(n)
+    _, first, value = np.unique(hashes, return_index=True, return_inverse=True)
+    if not np.array_equal(strings, strings[first][value]):
+        return suffix_order(strings, None)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(np.ascontiguousarray(strings[first]).view(f"S{width}").reshape(-1), kind="stable")] = np.arange(len(first))
+    return np.argsort(rank[value], kind="stable"), rank[value]
+
+
+def previous_factors(strings: np.ndarray, docs: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
     """Longest previous factor of each suffix, up to the width of ``strings`` (its first bytes): a row per suffix.
 
     In suffix order the longest common prefix with a suffix of an earlier document is that with the nearest such suffix
-    before or after. Only neighbours with a common first half are searched; shorter factors are reported as 0.
+    before or after. Only neighbours with a common first half are searched; shorter factors are reported as 0. ``hashes`` of the rows,
+    if given, spare the comparison of equal rows.
     """
     n, width = strings.shape
     if not n:
         return np.zeros(0, dtype=np.int64)
-    order = np.argsort(np.ascontiguousarray(strings).view(f"S{width}").reshape(-1), kind="stable")
-    sorted_strings, sorted_docs = strings[order], docs[order]
+    order, value = suffix_order(strings, hashes)
+    sorted_strings, sorted_docs, value = strings[order], docs[order], value[order]
     alike = np.zeros(n, dtype=bool)
     alike[1:] = (sorted_strings[1:, : width // 2] == sorted_strings[:-1, : width // 2]).all(axis=1)
     groups = np.cumsum(~alike)
     factor = np.zeros(n, dtype=np.int64)
     for neighbour in (smaller_before(sorted_docs, groups), n - 1 - smaller_before(sorted_docs[::-1], groups[::-1])[::-1]):
         has = np.flatnonzero((neighbour >= 0) & (neighbour < n))
+        same = value[has] == value[neighbour[has]]
+        factor[has[same]] = width
+        has = has[~same & (factor[has] < width)]
         for at in np.array_split(has, len(has) // 200_000 + 1):
             factor[at] = np.maximum(factor[at], common_prefix(sorted_strings, at, neighbour[at]))
     out = np.empty(n, dtype=np.int64)
@@ -441,6 +490,22 @@ def previous_factors(strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_first_bytes(text: np.ndarray, at: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places in ``at`` by the first eight bytes of their suffixes, about ``most`` at a time; equal first bytes stay together."""
+    if not len(at):
+        return
+    lead = np.zeros(len(at), dtype=np.uint64)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | text[at + i]
+    order = np.argsort(lead)
+    new = np.append(run_starts(lead[order]), len(at))
+    begin = 0
+    while begin < len(at):
+        end = int(new[min(np.searchsorted(new, begin + most), len(new) - 1)])
+        yield order[begin:end]
+        begin = end
+
+
 def context_hashes(text: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> np.ndarray:
     """Hashes of all windows of contexts that stand one after another, some of the contexts at a time."""
     ends = np.cumsum(sizes)
@@ -487,12 +552,15 @@ def span_rows(length: int, schema: pa.Schema):
                 again[by_hash[1:][same]] = True
                 again[by_hash[:-1][same]] = True
                 pick = np.flatnonzero(again)
-                del hashes, by_hash, same, again
+                hashes = hashes[pick]
+                del by_hash, same, again
                 owner = doc[context[pick]]
                 inside = pick - (np.cumsum(windows) - windows)[context[pick]]
                 at = (ends - size)[context[pick]] + inside
-                strings = np.lib.stride_tricks.sliding_window_view(text, length)[at] if len(pick) else np.zeros((0, length), np.uint8)
-                full = previous_factors(strings, order[owner]) >= length
+                full = np.zeros(len(pick), dtype=bool)
+                for some in by_first_bytes(text, at, SUFFIXES):
+                    strings = np.lib.stride_tricks.sliding_window_view(text, length)[at[some]]
+                    full[some] = previous_factors(strings, order[owner[some]], hashes[some]) >= length
                 covered, inside = pick[full], inside[full]
                 if len(covered):
                     begin = start[context[covered]] + inside
@@ -510,6 +578,7 @@ def span_rows(length: int, schema: pa.Schema):
                 [pa.array(order[span_doc]), pa.array(key[span_doc]), pa.array(span_start), pa.array((span_end - span_start).astype(np.int32))],
                 schema=schema,
             )
+        give_back()
 
     return run
 
@@ -586,21 +655,23 @@ def factor_spans(docs: DataFrame, length: int = LENGTH, bytes_per_bucket: int =
     spark = prepared(docs.sparkSession)
     rows = _keyed(docs)
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // bytes_per_bucket)
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(places, n_bytes // bytes_per_bucket)
+    rows = rows.withColumn("_place", F.pmod(F.xxhash64("_order"), F.lit(places)).cast("int"))
     blob = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-    anchors = rows.select("_order", "text").mapInArrow(anchor_rows(length, buckets, blob), "bucket int, data binary")
-    anchors = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    anchors = rows.select("_order", "_place", "text").mapInArrow(anchor_rows(length, buckets, blob), "bucket int, data binary")
+    anchors = anchors.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     # About n_bytes / 18 anchors in all: at most MOST_HOT of them can have more occurrences than this.
     least_hot = max(hot, n_bytes // 18 // MOST_HOT)
-    hit_schema = pa.schema([("_order", pa.int64()), ("anchors", pa.binary()), ("hot", pa.int64()), ("bucket", pa.int32())])
-    hits = stage(anchors.mapInArrow(hit_rows(least_hot, hit_schema), "_order long, anchors binary, hot long, bucket int"), "anchor-hits")
+    hit_schema = pa.schema([("_place", pa.int32()), ("anchors", pa.binary()), ("hot", pa.int64()), ("bucket", pa.int32())])
+    hits = stage(anchors.mapInArrow(hit_rows(least_hot, hit_schema), "_place int, anchors binary, hot long, bucket int"), "anchor-hits")
     listed = frozenset((r["bucket"], r["hot"]) for r in hits.where("hot is not null").select("bucket", "hot").collect())
-    both = rows.select("_order", "_key", "text", F.lit(None).cast("binary").alias("anchors")).unionByName(
-        hits.where("anchors is not null").select("_order", F.lit(None).cast("long").alias("_key"), F.lit(None).cast("string").alias("text"), "anchors")
+    both = rows.select("_place", "_order", "_key", "text", F.lit(None).cast("binary").alias("anchors")).unionByName(
+        hits.where("anchors is not null").select("_place", "anchors"), allowMissingColumns=True
     )
-    both = both.repartition(buckets, "_order").sortWithinPartitions("_order", F.col("anchors").isNull())
+    both = both.repartitionById(places, "_place").sortWithinPartitions("_place", F.col("anchors").isNull())
     contexts = both.mapInArrow(context_rows(length, buckets, listed, blob), "bucket int, data binary")
-    contexts = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    contexts = contexts.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     span_schema = pa.schema([("_order", pa.int64()), ("_key", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
     return stage(contexts.mapInArrow(span_rows(length, span_schema), "_order long, _key long, start long, size int"), "factor-spans")
 
