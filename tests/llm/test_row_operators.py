@@ -393,6 +393,18 @@ def test_token_files(tricky, tricky_rows):
     assert order == sorted(order)
 
 
+def test_counting_ids_lets_the_tokenizer_go():
+    import pyarrow as pa
+
+    from webgleaner.llm.common import worker_store
+
+    worker_store()["tokenizer"] = "pieces"
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+    ids = pa.RecordBatch.from_pydict({"ids": [np.array([3, 3, 5], "<u2").tobytes()]})
+    assert [b.to_pydict() for b in ans.count_ids("<u2", schema)([ids])] == [{"id": [3, 5], "n": [2, 1]}]
+    assert not worker_store()
+
+
 @pytest.mark.parametrize("text", ["don't we'll 's 'struth", "a,.b -- c!!", "x<|endoftext|>y", "ÀÉ ßŒ œ Σας ﬁ é", "1½ ² 3rd", "a b c\x85d\x1ce", "ªº µ ÷×", "İİ"])
 def test_pieces_are_the_tokenizers_own(text):
     from tokenizers import Tokenizer

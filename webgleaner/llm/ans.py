@@ -32,7 +32,7 @@ FILE_TOKENS = 1 << 20
 LOW = 1 << 31  # states stay in [LOW, LOW << 32)
 HEADER = "<8sIIQQI"  # magic, scale bits, blocks, documents, tokens, checksum of the frequency table
 CHECKPOINT = "<QQIIII"  # first token, byte offset, tokens, bytes, checksum of the bytes, checksum of the ids
-KEEP_PIECES = 600_000
+KEEP_PIECES = 340_000  # about 60 MB in a worker; the dict grows by half beyond 349,525
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -133,6 +133,9 @@ def count_ids(kind: str, schema: pa.Schema):
     """Partition function: how often each id occurs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The tokenizer and its pieces are not needed any more: they would stay in the idle workers while Spark sorts and writes.
+        worker_store().clear()
+        give_back()
         counts = np.zeros(1, dtype=np.int64)
         for batch in batches:
             ids = np.frombuffer(b"".join(batch["ids"].to_pylist()), dtype=kind)
@@ -141,6 +144,7 @@ def count_ids(kind: str, schema: pa.Schema):
             counts = new
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], schema=schema)
+        give_back()
 
     return run
 
@@ -265,7 +269,7 @@ def write_rows(table, kind: str, schema: pa.Schema):
     """Partition function: files from rows ``_range, doc_id, ids`` in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The tokenizer and its pieces are not needed any more.
+        # A worker that counted nothing may still hold the tokenizer and its pieces.
         worker_store().clear()
         give_back()
         freqs = restored(Frequencies, table.value)
@@ -292,6 +296,8 @@ def write_rows(table, kind: str, schema: pa.Schema):
                 size += len(ids) // np.dtype(kind).itemsize
         if parts:
             yield file()
+        del doc_ids, parts
+        give_back()
 
     return run
 
@@ -312,6 +318,7 @@ def document_rows(table, schema: pa.Schema):
                     [pa.array(doc_ids, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
                     schema=schema,
                 )
+        give_back()
 
     return run
 

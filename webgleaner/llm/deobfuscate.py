@@ -237,6 +237,8 @@ def count_features(model: np.ndarray, schema: pa.Schema):
                 bad, good = Counter(), Counter()
         if bad or good:
             yield rows(bad, good)
+        del restorer, bad, good
+        give_back()
 
     return run
 
@@ -290,6 +292,8 @@ def score_rows(model: np.ndarray, weights: dict[str, float], base: float, schema
                 [batch["doc_id"], batch["held_out"], pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())],
                 schema=schema,
             )
+        del scores
+        give_back()
 
     return run
 
