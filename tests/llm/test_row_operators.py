@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -370,6 +371,36 @@ def test_rare_n_grams_stay_in_a_large_corpus(spark):
     assert all(r["score"] > r["base_score"] + 60 for r in got if r["doc_id"] >= 100)
 
 
+def test_frequent_words_are_dealt_to_several_buckets(spark, monkeypatch):
+    """Words and pairs of words that are frequent in the corpus: their n-grams meet in several buckets, the scores are the same."""
+    for name, value in (("CHUNK_TOKENS", 150), ("BUCKET_TOKENS", 60), ("LEAST_SPREAD", 1)):
+        monkeypatch.setattr(backoff_lm, name, value)
+    rows = [(i, " ".join(f"of the {w}" for w in prose(i % 7, 25).split()) + " the of " + prose(200 + i, 9)) for i in range(60)]
+    hot = []
+    number_words = backoff_lm.number_words
+    monkeypatch.setattr(backoff_lm, "number_words", lambda buckets, most: hot.append((buckets, most)) or number_words(buckets, most))
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    buckets, most = hot[0]
+    assert min(buckets, 60 * 25 // most) >= 2 * backoff_lm.SHARE  # "of the" is a unit of its own, in several buckets
+    expected = sorted((repr(d), round(s, 6)) for d, s in scores_by_hand(rows))
+    assert sorted((repr(r["doc_id"]), round(r["score"], 6)) for r in got) == expected
+
+
+def test_texts_of_chunks_are_not_shuffled(spark):
+    """Chunks lie in buckets: only what they ask and are answered moves."""
+    rows = [(i, prose(i % 9, 40)) for i in range(60)]
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip())]
+    assert moved and not any("doc_ids" in part for part in moved)
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5], [255, 256, 70_000, 1 << 62], list(range(3000))])
+def test_packed_numbers(values):
+    arrays = [np.array(values, dtype=np.int64), np.array(values[::-1], dtype=np.int64)]
+    assert [a.tolist() for a in backoff_lm.unpacked(backoff_lm.packed(*arrays))] == [values, values[::-1]]
+
+
 # --- op10 ---
 
 

@@ -10,14 +10,17 @@ Probabilities (interpolated absolute discounting, order 3) add up to 1 over the
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)); P(w | h) = (c(h, w) - d) / c(h) + b(h) P(w | h'), where b(h) is what the kept n-grams leave.
 
 All counts cover all training rows, and every n-gram seen at least ``LEAST`` times is kept, whatever the size of the corpus: what is
-gathered grows with it, and nothing of it is broadcast. The texts are cut into chunks. Each chunk asks for the counts of the words,
-pairs and triples it holds, and then for what the kept n-grams take from their histories: keys are 64-bit hashes, a bucket of keys
-goes to one task, which adds up what all chunks say of a key and answers each of them. A key has one entry per chunk at most, so
-frequent n-grams do not gather in a task. A chunk is then scored by the automaton of its own n-grams, with the weights of the whole corpus.
+gathered grows with it, and nothing of it is broadcast. The texts are cut into chunks, which lie in buckets by chunk and are not moved
+again. Each chunk first asks for the numbers and counts of its words (64-bit hashes, a bucket of hashes goes to one task). Then it sends
+its n-grams as numbers, dealt by their first word: words after it, and words after both. So the task of a bucket knows the counts and what
+the kept n-grams take from their histories at once, and answers each chunk. A word or pair that is frequent in the corpus is dealt to several
+buckets by the word after it. An n-gram has one entry per chunk at most. A chunk is then scored by the automaton of its own n-grams, with the
+weights of the whole corpus.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, give_back, groups_of, prepared, remainder, stage
+from .common import by_value, give_back, groups_of, placed, prepared, remainder
 
 by_value(__name__)
 
@@ -37,13 +40,18 @@ DISCOUNT = 0.75
 LEAST = 2  # occurrences from which an n-gram is kept
 SEED = 42
 CHUNK_TOKENS = 1 << 19
-BUCKET_KEYS = 1 << 22  # keys of one bucket, about
 
-CHUNK = "chunk long, bucket long, n_train long, kinds long, doc_ids array<long>, held array<boolean>, sizes array<long>, ids binary, keys binary, n binary"
+BUCKET_TOKENS = 1 << 20  # tokens whose n-grams meet in one bucket, about
+SHARE = 8  # a word with over 1 / SHARE of a bucket's tokens is dealt to several
+LEAST_SPREAD = 1 << 12  # tokens of a word from which it may be
+
+CHUNK = "chunk long, n_train long, doc_ids array<long>, held array<boolean>, sizes array<long>, ids binary, keys binary"
 CHUNK_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("bucket", pa.int64()), ("n_train", pa.int64()), ("kinds", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-     ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())]
+    [("chunk", pa.int64()), ("n_train", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+     ("ids", pa.binary()), ("keys", pa.binary())]
 )
+SLICE = "chunk long, bucket long, kinds long, keys binary, n binary"
+SLICE_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kinds", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,15 +67,34 @@ class Numbers(dict):
         return out
 
 
-def packed(values: np.ndarray) -> bytes:
-    """64-bit values as compressed planes of bytes: the upper ones are mostly zeros."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(np.ascontiguousarray(planes).data, 1)
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0 as planes of bytes, as many as the largest of an array needs, each compressed if that is shorter."""
+    out = [bytes([len(arrays)])]
+    for values in arrays:
+        values = np.asarray(values).astype("<u8")
+        width = (int(values.max(initial=0)).bit_length() + 7) // 8
+        out.append(struct.pack("<IB", len(values), width))
+        for plane in np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T):
+            coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_RLE)
+            short = coder.compress(plane.data) + coder.flush()
+            out += [struct.pack("<I", len(short)), short] if len(short) < len(plane) else [struct.pack("<I", 0), plane.tobytes()]
+    return b"".join(out)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    arrays, at = [], 1
+    for _ in range(raw[0]):
+        n, width = struct.unpack_from("<IB", raw, at)
+        at += 5
+        out = np.zeros((n, 8), dtype=np.uint8)
+        for k in range(width):
+            (size,) = struct.unpack_from("<I", raw, at)
+            at += 4
+            plane = zlib.decompress(raw[at : at + size], -15) if size else raw[at : at + n]
+            at += size or n
+            out[:, k] = np.frombuffer(plane, dtype=np.uint8)
+        arrays.append(out.reshape(-1).view("<i8"))
+    return arrays
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -86,9 +113,19 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def row(**values) -> pa.RecordBatch:
-    """One row of a chunk: its texts in bucket -2, the counts of its n-grams in -1, what it asks or is answered in the others."""
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in CHUNK_SCHEMA], schema=CHUNK_SCHEMA)
+def slices(rows: dict[str, list]) -> pa.RecordBatch:
+    """What chunks ask of buckets, or are answered."""
+    n = len(rows["chunk"])
+    return pa.RecordBatch.from_arrays([pa.array(rows.get(f.name, [None] * n), f.type) for f in SLICE_SCHEMA], schema=SLICE_SCHEMA)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Planes of bytes, the lowest first."""
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked_ids(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
 
 
 def chunk_rows(most_tokens: int):
@@ -105,11 +142,11 @@ def chunk_rows(most_tokens: int):
             keys = np.array([xxhash.xxh64_intdigest(w, SEED) for w in numbers], dtype="<u8")
             sizes = [len(p) for p in parts]
             n_train = sum(n for n, h in zip(sizes, held, strict=True) if not h)
-            number = (TaskContext.get().partitionId() << 32) + made
-            return row(
-                chunk=number, bucket=-2, n_train=n_train, doc_ids=doc_ids, held=held, sizes=sizes,
-                ids=packed(np.concatenate(parts)), keys=keys.tobytes(),
-            )
+            found = {
+                "chunk": (TaskContext.get().partitionId() << 32) + made, "n_train": n_train, "doc_ids": doc_ids, "held": held, "sizes": sizes,
+                "ids": zlib.compress(packed_ids(np.concatenate(parts)), 1), "keys": keys.tobytes(),
+            }
+            return pa.RecordBatch.from_pylist([found], schema=CHUNK_SCHEMA)
 
         for batch in batches:
             for doc_id, out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -148,133 +185,196 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def mixed(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of hashes in turn, other ones for each order."""
-    h = (a + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(32)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Hashes of whole numbers."""
+    h = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(1)
 
 
-class Grams:
-    """The distinct words, pairs and triples of a chunk.
+def spans(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal buckets."""
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
 
-    A pair is coded as first * 2^32 + second, a triple as (place of its first pair) * 2^32 + third; both are sorted. ``keys`` are the
-    hashes of words, pairs and triples one after another, ``n`` (if asked for) their counts in the chunk's training texts.
-    """
 
-    def __init__(self, chunk: dict, counted: bool = False):
-        self.ids = unpacked(chunk["ids"])
-        self.sizes = np.array(chunk["sizes"], dtype=np.int64)
-        words = np.frombuffer(chunk["keys"], dtype="<u8")
-        one, two, _ = before(self.ids, self.sizes, 1)
-        self.pairs, pair_at = np.unique((one << 32) | self.ids, return_inverse=True)
-        third = np.flatnonzero(two)
-        self.triples, triple_at = np.unique((pair_at[third - 1] << 32) | self.ids[third], return_inverse=True)
-        self.first, self.state = self.pairs >> 32, self.triples >> 32
-        pair_keys = mixed(words[self.first - 1], words[(self.pairs & 0xFFFFFFFF) - 1], 2)
-        triple_keys = mixed(pair_keys[self.state], words[(self.triples & 0xFFFFFFFF) - 1], 3)
-        self.keys = np.concatenate([words, pair_keys, triple_keys])
-        self.n_words = len(words)
-        self.ends = [len(words), len(words) + len(self.pairs)]
-        if counted:
-            train = np.repeat(~np.array(chunk["held"], dtype=bool), self.sizes)
-            self.n = np.concatenate([
-                np.bincount(self.ids[train] - 1, minlength=len(words)),
-                np.bincount(pair_at[train], minlength=len(self.pairs)),
-                np.bincount(triple_at[train[third]], minlength=len(self.triples)),
-            ])
-
-    def split(self, values: np.ndarray) -> list[np.ndarray]:
-        """Values of words, pairs and triples apart."""
-        return np.split(values, self.ends)
-
-
-def asked(chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row per bucket of keys: slices of the keys and their values in the order of the keys."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order].astype(np.int64)
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
-    spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
-    found = {
-        "chunk": [chunk] * len(spans), "bucket": [int(bucket[a]) for a, _ in spans],
-        "keys": [packed_keys(keys[a:b]) for a, b in spans], "n": [packed(n[a:b]) for a, b in spans],
-    }
-    columns = [pa.array(found.get(f.name, [None] * len(spans)), f.type) for f in CHUNK_SCHEMA]
-    yield pa.RecordBatch.from_arrays(columns, schema=CHUNK_SCHEMA)
-
-
-def answered(keys: np.ndarray, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the keys, and whether this chunk is the one that stands for the key, from the answers in the order of the buckets."""
-    out = np.zeros(len(keys), dtype=np.int64)
-    if answers:
-        out[np.argsort(keys, kind="stable")] = np.concatenate([unpacked(a) for a in answers])
-    return out >> 1, (out & 1) > 0
-
-
-def count_requests(buckets: int):
-    """Partition function: what each chunk asks and counts of its n-grams."""
+def bucket_of_hash(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def word_requests(buckets: int):
+    """Partition function: each chunk's words by their hashes, with their occurrences in training texts and in all of its texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.to_pylist():
-                grams = Grams(chunk, counted=True)
-                yield from asked(chunk["chunk"], grams.keys, grams.n, buckets)
+                ids = unpacked_ids(chunk["ids"]) - 1
+                train = np.repeat(~np.array(chunk["held"], dtype=bool), chunk["sizes"])
+                keys = np.frombuffer(chunk["keys"], dtype="<u8")
+                order = np.argsort(keys, kind="stable")
+                every = np.bincount(ids, minlength=len(keys))[order]
+                n = np.bincount(ids[train], minlength=len(keys))[order]
+                keys = keys[order]
+                bucket = bucket_of_hash(keys, buckets)
+                parts = spans(bucket)
+                yield slices({
+                    "chunk": [chunk["chunk"]] * len(parts), "bucket": [int(bucket[a]) for a, _ in parts],
+                    "keys": [packed_keys(keys[a:b]) for a, b in parts], "n": [packed(n[a:b], every[a:b]) for a, b in parts],
+                })
         give_back()
 
     return run
 
 
-def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partition function: sums of the values of each key, twice, and 1 more for the first chunk that asks; rows sorted by bucket and chunk."""
-    for group in groups_of(batches, ["bucket"], least=1):
-        slices = [unpacked_keys(raw) for raw in group["keys"].to_pylist()]
-        keys = np.concatenate(slices)
-        n = np.concatenate([unpacked(raw) for raw in group["n"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        new = np.append(True, np.diff(keys[order]) > 0)
-        sums = np.add.reduceat(n[order], np.flatnonzero(new))
-        out = np.empty(len(keys), dtype=np.int64)
-        out[order] = 2 * sums[np.cumsum(new) - 1] + new
-        edges = np.cumsum([0, *map(len, slices)]).tolist()
-        pieces = [packed(out[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        found = {"chunk": group["chunk"].combine_chunks(), "bucket": group["bucket"].combine_chunks(), "n": pa.array(pieces, pa.binary())}
-        columns = [found.get(f.name, pa.nulls(len(pieces), f.type)) for f in CHUNK_SCHEMA]
-        yield pa.RecordBatch.from_arrays(columns, schema=CHUNK_SCHEMA)
-    give_back()
+def number_words(buckets: int, most: int):
+    """Partition function: number, count in training texts and spread of each word asked for, from rows sorted by bucket and chunk.
 
+    Frequent words have small numbers. The spread is the number of buckets a word's n-grams are dealt to: one per ``most`` occurrences.
+    ``kinds`` has the words of training texts, at one row of each bucket.
+    """
 
-def chunks_with_answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
-    """Each chunk and its answers, from rows sorted by chunk and bucket."""
-    for group in groups_of(batches, ["chunk"], least=1):
-        yield group.slice(0, 1).to_pylist()[0], group["n"].slice(1).to_pylist()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["bucket"], least=1):
+            keys = [unpacked_keys(raw) for raw in group["keys"].to_pylist()]
+            edges = np.cumsum([0, *map(len, keys)]).tolist()
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n, every = (np.bincount(at, weights=np.concatenate(x)).astype(np.int64) for x in zip(*map(unpacked, group["n"].to_pylist()), strict=True))
+            bucket = group["bucket"].to_pylist()
+            number = np.empty(len(n), dtype=np.int64)
+            number[np.argsort(-every, kind="stable")] = np.arange(len(n)) * buckets + bucket[0] + 1
+            spread = np.minimum(every // most + 1, buckets)
+            places = [at[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield slices({
+                "chunk": group["chunk"].to_pylist(), "bucket": bucket, "kinds": [int((n > 0).sum()), *[0] * (len(keys) - 1)],
+                "n": [packed(number[p], n[p], spread[p]) for p in places],
+            })
+        give_back()
 
+    return run
 
-def rest_requests(buckets: int):
-    """Partition function: the counts of each chunk's n-grams, the number of words it stands for, and what it asks of histories.
 
-    The values of a history are four times what the kept n-grams after it take (count less discount), from the chunk that stands for each.
+class Grams:
+    """The n-grams of a chunk as units, pairs and triples.
+
+    Words have the chunk's numbers. A unit is a history word, or one of the buckets it is dealt to; pairs are coded as unit * 2^32 +
+    second word, triples as (place of the pair) * 2^32 + third word, 0 for the end of a text and for words too rare for a kept triple.
+    N-grams with a word seen less than ``LEAST`` times are never kept and left out. A pair of two very frequent words is a unit of its own too: its
+    pairs have the third words, and its triples below its first word have third word 0.
     """
 
+    def __init__(self, chunk: dict, buckets: int):
+        self.ids = unpacked_ids(chunk["ids"])
+        self.sizes = np.array(chunk["sizes"], dtype=np.int64)
+        keys = np.frombuffer(chunk["keys"], dtype="<u8")
+        n_words = len(keys)
+        words = np.zeros((3, n_words + 1), dtype=np.int64)
+        words[:, np.argsort(keys, kind="stable") + 1] = np.concatenate([unpacked(x["n"]) for x in chunk["words"]], axis=1)
+        self.number, self.n, spread = words
+        one, _, start = before(self.ids, self.sizes, 1)
+        after = np.append(self.ids[1:], 0)
+        after[start + self.sizes - 1] = 0
+        known = self.n >= LEAST
+        at = np.flatnonzero(known[one] & known[self.ids])
+        a, b = one[at], self.ids[at]
+        c = np.where(known[after[at]], after[at], 0)
+        train = np.repeat(~np.array(chunk["held"], dtype=bool), self.sizes)[at]
+        hashes = mixed(self.number).astype(np.int64)
+
+        # Units: words, then pairs of very frequent words, in all buckets that each is dealt to.
+        word = np.flatnonzero(known)
+        hot = np.flatnonzero(np.minimum(spread[a], spread[b]) >= SHARE)
+        self.hot_pairs, hot_at = np.unique((a[hot] << 32) | b[hot], return_inverse=True)
+        hot_a, hot_b = self.hot_pairs >> 32, self.hot_pairs & 0xFFFFFFFF
+        hot_spread = np.minimum(spread[hot_a], spread[hot_b]) // SHARE + 1
+        # Frequent words have small numbers: two of them fit 62 bits.
+        names = np.concatenate([self.number[word], (1 << 62) | (self.number[hot_a] << 31) | self.number[hot_b]])
+        times = np.concatenate([spread[word], hot_spread])
+        first = np.cumsum(times) - times
+        owner = np.repeat(np.arange(len(names)), times)
+        bucket = ((mixed(names) % np.uint64(buckets)).astype(np.int64)[owner] + np.arange(len(owner)) - first[owner]) % buckets
+        order = np.lexsort((names[owner], bucket))
+        self.bucket, self.names, self.owner = bucket[order], names[owner][order], owner[order]
+        place = np.empty(len(owner), dtype=np.int64)
+        place[order] = np.arange(len(owner))
+        self.word, self.n_word_units = word, len(word)
+
+        begin = np.zeros(n_words + 1, dtype=np.int64)
+        begin[word] = first[: len(word)]
+        unit = place[begin[a] + hashes[b] % spread[a]]
+        inner = c[hot] > 0
+        hot_c, hot_at = c[hot][inner], hot_at[inner]
+        c[hot] = 0
+        unit = np.concatenate([unit, place[first[len(word) :][hot_at] + hashes[hot_c] % hot_spread[hot_at]]])
+        train = np.concatenate([train, train[hot][inner]])
+        self.pairs, pair_at = np.unique((unit << 32) | np.concatenate([b, hot_c]), return_inverse=True)
+        self.triples, triple_at = np.unique((pair_at << 32) | np.concatenate([c, np.zeros_like(hot_c)]), return_inverse=True)
+        self.count = np.bincount(triple_at[train], minlength=len(self.triples))
+        self.unit, self.second = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        self.pair, self.third = self.triples >> 32, self.triples & 0xFFFFFFFF
+
+    def requests(self, chunk: int) -> pa.RecordBatch:
+        """A row per bucket: names of units, numbers of second words, numbers and counts of third words."""
+        of_unit = np.bincount(self.unit, minlength=len(self.names))
+        of_pair = np.bincount(self.pair, minlength=len(self.pairs))
+        pair_edge, triple_edge = np.append(0, np.cumsum(of_unit)), np.append(0, np.cumsum(of_pair))
+        second, third = self.number[self.second], self.number[self.third]
+        parts, rows = spans(self.bucket), []
+        for a, b in parts:
+            p, q = pair_edge[a], pair_edge[b]
+            t, u = triple_edge[p], triple_edge[q]
+            rows.append(packed(np.diff(self.names[a:b], prepend=0), of_unit[a:b], second[p:q], of_pair[p:q], third[t:u], self.count[t:u]))
+        return slices({"chunk": [chunk] * len(parts), "bucket": [int(self.bucket[a]) for a, _ in parts], "n": rows})
+
+
+def gram_requests(buckets: int):
+    """Partition function: what each chunk asks and counts of its n-grams."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, answers in chunks_with_answers(batches):
-            grams = Grams(chunk)
-            n, stands = answered(grams.keys, answers)
-            taken = np.where(stands & (n >= LEAST), 4 * n - round(4 * DISCOUNT), 0)
-            _, pair_taken, triple_taken = grams.split(taken)
-            of_words = np.bincount(grams.first - 1, weights=pair_taken, minlength=grams.n_words)
-            of_pairs = np.bincount(grams.state, weights=triple_taken, minlength=len(grams.pairs))
-            n_pairs = grams.ends[1]
-            kept = np.flatnonzero(n[:n_pairs] >= LEAST)
-            word_n, *_ = grams.split(np.where(stands, n, 0))
-            yield row(chunk=chunk["chunk"], bucket=-1, kinds=int((word_n > 0).sum()), n=packed(n))
-            yield from asked(chunk["chunk"], grams.keys[kept], np.concatenate([of_words, of_pairs])[kept], buckets)
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                yield Grams(chunk, buckets).requests(chunk["chunk"])
         give_back()
 
     return run
 
 
+def codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Both in one number; numbers of words over 32 bits by their places."""
+    if second.max(initial=0) >> 32:
+        second = np.unique(second, return_inverse=True)[1] + 1
+    return (first << 32) | second
+
+
+def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partition function: answers to each chunk, from rows sorted by bucket and chunk.
+
+    What the kept pairs take from each unit (four times the count less discount), the count of each pair and what the kept triples take
+    from it, and the count of each triple.
+    """
+    for group in groups_of(batches, ["bucket"], least=1):
+        found = [unpacked(raw) for raw in group["n"].to_pylist()]
+        names, of_unit, second, of_pair, third, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        unit_edge, pair_edge, triple_edge = (np.cumsum([0, *(len(x[k]) for x in found)]).tolist() for k in (0, 2, 4))
+        names = np.concatenate([np.cumsum(x[0]) for x in found])
+        del found
+        units, unit_at = np.unique(names, return_inverse=True)
+        pairs, pair_at = np.unique(codes(np.repeat(unit_at, of_unit), second), return_inverse=True)
+        rest = third == 0
+        triples, triple_at = np.unique(np.where(rest, np.repeat(pair_at, of_pair) << 32, codes(np.repeat(pair_at, of_pair), third)), return_inverse=True)
+        n = np.bincount(triple_at, weights=count, minlength=len(triples)).astype(np.int64)
+        pair_n = np.bincount(triples >> 32, weights=n, minlength=len(pairs)).astype(np.int64)
+        n[(triples & 0xFFFFFFFF) == 0] = 0
+        taken = lambda x: np.where(x >= LEAST, 4 * x - round(4 * DISCOUNT), 0)
+        pair_taken = np.bincount(triples >> 32, weights=taken(n), minlength=len(pairs)).astype(np.int64)
+        unit_taken = np.bincount(pairs >> 32, weights=taken(pair_n), minlength=len(units)).astype(np.int64)
+        rows = []
+        for k in range(len(group)):
+            u, p, t = (x[edge[k] : edge[k + 1]] for x, edge in ((unit_at, unit_edge), (pair_at, pair_edge), (triple_at, triple_edge)))
+            rows.append(packed(unit_taken[u], pair_n[p], pair_taken[p], n[t]))
+        yield slices({"chunk": group["chunk"].to_pylist(), "bucket": group["bucket"].to_pylist(), "n": rows})
+    give_back()
+
+
 class Automaton:
     """States: 0 the root, a word's number, then the kept pairs.
 
@@ -345,30 +445,49 @@ class Automaton:
         return np.add.reduceat(out, start) if len(ids) else np.zeros(len(sizes))
 
 
-def score_rows(total: int, kinds: int, schema: pa.Schema):
+def automaton_of(grams: Grams, answers: list[bytes], total: int, kinds: int) -> Automaton:
+    """The automaton of a chunk's n-grams with the weights of the corpus."""
+    found = [unpacked(x) for x in answers]
+    taken, pair_n, pair_taken, triple_n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+    owned = np.bincount(grams.owner, weights=taken, minlength=grams.n_word_units + len(grams.hot_pairs))
+    word_taken = np.zeros(len(grams.n))
+    word_taken[grams.word] = owned[: grams.n_word_units]
+    owner = grams.owner[grams.unit]
+    plain = owner < grams.n_word_units
+
+    kept = np.flatnonzero(plain & (pair_n >= LEAST))
+    pairs = (grams.word[owner[kept]] << 32) | grams.second[kept]
+    order = np.argsort(pairs, kind="stable")
+    kept, pairs = kept[order], pairs[order]
+    place = np.full(len(pair_n), -1, dtype=np.int64)
+    place[kept] = np.arange(len(kept))
+    below = pair_taken[kept] / 1.0
+    hot = find(pairs, grams.hot_pairs)
+    below[hot[hot >= 0]] = owned[grams.n_word_units :][hot >= 0]
+
+    triples = np.flatnonzero(triple_n >= LEAST)
+    hot_triples = np.flatnonzero(~plain & (pair_n >= LEAST))
+    states = np.concatenate([place[grams.pair[triples]], hot[owner[hot_triples] - grams.n_word_units]])
+    third = np.concatenate([grams.third[triples], grams.second[hot_triples]])
+    return Automaton(
+        grams.n[1:], total, kinds, pairs, pair_n[kept], (states << 32) | third, np.concatenate([triple_n[triples], pair_n[hot_triples]]), 1,
+        (word_taken[1:] / 4, below / 4),
+    )
+
+
+def score_rows(total: int, kinds: int, buckets: int, schema: pa.Schema):
     """Partition function: the scores of the texts of each chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, (counts, *answers) in chunks_with_answers(batches):
-            grams = Grams(chunk)
-            n = unpacked(counts)
-            word_n, pair_n, triple_n = grams.split(n)
-            kept = np.flatnonzero(n[: grams.ends[1]] >= LEAST)
-            taken = np.zeros(grams.ends[1])
-            taken[kept] = answered(grams.keys[kept], answers)[0] / 4
-            pairs, triples = np.flatnonzero(pair_n >= LEAST), np.flatnonzero(triple_n >= LEAST)
-            place = np.full(len(pair_n), -1, dtype=np.int64)
-            place[pairs] = np.arange(len(pairs))
-            codes = (place[grams.state[triples]] << 32) | (grams.triples[triples] & 0xFFFFFFFF)
-            automaton = Automaton(
-                word_n, total, kinds, grams.pairs[pairs], pair_n[pairs], codes, triple_n[triples], 1,
-                (taken[: grams.n_words], taken[grams.n_words :][pairs]),
-            )
-            start = np.cumsum(grams.sizes) - grams.sizes
-            base = np.add.reduceat(automaton.root_log[grams.ids], start)
-            known = np.add.reduceat((word_n[grams.ids - 1] > 0).astype(np.int64), start)
-            columns = [chunk["doc_ids"], chunk["held"], grams.sizes, known, [total] * len(start), base, automaton.score(grams.ids, grams.sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                grams = Grams(chunk, buckets)
+                automaton = automaton_of(grams, [x["n"] for x in chunk["grams"] or []], total, kinds)
+                start = np.cumsum(grams.sizes) - grams.sizes
+                base = np.add.reduceat(automaton.root_log[grams.ids], start)
+                known = np.add.reduceat((grams.n[grams.ids] > 0).astype(np.int64), start)
+                columns = [chunk["doc_ids"], chunk["held"], grams.sizes, known, [total] * len(start), base, automaton.score(grams.ids, grams.sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         give_back()
 
     return run
@@ -384,25 +503,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = prepared(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 1).alias("held_out"), "text")
-    chunks = stage(rows.mapInArrow(chunk_rows(CHUNK_TOKENS), CHUNK), "lm-chunks")
+    chunks = placed(rows.mapInArrow(chunk_rows(CHUNK_TOKENS), CHUNK), "lm-chunks", "chunk", parts)
     facts = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()
     total, tokens = facts
-    buckets = max(4 * parts, 3 * tokens // BUCKET_KEYS)
-
-    def with_answers(texts: DataFrame, requests: DataFrame) -> DataFrame:
-        placed = requests.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-        together = texts.union(placed.mapInArrow(add_up, CHUNK))
-        return together.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-
-    counted = with_answers(chunks, chunks.mapInArrow(count_requests(buckets), CHUNK))
-    counted = stage(counted.mapInArrow(rest_requests(buckets), CHUNK), "lm-counts")
-    kinds = counted.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    buckets = max(parts, tokens // BUCKET_TOKENS)
+    most = max(LEAST_SPREAD, tokens // (SHARE * buckets))
+
+    def answers(requests: DataFrame, work, name: str) -> DataFrame:
+        sorted_rows = requests.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+        found = F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias(name)
+        return sorted_rows.mapInArrow(work, SLICE).groupBy("chunk").agg(F.sum("kinds").alias("kinds"), found)
+
+    words = answers(chunks.mapInArrow(word_requests(buckets), SLICE), number_words(buckets, most), "words")
+    words = placed(words, "lm-words", "chunk", parts)
+    kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    numbered = chunks.join(words.drop("kinds"), "chunk")
+    grams = answers(numbered.mapInArrow(gram_requests(buckets), SLICE), add_up, "grams").drop("kinds")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
          ("base_score", pa.float64()), ("score", pa.float64())]
     )
-    resolved = with_answers(chunks.union(counted.where("bucket < 0")), counted.where("bucket >= 0"))
-    return resolved.mapInArrow(
-        score_rows(total, kinds, schema),
+    # A chunk without a word seen LEAST times asks for nothing.
+    return numbered.join(grams, "chunk", "left").mapInArrow(
+        score_rows(total, kinds, buckets, schema),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import types
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,6 +52,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, work_folder(df.sparkSession, label))
 
 
+def placed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``stage``, in buckets by ``key``: joins on it do not shuffle these rows. They are written where they are, so they should be few and large."""
+    spark = df.sparkSession
+    name = f"training_text_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", work_folder(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def restored(kind: type, state: dict):
     """An object from its broadcast ``vars()``: classes of this package need not be importable on executors."""
     out = kind.__new__(kind)
