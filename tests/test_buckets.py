@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webgleaner.operators import crawl as T
 from webgleaner.operators import scale
 from webgleaner.operators.discovery import run_discovery
+from webgleaner.operators.sitemaps import read_sitemaps
 from webgleaner.session import bucketed, work_folder
 
 
@@ -131,3 +132,28 @@ def test_sitemap_documents_beyond_the_limit_are_left(spark):
     got = {n: [r.path for r in urls.where(f"seed_id = {n}").orderBy("rank").collect()] for n, *_ in requests}
     listed = [f"/{i}/{j}" for i in range(4) for j in range(6)]
     assert got == {1: listed[:1], 6: listed[:6], 8: listed[:8], 24: listed, 25: [*listed, "/"], 99: [*listed, "/", "/new"]}
+
+
+def test_site_files_are_made_once(spark):
+    """What makes the sitemap bodies does not run again for every nesting level."""
+    site = "https://sea.org"
+    index = lambda name: f"<sitemapindex><sitemap><loc>{site}/{name}.xml</loc></sitemap></sitemapindex>"
+    leaf = f"<urlset><url><loc>{site}/a</loc></url></urlset>"
+    rows = [("sitemap", index("m1")), ("m1", index("m2")), ("m2", index("m3")), ("m3", leaf)]
+    made = spark.sparkContext.accumulator(0)
+
+    def body(text):
+        made.add(1)
+        return text
+
+    made_text = F.udf(body, "string").asNondeterministic()
+    files = spark.createDataFrame([(f"{site}/{n}.xml", 200, "text/xml", t) for n, t in rows], "url string, status int, content_type string, text string")
+    files = files.withColumn("text", made_text("text"))
+    fetched = spark.createDataFrame([(f"{site}/", f"{site}/", [])], "url string, resolved_url string, links array<string>")
+    asked = spark.createDataFrame([(1, site, "sitemap", 5, 1)], "seed_id int, url string, discovery_method string, max_urls int, max_depth int")
+    urls, _ = run_discovery(asked, fetched, files)
+    assert [r.path for r in urls.collect()] == ["/a"]
+    assert made.value == len(rows)
+    located = spark.createDataFrame([(1, site, f"{site}/sitemap.xml")], "seed_id int, base_url string, sitemap_url string")
+    assert [r.path for r in read_sitemaps(located, files.select("url", "text")).collect()] == ["/a"]
+    assert made.value == 2 * len(rows)

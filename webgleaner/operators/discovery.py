@@ -40,6 +40,8 @@ def run_discovery(
     seeds = requests.select("*", normalize_url(F.col("url")).alias("base_url")).where("base_url <> ''")
     seeds = materialize(seeds, f"{folder}/seeds")
     by_map = seeds.where(F.col("discovery_method") != "crawl")
+    # Read to find the sitemaps and again for every nesting level: what makes these files is done once.
+    site_files = materialize(site_files.select("url", "status", "content_type", "text"), f"{folder}/site-files")
     located = materialize(locate_sitemaps(by_map.select("seed_id", "base_url"), site_files), f"{folder}/located")
     documents = sitemap_documents(
         located, site_files.where(F.col("status") == 200).select("url", "text"), f"{folder}/sitemaps"

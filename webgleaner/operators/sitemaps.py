@@ -175,6 +175,8 @@ def read_sitemaps(
 
     Result: seed_id, base_url, trail, pos, url, path, depth, source, last_modified; the document order is (trail, pos).
     """
+    folder = folder or work_folder(located.sparkSession, "sitemaps")
+    bodies = materialize(bodies.select("url", "text"), f"{folder}/bodies")
     documents = sitemap_documents(located, bodies, folder, max_bytes, max_levels)
     return urlset_rows(documents, include, exclude, include_subdomains, strip_query)
 
@@ -186,7 +188,7 @@ def sitemap_documents(
 
     ``located`` has seed_id, base_url, sitemap_url; ``bodies`` has url, text. Result: seed_id, base_url,
     trail (place of the document in the nesting), urls. A document listed twice is read once, at its first place. Each level parses only the
-    bodies it lists. ``max_levels`` stops the nesting and ``max_bytes`` leaves larger bodies unparsed.
+    bodies it lists, but reads ``bodies`` anew: they should be a written table. ``max_levels`` stops the nesting and ``max_bytes`` leaves larger bodies unparsed.
     """
     folder = folder or work_folder(located.sparkSession, "sitemaps")
     bodies = bodies.where(is_safe_url(F.col("url"))).select(F.col("url").alias("_doc"), "text")
