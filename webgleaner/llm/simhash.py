@@ -17,11 +17,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, give_back, groups_of, lookup, prepared, stage
+from .common import by_value, give_back, groups_of, lookup, pa_schema, placed, prepared, stage
 from .components import components
+from .set_join import heads_of, joined_sets
 
 by_value(__name__)
 
@@ -257,17 +259,42 @@ TABLES, KEY_BITS = 24, 20
 TREE_NODES = 4096
 
 
-def wide_rows(width: int, schema: pa.Schema):
-    """Partition function: ``doc_id, wide (32 bytes), n`` (shingles) from ``doc_id, text``."""
+CHUNK_MEMBERS = 1 << 19
+CHUNK = (
+    "chunk long, ids array<long>, wides array<binary>, counts array<long>, marks array<long>, sizes array<long>, shingles binary"
+)
+
+
+def chunk_rows(width: int, members: int, schema: pa.Schema):
+    """Partition function: texts (``doc_id, text``) in chunks of about ``members`` distinct shingles.
+
+    Of each text its id, wide fingerprint, number of shingles, mark (a hash of the set of its shingles) and number of distinct shingles,
+    which lie sorted one text behind the other in ``shingles``.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total, made = 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            number = (TaskContext.get().partitionId() << 32) + made
+            *columns, shingles = zip(*held, strict=True)
+            values = [number, *map(list, columns), b"".join(shingles)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            wide, sizes = [], []
-            for text in batch["text"].to_pylist():
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 hashes = shingle_hashes(text, width)
-                wide.append(b"".join(majority(lane(hashes, i)).to_bytes(8, "little") for i in range(LANES)))
-                sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(wide, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
+                wide = b"".join(majority(lane(hashes, i)).to_bytes(8, "little") for i in range(LANES))
+                own = np.unique(hashes).astype("<u8").tobytes()
+                mark = xxhash.xxh64_intdigest(own, SEED)
+                held.append((doc_id, wide, len(hashes), mark - (1 << 64) if mark >> 63 else mark, len(own) // 8, own))
+                total += len(own) // 8
+                if total >= members or len(held) >= 20_000:
+                    yield chunk()
+                    held, total, made = [], 0, made + 1
+        if held:
+            yield chunk()
         give_back()
 
     return run
@@ -333,17 +360,44 @@ def wide_links(radius: int, similarity: float, schema: pa.Schema):
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 42) -> DataFrame:
     """``doc_id, group_id`` for documents that have a near copy; ``group_id`` is the smallest id of the group.
 
-    Copies are estimated from wide SimHashes of ``width``-word shingles: unrelated texts differ in about half of the 256 bits, texts
-    of Jaccard similarity 0.8 in about 39, and a pair is taken up to ``radius``. A pair is met if its fingerprints agree in one of 24 keys
-    of 20 bits. Rows without id are left out, and so stay; wordless texts are one group. Shards of over 4096 values are split into
-    blocks, and every block meets every other.
+    Near copies are all pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more (see ``set_join``: none is
+    missed). Most are found before by wide SimHashes: unrelated texts differ in about half of the 256 bits, texts of similarity 0.8 in
+    about 39, and a pair is taken up to ``radius`` if its fingerprints agree in one of 24 keys of 20 bits. Rows without id are left out, and so
+    stay; wordless texts are one group. Shards of over 4096 values are split into blocks, and every block meets every other.
     """
     spark = prepared(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("doc_id", pa.int64()), ("wide", pa.binary()), ("n", pa.int64())])
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = stage(rows.mapInArrow(wide_rows(width, schema), "doc_id long, wide binary, n long"), "wide")
+    made = rows.mapInArrow(chunk_rows(width, CHUNK_MEMBERS, pa_schema(spark, CHUNK)), CHUNK)
+    chunks = placed(made, "shingles", "chunk", parts)
+    each = F.explode(F.arrays_zip("ids", "wides", "counts", "marks", "sizes", F.sequence(F.lit(0), F.size("ids") - 1).alias("place")))
+    each = chunks.select("chunk", each.alias("_text"))
+    marked = stage(
+        each.selectExpr(
+            "_text.ids AS doc_id", "_text.wides AS wide", "_text.counts AS n", "_text.marks AS mark", "_text.sizes AS size", "chunk", "_text.place AS place"
+        ),
+        "wide",
+    )
     values = stage(marked.groupBy("wide", "n").agg(F.min("doc_id").alias("id")), "wide-values")
+    near = stage(wide_value_links(values, similarity, radius), "wide-links")
+    # Of each set of shingles one text stands for all.
+    sets = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "chunk", "place", "size")).alias("_first"))
+    sets = stage(sets.select("mark", "_first.*"), "sets")
+    equal = marked.groupBy("wide", "n", "mark").agg(F.min("doc_id").alias("_id")).join(values, ["wide", "n"])
+    equal = equal.join(sets.select("mark", F.col("doc_id").alias("_set")), "mark")
+    links = near.union(equal.select("_id", "id")).union(equal.select("_id", "_set")).where("a != b")
+    places = sets.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("places"))
+    members = sets.agg(F.sum("size")).first()[0] or 0
+    roots = joined_sets(heads_of(chunks, places, members, similarity), links, similarity)
+    named = values.join(roots, "id", "left").select("wide", "n", F.coalesce("root", "id").alias("group_id"))
+    grouped = marked.select("doc_id", "wide", "n").join(named, ["wide", "n"]).select("doc_id", "group_id")
+    return grouped
+
+
+def wide_value_links(values: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links ``a, b`` between ids of ``values`` (``wide, n, id``) whose wide fingerprints are close and whose sizes fit."""
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row_schema = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("wide", pa.binary()), ("n", pa.int64())])
     sharded = values.select("id", "wide", "n").mapInArrow(
         table_rows(key_bits(), row_schema), "shard long, id long, wide binary, n long"
@@ -354,13 +408,9 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, r
     paired = split.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
     paired = paired.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    placed = paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "block", "id")
-    placed = placed.select("shard", "low", "high", "block", "splits", "id", "wide", "n")
-    links = placed.mapInArrow(wide_links(radius, similarity, link_schema), "a long, b long")
-    roots = components(links)
-    named = values.join(roots, "id", "left").select("wide", "n", F.coalesce("root", "id").alias("group_id"))
-    grouped = marked.join(named, ["wide", "n"]).select("doc_id", "group_id")
-    return grouped
+    dealt = paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "block", "id")
+    dealt = dealt.select("shard", "low", "high", "block", "splits", "id", "wide", "n")
+    return dealt.mapInArrow(wide_links(radius, similarity, link_schema), "a long, b long")
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
