@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import decode_entities, let
 
 TAG = r"<[a-zA-Z/!?][^>]*>"
-# A tag (group 1 is its name, with the slash of an end tag), a declaration, or text.
-TOKEN = r"<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[/!?][^>]*>|[^<]+|<"
+# A tag, a declaration, or text.
+TOKEN = r"<[a-zA-Z/!?][^>]*>|[^<]+|<"
 BLOCK_TAGS = (
     "address article aside blockquote body caption dd div dl dt fieldset figcaption figure form header html main p section tbody tfoot thead"
 ).split()
@@ -22,9 +25,8 @@ _MARKS = {"b": ("\x10", "\x11", "**"), "i": ("\x12", "\x13", "*"), "code": ("\x1
 _NAMES = {"b": ("b", "strong"), "i": ("i", "em"), "code": ("code",)}
 _LINK, _LINK_END = "\x16", "\x17"
 _BITS = {kind: 1 << n for n, kind in enumerate(_MARKS)}
-_STATE = (
-    "struct<lists:array<int>, pre:int, href:string, inline:int, tables:int, row:boolean, cell:boolean, rows:int, cells:int>"
-)
+_GRID = "struct<tables:int, row:boolean, cell:boolean, rows:int, cells:int>"
+_STATE = f"struct<out:string, lists:array<int>, pre:int, href:string, inline:int, grid:{_GRID}>"
 # Tokens of one inner pass: the text it gathers is copied at each step, so that passes must be short.
 _PASS = 64
 
@@ -41,154 +43,145 @@ for _kind in _NAMES.values():
     _TAGS += [*_kind, *(f"/{n}" for n in _kind)]
 
 
-def tag_kinds(markup: Column) -> Column:
-    """For each of ``tag_tokens`` the number of its tag: 0 for tags that do not count, -1 for texts and declarations."""
-    names = F.regexp_extract_all(markup, F.lit(TOKEN), F.lit(1))
-    small = lambda n: F.when(n.rlike("[A-Z]"), F.lower(n)).otherwise(n)
-    return F.transform(names, lambda n: F.when(n == "", -1).otherwise(F.find_in_set(small(n), F.lit(",".join(_TAGS)))))
+def _perfect(names: list[str]) -> tuple[list[int], int]:
+    """The least table in which CRC-32 gives each name a place of its own, and its size: the number of a name, 0 where there is none."""
+    sums = [zlib.crc32(n.encode()) for n in names]
+    size = next(n for n in range(len(names), 1 << 20) if len({c % n for c in sums}) == len(names))
+    found = [0] * size
+    for number, c in enumerate(sums, 1):
+        found[c % size] = number
+    return found, size
 
 
-def _is(kind: Column, *names: str) -> Column:
-    """Whether a tag is one of ``names``."""
-    numbers = sorted(_TAGS.index(n) + 1 for n in names)
-    if numbers[-1] - numbers[0] + 1 == len(numbers):
-        return kind == numbers[0] if len(numbers) == 1 else kind.between(numbers[0], numbers[-1])
-    found = kind == numbers[0]
-    for number in numbers[1:]:
-        found = found | (kind == number)
-    return found
+_BARE = [f"<{n}>" for n in _TAGS]
+_PLACES, _SIZE = _perfect(_BARE)
 
 
-def _by_place(kind: Column, blocks: Column, parts: Column, rest: Column, marks: Column) -> Column:
-    """One of four values by the place of a tag among ``_TAGS``: up to ``/h6``, up to ``hr``, up to ``br``, behind."""
-    upto = {name: _TAGS.index(name) + 1 for name in ("/h6", "hr", "br")}
-    return F.when(kind <= upto["/h6"], blocks).when(kind <= upto["hr"], parts).when(kind <= upto["br"], rest).otherwise(marks)
+def tag_kinds(tokens: Column) -> Column:
+    """For each of ``tag_tokens`` the number of its tag: 0 for tags that do not count and declarations, -1 for texts."""
 
+    def named(token: Column) -> Column:
+        name = F.regexp_extract(token, r"\A<(/?[a-zA-Z][a-zA-Z0-9]*)", 1)
+        return let(name, lambda n: F.when(n == "", 0).otherwise(F.find_in_set(F.lower(n), F.lit(",".join(_TAGS)))))
 
-def _ends(names: list[str]) -> list[str]:
-    return [f"/{n}" for n in names]
+    def kind(token: Column) -> Column:
+        place = F.get(F.lit(_PLACES), (F.crc32(token.cast("binary")) % _SIZE).cast("int"))
+        bare = let(place, lambda k: F.when(F.get(F.lit(["", *_BARE]), k) == token, k).otherwise(named(token)))
+        return F.when(F.startswith(token, F.lit("<")) & (token != "<"), bare).otherwise(-1)
+
+    return F.transform(tokens, kind)
+
+
+HREF = r"""(?i)\shref\s*=\s*(?:"([^">]*)|'([^'>]*)|([^\s"'>]+))"""
 
 
 def _href(tag: Column) -> Column:
-    quoted = r"""(?i)\shref\s*=\s*(?:"([^">]*)|'([^'>]*)|([^\s"'>]+))"""
-    return F.concat(*(F.regexp_extract(tag, quoted, group) for group in (1, 2, 3)))
+    return F.concat(*(F.regexp_extract(tag, HREF, group) for group in (1, 2, 3)))
+
+
+def _ends(names: list[str]) -> list[str]:
+    return [f"/{n}" for n in names]
 
 
 def _last(lists: Column) -> Column:
     return F.get(lists, F.size(lists) - 1)
 
 
-def _next(s: Column, token: Column, kind: Column) -> Column:
-    """State after a tag. Each sort of tag has its own branch, so that a step looks at few conditions."""
-    names = ("lists", "pre", "href", "inline", "tables", "row", "cell", "rows", "cells")
-    lists, depth = s["lists"], F.size(s["lists"])
+def _by_kind(kind: Column, leaves: list[tuple[int, Column]]) -> Column:
+    """The leaf whose number, the last of its kinds, is the first not below ``kind``: by halving, so that a step looks at few conditions."""
+    if len(leaves) == 1:
+        return leaves[0][1]
+    half = len(leaves) // 2
+    return F.when(kind <= leaves[half - 1][0], _by_kind(kind, leaves[:half])).otherwise(_by_kind(kind, leaves[half:]))
+
+
+def _step(s: Column, token: Column, kind: Column) -> Column:
+    """State after a text or tag, with the text that it leaves behind ``out``. Each sort of tag has its own branch."""
+    lists, depth, pre, inline, grid = s["lists"], F.size(s["lists"]), s["pre"], s["inline"], s["grid"]
+    tables, row, cell, rows, cells = (grid[n] for n in ("tables", "row", "cell", "rows", "cells"))
+    none, nothing = F.lit(None).cast("string"), F.lit("")
+
+    def but(emit: Column | str | None = None, **changes: Column) -> Column:
+        if emit is not None:
+            changes["out"] = F.concat(s["out"], F.lit(emit) if isinstance(emit, str) else emit)
+        return F.struct(*(changes.get(n, s[n]).alias(n) for n in ("out", "lists", "pre", "href", "inline", "grid")))
+
+    def block(emit: Column | str, **changes: Column) -> Column:
+        return but(emit, href=none, inline=F.lit(0), **changes)
+
+    def table(**changes: Column) -> Column:
+        return F.struct(*(changes.get(n, grid[n]).alias(n) for n in ("tables", "row", "cell", "rows", "cells")))
+
     top = F.slice(lists, 1, F.greatest(depth - 1, F.lit(0)))
-    grid = s["tables"] == 1
-    ended = grid & s["row"]
-    none = F.lit(None).cast("string")
-
-    def but(**changes: Column) -> Column:
-        return F.struct(*(changes.get(n, s[n]).alias(n) for n in names))
-
-    def block(**changes: Column) -> Column:
-        return but(href=none, inline=F.lit(0), **changes)
-
-    inline = s["inline"]
-    for mark, tags in _NAMES.items():
-        bit = F.lit(_BITS[mark])
-        inline = F.when(_is(kind, *tags), s["inline"].bitwiseOR(bit)).when(_is(kind, *_ends(tags)), s["inline"].bitwiseAND(F.bitwise_not(bit))).otherwise(inline)
-    left = {"rows": F.when(ended, s["rows"] + 1).otherwise(s["rows"]), "cell": s["cell"] & ~ended, "row": s["row"] & ~ended}
-    # Most tags only end open marks.
-    blocks = F.when((s["inline"] == 0) & s["href"].isNull(), s).otherwise(block())
-    parts = (
-        F.when(_is(kind, "li"), block(lists=F.when(_last(lists) > 0, F.concat(top, F.array(_last(lists) + 1))).otherwise(lists)))
-        .when(_is(kind, "td", "th"), block(cells=F.when(ended, s["cells"] + 1).otherwise(s["cells"]), cell=ended | s["cell"]))
-        .when(_is(kind, "tr"), block(rows=left["rows"], row=grid | s["row"], cell=s["cell"] & ~grid, cells=F.when(grid, 0).otherwise(s["cells"])))
-        .when(_is(kind, "table"), block(tables=s["tables"] + 1, rows=F.when(s["tables"] == 0, 0).otherwise(s["rows"])))
-        .when(_is(kind, "/table"), block(tables=F.greatest(s["tables"] - 1, F.lit(0)), **left))
-        .when(_is(kind, "pre"), block(pre=s["pre"] + 1))
-        .when(_is(kind, "/pre"), block(pre=F.greatest(s["pre"] - 1, F.lit(0))))
-        .otherwise(block())
-    )
-    rest = (
-        F.when(_is(kind, "/td", "/th"), but(cell=s["cell"] & ~grid))
-        .when(_is(kind, "/tr"), but(**left))
-        .when(_is(kind, "ul", "ol"), but(lists=F.concat(lists, F.array(F.when(_is(kind, "ol"), 1).otherwise(0)))))
-        .when(_is(kind, "/ul", "/ol"), but(lists=top))
-        .when(_is(kind, "a"), but(href=F.nullif(_href(token), F.lit(""))))
-        .when(_is(kind, "/a"), but(href=none))
-        .otherwise(s)
-    )
-    return _by_place(kind, blocks, parts, rest, but(inline=inline))
-
-
-def _emit(s: Column, token: Column, kind: Column) -> Column:
-    """Text that a tag leaves; what ``s`` says holds before it."""
-    lists, depth, grid = s["lists"], F.size(s["lists"]), s["tables"] == 1
-    inside = (depth > 0) | s["cell"]
+    counts = tables == 1
+    inside = (depth > 0) | cell
     gap = F.when(inside, " ").otherwise("\n\n")
-    cell_end = F.when(s["cell"], " |").otherwise("")
+    cell_end = F.when(cell, " |").otherwise("")
     # Behind the first row comes the line that makes it a table.
-    rule = F.when(s["rows"] == 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(s["cells"], F.lit(1))))).otherwise("")
-    row_end = F.when(s["row"], F.concat(cell_end, rule)).otherwise("")
+    rule = F.when(rows == 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(cells, F.lit(1))))).otherwise("")
+    row_end = F.when(row, F.concat(cell_end, rule)).otherwise("")
+    ended = counts & row
+    left = {"rows": F.when(ended, rows + 1).otherwise(rows), "cell": cell & ~ended, "row": row & ~ended}
     number = F.when(_last(lists) > 0, F.concat(_last(lists).cast("string"), F.lit(". "))).otherwise("- ")
-    blocks = F.when(_is(kind, *BLOCK_TAGS, *_ends(BLOCK_TAGS)), F.when(s["tables"] > 0, " ").otherwise(gap))
-    blocks = blocks.when(_is(kind, *HEADINGS), F.when(inside, " ").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), kind - (_TAGS.index("h1"))), F.lit(" "))))
-    blocks = blocks.otherwise(gap)
-    parts = F.when(_is(kind, "li"), F.concat(F.lit("\n"), F.repeat(F.lit(_INDENT), F.greatest(depth - 1, F.lit(0))), number))
-    parts = parts.when(_is(kind, "td", "th"), F.when(grid & s["row"], F.concat(cell_end, F.lit(" "))).otherwise(" "))
-    parts = parts.when(_is(kind, "tr"), F.when(grid, F.concat(row_end, F.lit("\n|"))).otherwise(gap))
-    parts = parts.when(_is(kind, "table"), F.when(s["tables"] == 0, gap).otherwise(" "))
-    parts = parts.when(_is(kind, "/table"), F.when(grid, F.concat(row_end, F.lit("\n\n"))).otherwise(" "))
-    parts = parts.when(_is(kind, "pre"), F.when(s["pre"] > 0, "").otherwise(f"\n\n```{_LINE}"))
-    parts = parts.when(_is(kind, "/pre"), F.when(s["pre"] == 1, f"{_LINE}```\n\n").otherwise(""))
-    parts = parts.otherwise(F.when(inside, " ").otherwise("\n\n---\n\n"))
-    rest = F.when(_is(kind, "/td", "/th"), F.when(grid, cell_end).otherwise(" "))
-    rest = rest.when(_is(kind, "/tr"), F.when(grid, row_end).otherwise(" "))
-    rest = rest.when(_is(kind, "ul", "ol"), F.when(s["cell"], " ").when(depth == 0, "\n\n").otherwise(""))
-    rest = rest.when(_is(kind, "/ul", "/ol"), F.when(s["cell"], " ").when(depth > 1, _SOFT).otherwise("\n\n"))
-    rest = rest.when(_is(kind, "a"), F.when(_href(token) != "", _LINK).otherwise(""))
-    rest = rest.when(_is(kind, "/a"), F.when(s["href"].isNotNull(), F.concat(F.lit(_LINK_END + "("), s["href"], F.lit(")"))).otherwise(""))
-    rest = rest.otherwise(F.when(s["pre"] > 0, _LINE).when(s["cell"], " ").otherwise("\n"))
-    marks = F.lit("")
+    item = F.concat(F.lit("\n"), F.repeat(F.lit(_INDENT), F.greatest(depth - 1, F.lit(0))), number)
+    counted = F.when(_last(lists) > 0, F.concat(top, F.array(_last(lists) + 1))).otherwise(lists)
+    marked = F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), kind - _TAGS.index("h1")), F.lit(" "))
+    listed = F.concat(lists, F.array(F.when(kind == _TAGS.index("ol") + 1, 1).otherwise(0)))
+    leaves = {
+        "": but(_text(pre, cell, token)),
+        _ends(BLOCK_TAGS)[-1]: block(F.when(tables > 0, " ").otherwise(gap)),
+        "h6": block(F.when(inside, " ").otherwise(marked)),
+        "/h6": block(gap),
+        "li": block(item, lists=counted),
+        "tr": F.when(counts, block(F.concat(row_end, F.lit("\n|")), grid=table(rows=left["rows"], row=F.lit(True), cell=F.lit(False), cells=F.lit(0)))).otherwise(block(gap)),
+        "th": F.when(ended, block(F.concat(cell_end, F.lit(" ")), grid=table(cells=cells + 1, cell=F.lit(True)))).otherwise(block(" ")),
+        "table": block(F.when(tables == 0, gap).otherwise(" "), grid=table(tables=tables + 1, rows=F.when(tables == 0, 0).otherwise(rows))),
+        "/table": block(
+            F.when(counts, F.concat(row_end, F.lit("\n\n"))).otherwise(" "), grid=table(tables=F.greatest(tables - 1, F.lit(0)), **left)
+        ),
+        "pre": block(F.when(pre > 0, "").otherwise(f"\n\n```{_LINE}"), pre=pre + 1),
+        "/pre": block(F.when(pre == 1, f"{_LINE}```\n\n").otherwise(""), pre=F.greatest(pre - 1, F.lit(0))),
+        "hr": block(F.when(inside, " ").otherwise("\n\n---\n\n")),
+        "/th": F.when(counts, but(cell_end, grid=table(cell=F.lit(False)))).otherwise(but(" ")),
+        "/tr": F.when(counts, but(row_end, grid=table(**left))).otherwise(but(" ")),
+        "ol": but(F.when(cell, " ").when(depth == 0, "\n\n").otherwise(""), lists=listed),
+        "/ol": but(F.when(cell, " ").when(depth > 1, _SOFT).otherwise("\n\n"), lists=top),
+        "a": let(_href(token), lambda href: but(F.when(href != "", _LINK).otherwise(""), href=F.nullif(href, nothing))),
+        "/a": but(F.when(s["href"].isNotNull(), F.concat(F.lit(_LINK_END + "("), s["href"], F.lit(")"))).otherwise(""), href=none),
+        "br": but(F.when(pre > 0, _LINE).when(cell, " ").otherwise("\n")),
+    }
     for mark, (start, end, _) in _MARKS.items():
-        fits = (s["pre"] == 0) if mark == "code" else F.lit(True)
-        is_open = s["inline"].bitwiseAND(F.lit(_BITS[mark])) > 0
-        marks = (
-            F.when(_is(kind, *_NAMES[mark]), F.when(fits, start).otherwise(""))
-            .when(_is(kind, *_ends(list(_NAMES[mark]))), F.when(fits & is_open, end).otherwise(""))
-            .otherwise(marks)
-        )
-    return _by_place(kind, blocks, parts, rest, marks)
+        bit, names = F.lit(_BITS[mark]), list(_NAMES[mark])
+        fits = (pre == 0) if mark == "code" else F.lit(True)
+        is_open = inline.bitwiseAND(bit) > 0
+        leaves[names[-1]] = but(F.when(fits, start).otherwise(""), inline=inline.bitwiseOR(bit))
+        leaves[_ends(names)[-1]] = but(F.when(fits & is_open, end).otherwise(""), inline=inline.bitwiseAND(F.bitwise_not(bit)))
+    return _by_kind(kind, [(_TAGS.index(n) + 1 if n else -1, leaf) for n, leaf in leaves.items()])
 
 
-def _text(s: Column, token: Column) -> Column:
-    """Text of a text token: white space kept in ``pre``, bars escaped in table cells. Declarations leave nothing."""
+def _text(pre: Column, cell: Column, token: Column) -> Column:
+    """Text of a text token: white space kept in ``pre``, bars escaped in table cells."""
     kept = token
     for char, placeholder in (("\r\n", _LINE), ("\n", _LINE), ("\r", _LINE), (" ", _SPACE), ("\t", _TAB)):
         kept = F.replace(kept, F.lit(char), F.lit(placeholder))
     plain = token
     for char in "\t\r\n\f":
         plain = F.replace(plain, F.lit(char), F.lit(" "))
-    plain = F.when(s["cell"], F.replace(plain, F.lit("|"), F.lit("\\|"))).otherwise(plain)
-    return F.when(F.startswith(token, F.lit("<")) & (F.char_length(token) > 1), "").when(s["pre"] > 0, kept).otherwise(plain)
+    return F.when(pre > 0, kept).when(cell, F.replace(plain, F.lit("|"), F.lit("\\|"))).otherwise(plain)
 
 
 def _walked(tokens: Column) -> Column:
     """Texts of all tokens (array of ``_tokens, _kinds``) by one pass with the state; the state holds the stack of open lists."""
+    grid = F.struct(F.lit(0).alias("tables"), F.lit(False).alias("row"), F.lit(False).alias("cell"), F.lit(0).alias("rows"), F.lit(0).alias("cells"))
     start = F.struct(
-        F.array().cast("array<int>").alias("lists"), F.lit(0).alias("pre"), F.lit(None).cast("string").alias("href"), F.lit(0).alias("inline"),
-        F.lit(0).alias("tables"), F.lit(False).alias("row"), F.lit(False).alias("cell"), F.lit(0).alias("rows"), F.lit(0).alias("cells"),
+        F.lit("").alias("out"), F.array().cast("array<int>").alias("lists"), F.lit(0).alias("pre"), F.lit(None).cast("string").alias("href"),
+        F.lit(0).alias("inline"), grid.alias("grid"),
     ).cast(_STATE)
-    def step(acc: Column, token: Column) -> Column:
-        s, text, kind = acc["s"], token["_tokens"], token["_kinds"]
-        return F.when(kind < 0, F.struct(s.alias("s"), F.concat(acc["out"], _text(s, text)).alias("out"))).otherwise(
-            F.struct(_next(s, text, kind).alias("s"), F.concat(acc["out"], _emit(s, text, kind)).alias("out"))
-        )
 
     def inner(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["s"].alias("s"), F.lit("").alias("out")), step)
-        return let(done, lambda d: F.struct(d["s"].alias("s"), F.array_append(acc["out"], d["out"]).alias("out")))
+        again = F.struct(F.lit("").alias("out"), *(acc["s"][n].alias(n) for n in ("lists", "pre", "href", "inline", "grid")))
+        done = F.aggregate(part, again, lambda s, token: _step(s, token["_tokens"], token["_kinds"]))
+        return let(done, lambda d: F.struct(d.alias("s"), F.array_append(acc["out"], d["out"]).alias("out")))
 
     def walk(counting: Column) -> Column:
         parts = F.transform(
@@ -202,38 +195,39 @@ def _walked(tokens: Column) -> Column:
     return let(F.filter(tokens, lambda t: t["_kinds"] != 0), walk)
 
 
-def _closed(text: Column, start: str, end: str, opening: str, closing: str) -> Column:
-    """Marks of one kind: those with an end in their line, and the ends."""
-
-    def made(t: Column) -> Column:
-        opened = F.regexp_replace(t, rf"{start}(?=[^{start}{end}\n]*+{end})", opening)
-        return F.when(F.contains(t, F.lit(end)), F.replace(opened, F.lit(end), F.lit(closing))).otherwise(t)
-
-    return let(text, made)
+def _unclosed() -> str:
+    """Pattern of the openings of marks and links without an end in their line."""
+    pairs = [*((start, end) for start, end, _ in _MARKS.values()), (_LINK, _LINK_END)]
+    return "|".join(rf"{start}(?![^{start}{end}\n]*+{end})" for start, end in pairs)
 
 
 def _spaced(text: Column) -> Column:
-    """Single white space, and what the placeholders stand for."""
-    text = F.regexp_replace(text, r" [ \xa0]+|\xa0[ \xa0]*+", " ")
+    """Single white space, and what the placeholders stand for. A pattern is only tried on texts that hold what it needs."""
+
+    def where(text: Column, needed: tuple[str, ...], made: Callable[[Column], Column]) -> Column:
+        def tried(t: Column) -> Column:
+            found = F.contains(t, F.lit(needed[0]))
+            for other in needed[1:]:
+                found = found | F.contains(t, F.lit(other))
+            return F.when(found, made(t)).otherwise(t)
 
-    def broken(t: Column) -> Column:
-        left = F.regexp_replace(t, rf"{_SOFT}[ {_SOFT}]*+(?=\n|\z)", "")
-        return F.when(F.contains(t, F.lit(_SOFT)), F.replace(left, F.lit(_SOFT), F.lit("\n"))).otherwise(t)
+        return let(text, tried)
 
-    text = F.regexp_replace(let(text, broken), r" \n ?|\n ", "\n")
-    text = F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    text = where(text, ("  ", "\xa0"), lambda t: F.regexp_replace(t, r" [ \xa0]+|\xa0[ \xa0]*+", " "))
+    text = where(text, (_SOFT,), lambda t: F.replace(F.regexp_replace(t, rf"{_SOFT}[ {_SOFT}]*+(?=\n|\z)", ""), F.lit(_SOFT), F.lit("\n")))
+    text = where(text, (" \n", "\n "), lambda t: F.regexp_replace(t, r" \n ?|\n ", "\n"))
+    text = F.trim(where(text, ("\n\n\n",), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")), F.lit(" \n"))
     for placeholder, char in ((_INDENT, "  "), (_LINE, "\n"), (_SPACE, " "), (_TAB, "\t")):
         text = F.replace(text, F.lit(placeholder), F.lit(char))
     return text
 
 
 def _finished(text: Column) -> Column:
-    """Inline marks that were closed in their block become Markdown, entities characters, white space single. Each step is bound: it is used twice."""
+    """Inline marks that were closed in their block become Markdown, entities characters, white space single."""
+    text = F.regexp_replace(text, _unclosed(), "")
     for start, end, mark in _MARKS.values():
-        text = _closed(text, start, end, mark, mark)
-    text = _closed(text, _LINK, _LINK_END, "[", "]")
-    for left in (*(start for start, _, _ in _MARKS.values()), _LINK):
-        text = F.replace(text, F.lit(left), F.lit(""))
+        text = F.replace(F.replace(text, F.lit(start), F.lit(mark)), F.lit(end), F.lit(mark))
+    text = F.replace(F.replace(text, F.lit(_LINK), F.lit("[")), F.lit(_LINK_END), F.lit("]"))
     return _spaced(decode_entities(text))
 
 
