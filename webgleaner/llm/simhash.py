@@ -416,7 +416,7 @@ def wide_value_links(values: DataFrame, similarity: float, radius: int) -> DataF
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id. All columns stay.
 
-    Rows with the same id are copies of each other only if their texts are; the first of equal rows stays.
+    Rows are told apart by their ids: rows with one id stay or go together, equal rows too, and rows without id stay.
     """
     groups = near_copy_groups(docs, **options)
     gone = stage(groups.where("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
